@@ -128,7 +128,235 @@ FROM rawc"""
     return q
 
 
+ENS = "Ensemble (Naive+LR)"
+SPLIT_TS = "TIMESTAMP '2024-01-24'"
+
+
+def pred_ctes() -> str:
+    """Feature CTEs, train/test, OLS on (lag_12, roll_mean_12), naive, metrics, board, blend."""
+    return features_ctes(F5, 5) + f""",
+tr AS (SELECT * FROM ff WHERE datetime < {SPLIT_TS}),
+te AS (SELECT * FROM ff WHERE datetime >= {SPLIT_TS}),
+ols AS (
+  SELECT (covar_pop(lag_12, load) * var_pop(roll_mean_12) - covar_pop(roll_mean_12, load) * covar_pop(lag_12, roll_mean_12))
+           / (var_pop(lag_12) * var_pop(roll_mean_12) - covar_pop(lag_12, roll_mean_12) ^ 2) AS b1,
+         (covar_pop(roll_mean_12, load) * var_pop(lag_12) - covar_pop(lag_12, load) * covar_pop(lag_12, roll_mean_12))
+           / (var_pop(lag_12) * var_pop(roll_mean_12) - covar_pop(lag_12, roll_mean_12) ^ 2) AS b2,
+         avg(load) AS ybar, avg(lag_12) AS x1bar, avg(roll_mean_12) AS x2bar
+  FROM tr),
+base AS (
+  SELECT datetime, 'Naive Baseline' AS model, load AS actual, lag_288 AS predicted FROM te
+  UNION ALL
+  SELECT datetime, 'Linear Regression' AS model, load AS actual,
+         ybar + b1 * (lag_12 - x1bar) + b2 * (roll_mean_12 - x2bar) AS predicted
+  FROM te CROSS JOIN ols),
+{metrics_cte('base', 'bmet')},
+bboard AS (SELECT model, round(RMSE, 3) AS RMSE FROM bmet),
+wts AS (SELECT model, (1.0 / RMSE) / (SELECT sum(1.0 / RMSE) FROM bboard
+                                      WHERE model IN ('Naive Baseline', 'Linear Regression')) AS weight
+        FROM bboard WHERE model IN ('Naive Baseline', 'Linear Regression')),
+ens AS (SELECT b.datetime, '{ENS}' AS model, first(b.actual) AS actual, sum(w.weight * b.predicted) AS predicted
+        FROM base b JOIN wts w USING (model) GROUP BY b.datetime),
+preds AS (SELECT * FROM base UNION ALL SELECT * FROM ens),
+{metrics_cte('preds', 'met')},
+board AS (SELECT model, round(MAE, 3) AS MAE, round(RMSE, 3) AS RMSE, round(R2, 3) AS R2, round(MAPE, 3) AS MAPE,
+                 row_number() OVER (ORDER BY round(RMSE, 3), model) AS rank FROM met),
+wide AS (SELECT datetime, first(actual) AS Actual,
+                first(predicted) FILTER (WHERE model = 'Naive Baseline') AS "Naive Baseline",
+                first(predicted) FILTER (WHERE model = 'Linear Regression') AS "Linear Regression",
+                first(predicted) FILTER (WHERE model = '{ENS}') AS "{ENS}"
+         FROM preds GROUP BY datetime)"""
+
+
+def metrics_cte(src: str, name: str) -> str:
+    return f"""{name}_m AS (SELECT model, avg(actual) AS ybar FROM {src} GROUP BY model),
+{name}_a AS (
+  SELECT p.model, count(*) AS n, avg(abs(actual - predicted)) AS MAE, sqrt(avg((actual - predicted) ^ 2)) AS RMSE,
+         sum((actual - predicted) ^ 2) AS sse, sum((actual - ybar) ^ 2) AS sst,
+         avg(CASE WHEN actual <> 0 THEN abs((actual - predicted) / actual) END) * 100 AS MAPE,
+         sum(CASE WHEN actual = 0 THEN 1 ELSE 0 END) AS n_zero_actual
+  FROM {src} p JOIN {name}_m m USING (model) GROUP BY p.model),
+{name} AS (
+  SELECT model, n, MAE, RMSE,
+         CASE WHEN sst = 0 THEN CASE WHEN sse = 0 THEN 1.0 ELSE 0.0 END ELSE 1 - sse / sst END AS R2,
+         MAPE, n_zero_actual
+  FROM {name}_a)"""
+
+
+def wp(body: str) -> str:
+    return f"WITH {pred_ctes()}\n{body}"
+
+
+METRIC_SEL = (f"model, CAST(n AS BIGINT) AS n, {r6('MAE')} AS MAE, {r6('RMSE')} AS RMSE, {r6('R2')} AS R2, "
+              f"{r6('MAPE')} AS MAPE, CAST(n_zero_actual AS BIGINT) AS n_zero_actual")
+PRED_SEL = f"datetime, model, {r6('actual')} AS actual, {r6('predicted')} AS predicted"
+
+
+def minmax_ctes() -> str:
+    cols = [*F5.features, "load"]
+    bounds = ", ".join(f"min({c}) AS lo_{c}, max({c}) AS hi_{c}" for c in cols)
+    scaled = ", ".join(
+        f"CASE WHEN hi_{c} = lo_{c} THEN 0.0 ELSE ({c} - lo_{c}) / (hi_{c} - lo_{c}) END AS {c}" for c in cols)
+    return features_ctes(F5, 5) + f""",
+mmb AS (SELECT {bounds} FROM ff WHERE datetime < {SPLIT_TS}),
+mm AS (SELECT pos, datetime, {scaled} FROM ff CROSS JOIN mmb)"""
+
+
+def analytic_queries() -> dict[str, str]:
+    q = {}
+    q["naive_forecast"] = wp(f"SELECT {PRED_SEL} FROM preds WHERE model = 'Naive Baseline'")
+    q["linreg_forecast"] = wp(f"SELECT {PRED_SEL} FROM preds WHERE model = 'Linear Regression'")
+    q["ensemble_forecast"] = wp(f"SELECT {PRED_SEL} FROM preds WHERE model = '{ENS}'")
+    q["regression_metrics"] = wp(f"SELECT {METRIC_SEL} FROM met")
+    q["metrics_union"] = q["regression_metrics"]
+    q["leaderboard"] = wp(f"SELECT model, {r6('MAE')} AS MAE, {r6('RMSE')} AS RMSE, {r6('R2')} AS R2, "
+                          f"{r6('MAPE')} AS MAPE, CAST(rank AS INTEGER) AS rank FROM board")
+    q["residuals"] = wp(f"SELECT datetime, model, {r6('actual - predicted')} AS residual, "
+                        f"{r6('abs(actual - predicted)')} AS abs_residual FROM preds")
+    q["model_status"] = wp("""SELECT model, CASE WHEN model = (SELECT arg_min(model, (RMSE, model)) FROM met)
+                                   THEN 'BEST FIT' WHEN model LIKE '%Ensemble%' THEN 'ACTIVE'
+                                   WHEN model = 'Naive Baseline' THEN 'BASELINE' ELSE 'STANDBY' END AS status
+                              FROM met""")
+    q["model_codename"] = wp("""SELECT model, CASE model
+        WHEN 'Linear Regression' THEN 'LR_BASELINE_V1' WHEN 'Decision Tree' THEN 'DT_TREE_V2'
+        WHEN 'Random Forest' THEN 'RF_FOREST_V3' WHEN 'KNN' THEN 'KNN_NEIGHBOR_V1'
+        WHEN 'Gradient Boosting' THEN 'GB_BOOSTER_V2' WHEN 'XGBoost (Tuned)' THEN 'XGB_TUNED_V4'
+        WHEN 'XGBoost' THEN 'XGB_TUNED_V4' WHEN 'LightGBM (Tuned)' THEN 'LGBM_TUNED_V3'
+        WHEN 'LightGBM' THEN 'LGBM_TUNED_V3' WHEN 'Ensemble (XGB+LGBM)' THEN 'ENS_BLENDED_V2'
+        WHEN 'LSTM' THEN 'LSTM_NEURAL_V5' ELSE model END AS codename FROM met""")
+    q["prediction_fallback"] = wp(
+        f"SELECT datetime, {r6(chr(99) + 'oalesce(nullif(\"Linear Regression\", 0.0), \"' + ENS + '\")')} AS shown FROM wide")
+    q["relative_score"] = wp(f"""SELECT model, {r6('RMSE')} AS RMSE,
+        {r6("greatest(15.0, coalesce((mx - RMSE) / nullif(mx - mn, 0) * 85.0, 0.0))")} AS score
+        FROM met CROSS JOIN (SELECT max(RMSE) AS mx, min(RMSE) AS mn FROM met) g""")
+    q["wide_predictions"] = wp(
+        f'SELECT datetime, {r6("Actual")} AS Actual, {r6(chr(34) + "Naive Baseline" + chr(34))} AS "Naive Baseline", '
+        f'{r6(chr(34) + "Linear Regression" + chr(34))} AS "Linear Regression", {r6(chr(34) + ENS + chr(34))} AS "{ENS}" FROM wide')
+    q["long_predictions"] = wp(f"""SELECT datetime, 'Actual' AS series, {r6('Actual')} AS value FROM wide
+        UNION ALL SELECT datetime, model AS series, {r6('predicted')} AS value FROM preds""")
+    q["metrics_long"] = wp(f"""SELECT model, metric, {r6('value')} AS value,
+            CAST(row_number() OVER (PARTITION BY metric ORDER BY value, model) AS INTEGER) AS metric_rank,
+            CAST(row_number() OVER (PARTITION BY metric ORDER BY value, model) = 1 AS INTEGER) AS is_best
+        FROM (SELECT model, 'MAE' AS metric, MAE AS value FROM board UNION ALL
+              SELECT model, 'RMSE', RMSE FROM board UNION ALL SELECT model, 'MAPE', MAPE FROM board) t""")
+    q["compare_models"] = wp(f"""SELECT metric,
+            {r6("max(value) FILTER (WHERE model = 'Naive Baseline')")} AS "Naive Baseline",
+            {r6("max(value) FILTER (WHERE model = 'Linear Regression')")} AS "Linear Regression",
+            {r6(f"max(value) FILTER (WHERE model = '{ENS}')")} AS "{ENS}",
+            (SELECT arg_min(model, (RMSE, model)) FROM board) AS best_model
+        FROM (SELECT model, 'MAE' AS metric, MAE AS value FROM board UNION ALL SELECT model, 'RMSE', RMSE FROM board
+              UNION ALL SELECT model, 'R2', R2 FROM board UNION ALL SELECT model, 'MAPE', MAPE FROM board) t
+        GROUP BY metric""")
+    q["top3_zoom"] = wp(f"""SELECT datetime, series, {r6('value')} AS value FROM (
+          SELECT datetime, model AS series, predicted AS value,
+                 row_number() OVER (PARTITION BY model ORDER BY datetime DESC) AS rn
+          FROM preds WHERE model IN (SELECT model FROM board WHERE rank <= 3)
+          UNION ALL
+          SELECT datetime, 'Actual', Actual, row_number() OVER (ORDER BY datetime DESC) FROM wide) t
+        WHERE rn <= 288""")
+    q["model_lookup"] = wp(f"""SELECT r.requested,
+            coalesce(b.model, (SELECT arg_min(model, (RMSE, model)) FROM board)) AS model,
+            {r6("coalesce(b.MAE, (SELECT arg_min(MAE, (RMSE, model)) FROM board))")} AS MAE,
+            {r6("coalesce(b.RMSE, (SELECT arg_min(RMSE, (RMSE, model)) FROM board))")} AS RMSE,
+            {r6("coalesce(b.R2, (SELECT arg_min(R2, (RMSE, model)) FROM board))")} AS R2,
+            {r6("coalesce(b.MAPE, (SELECT arg_min(MAPE, (RMSE, model)) FROM board))")} AS MAPE
+        FROM (VALUES ('{ENS}'), ('LightGBM (Tuned)')) r(requested) LEFT JOIN board b ON b.model = r.requested""")
+    q["r2_ranking"] = wp(f"SELECT model, {r6('R2')} AS R2, CAST(row_number() OVER (ORDER BY R2, model) AS INTEGER) "
+                         "AS r2_rank FROM board")
+    q["tail_n"] = wp(f"""SELECT {PRED_SEL} FROM (SELECT *, row_number() OVER (PARTITION BY model ORDER BY datetime DESC)
+                        AS rn FROM preds) t WHERE rn <= 576""")
+    q["residual_summary"] = wp(f"""SELECT model, CAST(n AS BIGINT) AS n, {r6('mr')} AS mean_residual,
+            {r6('vr')} AS var_residual,
+            {r6('avg(CASE WHEN abs(r - mr) > 2.5 * sqrt(vr) THEN 1.0 ELSE 0.0 END) * 100')} AS outlier_pct
+        FROM (SELECT model, actual - predicted AS r FROM preds) x
+        JOIN (SELECT model, count(*) AS n, avg(actual - predicted) AS mr, var_pop(actual - predicted) AS vr
+              FROM preds GROUP BY model) s USING (model)
+        GROUP BY model, n, mr, vr""")
+    q["residual_histogram"] = wp(f"""SELECT l.model, CAST(g.bin AS INTEGER) AS bin,
+            {r6('lo + (hi - lo) / 15.0 * g.bin')} AS bin_lo, {r6('lo + (hi - lo) / 15.0 * (g.bin + 1)')} AS bin_hi,
+            {r6('lo + (hi - lo) / 15.0 * (g.bin + 0.5)')} AS center, CAST(coalesce(c.cnt, 0) AS BIGINT) AS count
+        FROM (SELECT model, min(actual - predicted) AS lo, max(actual - predicted) AS hi FROM preds GROUP BY model) l
+        CROSS JOIN range(15) g(bin)
+        LEFT JOIN (SELECT p.model, CAST(CASE WHEN (hi - lo) = 0 THEN 0
+                           ELSE least(floor((actual - predicted - lo) / ((hi - lo) / 15.0)), 14) END AS INTEGER) AS bin,
+                          count(*) AS cnt
+                   FROM preds p JOIN (SELECT model, min(actual - predicted) AS lo, max(actual - predicted) AS hi
+                                      FROM preds GROUP BY model) m USING (model)
+                   GROUP BY 1, 2) c ON c.model = l.model AND c.bin = g.bin""")
+    q["residual_kde"] = wp(f"""SELECT l.model, CAST(g.i AS INTEGER) AS grid_index, {r6('lo + (hi - lo) / 199.0 * g.i')} AS x,
+            {r6('sum(exp(-0.5 * ((lo + (hi - lo) / 199.0 * g.i - r) / h) ^ 2)) / (n * h * sqrt(2 * pi()))')} AS density
+        FROM (SELECT model, min(actual - predicted) AS lo, max(actual - predicted) AS hi, count(*) AS n,
+                     stddev_samp(actual - predicted) * pow(count(*), -0.2) AS h FROM preds GROUP BY model) l
+        JOIN (SELECT model, actual - predicted AS r FROM preds) x USING (model)
+        CROSS JOIN range(200) g(i)
+        GROUP BY l.model, g.i, lo, hi, n, h""")
+    q["residual_density_2d"] = wp(f"""SELECT model, ix, iy, CAST(count(*) AS BIGINT) AS count, {r6('count(*) / any_value(n)')} AS share
+        FROM (SELECT p.model, n,
+                CAST(CASE WHEN phi = plo THEN 0 ELSE least(floor((predicted - plo) / ((phi - plo) / 20.0)), 19) END AS INTEGER) AS ix,
+                CAST(CASE WHEN rhi = rlo THEN 0 ELSE least(floor((actual - predicted - rlo) / ((rhi - rlo) / 20.0)), 19) END AS INTEGER) AS iy
+              FROM preds p JOIN (SELECT model, min(predicted) AS plo, max(predicted) AS phi,
+                                        min(actual - predicted) AS rlo, max(actual - predicted) AS rhi, count(*) AS n
+                                 FROM preds GROUP BY model) m USING (model)) t
+        GROUP BY model, ix, iy""")
+    q["group_limits"] = wp(f"""SELECT {r6('min(predicted)')} AS x_min, {r6('max(predicted)')} AS x_max,
+            {r6('quantile_cont(abs(actual - predicted), 0.98) * 1.15')} AS y_lim FROM preds""")
+    std_b = ", ".join(f"avg({c}) AS m_{c}, stddev_pop({c}) AS s_{c}" for c in F5.features)
+    std_s = ", ".join(
+        f"{r6(f'({c} - m_{c}) / CASE WHEN s_{c} = 0 OR s_{c} IS NULL THEN 1.0 ELSE s_{c} END')} AS {c}"
+        for c in F5.features)
+    q["scale_standard"] = with_features(
+        f"SELECT datetime, {std_s} FROM ff CROSS JOIN (SELECT {std_b} FROM ff WHERE datetime < {SPLIT_TS}) s "
+        f"WHERE datetime >= {SPLIT_TS}")
+    mm_cols = [*F5.features, "load"]
+    q["scale_minmax"] = f"WITH {minmax_ctes()}\nSELECT datetime, " + ", ".join(f"{r6(c)} AS {c}" for c in mm_cols) + " FROM mm"
+    first = F5.features[0]
+    rowsum = " + ".join(mm_cols)
+    q["lookback_sequences"] = f"""WITH {minmax_ctes()},
+mr AS (SELECT *, row_number() OVER (ORDER BY pos) - 1 AS rw, {rowsum} AS rs FROM mm),
+sq AS (SELECT datetime, load AS label, count(*) OVER w AS c, sum(rs) OVER w AS s,
+              lag({first}, 24) OVER (ORDER BY rw) AS f, lag(load, 1) OVER (ORDER BY rw) AS l
+       FROM mr WINDOW w AS (ORDER BY rw ROWS BETWEEN 24 PRECEDING AND 1 PRECEDING))
+SELECT datetime, {r6('label')} AS label, CAST(c * 25 AS INTEGER) AS n_values, {r6('s')} AS seq_sum,
+       {r6('f')} AS seq_first, {r6('l')} AS seq_last FROM sq WHERE c = 24"""
+    knn_b = "avg(lag_12) AS m1, stddev_pop(lag_12) AS s1, avg(roll_mean_12) AS m2, stddev_pop(roll_mean_12) AS s2"
+    q["knn_forecast"] = with_features(f""",
+st AS (SELECT {knn_b} FROM ff WHERE datetime < {SPLIT_TS}),
+trs AS (SELECT pos AS o, load AS y, (lag_12 - m1) / s1 AS a, (roll_mean_12 - m2) / s2 AS b
+        FROM ff CROSS JOIN st WHERE datetime < {SPLIT_TS}),
+tes AS (SELECT datetime, load AS actual, (lag_12 - m1) / s1 AS a, (roll_mean_12 - m2) / s2 AS b
+        FROM ff CROSS JOIN st WHERE datetime >= {SPLIT_TS}),
+pairs AS (SELECT t.datetime, t.actual, r.y, r.o, sqrt((t.a - r.a) ^ 2 + (t.b - r.b) ^ 2) AS d FROM tes t CROSS JOIN trs r),
+top AS (SELECT * FROM pairs QUALIFY row_number() OVER (PARTITION BY datetime ORDER BY d, o) <= 10)
+SELECT datetime, 'KNN' AS model, {r6('actual')} AS actual,
+       {r6('CASE WHEN sum(CASE WHEN d = 0 THEN 1 ELSE 0 END) > 0 THEN avg(CASE WHEN d = 0 THEN y END) '
+           'ELSE sum(CASE WHEN d > 0 THEN y / d END) / sum(CASE WHEN d > 0 THEN 1.0 / d END) END')} AS predicted
+FROM top GROUP BY datetime, actual""".replace("WITH " + features_ctes(F5, 5) + "\n,", "WITH " + features_ctes(F5, 5) + ","))
+    folds = f""",
+rk AS (SELECT *, row_number() OVER (ORDER BY pos) - 1 AS rw, count(*) OVER () AS n FROM ff),
+fb AS (SELECT f AS fold, n - 5 * (n // 6) + (f - 1) * (n // 6) AS ts, n - 5 * (n // 6) + f * (n // 6) AS te
+       FROM (SELECT DISTINCT n FROM rk) x CROSS JOIN range(1, 6) r(f)),
+fr AS (SELECT rk.*, fb.fold, CASE WHEN rw < fb.ts THEN 'train' ELSE 'test' END AS role
+       FROM rk JOIN fb ON rk.rw < fb.te),
+cvn AS (SELECT fold, count(*) AS n_test, avg(abs(load - lag_288)) AS mae FROM fr WHERE role = 'test' GROUP BY fold)"""
+
+    def wf(body):
+        return with_features(folds + "\n" + body).replace("WITH " + features_ctes(F5, 5) + "\n,",
+                                                             "WITH " + features_ctes(F5, 5) + ",")
+    q["expanding_folds"] = wf("""SELECT CAST(fold AS INTEGER) AS fold, role, CAST(count(*) AS BIGINT) AS n_rows,
+        CAST(min(rw) AS BIGINT) AS first_row, CAST(max(rw) AS BIGINT) AS last_row,
+        min(datetime) AS first_datetime, max(datetime) AS last_datetime FROM fr GROUP BY fold, role""")
+    q["cv_naive"] = wf(f"SELECT CAST(fold AS INTEGER) AS fold, CAST(n_test AS BIGINT) AS n_test, {r6('mae')} AS mae FROM cvn")
+    q["cv_summary"] = wf(f"SELECT {r6('avg(mae)')} AS cv_mean_mae, {r6('stddev_pop(mae)')} AS cv_std_mae, "
+                         "CAST(count(*) AS BIGINT) AS n_folds FROM cvn")
+    q["running_min"] = wf(f"SELECT CAST(fold AS INTEGER) AS fold, CAST(n_test AS BIGINT) AS n_test, {r6('mae')} AS mae, "
+                          f"{r6('min(mae) OVER (ORDER BY fold ROWS UNBOUNDED PRECEDING)')} AS running_min FROM cvn")
+    q["best_of_history"] = wf(f"SELECT CAST(arg_min(fold, (mae, fold)) AS INTEGER) AS best_fold, {r6('min(mae)')} AS best_mae, "
+                              "CAST(count(*) AS BIGINT) AS n FROM cvn")
+    return q
+
+
 def all_sql() -> dict[str, str]:
     out = {}
     out.update(feature_queries())
+    out.update(analytic_queries())
     return out

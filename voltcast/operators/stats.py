@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import math
+
 from collections.abc import Sequence
 
 from pyspark.sql import Column, DataFrame, Window
@@ -123,3 +125,35 @@ def percentile_exact(col: str | Column, q: float) -> Column:
     """Exact percentile with linear interpolation (NumPy's default)."""
     c = F.col(col) if isinstance(col, str) else col
     return F.percentile(c, F.lit(q))
+
+
+def exact_percentile(df: DataFrame, col: str, q: float, accuracy: int = 100_000) -> float:
+    """Exact percentile with linear interpolation, without one task holding all values.
+
+    1. ``percentile_approx`` brackets the target rank (its rank error is at most
+       n/accuracy), 2. rows below the bracket are counted, 3. only the bracket
+       (about 4n/accuracy rows) is ranked, by a distributed sort. Falls back to
+       the whole column when the bracket misses (cannot happen within the bound).
+    """
+    from voltcast.operators.ordered import position_index
+
+    vals = df.select(F.col(col).cast("double").alias("v")).filter(F.col("v").isNotNull())
+    n = vals.count()
+    if n == 0:
+        return float("nan")
+    rank = q * (n - 1)
+    k0 = int(math.floor(rank))
+    frac = rank - k0
+    eps = 2.0 / accuracy
+    lo_q, hi_q = max(0.0, q - eps), min(1.0, q + eps)
+    lo, hi = vals.agg(F.percentile_approx("v", [lo_q, hi_q], accuracy)).first()[0]
+    below = vals.filter(F.col("v") < lo).count()
+    bracket = vals.filter((F.col("v") >= lo) & (F.col("v") <= hi))
+    nb = bracket.count()
+    if not (below <= k0 and below + nb >= min(n, k0 + 2)):
+        below, bracket = 0, vals
+    ranked = position_index(bracket.withColumn("_t", F.monotonically_increasing_id()), ["v", "_t"])
+    want = [k0 - below, min(k0 + 1, n - 1) - below]
+    got = dict(ranked.filter(F.col("pos").isin(want)).select("pos", "v").collect())
+    a, b = got[want[0]], got[want[1]]
+    return float(a + (b - a) * frac)

@@ -11,7 +11,7 @@ reference does with its in-memory frame.
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 from pyspark.sql.types import DoubleType, FloatType
 
@@ -160,3 +160,273 @@ FEATURE_QUERIES = {
 
 ALL_QUERIES: dict = {}
 ALL_QUERIES.update(FEATURE_QUERIES)
+
+
+# --------------------------------------------------------------------------- forecasts (SQL-checkable set)
+
+from voltcast import constants as C  # noqa: E402
+from voltcast.operators import cv as cvops  # noqa: E402
+from voltcast.operators.knn import knn_regress  # noqa: E402
+from voltcast.operators.ordered import lookback_sequences  # noqa: E402
+from voltcast.plans import analytics as an  # noqa: E402
+from voltcast.plans import models as M  # noqa: E402
+
+ENSEMBLE_SQL = "Ensemble (Naive+LR)"
+LR_COLS = ["lag_12", "roll_mean_12"]
+KNN_COLS = ["lag_12", "roll_mean_12"]
+SQL_MODELS = [C.NAIVE, C.LINEAR, ENSEMBLE_SQL]
+
+
+def split_frames(spark, sf_dir, cadence: Cadence = FIVE_MIN):
+    ff = features(spark, sf_dir, cadence)
+    return fp.train_test(ff, SPLIT)
+
+
+def base_predictions(spark, sf_dir) -> DataFrame:
+    """Naive (seasonal lag) and 2-feature OLS predictions on the test rows."""
+    def build():
+        train, test = split_frames(spark, sf_dir)
+        naive = M.naive_forecast(test, "lag_288")
+        _, lr = M.fit_predict(M.linear_regression(LR_COLS), train, test, C.LINEAR)
+        return naive.unionByName(lr)
+    return memo(spark, sf_dir, "base-preds", build)
+
+
+def prediction_set(spark, sf_dir) -> DataFrame:
+    """Base predictions plus their inverse-RMSE blend (weights from the rounded test board)."""
+    def build():
+        base = base_predictions(spark, sf_dir)
+        board = stats.leaderboard(stats.regression_metrics(base))
+        w = M.inverse_rmse_weights(board, [C.NAIVE, C.LINEAR])
+        return base.unionByName(M.blend(base, w, ENSEMBLE_SQL))
+    return memo(spark, sf_dir, "pred-set", build)
+
+
+def metrics_set(spark, sf_dir) -> DataFrame:
+    return memo(spark, sf_dir, "metrics-set", lambda: stats.regression_metrics(prediction_set(spark, sf_dir)))
+
+
+def board_set(spark, sf_dir) -> DataFrame:
+    return stats.leaderboard(metrics_set(spark, sf_dir))
+
+
+def q_naive_metrics_hourly(spark, sf_dir):
+    """Flagship: hourly series -> features -> split -> seasonal naive (lag 24) -> metrics."""
+    train, test = split_frames(spark, sf_dir, HOURLY)
+    return rounded(stats.regression_metrics(M.naive_forecast(test, "lag_24")))
+
+
+def q_naive_forecast(spark, sf_dir):
+    return rounded(prediction_set(spark, sf_dir).filter(F.col("model") == C.NAIVE))
+
+
+def q_linreg_forecast(spark, sf_dir):
+    return rounded(prediction_set(spark, sf_dir).filter(F.col("model") == C.LINEAR))
+
+
+def q_ensemble_forecast(spark, sf_dir):
+    return rounded(prediction_set(spark, sf_dir).filter(F.col("model") == ENSEMBLE_SQL))
+
+
+def q_regression_metrics(spark, sf_dir):
+    return rounded(metrics_set(spark, sf_dir))
+
+
+def q_metrics_union(spark, sf_dir):
+    preds = prediction_set(spark, sf_dir)
+    parts = [stats.regression_metrics(preds.filter(F.col("model") == m)) for m in SQL_MODELS]
+    return rounded(M.union_predictions(parts))
+
+
+def q_leaderboard(spark, sf_dir):
+    return rounded(board_set(spark, sf_dir))
+
+
+def q_residuals(spark, sf_dir):
+    return rounded(an.residuals(prediction_set(spark, sf_dir)))
+
+
+def q_model_status(spark, sf_dir):
+    return an.model_status(metrics_set(spark, sf_dir))
+
+
+def q_model_codename(spark, sf_dir):
+    return an.model_codename(metrics_set(spark, sf_dir).select("model"))
+
+
+def q_prediction_fallback(spark, sf_dir):
+    wide = an.wide_predictions(prediction_set(spark, sf_dir), SQL_MODELS)
+    return rounded(wide.select("datetime", an.column_fallback(C.LINEAR, ENSEMBLE_SQL).alias("shown")))
+
+
+def q_relative_score(spark, sf_dir):
+    return rounded(an.relative_score(metrics_set(spark, sf_dir)))
+
+
+def q_wide_predictions(spark, sf_dir):
+    return rounded(an.wide_predictions(prediction_set(spark, sf_dir), SQL_MODELS))
+
+
+def q_long_predictions(spark, sf_dir):
+    wide = an.wide_predictions(prediction_set(spark, sf_dir), SQL_MODELS)
+    return rounded(an.long_predictions(wide, SQL_MODELS))
+
+
+def q_metrics_long(spark, sf_dir):
+    return rounded(an.metrics_long(board_set(spark, sf_dir)))
+
+
+def q_compare_models(spark, sf_dir):
+    return rounded(an.compare_models(board_set(spark, sf_dir), SQL_MODELS))
+
+
+def q_top3_zoom(spark, sf_dir):
+    return rounded(an.top_models_zoom(prediction_set(spark, sf_dir), board_set(spark, sf_dir), 3,
+                                      FIVE_MIN.rows_per_day))
+
+
+def q_model_lookup(spark, sf_dir):
+    return rounded(an.find_model(board_set(spark, sf_dir), [ENSEMBLE_SQL, C.LGBM_TUNED]))
+
+
+def q_r2_ranking(spark, sf_dir):
+    b = board_set(spark, sf_dir)
+    w = F.row_number().over(Window.orderBy("R2", "model"))
+    return rounded(b.select("model", "R2", w.alias("r2_rank")))
+
+
+def q_tail_n(spark, sf_dir):
+    return rounded(an.tail_per_model(prediction_set(spark, sf_dir), 2 * FIVE_MIN.rows_per_day))
+
+
+def q_residual_summary(spark, sf_dir):
+    return rounded(an.residual_summary(prediction_set(spark, sf_dir)))
+
+
+def q_residual_histogram(spark, sf_dir):
+    return rounded(an.residual_histogram(prediction_set(spark, sf_dir), 15))
+
+
+def q_residual_kde(spark, sf_dir):
+    return rounded(an.residual_kde(prediction_set(spark, sf_dir), 200))
+
+
+def q_residual_density_2d(spark, sf_dir):
+    return rounded(an.residual_density_2d(prediction_set(spark, sf_dir), 20))
+
+
+def q_group_limits(spark, sf_dir):
+    return rounded(an.group_limits(prediction_set(spark, sf_dir)))
+
+
+# --------------------------------------------------------------------------- scalers, kNN, sequences
+
+def q_scale_standard(spark, sf_dir):
+    train, test = split_frames(spark, sf_dir)
+    sc = M.fit_standard(train, FIVE_MIN.features)
+    return rounded(sc.apply(test.select("datetime", *FIVE_MIN.features)))
+
+
+def minmax_frame(spark, sf_dir) -> DataFrame:
+    cols = [*FIVE_MIN.features, C.TARGET]
+    train, _ = split_frames(spark, sf_dir)
+    sc = M.fit_minmax(train, cols)
+    return sc.apply(features(spark, sf_dir).select("pos", "datetime", *cols))
+
+
+def q_scale_minmax(spark, sf_dir):
+    return rounded(minmax_frame(spark, sf_dir).drop("pos"))
+
+
+def q_knn_forecast(spark, sf_dir):
+    train, test = split_frames(spark, sf_dir)
+    sc = M.fit_standard(train, KNN_COLS)
+    tr, te = sc.apply(train), sc.apply(test)
+    pred = knn_regress(tr, te, KNN_COLS, C.TARGET, train_order="pos", test_key="datetime", k=10)
+    out = te.select("datetime", F.col(C.TARGET).alias("actual")).join(pred, "datetime")
+    return rounded(out.select("datetime", F.lit(C.KNN).alias("model"), "actual", "predicted"))
+
+
+def q_lookback_sequences(spark, sf_dir):
+    cols = [*FIVE_MIN.features, C.TARGET]
+    scaled = fp.post_drop_position(minmax_frame(spark, sf_dir))
+    seq = lookback_sequences(scaled, cols, C.TARGET, 24, pos_col="row", block_size=4096)
+    return rounded(seq.select("datetime", "label", F.size("seq").alias("n_values"),
+                              F.aggregate("seq", F.lit(0.0), lambda a, x: a + x).alias("seq_sum"),
+                              F.col("seq")[0].alias("seq_first"),
+                              F.element_at("seq", -1).alias("seq_last")))
+
+
+# --------------------------------------------------------------------------- time-ordered CV
+
+def fold_frame(spark, sf_dir, k: int = 5) -> DataFrame:
+    ranked = memo(spark, sf_dir, "post-drop-rows", lambda: fp.post_drop_position(features(spark, sf_dir)))
+    return cvops.expanding_folds(ranked, k, row_col="row")
+
+
+def q_expanding_folds(spark, sf_dir):
+    f = fold_frame(spark, sf_dir)
+    return f.groupBy("fold", "role").agg(F.count(F.lit(1)).alias("n_rows"), F.min("row").alias("first_row"),
+                                         F.max("row").alias("last_row"),
+                                         F.min("datetime").alias("first_datetime"),
+                                         F.max("datetime").alias("last_datetime"))
+
+
+def cv_naive_frame(spark, sf_dir) -> DataFrame:
+    f = fold_frame(spark, sf_dir).filter(F.col("role") == "test")
+    return f.groupBy("fold").agg(F.count(F.lit(1)).alias("n_test"),
+                                 F.avg(F.abs(F.col(C.TARGET) - F.col("lag_288"))).alias("mae"))
+
+
+def q_cv_naive(spark, sf_dir):
+    return rounded(cv_naive_frame(spark, sf_dir))
+
+
+def q_cv_summary(spark, sf_dir):
+    return rounded(stats.cv_summary(cv_naive_frame(spark, sf_dir), "mae"))
+
+
+def q_running_min(spark, sf_dir):
+    return rounded(stats.running_min(cv_naive_frame(spark, sf_dir), "mae", "fold"))
+
+
+def q_best_of_history(spark, sf_dir):
+    return rounded(stats.best_of_history(cv_naive_frame(spark, sf_dir), "mae", "fold"))
+
+
+ANALYTIC_QUERIES = {
+    "naive_forecast": q_naive_forecast,
+    "linreg_forecast": q_linreg_forecast,
+    "ensemble_forecast": q_ensemble_forecast,
+    "regression_metrics": q_regression_metrics,
+    "metrics_union": q_metrics_union,
+    "leaderboard": q_leaderboard,
+    "residuals": q_residuals,
+    "model_status": q_model_status,
+    "model_codename": q_model_codename,
+    "prediction_fallback": q_prediction_fallback,
+    "relative_score": q_relative_score,
+    "wide_predictions": q_wide_predictions,
+    "long_predictions": q_long_predictions,
+    "metrics_long": q_metrics_long,
+    "compare_models": q_compare_models,
+    "top3_zoom": q_top3_zoom,
+    "model_lookup": q_model_lookup,
+    "r2_ranking": q_r2_ranking,
+    "tail_n": q_tail_n,
+    "residual_summary": q_residual_summary,
+    "residual_histogram": q_residual_histogram,
+    "residual_kde": q_residual_kde,
+    "residual_density_2d": q_residual_density_2d,
+    "group_limits": q_group_limits,
+    "scale_standard": q_scale_standard,
+    "scale_minmax": q_scale_minmax,
+    "knn_forecast": q_knn_forecast,
+    "lookback_sequences": q_lookback_sequences,
+    "expanding_folds": q_expanding_folds,
+    "cv_naive": q_cv_naive,
+    "cv_summary": q_cv_summary,
+    "running_min": q_running_min,
+    "best_of_history": q_best_of_history,
+}
+ALL_QUERIES.update(ANALYTIC_QUERIES)

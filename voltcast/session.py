@@ -9,7 +9,7 @@ from pyspark.sql import DataFrame, SparkSession
 
 
 def build_session(master: str | None = None, app: str = "voltcast",
-                  shuffle_partitions: int | None = None) -> SparkSession:
+                  shuffle_partitions: int | None = None, driver_memory: str = "16g") -> SparkSession:
     """Session with the settings every plan here assumes.
 
     UTC session time zone, ANSI on (divisions use ``try_divide``), AQE with
@@ -22,7 +22,9 @@ def build_session(master: str | None = None, app: str = "voltcast",
          .config("spark.sql.adaptive.coalescePartitions.enabled", "true")
          .config("spark.sql.adaptive.skewJoin.enabled", "true")
          .config("spark.sql.execution.arrow.pyspark.enabled", "true")
-         .config("spark.ui.enabled", "false"))
+         .config("spark.ui.enabled", "false")
+         .config("spark.ui.showConsoleProgress", "false")
+         .config("spark.driver.memory", driver_memory))
     if master:
         b = b.master(master)
     if shuffle_partitions:
