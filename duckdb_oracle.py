@@ -355,8 +355,26 @@ cvn AS (SELECT fold, count(*) AS n_test, avg(abs(load - lag_288)) AS mae FROM fr
     return q
 
 
+def source_sink_queries() -> dict[str, str]:
+    q = {}
+    raw_cols = ["load", "temp", "dwpt", "rhum", "wdir", "wspd", "pres"]
+    q["ingest_csv"] = (f"WITH {raw_cte(5)}\nSELECT datetime, " + ", ".join(f"{r6(c)} AS {c}" for c in raw_cols)
+                       + ", CAST(year AS INTEGER) AS year, CAST(month AS INTEGER) AS month, CAST(day AS INTEGER) AS day,"
+                       " CAST(hour AS INTEGER) AS hour, CAST(minute AS INTEGER) AS minute FROM rawc")
+    q["artefact_metrics"] = wp(f"SELECT model, {r6('MAE')} AS MAE, {r6('RMSE')} AS RMSE, {r6('R2')} AS R2, "
+                               f"{r6('MAPE')} AS MAPE FROM board")
+    cfg = """SELECT max(weight) FILTER (WHERE model = 'Naive Baseline') AS w_naive,
+                    max(weight) FILTER (WHERE model = 'Linear Regression') AS w_lr,
+                    (SELECT arg_min(model, (RMSE, model)) FROM board) AS best_model FROM wts"""
+    q["forecast_config"] = wp(f"SELECT {r6('w_naive')} AS w_naive, {r6('w_lr')} AS w_lr, best_model FROM ({cfg}) c")
+    q["config_defaults"] = wp(f"SELECT {r6('w_naive')} AS w_naive, {r6('w_lr')} AS w_lr, 0.5 AS w_xgb, 0.5 AS w_lgbm, "
+                              f"best_model FROM ({cfg}) c")
+    return q
+
+
 def all_sql() -> dict[str, str]:
     out = {}
     out.update(feature_queries())
     out.update(analytic_queries())
+    out.update(source_sink_queries())
     return out

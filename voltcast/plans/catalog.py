@@ -430,3 +430,245 @@ ANALYTIC_QUERIES = {
     "best_of_history": q_best_of_history,
 }
 ALL_QUERIES.update(ANALYTIC_QUERIES)
+
+
+# --------------------------------------------------------------------------- sources and sinks
+
+from voltcast.plans import sinks  # noqa: E402
+from voltcast.session import scratch_path  # noqa: E402
+from voltcast.sources import readers  # noqa: E402
+
+
+def q_ingest_csv(spark, sf_dir):
+    """Derived raw table -> reference CSV layout (padded headers, index, extra column) -> ingest repairs."""
+    path = scratch_path(spark, "raw-load-csv")
+    readers.write_raw_csv(raw_series(spark, sf_dir, FIVE_MIN), path)
+    return rounded(readers.read_load_csv(spark, ["/nonexistent/raw.csv", path]))
+
+
+def q_artefact_metrics(spark, sf_dir):
+    """Board -> stored metrics CSV (display names) -> declared-schema reader."""
+    path = scratch_path(spark, "model-metrics")
+    sinks.write_metrics(board_set(spark, sf_dir), path)
+    return rounded(readers.read_metrics(spark, path))
+
+
+def forecast_config(spark, sf_dir) -> DataFrame:
+    """Blend weights and best model as one row (the configuration document)."""
+    board = board_set(spark, sf_dir)
+    w = M.inverse_rmse_weights(board, [C.NAIVE, C.LINEAR])
+    pick = {C.NAIVE: "w_naive", C.LINEAR: "w_lr"}
+    cols = [F.first(F.when(F.col("model") == m, F.col("weight")), ignorenulls=True).alias(k) for m, k in pick.items()]
+    return w.agg(*cols).withColumn("best_model", an.best_value(board, "model"))
+
+
+def q_forecast_config(spark, sf_dir):
+    return rounded(forecast_config(spark, sf_dir))
+
+
+def q_config_defaults(spark, sf_dir):
+    """Written config read back; absent fields take the 50/50 defaults."""
+    path = scratch_path(spark, "forecast-config")
+    sinks.write_config(forecast_config(spark, sf_dir), path)
+    cfg = readers.read_config(spark, path, {"w_naive": 0.5, "w_lr": 0.5, "w_xgb": 0.5, "w_lgbm": 0.5})
+    return rounded(cfg.select("w_naive", "w_lr", "w_xgb", "w_lgbm", "best_model"))
+
+
+ALL_QUERIES.update({
+    "ingest_csv": q_ingest_csv,
+    "artefact_metrics": q_artefact_metrics,
+    "forecast_config": q_forecast_config,
+    "config_defaults": q_config_defaults,
+})
+
+
+# --------------------------------------------------------------------------- reference forecasters (rows checks)
+
+import threading  # noqa: E402
+
+from voltcast.plans import tuning  # noqa: E402
+
+_fit_lock = threading.Lock()
+_fits: dict = {}
+FEATS = FIVE_MIN.features
+TRIALS_QUERY = 4  # registered search size; the library default is the reference's 50
+
+
+def _pipelines() -> dict:
+    return {
+        C.TREE: M.decision_tree(FEATS),
+        C.FOREST: M.random_forest(FEATS),
+        C.GBT: M.gradient_boosting(FEATS),
+        C.XGB: M.boosting_regularised(FEATS),
+        C.LGBM: M.boosting_leafwise(FEATS),
+    }
+
+
+def fitted(spark, sf_dir, names) -> dict:
+    """Fit (once per session and input) the named reference forecasters, concurrently."""
+    key = _key(spark, sf_dir)
+    with _fit_lock:
+        have = _fits.setdefault(key, {})
+        todo = {n: p for n, p in _pipelines().items() if n in names and n not in have}
+        if todo:
+            train, test = split_frames(spark, sf_dir)
+            have.update(M.fit_all(todo, train, test, parallelism=len(todo)))
+    return {n: have[n] for n in names}
+
+
+def _preds(spark, sf_dir, name):
+    return rounded(fitted(spark, sf_dir, [name])[name].predictions)
+
+
+def q_tree_forecast(spark, sf_dir):
+    return _preds(spark, sf_dir, C.TREE)
+
+
+def q_forest_forecast(spark, sf_dir):
+    return _preds(spark, sf_dir, C.FOREST)
+
+
+def q_gbt_forecast(spark, sf_dir):
+    return _preds(spark, sf_dir, C.GBT)
+
+
+def q_gbt_reg_forecast(spark, sf_dir):
+    return _preds(spark, sf_dir, C.XGB)
+
+
+def q_gbt_leaf_forecast(spark, sf_dir):
+    return _preds(spark, sf_dir, C.LGBM)
+
+
+def reference_predictions(spark, sf_dir) -> DataFrame:
+    """Naive, scaled OLS and kNN on all 24 features, plus the five tree forecasters."""
+    train, test = split_frames(spark, sf_dir)
+    sc = M.fit_standard(train, FEATS)
+    tr, te = sc.apply(train), sc.apply(test)
+    _, lr = M.fit_predict(M.linear_regression(FEATS), tr, te, C.LINEAR)
+    kp = knn_regress(tr, te, FEATS, C.TARGET, train_order="pos", test_key="datetime", k=10)
+    knn = te.select("datetime", F.col(C.TARGET).alias("actual")).join(kp, "datetime").select(
+        "datetime", F.lit(C.KNN).alias("model"), "actual", "predicted")
+    trees = fitted(spark, sf_dir, list(_pipelines()))
+    parts = [M.naive_forecast(test, "lag_288"), lr, knn, *[r.predictions for r in trees.values()]]
+    return M.union_predictions(parts)
+
+
+def q_model_comparison(spark, sf_dir):
+    return rounded(stats.leaderboard(stats.regression_metrics(reference_predictions(spark, sf_dir))))
+
+
+def importances_long(spark, sf_dir) -> DataFrame:
+    """(model, feature, importance) from the forest and the two boosted forecasters (normalised)."""
+    runs = fitted(spark, sf_dir, [C.FOREST, C.XGB, C.LGBM])
+    rows = []
+    for name, run in runs.items():
+        imp = run.model.stages[-1].featureImportances.toArray()
+        rows += [(name, f, float(v)) for f, v in zip(FEATS, imp)]
+    return spark.createDataFrame(rows, "model string, feature string, importance double")
+
+
+def q_feature_importance(spark, sf_dir):
+    imp = importances_long(spark, sf_dir)
+    return rounded(an.topk_per_group(imp, "model", "importance", len(FEATS), tiebreak="feature"))
+
+
+def importances_wide(spark, sf_dir) -> DataFrame:
+    imp = importances_long(spark, sf_dir)
+    order = spark.createDataFrame([(i, f) for i, f in enumerate(FEATS)], "idx int, Feature string")
+    wide = imp.groupBy(F.col("feature").alias("Feature")).pivot("model", [C.FOREST, C.XGB, C.LGBM]).agg(
+        F.first("importance"))
+    return F.broadcast(order).join(wide, "Feature").orderBy("idx").drop("idx")
+
+
+def q_importances_wide(spark, sf_dir):
+    return rounded(importances_wide(spark, sf_dir))
+
+
+def q_topk_features(spark, sf_dir):
+    return rounded(an.topk_per_group(importances_long(spark, sf_dir), "model", "importance", 15,
+                                     tiebreak="feature"))
+
+
+def q_report_json(spark, sf_dir):
+    return sinks.report_json(board_set(spark, sf_dir), importances_wide(spark, sf_dir))
+
+
+def q_fit_history(spark, sf_dir):
+    """Per-iteration squared loss of the boosted forecaster on train and test rows."""
+    run = fitted(spark, sf_dir, [C.GBT])[C.GBT]
+    train, test = split_frames(spark, sf_dir)
+    gbt = run.model.stages[-1]
+    feats_tr = run.model.stages[0].transform(train)
+    feats_te = run.model.stages[0].transform(test)
+    loss = gbt.evaluateEachIteration(feats_tr, "squared")
+    val = gbt.evaluateEachIteration(feats_te, "squared")
+    rows = [(i + 1, float(a), float(b)) for i, (a, b) in enumerate(zip(loss, val))]
+    return rounded(spark.createDataFrame(rows, "iteration int, loss double, val_loss double"))
+
+
+def tuned(spark, sf_dir):
+    key = _key(spark, sf_dir, "tuned")
+    with _fit_lock:
+        if key not in _fits:
+            train, test = split_frames(spark, sf_dir)
+            rows = fp.post_drop_position(train)
+            h1, b1 = tuning.search(spark, rows, FEATS, "xgb", TRIALS_QUERY, 3, "depthwise")
+            h2, b2 = tuning.search(spark, rows, FEATS, "lgbm", TRIALS_QUERY, 3, "leafwise")
+            m1, m2 = tuning.refit(b1, train, FEATS), tuning.refit(b2, train, FEATS)
+            p1 = M.as_long(m1.transform(test), C.XGB_TUNED)
+            p2 = M.as_long(m2.transform(test), C.LGBM_TUNED)
+            hist = h1.unionByName(h2)
+            _fits[key] = (hist, p1.unionByName(p2))
+    return _fits[key]
+
+
+def q_tune_history(spark, sf_dir):
+    hist, _ = tuned(spark, sf_dir)
+    return rounded(stats.running_min(hist, "mae", "trial", ["study"]).drop("params"))
+
+
+def q_tuned_forecast(spark, sf_dir):
+    """Tuned forecasters and their inverse-RMSE ensemble."""
+    _, preds = tuned(spark, sf_dir)
+    board = stats.leaderboard(stats.regression_metrics(preds))
+    w = M.inverse_rmse_weights(board, [C.XGB_TUNED, C.LGBM_TUNED])
+    return rounded(preds.unionByName(M.blend(preds, w, C.ENSEMBLE)))
+
+
+def q_sequence_forecast(spark, sf_dir):
+    """Re-aimed sequence model: 24 x 25 scaled lookback -> ridge regression -> inverse scaling."""
+    from pyspark.ml.functions import array_to_vector
+    from pyspark.ml.regression import LinearRegression
+    cols = [*FEATS, C.TARGET]
+    train, _ = split_frames(spark, sf_dir)
+    sc = M.fit_minmax(train, cols)
+    scaled = fp.post_drop_position(sc.apply(features(spark, sf_dir).select("pos", "datetime", *cols)))
+    seq = lookback_sequences(scaled, cols, C.TARGET, 24, pos_col="row", block_size=4096)
+    seq = seq.withColumn("features", array_to_vector("seq"))
+    cut = F.to_timestamp_ntz(F.lit(SPLIT))
+    lr = LinearRegression(featuresCol="features", labelCol="label", regParam=1e-3, elasticNetParam=0.0,
+                          solver="normal")
+    model = lr.fit(seq.filter(F.col("datetime") < cut))
+    out = model.transform(seq.filter(F.col("datetime") >= cut))
+    return rounded(out.select("datetime", F.lit(C.LSTM).alias("model"),
+                              sc.inverse("label", C.TARGET).alias("actual"),
+                              sc.inverse("prediction", C.TARGET).alias("predicted")))
+
+
+ALL_QUERIES.update({
+    "tree_forecast": q_tree_forecast,
+    "forest_forecast": q_forest_forecast,
+    "gbt_forecast": q_gbt_forecast,
+    "gbt_reg_forecast": q_gbt_reg_forecast,
+    "gbt_leaf_forecast": q_gbt_leaf_forecast,
+    "model_comparison": q_model_comparison,
+    "feature_importance": q_feature_importance,
+    "importances_wide": q_importances_wide,
+    "topk_features": q_topk_features,
+    "report_json": q_report_json,
+    "fit_history": q_fit_history,
+    "tune_history": q_tune_history,
+    "tuned_forecast": q_tuned_forecast,
+    "sequence_forecast": q_sequence_forecast,
+})
