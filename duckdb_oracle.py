@@ -372,9 +372,26 @@ def source_sink_queries() -> dict[str, str]:
     return q
 
 
+def series_queries() -> dict[str, str]:
+    w = "PARTITION BY l_suppkey ORDER BY pos"
+    roll = ", ".join(
+        f"{r6(f'CASE WHEN count(load) OVER r = 12 THEN {fn}(load) OVER r END')} AS roll_{nm}_12"
+        for nm, fn in (("mean", "avg"), ("std", "stddev_samp"), ("max", "max"), ("min", "min")))
+    return {"series_window_features": f"""
+WITH li AS (SELECT l_suppkey, l_orderkey, l_linenumber, CAST(l_quantity AS DOUBLE) AS load,
+                   row_number() OVER (PARTITION BY l_suppkey ORDER BY l_shipdate, l_orderkey, l_linenumber,
+                                      CAST(l_quantity AS DOUBLE)) - 1 AS pos
+            FROM lineitem)
+SELECT l_suppkey, l_orderkey, l_linenumber, pos, {r6('load')} AS load,
+       {r6(f'lag(load, 1) OVER ({w})')} AS lag_1, {r6(f'lag(load, 7) OVER ({w})')} AS lag_7,
+       {r6(f'lag(load, 30) OVER ({w})')} AS lag_30, {roll}
+FROM li WINDOW r AS ({w} ROWS BETWEEN 12 PRECEDING AND 1 PRECEDING)"""}
+
+
 def all_sql() -> dict[str, str]:
     out = {}
     out.update(feature_queries())
     out.update(analytic_queries())
     out.update(source_sink_queries())
+    out.update(series_queries())
     return out

@@ -672,3 +672,26 @@ ALL_QUERIES.update({
     "tuned_forecast": q_tuned_forecast,
     "sequence_forecast": q_sequence_forecast,
 })
+
+
+# --------------------------------------------------------------------------- multi-series windows
+
+SERIES_ORDER = ["l_shipdate", "l_orderkey", "l_linenumber", "load"]
+SERIES_CADENCE = Cadence(lags=(1, 7, 30), roll=12, seasonal=7, rows_per_day=1)
+
+
+def q_series_window_features(spark, sf_dir):
+    """Per-supplier row lags and trailing statistics of quantity, ordered by ship date.
+
+    The ordered-window operators with ``series_keys``: per-series positions from
+    one global sort, then halo blocks partitioned by (series, block).
+    """
+    li = adapters.table(spark, sf_dir, "lineitem").select(
+        "l_suppkey", "l_shipdate", "l_orderkey", "l_linenumber", F.col("l_quantity").cast("double").alias("load"))
+    d = position_index(li, SERIES_ORDER, ["l_suppkey"])
+    out = fp.add_window_features(d, SERIES_CADENCE, ["l_suppkey"], block_size=256)
+    return rounded(out.select("l_suppkey", "l_orderkey", "l_linenumber", "pos", "load",
+                              *SERIES_CADENCE.lag_names, *SERIES_CADENCE.roll_names))
+
+
+ALL_QUERIES["series_window_features"] = q_series_window_features

@@ -1,0 +1,6 @@
+"""Streaming: none.
+
+The reference reads one batch file once and serves cached tables; it has no
+event-time windows, watermarks, state or late data, so there is no streaming
+operator to rebuild here.
+"""
