@@ -65,12 +65,16 @@ def position_index(df: DataFrame, order_cols: Sequence[str], series_keys: Sequen
 
 def blocked_window(df: DataFrame, build: Callable[[Window], dict[str, Column]], halo: int,
                    pos_col: str = "pos", series_keys: Sequence[str] = (),
-                   block_size: int = DEFAULT_BLOCK) -> DataFrame:
+                   block_size: int = DEFAULT_BLOCK, block_side: DataFrame | None = None) -> DataFrame:
     """Evaluate row-frame window expressions over halo blocks.
 
     ``build(w)`` receives ``Window.partitionBy(series, block).orderBy(pos)`` and
     returns ``{name: expression}``. Exact as long as no frame reaches further back
     than ``halo`` rows and none reaches forward past the block end.
+
+    ``block_side`` (columns: series keys, ``_blk``, extras) is joined on the
+    window's own partition key before the window, so a sort-merge join and the
+    window share one exchange (AQE may broadcast it instead when it is small).
     """
     b = max(int(block_size), int(halo), 1)
     pos = F.col(pos_col)
@@ -78,6 +82,8 @@ def blocked_window(df: DataFrame, build: Callable[[Window], dict[str, Column]],
     copies = F.when(in_halo & F.lit(halo > 0), F.array(F.lit(0), F.lit(1))).otherwise(F.array(F.lit(0)))
     ex = df.select("*", F.explode(copies).alias("_halo"))
     ex = ex.withColumn("_blk", F.floor(pos / F.lit(b)) + F.col("_halo"))
+    if block_side is not None:
+        ex = ex.join(block_side, [*series_keys, "_blk"], "left")
     w = Window.partitionBy(*series_keys, "_blk").orderBy(pos_col)
     exprs = build(w)
     out = ex.select("*", *[e.alias(n) for n, e in exprs.items()])
@@ -104,27 +110,40 @@ def trailing_stats(col: str, n: int, w: Window) -> dict[str, Column]:
     }
 
 
-def forward_fill(df: DataFrame, col: str, pos_col: str = "pos", series_keys: Sequence[str] = (),
-                 block_size: int = DEFAULT_BLOCK, out_col: str | None = None) -> DataFrame:
-    """Carry the last non-null value forward; leading nulls stay null."""
-    out_col = out_col or col
+def block_carry(df: DataFrame, col: str, block_size: int, pos_col: str = "pos",
+                series_keys: Sequence[str] = ()) -> DataFrame:
+    """(series, _blk, _carry): the last non-null ``col`` in all blocks before ``_blk``.
+
+    One row per block: a map-side partially aggregated pass, then a window over
+    the block table (blocks, not rows).
+    """
     b = max(int(block_size), 1)
     blk = F.floor(F.col(pos_col) / F.lit(b))
-    d = df.withColumn("_blk", blk)
-    w_in = (Window.partitionBy(*series_keys, "_blk").orderBy(pos_col)
-            .rowsBetween(Window.unboundedPreceding, 0))
-    d = d.withColumn("_local", F.last(col, ignorenulls=True).over(w_in))
-    # Last non-null value of every block: one row per block.
-    last_in_block = (d.groupBy(*series_keys, "_blk")
+    last_in_block = (df.groupBy(*series_keys, blk.alias("_blk"))
                      .agg(F.max(F.when(F.col(col).isNotNull(), F.struct(F.col(pos_col), F.col(col))))
                           .getField(col).alias("_blast")))
     w_blk = (Window.partitionBy(*series_keys).orderBy("_blk")
              .rowsBetween(Window.unboundedPreceding, -1))
-    carry = last_in_block.select(*series_keys, "_blk",
-                                 F.last("_blast", ignorenulls=True).over(w_blk).alias("_carry"))
-    out = d.join(carry, [*series_keys, "_blk"], "left")
-    out = out.withColumn(out_col, F.coalesce(F.col("_local"), F.col("_carry")))
-    return out.drop("_blk", "_local", "_carry")
+    return last_in_block.select(*series_keys, "_blk", F.last("_blast", ignorenulls=True).over(w_blk).alias("_carry"))
+
+
+def fill_expr(col: str, w: Window) -> Column:
+    """Last non-null value up to the current row inside a (halo) block partition."""
+    return F.last(col, ignorenulls=True).over(w.rowsBetween(Window.unboundedPreceding, 0))
+
+
+def forward_fill(df: DataFrame, col: str, pos_col: str = "pos", series_keys: Sequence[str] = (),
+                 block_size: int = DEFAULT_BLOCK, out_col: str | None = None) -> DataFrame:
+    """Carry the last non-null value forward; leading nulls stay null.
+
+    Inside a block the window fills; earlier blocks contribute through
+    :func:`block_carry`, joined on the window's partition key.
+    """
+    out_col = out_col or col
+    carry = block_carry(df, col, block_size, pos_col, series_keys)
+    out = blocked_window(df, lambda w: {"_local": fill_expr(col, w)}, halo=0, pos_col=pos_col,
+                         series_keys=series_keys, block_size=block_size, block_side=carry)
+    return out.withColumn(out_col, F.coalesce(F.col("_local"), F.col("_carry"))).drop("_local", "_carry")
 
 
 def tail_n(df: DataFrame, n: int, pos_col: str = "pos", series_keys: Sequence[str] = ()) -> DataFrame:

@@ -491,7 +491,7 @@ from voltcast.plans import tuning  # noqa: E402
 _fit_lock = threading.Lock()
 _fits: dict = {}
 FEATS = FIVE_MIN.features
-TRIALS_QUERY = 4  # registered search size; the library default is the reference's 50
+TRIALS_QUERY = 2  # registered search size; the library default is the reference's 50
 
 
 def _pipelines() -> dict:

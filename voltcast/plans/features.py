@@ -22,7 +22,7 @@ from pyspark.sql import functions as F
 from voltcast.constants import DEFAULT_BLOCK, FIVE_MIN, TARGET, Cadence
 from voltcast.functions.features import (add_calendar, add_cyclical, add_interactions, add_wind,
                                          drop_incomplete, nan_to_null)
-from voltcast.operators.ordered import blocked_window, forward_fill, position_index, trailing_stats
+from voltcast.operators.ordered import blocked_window, block_carry, fill_expr, position_index, trailing_stats
 
 RAW_DROPS = ["wdir", "hour", "month", "minute", "day", "year"]
 
@@ -33,13 +33,27 @@ def with_position(raw: DataFrame, series_keys: Sequence[str] = (), tiebreak: Seq
 
 
 def add_window_features(df: DataFrame, cadence: Cadence = FIVE_MIN, series_keys: Sequence[str] = (),
-                        target: str = TARGET, block_size: int = DEFAULT_BLOCK) -> DataFrame:
-    """Lags and trailing rolling statistics of ``target`` (rows, not time)."""
+                        target: str = TARGET, block_size: int = DEFAULT_BLOCK,
+                        fill_col: str | None = None) -> DataFrame:
+    """Lags and trailing rolling statistics of ``target`` (rows, not time).
+
+    With ``fill_col`` the same window pass also forward-fills that column: the
+    per-block carry table is joined on the window's partition key, so filling
+    adds no data-sized shuffle.
+    """
+    b = max(int(block_size), cadence.halo)
+    carry = block_carry(df, fill_col, b, series_keys=series_keys) if fill_col else None
+
     def build(w):
         exprs = {f"lag_{k}": F.lag(target, k).over(w) for k in cadence.lags}
         exprs.update(trailing_stats(target, cadence.roll, w))
+        if fill_col:
+            exprs["_local"] = fill_expr(fill_col, w)
         return exprs
-    return blocked_window(df, build, halo=cadence.halo, series_keys=series_keys, block_size=block_size)
+    out = blocked_window(df, build, halo=cadence.halo, series_keys=series_keys, block_size=b, block_side=carry)
+    if fill_col:
+        out = out.withColumn(fill_col, F.coalesce(F.col("_local"), F.col("_carry"))).drop("_local", "_carry")
+    return out
 
 
 def engineer(raw: DataFrame, cadence: Cadence = FIVE_MIN, series_keys: Sequence[str] = (),
@@ -47,17 +61,19 @@ def engineer(raw: DataFrame, cadence: Cadence = FIVE_MIN, series_keys: Sequence[
              keep_pos: bool = True, keep_filled: bool = True) -> DataFrame:
     """All features, before the null drop (``pos`` = pre-drop position).
 
+    Two data-sized shuffles: the range sort of :func:`position_index` and one
+    halo-window pass that computes the fill, the lags and the rolling statistics
+    together. Row-local features follow in the same stage.
     ``wdir_filled`` (the forward-filled direction) is kept for inspection unless
     ``keep_filled`` is false; the model input never uses it.
     """
     df = with_position(raw, series_keys, tiebreak)
-    df = forward_fill(df, "wdir", series_keys=series_keys, block_size=block_size)
+    df = add_window_features(df, cadence, series_keys, block_size=block_size, fill_col="wdir")
     df = df.withColumn("wdir_filled", F.col("wdir"))
     df = add_wind(df)
     df = add_cyclical(df)
     df = add_calendar(df)
     df = add_interactions(df)
-    df = add_window_features(df, cadence, series_keys, block_size=block_size)
     df = df.drop(*[c for c in RAW_DROPS if c in df.columns])
     if not keep_filled:
         df = df.drop("wdir_filled")

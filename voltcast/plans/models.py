@@ -67,8 +67,7 @@ def gradient_boosting(cols: Sequence[str], label: str = C.TARGET, seed: int = 42
                       max_depth: int = 5, step: float = 0.05) -> Pipeline:
     """Squared-loss boosting: 200 rounds of depth 5, learning rate 0.05, row subsample 0.8."""
     gbt = GBTRegressor(featuresCol="features", labelCol=label, maxIter=max_iter, maxDepth=max_depth,
-                       stepSize=step, subsamplingRate=0.8, seed=seed, cacheNodeIds=True,
-                       checkpointInterval=10)
+                       stepSize=step, subsamplingRate=0.8, seed=seed, checkpointInterval=10)
     return Pipeline(stages=[assembler(cols), gbt])
 
 
@@ -82,7 +81,7 @@ def boosting_regularised(cols: Sequence[str], label: str = C.TARGET, seed: int =
     """
     gbt = GBTRegressor(featuresCol="features", labelCol=label, maxIter=max_iter, maxDepth=max_depth,
                        stepSize=step, subsamplingRate=0.8, featureSubsetStrategy=str(col_sample),
-                       minInfoGain=min_info_gain, seed=seed, cacheNodeIds=True, checkpointInterval=10)
+                       minInfoGain=min_info_gain, seed=seed, checkpointInterval=10)
     return Pipeline(stages=[assembler(cols), gbt])
 
 
@@ -95,8 +94,7 @@ def boosting_leafwise(cols: Sequence[str], label: str = C.TARGET, seed: int = 42
     """
     gbt = GBTRegressor(featuresCol="features", labelCol=label, maxIter=max_iter, maxDepth=max_depth,
                        stepSize=step, subsamplingRate=0.8, featureSubsetStrategy=str(col_sample),
-                       minInstancesPerNode=min_child, maxBins=bins, seed=seed, cacheNodeIds=True,
-                       checkpointInterval=10)
+                       minInstancesPerNode=min_child, maxBins=bins, seed=seed, checkpointInterval=10)
     return Pipeline(stages=[assembler(cols), gbt])
 
 
