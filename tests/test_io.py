@@ -95,3 +95,23 @@ def test_report_json(spark):
     imp = spark.createDataFrame([("temp", 0.3)], "Feature string, imp double")
     r = sinks.report_json(board, imp).first().report
     assert '"metrics"' in r and '"features"' in r and '"temp"' in r
+
+
+def test_predictions_round_trip_with_limit(spark):
+    import datetime as dt
+    rows = [(dt.datetime(2024, 1, 1) + dt.timedelta(minutes=5 * i), float(i), float(i) + 0.5) for i in range(30)]
+    wide = spark.createDataFrame(rows, "datetime timestamp_ntz, Actual double, `Naive Baseline` double")
+    path = scratch_path(spark, "preds")
+    sinks.write_predictions(wide, path)
+    back = readers.read_predictions(spark, path, limit=7).orderBy("datetime").collect()
+    assert [r.Actual for r in back] == [float(i) for i in range(23, 30)]
+    assert readers.read_predictions(spark, path, limit=0).count() == 30
+
+
+def test_feature_profile_json(spark):
+    from voltcast.operators.stats import feature_profile
+    df = spark.createDataFrame([(1.0, 2.0), (3.0, 4.0)], "temp double, pres double")
+    path = scratch_path(spark, "profile")
+    sinks.write_table(feature_profile(df, ["temp", "pres"]), path, "json", small=True)
+    r = spark.read.json(path).first()
+    assert r.temp == 2.0 and r.pres == 3.0

@@ -115,3 +115,26 @@ def test_model_save_load_round_trip(spark):
     sinks.save_model(model, path)
     again = sinks.score(sinks.load_model(path), df, "lr")
     assert sorted(r.predicted for r in again.collect()) == pytest.approx(sorted(r.predicted for r in p.collect()))
+
+
+def test_early_stopping_stops_on_noise(spark):
+    from pyspark.ml import Pipeline
+    from voltcast.plans import tuning
+    rng = np.random.default_rng(2)
+    rows = [(float(a), float(b), bool(i % 4 == 0)) for i, (a, b) in enumerate(rng.normal(size=(400, 2)))]
+    df = spark.createDataFrame(rows, "x double, load double, is_val boolean")
+    est = tuning.estimator({"n_estimators": 60, "max_depth": 3, "learning_rate": 0.3}, early_stop=True)
+    model = Pipeline(stages=[M.assembler(["x"]), est]).fit(df)
+    assert model.stages[-1].getNumTrees < 60
+
+
+def test_search_history_and_running_min(spark):
+    from voltcast.operators.stats import running_min
+    from voltcast.plans import tuning
+    base = dt.datetime(2024, 1, 1)
+    rows = [(i, base + dt.timedelta(hours=i), float(np.sin(i / 4.0)), float(i % 24)) for i in range(240)]
+    df = spark.createDataFrame(rows, "row long, datetime timestamp_ntz, load double, h double")
+    hist, best = tuning.search(spark, df, ["h"], "t", n_trials=2, k=2, space="leafwise", parallelism=2)
+    h = running_min(hist, "mae", "trial").orderBy("trial").toPandas()
+    assert len(h) == 2 and (h["running_min"] <= h["mae"]).all()
+    assert best.number in (1, 2)

@@ -30,6 +30,23 @@ from voltcast.constants import DEFAULT_BLOCK
 from voltcast.session import materialize
 
 _LOCAL_BITS = 33  # monotonically_increasing_id = partition << 33 | row-in-partition
+TARGET_PARTITION_BYTES = 128 * 1024 * 1024
+MAX_SORT_PARTITIONS = 100_000  # also the size bound of the broadcast offset table
+
+
+def sort_partitions(df: DataFrame, target_bytes: int = TARGET_PARTITION_BYTES) -> int:
+    """Range partitions for a global sort: Catalyst's size estimate / target size.
+
+    AQE can coalesce range partitions afterwards but cannot split them, so the
+    count must follow the data, not the session's default.
+    """
+    spark = df.sparkSession
+    base = int(spark.conf.get("spark.sql.shuffle.partitions", "200"))
+    try:
+        size = int(str(df._jdf.queryExecution().optimizedPlan().stats().sizeInBytes()))
+    except Exception:  # noqa: BLE001 - estimate unavailable: fall back to the session default
+        return base
+    return int(min(MAX_SORT_PARTITIONS, max(base, -(-size // target_bytes))))
 
 
 def position_index(df: DataFrame, order_cols: Sequence[str], series_keys: Sequence[str] = (),
@@ -41,12 +58,14 @@ def position_index(df: DataFrame, order_cols: Sequence[str], series_keys: Sequen
     The result is checkpointed (reliable) because it is read more than once.
     """
     keys = [*series_keys, *order_cols]
-    ordered = df.orderBy(*keys).withColumn("_mid", F.monotonically_increasing_id())
+    n_parts = sort_partitions(df)
+    ordered = (df.repartitionByRange(n_parts, *keys).sortWithinPartitions(*keys)
+               .withColumn("_mid", F.monotonically_increasing_id()))
     ordered = materialize(ordered)
     pid = F.shiftright(F.col("_mid"), _LOCAL_BITS)
     local = F.col("_mid").bitwiseAND(F.lit((1 << _LOCAL_BITS) - 1))
     counts = ordered.groupBy(pid.alias("_pid")).agg(F.count(F.lit(1)).alias("_n"))
-    # One row per partition of the sort: bounded by spark.sql.shuffle.partitions.
+    # One row per partition of the sort: at most MAX_SORT_PARTITIONS rows.
     offsets = counts.select(
         "_pid",
         F.coalesce(F.sum("_n").over(Window.orderBy("_pid").rowsBetween(Window.unboundedPreceding, -1)),
