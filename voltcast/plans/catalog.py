@@ -485,6 +485,7 @@ ALL_QUERIES.update({
 # --------------------------------------------------------------------------- reference forecasters (rows checks)
 
 import threading  # noqa: E402
+from concurrent.futures import ThreadPoolExecutor  # noqa: E402
 
 from voltcast.plans import tuning  # noqa: E402
 
@@ -607,24 +608,35 @@ def q_fit_history(spark, sf_dir):
     return rounded(spark.createDataFrame(rows, "iteration int, loss double, val_loss double"))
 
 
-def tuned(spark, sf_dir):
-    key = _key(spark, sf_dir, "tuned")
+def searched(spark, sf_dir):
+    """Both searches (history and best trial of each), once per session and input."""
+    key = _key(spark, sf_dir, "searched")
     with _fit_lock:
         if key not in _fits:
-            train, test = split_frames(spark, sf_dir)
+            train, _ = split_frames(spark, sf_dir)
             rows = fp.post_drop_position(train)
             h1, b1 = tuning.search(spark, rows, FEATS, "xgb", TRIALS_QUERY, 3, "depthwise")
             h2, b2 = tuning.search(spark, rows, FEATS, "lgbm", TRIALS_QUERY, 3, "leafwise")
-            m1, m2 = tuning.refit(b1, train, FEATS), tuning.refit(b2, train, FEATS)
-            p1 = M.as_long(m1.transform(test), C.XGB_TUNED)
-            p2 = M.as_long(m2.transform(test), C.LGBM_TUNED)
-            hist = h1.unionByName(h2)
-            _fits[key] = (hist, p1.unionByName(p2))
+            _fits[key] = (h1.unionByName(h2), {C.XGB_TUNED: b1, C.LGBM_TUNED: b2})
     return _fits[key]
 
 
+def tuned(spark, sf_dir):
+    """Best trials refitted on all training rows (full tree count), scored on the test rows."""
+    hist, best = searched(spark, sf_dir)
+    key = _key(spark, sf_dir, "tuned")
+    with _fit_lock:
+        if key not in _fits:
+            train, test = split_frames(spark, sf_dir)
+            with ThreadPoolExecutor(max_workers=2) as ex:
+                models = dict(zip(best, ex.map(lambda t: tuning.refit(t, train, FEATS), best.values())))
+            preds = [M.as_long(m.transform(test), name) for name, m in models.items()]
+            _fits[key] = preds[0].unionByName(preds[1])
+    return hist, _fits[key]
+
+
 def q_tune_history(spark, sf_dir):
-    hist, _ = tuned(spark, sf_dir)
+    hist, _ = searched(spark, sf_dir)
     return rounded(stats.running_min(hist, "mae", "trial", ["study"]).drop("params"))
 
 
