@@ -49,6 +49,20 @@ def sort_partitions(df: DataFrame, target_bytes: int = TARGET_PARTITION_BYTES) -
     return int(min(MAX_SORT_PARTITIONS, max(base, -(-size // target_bytes))))
 
 
+def sized_for_fit(df: DataFrame, target_bytes: int = TARGET_PARTITION_BYTES) -> DataFrame:
+    """Coalesce a model-fitting input to about ``target_bytes`` per partition.
+
+    Iterative fitters run several jobs per iteration; their task count follows
+    the input's partitions, so tiny partitions only add scheduling overhead.
+    ``coalesce`` never increases the count and never shuffles.
+    """
+    try:
+        size = int(str(df._jdf.queryExecution().optimizedPlan().stats().sizeInBytes()))
+    except Exception:  # noqa: BLE001
+        return df
+    return df.coalesce(int(min(MAX_SORT_PARTITIONS, max(1, -(-size // target_bytes)))))
+
+
 def position_index(df: DataFrame, order_cols: Sequence[str], series_keys: Sequence[str] = (),
                    pos_col: str = "pos") -> DataFrame:
     """Add a gapless 0-based row position per series in (order_cols) order.

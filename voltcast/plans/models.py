@@ -22,6 +22,7 @@ from pyspark.sql import functions as F
 
 from voltcast import constants as C
 from voltcast.operators import stats
+from voltcast.operators.ordered import sized_for_fit
 
 
 def assembler(cols: Sequence[str], out: str = "features") -> VectorAssembler:
@@ -115,7 +116,7 @@ def naive_forecast(test: DataFrame, seasonal_col: str = "lag_288", name: str = C
 
 def fit_predict(pipeline: Pipeline, train: DataFrame, test: DataFrame, name: str,
                 label: str = C.TARGET) -> tuple[PipelineModel, DataFrame]:
-    model = pipeline.fit(train)
+    model = pipeline.fit(sized_for_fit(train))
     return model, as_long(model.transform(test), name, label)
 
 

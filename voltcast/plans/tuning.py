@@ -21,6 +21,7 @@ from pyspark.sql import functions as F
 
 from voltcast import constants as C
 from voltcast.operators.cv import expanding_folds
+from voltcast.operators.ordered import sized_for_fit
 from voltcast.plans.models import assembler
 
 
@@ -73,7 +74,7 @@ def estimator(params: dict, label: str = C.TARGET, seed: int = 42, early_stop: b
 def fold_frames(train_rows: DataFrame, k: int, row_col: str = "row") -> list[DataFrame]:
     """One frame per fold with ``is_val`` marking its validation block."""
     tagged = expanding_folds(train_rows, k, row_col=row_col).persist()
-    return [tagged.filter(F.col("fold") == f).withColumn("is_val", F.col("role") == "test")
+    return [sized_for_fit(tagged.filter(F.col("fold") == f).withColumn("is_val", F.col("role") == "test"))
             for f in range(1, k + 1)]
 
 
@@ -105,4 +106,4 @@ def search(spark: SparkSession, train_rows: DataFrame, cols: Sequence[str], stud
 
 def refit(best: Trial, train: DataFrame, cols: Sequence[str], label: str = C.TARGET):
     """Refit the best parameters on all training rows with the full tree count (no early stop)."""
-    return Pipeline(stages=[assembler(cols), estimator(best.params, label)]).fit(train)
+    return Pipeline(stages=[assembler(cols), estimator(best.params, label)]).fit(sized_for_fit(train))
