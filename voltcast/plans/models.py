@@ -60,7 +60,7 @@ def random_forest(cols: Sequence[str], label: str = C.TARGET, seed: int = 42, nu
     """150 trees of depth 15, min leaf 4; every split considers all features."""
     rf = RandomForestRegressor(featuresCol="features", labelCol=label, numTrees=num_trees, maxDepth=15,
                                minInstancesPerNode=4, featureSubsetStrategy="all", seed=seed,
-                               cacheNodeIds=True, checkpointInterval=10, maxMemoryInMB=512)
+                               cacheNodeIds=True, checkpointInterval=10, maxMemoryInMB=128)
     return Pipeline(stages=[assembler(cols), rf])
 
 

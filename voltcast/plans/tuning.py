@@ -8,7 +8,9 @@ executes several fits at once; every fit is a distributed MLlib job.
 
 from __future__ import annotations
 
+import logging
 import math
+import time
 from collections.abc import Sequence
 from concurrent.futures import ThreadPoolExecutor
 from dataclasses import dataclass
@@ -25,6 +27,9 @@ from voltcast.operators.ordered import sized_for_fit
 from voltcast.plans.models import assembler
 
 
+log = logging.getLogger(__name__)
+
+
 @dataclass(frozen=True)
 class Trial:
     number: int
@@ -80,11 +85,15 @@ def fold_frames(train_rows: DataFrame, k: int, row_col: str = "row") -> list[Dat
 
 def evaluate_trial(trial: Trial, folds: Sequence[DataFrame], cols: Sequence[str], label: str = C.TARGET) -> float:
     maes = []
+    t0 = time.perf_counter()
     for fold in folds:
         pipe = Pipeline(stages=[assembler(cols), estimator(trial.params, label, early_stop=True)])
         model = pipe.fit(fold)
         val = model.transform(fold.filter(F.col("is_val")))
         maes.append(val.agg(F.avg(F.abs(F.col(label) - F.col("prediction")))).first()[0])
+        log.info("trial %d fold done: trees=%d", trial.number, model.stages[-1].getNumTrees)
+    log.info("trial %d %s: mae=%.4f in %.1fs", trial.number, trial.params, float(np.mean(maes)),
+             time.perf_counter() - t0)
     return float(np.mean(maes))
 
 
