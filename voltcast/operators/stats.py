@@ -52,25 +52,23 @@ def feature_profile(df: DataFrame, cols: Sequence[str]) -> DataFrame:
 def correlation_long(df: DataFrame, cols: Sequence[str], lower: bool = True) -> DataFrame:
     """Pearson correlation of every pair as long rows (feature_a, feature_b, corr).
 
-    Two passes: the column means (one small aggregate, kept as literals), then
-    one aggregation of centred cross products -- plain sums that stay inside
-    generated code even for hundreds of pairs. Rows with a null in any of the
-    columns are skipped (complete-case, like ``corr`` on a dropna'd frame).
-    ``lower`` keeps the lower triangle including the diagonal.
+    One tree-aggregated pass of MLlib's ``Correlation`` over assembled vectors
+    (complete rows only, as ``corr`` on a dropna'd frame); the k x k result is a
+    model-sized matrix turned into rows. ``lower`` keeps the lower triangle
+    including the diagonal. A constant column gives null correlations.
     """
-    d = df.select(*cols).dropna()
-    means = d.agg(*[F.avg(c).alias(f"m{i}") for i, c in enumerate(cols)]).first()
-    if means is None or means[0] is None:
-        raise ValueError("no complete rows")
-    cen = {c: F.col(c) - F.lit(float(means[f"m{i}"])) for i, c in enumerate(cols)}
-    pairs = [(a, b) for i, a in enumerate(cols) for j, b in enumerate(cols) if (j <= i or not lower)]
-    sq = d.agg(*[F.sum(cen[c] * cen[c]).alias(f"s{i}") for i, c in enumerate(cols)],
-               *[F.sum(cen[a] * cen[b]).alias(f"p{k}") for k, (a, b) in enumerate(pairs)])
-    idx = {c: i for i, c in enumerate(cols)}
-    rows = F.array(*[F.struct(F.lit(a).alias("feature_a"), F.lit(b).alias("feature_b"),
-                              F.try_divide(F.col(f"p{k}"), F.sqrt(F.col(f"s{idx[a]}") * F.col(f"s{idx[b]}")))
-                              .alias("corr")) for k, (a, b) in enumerate(pairs)])
-    return sq.select(F.inline(rows))
+    from pyspark.ml.feature import VectorAssembler
+    from pyspark.ml.stat import Correlation
+
+    vec = VectorAssembler(inputCols=list(cols), outputCol="_v").transform(df.select(*cols).dropna())
+    m = Correlation.corr(vec, "_v", "pearson").first()[0].toArray()
+    rows = []
+    for i, a in enumerate(cols):
+        for j, b in enumerate(cols):
+            if j <= i or not lower:
+                v = float(m[i, j])
+                rows.append((a, b, None if math.isnan(v) else v))
+    return df.sparkSession.createDataFrame(rows, "feature_a string, feature_b string, corr double")
 
 
 def cv_summary(folds: DataFrame, value_col: str = "mae") -> DataFrame:
