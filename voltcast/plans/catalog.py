@@ -707,3 +707,12 @@ def q_series_window_features(spark, sf_dir):
 
 
 ALL_QUERIES["series_window_features"] = q_series_window_features
+
+
+# Registry order: SQL-checked queries first, then the model queries from the
+# cheapest to the most expensive (later ones reuse earlier fits).
+_ROWS_ONLY = ["tree_forecast", "sequence_forecast", "tune_history", "forest_forecast", "gbt_forecast",
+              "fit_history", "gbt_reg_forecast", "gbt_leaf_forecast", "feature_importance", "importances_wide",
+              "topk_features", "report_json", "model_comparison", "tuned_forecast"]
+ALL_QUERIES = {**{k: v for k, v in ALL_QUERIES.items() if k not in _ROWS_ONLY},
+               **{k: ALL_QUERIES[k] for k in _ROWS_ONLY}}
