@@ -73,3 +73,13 @@ def test_residual_summary(spark):
     assert r.mean_residual == pytest.approx(res.mean()) and r.var_residual == pytest.approx(res.var())
     want = np.mean(np.abs(res - res.mean()) > 2.5 * res.std()) * 100
     assert r.outlier_pct == pytest.approx(want)
+
+
+def test_flat_residuals_do_not_fail(spark):
+    from voltcast.plans import analytics as an
+    rows = [(str(i), "m", 5.0, 3.0) for i in range(6)]
+    p = _preds(spark, rows)
+    h = an.residual_histogram(p, 15).orderBy("bin").toPandas()
+    assert h["count"].tolist()[0] == 6 and h["count"].sum() == 6
+    k = an.residual_kde(p, 10).toPandas()
+    assert len(k) == 10 and k["density"].isna().all()

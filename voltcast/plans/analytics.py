@@ -154,10 +154,10 @@ def residual_kde(preds: DataFrame, grid: int = 200) -> DataFrame:
     step = (F.col("hi") - F.col("lo")) / F.lit(float(grid - 1))
     d = r.join(F.broadcast(lim), "model").withColumn("g", F.explode(F.sequence(F.lit(0), F.lit(grid - 1))))
     gx = F.col("lo") + step * F.col("g")
-    z = (gx - F.col("x")) / F.col("h")
+    z = F.try_divide(gx - F.col("x"), F.col("h"))  # zero bandwidth (all residuals equal): null density
     contrib = F.exp(F.lit(-0.5) * z * z)
     agg = d.groupBy("model", "g", "lo", "hi", "n", "h").agg(F.sum(contrib).alias("_s"))
-    norm = F.lit(1.0) / (F.col("n") * F.col("h") * F.lit(math.sqrt(2 * math.pi)))
+    norm = F.try_divide(F.lit(1.0), F.col("n") * F.col("h") * F.lit(math.sqrt(2 * math.pi)))
     return agg.select("model", F.col("g").alias("grid_index"),
                       (F.col("lo") + (F.col("hi") - F.col("lo")) / F.lit(float(grid - 1)) * F.col("g")).alias("x"),
                       (F.col("_s") * norm).alias("density"))

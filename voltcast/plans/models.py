@@ -151,7 +151,7 @@ def union_predictions(frames: Sequence[DataFrame]) -> DataFrame:
 def inverse_rmse_weights(board: DataFrame, components: Sequence[str], model_col: str = "model") -> DataFrame:
     """w_i = (1/RMSE_i) / sum_j (1/RMSE_j) over the named components (from the rounded board)."""
     comp = board.filter(F.col(model_col).isin(list(components))).select(
-        F.col(model_col).alias("model"), (F.lit(1.0) / F.col("RMSE")).alias("_inv"))
+        F.col(model_col).alias("model"), F.try_divide(F.lit(1.0), F.col("RMSE")).alias("_inv"))
     total = comp.agg(F.sum("_inv")).scalar()
     return comp.select("model", (F.col("_inv") / total).alias("weight"))
 
