@@ -642,10 +642,7 @@ def q_tune_history(spark, sf_dir):
 
 def q_tuned_forecast(spark, sf_dir):
     """Tuned forecasters and their inverse-RMSE ensemble."""
-    _, preds = tuned(spark, sf_dir)
-    board = stats.leaderboard(stats.regression_metrics(preds))
-    w = M.inverse_rmse_weights(board, [C.XGB_TUNED, C.LGBM_TUNED])
-    return rounded(preds.unionByName(M.blend(preds, w, C.ENSEMBLE)))
+    return rounded(tuned_with_blend(spark, sf_dir))
 
 
 def q_sequence_forecast(spark, sf_dir):
@@ -709,10 +706,44 @@ def q_series_window_features(spark, sf_dir):
 ALL_QUERIES["series_window_features"] = q_series_window_features
 
 
+def tuned_with_blend(spark, sf_dir) -> DataFrame:
+    _, preds = tuned(spark, sf_dir)
+    board = stats.leaderboard(stats.regression_metrics(preds))
+    w = M.inverse_rmse_weights(board, [C.XGB_TUNED, C.LGBM_TUNED])
+    return preds.unionByName(M.blend(preds, w, C.ENSEMBLE))
+
+
+def sequence_predictions(spark, sf_dir) -> DataFrame:
+    return memo(spark, sf_dir, "sequence-preds", lambda: q_sequence_forecast(spark, sf_dir))
+
+
+def all_model_predictions(spark, sf_dir) -> DataFrame:
+    """Every forecaster of the reference run: 8 base models, 2 tuned, their blend, the sequence model."""
+    return M.union_predictions([reference_predictions(spark, sf_dir), tuned_with_blend(spark, sf_dir),
+                                sequence_predictions(spark, sf_dir)])
+
+
+def q_compare_tuned(spark, sf_dir):
+    """Default vs tuned boosters and the blend, per metric, with the best of them by RMSE."""
+    board = stats.leaderboard(stats.regression_metrics(all_model_predictions(spark, sf_dir)))
+    return rounded(an.compare_models(board, [C.XGB, C.XGB_TUNED, C.LGBM, C.LGBM_TUNED, C.ENSEMBLE]))
+
+
+def q_final_metrics(spark, sf_dir):
+    """The final metrics table of the run (rounded, sorted by RMSE, display names)."""
+    board = stats.leaderboard(stats.regression_metrics(all_model_predictions(spark, sf_dir)))
+    return sinks.metrics_for_export(board)
+
+
+ALL_QUERIES["compare_tuned"] = q_compare_tuned
+ALL_QUERIES["final_metrics"] = q_final_metrics
+
+
 # Registry order: SQL-checked queries first, then the model queries from the
 # cheapest to the most expensive (later ones reuse earlier fits).
 _ROWS_ONLY = ["tree_forecast", "sequence_forecast", "tune_history", "forest_forecast", "gbt_forecast",
               "fit_history", "gbt_reg_forecast", "gbt_leaf_forecast", "feature_importance", "importances_wide",
-              "topk_features", "report_json", "model_comparison", "tuned_forecast"]
+              "topk_features", "report_json", "model_comparison", "tuned_forecast", "compare_tuned",
+              "final_metrics"]
 ALL_QUERIES = {**{k: v for k, v in ALL_QUERIES.items() if k not in _ROWS_ONLY},
                **{k: ALL_QUERIES[k] for k in _ROWS_ONLY}}
