@@ -11,16 +11,26 @@ reference does with its in-memory frame.
 
 from __future__ import annotations
 
+import threading
+from concurrent.futures import ThreadPoolExecutor
+
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 from pyspark.sql.types import DoubleType, FloatType
 
+from voltcast import constants as C
 from voltcast.constants import FIVE_MIN, HEATMAP_FEATURES, HOURLY, Cadence
 from voltcast.functions.features import drop_incomplete
+from voltcast.operators import cv as cvops
 from voltcast.operators import stats
-from voltcast.operators.ordered import position_index
+from voltcast.operators.knn import knn_regress
+from voltcast.operators.ordered import lookback_sequences, position_index
+from voltcast.plans import analytics as an
 from voltcast.plans import features as fp
-from voltcast.sources import adapters
+from voltcast.plans import models as M
+from voltcast.plans import sinks, tuning
+from voltcast.session import scratch_path
+from voltcast.sources import adapters, readers
 
 SPLIT = "2024-01-24"  # test data span January 2024; the last week is the test set
 
@@ -164,12 +174,6 @@ ALL_QUERIES.update(FEATURE_QUERIES)
 
 # --------------------------------------------------------------------------- forecasts (SQL-checkable set)
 
-from voltcast import constants as C  # noqa: E402
-from voltcast.operators import cv as cvops  # noqa: E402
-from voltcast.operators.knn import knn_regress  # noqa: E402
-from voltcast.operators.ordered import lookback_sequences  # noqa: E402
-from voltcast.plans import analytics as an  # noqa: E402
-from voltcast.plans import models as M  # noqa: E402
 
 ENSEMBLE_SQL = "Ensemble (Naive+LR)"
 LR_COLS = ["lag_12", "roll_mean_12"]
@@ -434,10 +438,6 @@ ALL_QUERIES.update(ANALYTIC_QUERIES)
 
 # --------------------------------------------------------------------------- sources and sinks
 
-from voltcast.plans import sinks  # noqa: E402
-from voltcast.session import scratch_path  # noqa: E402
-from voltcast.sources import readers  # noqa: E402
-
 
 def q_ingest_csv(spark, sf_dir):
     """Derived raw table -> reference CSV layout (padded headers, index, extra column) -> ingest repairs."""
@@ -484,10 +484,6 @@ ALL_QUERIES.update({
 
 # --------------------------------------------------------------------------- reference forecasters (rows checks)
 
-import threading  # noqa: E402
-from concurrent.futures import ThreadPoolExecutor  # noqa: E402
-
-from voltcast.plans import tuning  # noqa: E402
 
 _fit_lock = threading.Lock()
 _fits: dict = {}
