@@ -80,3 +80,13 @@ def test_density_2d_and_limits(spark):
     absr = np.abs(np.array([1.0] * 19 + [13.0]))
     assert lim.x_min == 0.0 and lim.x_max == 20.0
     assert lim.y_lim == pytest.approx(np.percentile(absr, 98) * 1.15)
+
+
+def test_resolve_tuned_column(spark):
+    cols = ["datetime", "Actual", C.XGB, C.LGBM_TUNED, C.ENSEMBLE]
+    assert an.resolve_model_column(cols, C.XGB_TUNED) == C.XGB
+    assert an.resolve_model_column(cols, C.LGBM_TUNED) == C.LGBM_TUNED
+    assert an.resolve_model_column(cols, C.KNN) is None
+    wide = an.wide_predictions(_preds(spark), ["a", "b"]).withColumnRenamed("a", C.XGB)
+    got = an.shown_prediction(wide, C.XGB_TUNED, "b").orderBy("datetime").first()
+    assert got.shown == 11.0

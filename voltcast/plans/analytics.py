@@ -52,6 +52,28 @@ def column_fallback(primary: str, fallback: str):
     return F.coalesce(F.nullif(F.col(f"`{primary}`"), F.lit(0.0)), F.col(f"`{fallback}`"))
 
 
+TUNED_SUFFIX = " (Tuned)"  # fixed value: label suffix of a tuned model
+
+
+def resolve_model_column(columns: Sequence[str], name: str) -> str | None:
+    """The model's own column if present, else its default (untuned) model's column, else None."""
+    if name in columns:
+        return name
+    if name.endswith(TUNED_SUFFIX) and name[: -len(TUNED_SUFFIX)] in columns:
+        return name[: -len(TUNED_SUFFIX)]
+    return None
+
+
+def shown_prediction(wide: DataFrame, selected: str, fallback: str) -> DataFrame:
+    """Per timestamp: the selected model's prediction (resolving tuned -> default columns),
+    falling back to ``fallback`` when the value is null or 0."""
+    sel = resolve_model_column(wide.columns, selected)
+    fb = resolve_model_column(wide.columns, fallback)
+    if sel is None:
+        return wide.select("datetime", F.col(f"`{fb}`").alias("shown"))
+    return wide.select("datetime", column_fallback(sel, fb).alias("shown"))
+
+
 def relative_score(metrics: DataFrame) -> DataFrame:
     """Bar height: (max - rmse) / (max - min) x 85, at least 15."""
     hi = metrics.agg(F.max("RMSE")).scalar()

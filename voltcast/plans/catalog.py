@@ -260,7 +260,7 @@ def q_model_codename(spark, sf_dir):
 
 def q_prediction_fallback(spark, sf_dir):
     wide = an.wide_predictions(prediction_set(spark, sf_dir), SQL_MODELS)
-    return rounded(wide.select("datetime", an.column_fallback(C.LINEAR, ENSEMBLE_SQL).alias("shown")))
+    return rounded(an.shown_prediction(wide, C.LINEAR, ENSEMBLE_SQL))
 
 
 def q_relative_score(spark, sf_dir):
