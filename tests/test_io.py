@@ -115,3 +115,17 @@ def test_feature_profile_json(spark):
     sinks.write_table(feature_profile(df, ["temp", "pres"]), path, "json", small=True)
     r = spark.read.json(path).first()
     assert r.temp == 2.0 and r.pres == 3.0
+
+
+def test_profile_document_computed_once(spark):
+    from voltcast.operators.stats import feature_profile
+    df = spark.createDataFrame([(1.0, 2.0), (3.0, 4.0)], "temp double, pres double")
+    path = scratch_path(spark, "means")
+    calls = []
+
+    def compute():
+        calls.append(1)
+        return feature_profile(df, ["temp", "pres"])
+    first = readers.profile_document(spark, path, compute).first()
+    again = readers.profile_document(spark, path, compute).first()
+    assert first.temp == again.temp == 2.0 and len(calls) == 1

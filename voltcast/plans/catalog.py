@@ -702,6 +702,25 @@ def q_series_window_features(spark, sf_dir):
 ALL_QUERIES["series_window_features"] = q_series_window_features
 
 
+def q_cv_boosting(spark, sf_dir):
+    """Expanding 5-fold CV of the 200-round boosted forecaster on all complete rows (fold MAE + summary)."""
+    ranked = memo(spark, sf_dir, "post-drop-rows", lambda: fp.post_drop_position(features(spark, sf_dir)))
+    folds = cvops.expanding_folds(ranked, 5, row_col="row").persist()
+    pipe = M.boosting_regularised(FEATS, max_iter=200)
+    rows = []
+    for f in range(1, 6):
+        part = folds.filter(F.col("fold") == f)
+        model = pipe.fit(M.sized_for_fit(part.filter(F.col("role") == "train")))
+        scored = model.transform(part.filter(F.col("role") == "test"))
+        mae = scored.agg(F.avg(F.abs(F.col(C.TARGET) - F.col("prediction")))).first()[0]
+        rows.append((f, float(mae)))
+    folds.unpersist()
+    per_fold = spark.createDataFrame(rows, "fold int, mae double")
+    summary = stats.cv_summary(per_fold, "mae")
+    return rounded(per_fold.withColumn("cv_mean_mae", summary.select("cv_mean_mae").scalar())
+                   .withColumn("cv_std_mae", summary.select("cv_std_mae").scalar()))
+
+
 def tuned_with_blend(spark, sf_dir) -> DataFrame:
     _, preds = tuned(spark, sf_dir)
     board = stats.leaderboard(stats.regression_metrics(preds))
@@ -732,6 +751,7 @@ def q_final_metrics(spark, sf_dir):
 
 
 ALL_QUERIES["compare_tuned"] = q_compare_tuned
+ALL_QUERIES["cv_boosting"] = q_cv_boosting
 ALL_QUERIES["final_metrics"] = q_final_metrics
 
 
@@ -740,6 +760,6 @@ ALL_QUERIES["final_metrics"] = q_final_metrics
 _ROWS_ONLY = ["tree_forecast", "sequence_forecast", "tune_history", "forest_forecast", "gbt_forecast",
               "fit_history", "gbt_reg_forecast", "gbt_leaf_forecast", "feature_importance", "importances_wide",
               "topk_features", "report_json", "model_comparison", "tuned_forecast", "compare_tuned",
-              "final_metrics"]
+              "final_metrics", "cv_boosting"]
 ALL_QUERIES = {**{k: v for k, v in ALL_QUERIES.items() if k not in _ROWS_ONLY},
                **{k: ALL_QUERIES[k] for k in _ROWS_ONLY}}

@@ -156,3 +156,16 @@ def read_config(spark: SparkSession, path: str, defaults: dict | None = None) ->
     fields = [StructField(k, DoubleType() if isinstance(v, float) else
                           (LongType() if isinstance(v, int) else StringType())) for k, v in defaults.items()]
     return spark.createDataFrame([tuple(defaults.values())], StructType(fields))
+
+
+def profile_document(spark: SparkSession, path: str, compute) -> DataFrame:
+    """Feature-means document: read it when present, else compute, write and return it.
+
+    ``compute()`` returns the one-row profile DataFrame (e.g. the feature means of
+    the complete rows); it is only evaluated when the document is absent.
+    """
+    if path_exists(spark, path):
+        return spark.read.option("multiLine", True).json(path)
+    prof = compute()
+    prof.coalesce(1).write.mode("overwrite").json(path)
+    return spark.read.json(path)
