@@ -12,28 +12,27 @@ from pyspark.sql import functions as F
 
 def regression_metrics(preds: DataFrame, group_cols: Sequence[str] = ("model",), actual: str = "actual",
                        predicted: str = "predicted") -> DataFrame:
-    """MAE, RMSE, R², MAPE (%) per group.
+    """MAE, RMSE, R², MAPE (%) per group in one aggregation pass.
 
-    R² = 1 - SSE/SST; SST is taken exactly in a second aggregate after joining the
-    per-group mean back (one row per group, so the join side is small).
-    MAPE skips zero actuals (the count of them is reported as ``n_zero_actual``);
-    sklearn's R² for constant y is 1.0 when perfect, else 0.0.
+    R² = 1 - SSE/SST with SST = n * var_pop(actual): Spark merges the partial
+    central moments of ``var_pop`` stably, so no second pass over the rows is
+    needed for the mean. MAPE skips zero actuals (their count is reported as
+    ``n_zero_actual``); sklearn's R² for constant y is 1.0 when perfect, else 0.0.
     """
     y, p = F.col(actual), F.col(predicted)
     err = y - p
-    means = preds.groupBy(*group_cols).agg(F.avg(y).alias("_ybar"))
-    d = preds.join(means, list(group_cols))  # one row per group on the right: AQE broadcasts it
-    agg = d.groupBy(*group_cols).agg(
+    agg = preds.groupBy(*group_cols).agg(
         F.count(F.lit(1)).alias("n"),
         F.avg(F.abs(err)).alias("MAE"),
         F.sqrt(F.avg(err * err)).alias("RMSE"),
         F.sum(err * err).alias("_sse"),
-        F.sum((y - F.col("_ybar")) * (y - F.col("_ybar"))).alias("_sst"),
+        F.var_pop(y).alias("_var"),
         F.avg(F.when(y != 0, F.abs(err / y))).alias("_mape"),
         F.sum(F.when(y == 0, 1).otherwise(0)).alias("n_zero_actual"),
     )
-    r2 = (F.when(F.col("_sst") == 0, F.when(F.col("_sse") == 0, F.lit(1.0)).otherwise(F.lit(0.0)))
-          .otherwise(F.lit(1.0) - F.try_divide(F.col("_sse"), F.col("_sst"))))
+    sst = F.col("_var") * F.col("n")
+    r2 = (F.when(F.col("_var") == 0, F.when(F.col("_sse") == 0, F.lit(1.0)).otherwise(F.lit(0.0)))
+          .otherwise(F.lit(1.0) - F.try_divide(F.col("_sse"), sst)))
     return agg.select(*group_cols, "n", "MAE", "RMSE", r2.alias("R2"),
                       (F.col("_mape") * 100).alias("MAPE"), "n_zero_actual")
 
