@@ -136,13 +136,19 @@ def percentile_exact(col: str | Column, q: float) -> Column:
     return F.percentile(c, F.lit(q))
 
 
-def exact_percentile(df: DataFrame, col: str, q: float, accuracy: int = 100_000) -> float:
-    """Exact percentile with linear interpolation, without one task holding all values.
+EXACT_IN_ONE_BUFFER = 1_000_000  # values (8 MB): the size bound for a single-buffer exact percentile
 
-    1. ``percentile_approx`` brackets the target rank (its rank error is at most
-       n/accuracy), 2. rows below the bracket are counted, 3. only the bracket
-       (about 4n/accuracy rows) is ranked, by a distributed sort. Falls back to
-       the whole column when the bracket misses (cannot happen within the bound).
+
+def exact_percentile(df: DataFrame, col: str, q: float, accuracy: int = 100_000,
+                     one_buffer_max: int = EXACT_IN_ONE_BUFFER) -> float:
+    """Exact percentile with linear interpolation, without one task holding an unbounded column.
+
+    Up to ``one_buffer_max`` values (checked by a count) Spark's exact
+    ``percentile`` aggregate is used: its buffer holds at most that many values.
+    Beyond it: 1. ``percentile_approx`` brackets the target rank (rank error at
+    most n/accuracy), 2. rows below the bracket are counted, 3. only the bracket
+    (about 4n/accuracy rows) is ranked, by a distributed sort. Falls back to the
+    whole column when the bracket misses (cannot happen within the bound).
     """
     from voltcast.operators.ordered import position_index
 
@@ -150,6 +156,8 @@ def exact_percentile(df: DataFrame, col: str, q: float, accuracy: int = 100_000)
     n = vals.count()
     if n == 0:
         return float("nan")
+    if n <= one_buffer_max:
+        return float(vals.agg(F.percentile("v", F.lit(q))).first()[0])
     rank = q * (n - 1)
     k0 = int(math.floor(rank))
     frac = rank - k0
