@@ -123,11 +123,6 @@ def blocked_window(df: DataFrame, build: Callable[[Window], dict[str, Column]],
     return out.filter(F.col("_halo") == 0).drop("_halo", "_blk")
 
 
-def row_lag(col: str, k: int) -> Callable[[Window], Column]:
-    """Value ``k`` rows earlier (pandas ``shift(k)``)."""
-    return lambda w: F.lag(col, k).over(w)
-
-
 def trailing_stats(col: str, n: int, w: Window) -> dict[str, Column]:
     """Rolling mean/std(ddof=1)/max/min over the ``n`` rows before the current one.
 

@@ -41,7 +41,7 @@ def write_metrics(board: DataFrame, path: str) -> None:
 
 
 def write_predictions(wide: DataFrame, path: str, fmt: str = "csv") -> None:
-    write_table(wide.withColumnRenamed("Actual", "Actual"), path, fmt)
+    write_table(wide, path, fmt)
 
 
 def write_importances(wide: DataFrame, path: str) -> None:
