@@ -129,3 +129,27 @@ def test_leakage_future_rows_do_not_change_features(spark):
     fa = blocked_window(a, build, halo=13, block_size=20).filter("pos < 70").orderBy("pos").toPandas()
     fb = blocked_window(b, build, halo=13, block_size=20).filter("pos < 70").orderBy("pos").toPandas()
     pd.testing.assert_frame_equal(fa.drop(columns=["load"]), fb.drop(columns=["load"]))
+
+
+def test_series_windows_on_global_positions(spark):
+    rnd = random.Random(11)
+    rows = []
+    for s in ("a", "b", "c"):
+        for i in range(rnd.randint(20, 70)):
+            rows.append((s, i, None if rnd.random() < 0.05 else float(rnd.randint(1, 99))))
+    df = spark.createDataFrame(rows, "s string, t long, load double")
+    d = position_index(df, ["t"], ["s"], per_series=False)
+
+    def build(w):
+        e = {"lag_3": F.lag("load", 3).over(w)}
+        e.update(trailing_stats("load", 5, w))
+        return e
+    got = blocked_window(d, build, halo=6, series_keys=["s"], block_size=16).toPandas()
+    pdf = df.toPandas().sort_values(["s", "t"])
+    g = pdf.groupby("s")["load"]
+    pdf["lag_3"] = g.shift(3)
+    pdf["roll_mean_5"] = g.transform(lambda x: x.shift(1).rolling(5).mean())
+    m = got.merge(pdf, on=["s", "t"], suffixes=("", "_want"))
+    assert len(m) == len(pdf)
+    np.testing.assert_allclose(m["lag_3"].astype(float), m["lag_3_want"], equal_nan=True)
+    np.testing.assert_allclose(m["roll_mean_5"].astype(float), m["roll_mean_5_want"], equal_nan=True)

@@ -64,12 +64,16 @@ def sized_for_fit(df: DataFrame, target_bytes: int = TARGET_PARTITION_BYTES) ->
 
 
 def position_index(df: DataFrame, order_cols: Sequence[str], series_keys: Sequence[str] = (),
-                   pos_col: str = "pos") -> DataFrame:
-    """Add a gapless 0-based row position per series in (order_cols) order.
+                   pos_col: str = "pos", per_series: bool = True) -> DataFrame:
+    """Add a gapless 0-based row position in (series, order_cols) order.
 
     ``order_cols`` must make the order total (add a tiebreak column when the
     time column has ties), otherwise positions of tied rows are arbitrary.
-    The result is checkpointed (reliable) because it is read more than once.
+    With ``per_series`` positions restart at 0 in every series (one extra
+    aggregation and join on the series keys); without it they are global, which
+    is all the blocked windows need: a series' rows are contiguous in the
+    global order and windows partition by (series, block).
+    The sorted frame is checkpointed (reliable) because it is read more than once.
     """
     keys = [*series_keys, *order_cols]
     n_parts = sort_partitions(df)
@@ -87,7 +91,7 @@ def position_index(df: DataFrame, order_cols: Sequence[str], series_keys: Sequen
     out = (ordered.withColumn("_pid", pid)
            .join(F.broadcast(offsets), "_pid")
            .withColumn("_gpos", F.col("_off") + local))
-    if series_keys:
+    if series_keys and per_series:
         starts = out.groupBy(*series_keys).agg(F.min("_gpos").alias("_start"))
         out = out.join(starts, list(series_keys)).withColumn(pos_col, F.col("_gpos") - F.col("_start"))
         out = out.drop("_start")

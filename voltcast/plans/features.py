@@ -28,8 +28,9 @@ RAW_DROPS = ["wdir", "hour", "month", "minute", "day", "year"]
 
 
 def with_position(raw: DataFrame, series_keys: Sequence[str] = (), tiebreak: Sequence[str] = (),
-                  ts_col: str = "datetime") -> DataFrame:
-    return position_index(nan_to_null(raw), [ts_col, *tiebreak], series_keys)
+                  ts_col: str = "datetime", per_series: bool = False) -> DataFrame:
+    """Positions for the feature windows; global ones suffice (and skip a join) with series keys."""
+    return position_index(nan_to_null(raw), [ts_col, *tiebreak], series_keys, per_series=per_series)
 
 
 def add_window_features(df: DataFrame, cadence: Cadence = FIVE_MIN, series_keys: Sequence[str] = (),
