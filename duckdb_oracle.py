@@ -388,10 +388,46 @@ SELECT l_suppkey, l_orderkey, l_linenumber, pos, {r6('load')} AS load,
 FROM li WINDOW r AS ({w} ROWS BETWEEN 12 PRECEDING AND 1 PRECEDING)"""}
 
 
+def series_feature_sql(cadence: Cadence = H, minutes: int = 60) -> str:
+    n = cadence.roll
+    w = "PARTITION BY event_type ORDER BY pos"
+    lags = ", ".join(f"lag(load, {k}) OVER ({w}) AS lag_{k}" for k in cadence.lags)
+    roll = ", ".join(
+        f"CASE WHEN count(load) OVER r = {n} THEN {fn}(load) OVER r END AS roll_{nm}_{n}"
+        for nm, fn in (("mean", "avg"), ("std", "stddev_samp"), ("max", "max"), ("min", "min")))
+    feats = cadence.features
+    notnull = " AND ".join(f"{c} IS NOT NULL" for c in ["datetime", "load", *feats])
+    return f"""
+WITH raw AS (
+  SELECT event_type, time_bucket(INTERVAL '{minutes} minutes', ts) AS datetime,
+         round(sum(value), 2) AS load, round(avg(value), 6) AS temp, min(value) AS dwpt, max(value) AS rhum,
+         CAST(count(*) AS DOUBLE) AS wspd, round(avg(user_id), 6) AS pres,
+         CAST(max(CASE WHEN event_type = 'click' THEN event_id % 360 END) AS DOUBLE) AS wdir
+  FROM events GROUP BY 1, 2),
+rawc AS (SELECT *, hour(datetime) AS hour, month(datetime) AS month,
+                row_number() OVER (PARTITION BY event_type ORDER BY datetime) - 1 AS pos FROM raw),
+filled AS (SELECT *, last_value(wdir IGNORE NULLS) OVER ({w} ROWS BETWEEN UNBOUNDED PRECEDING AND CURRENT ROW) AS wdir_f
+           FROM rawc),
+feat AS (
+  SELECT event_type, datetime, load,
+         sin(2 * pi() * hour / 24) AS hour_sin, cos(2 * pi() * hour / 24) AS hour_cos,
+         sin(2 * pi() * month / 12) AS month_sin, cos(2 * pi() * month / 12) AS month_cos,
+         CAST(isodow(datetime) - 1 AS INTEGER) AS weekday, CAST(isodow(datetime) - 1 >= 5 AS INTEGER) AS weekend,
+         CAST(hour(datetime) BETWEEN 18 AND 21 AS INTEGER) AS is_peak_hour,
+         CAST(hour(datetime) BETWEEN 6 AND 18 AS INTEGER) AS is_day,
+         temp, dwpt, rhum, wspd, pres,
+         sin(2 * pi() * wdir_f / 360) AS wdir_sin, cos(2 * pi() * wdir_f / 360) AS wdir_cos,
+         temp * hour(datetime) AS temp_hour, temp * CAST(hour(datetime) BETWEEN 18 AND 21 AS INTEGER) AS temp_x_peak,
+         {lags}, {roll}
+  FROM filled WINDOW r AS ({w} ROWS BETWEEN {n} PRECEDING AND 1 PRECEDING))
+SELECT event_type, datetime, {sel(['load', *feats])} FROM feat WHERE {notnull}"""
+
+
 def all_sql() -> dict[str, str]:
     out = {}
     out.update(feature_queries())
     out.update(analytic_queries())
     out.update(source_sink_queries())
     out.update(series_queries())
+    out["series_feature_frame"] = series_feature_sql()
     return out

@@ -702,6 +702,17 @@ def q_series_window_features(spark, sf_dir):
 ALL_QUERIES["series_window_features"] = q_series_window_features
 
 
+def q_series_feature_frame(spark, sf_dir):
+    """The whole feature pipeline per event type on hourly buckets (series key ``event_type``)."""
+    raw = adapters.load_series(adapters.table(spark, sf_dir, "events"), 60, ["event_type"])
+    eng = fp.engineer(raw, HOURLY, series_keys=["event_type"], block_size=64)
+    ff = drop_incomplete(eng).select("event_type", "datetime", "load", *HOURLY.features)
+    return rounded(ff)
+
+
+ALL_QUERIES["series_feature_frame"] = q_series_feature_frame
+
+
 def q_cv_boosting(spark, sf_dir):
     """Expanding 5-fold CV of the 200-round boosted forecaster on all complete rows (fold MAE + summary)."""
     ranked = memo(spark, sf_dir, "post-drop-rows", lambda: fp.post_drop_position(features(spark, sf_dir)))
