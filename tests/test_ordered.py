@@ -153,3 +153,29 @@ def test_series_windows_on_global_positions(spark):
     assert len(m) == len(pdf)
     np.testing.assert_allclose(m["lag_3"].astype(float), m["lag_3_want"], equal_nan=True)
     np.testing.assert_allclose(m["roll_mean_5"].astype(float), m["roll_mean_5_want"], equal_nan=True)
+
+
+def test_feature_pipeline_single_window_exchange(spark):
+    from voltcast.constants import HOURLY
+    from voltcast.plans.features import engineer
+    base = dt.datetime(2024, 1, 1)
+    rows = [(base + dt.timedelta(hours=i), float(100 + i % 7), 20.0, 10.0, 50.0, 3.0, 1000.0,
+             None if i % 5 else float(i % 360), 2024, 1, 1 + i // 24, i % 24, 0) for i in range(300)]
+    raw = spark.createDataFrame(rows, "datetime timestamp_ntz, load double, temp double, dwpt double, rhum double, "
+                                      "wspd double, pres double, wdir double, year int, month int, day int, hour int, "
+                                      "minute int")
+    lines = engineer(raw, HOURLY, block_size=64)._jdf.queryExecution().executedPlan().toString().splitlines()
+
+    def indent(ln):
+        return len(ln) - len(ln.lstrip(" :+-"))
+
+    data_side = 0  # exchanges on (series, block) that move the rows themselves (halo Generate below them)
+    for i, ln in enumerate(lines):
+        if "Exchange hashpartitioning(_blk" in ln:
+            below = []
+            for nxt in lines[i + 1:]:
+                if indent(nxt) <= indent(ln):
+                    break
+                below.append(nxt)
+            data_side += any("Generate" in b for b in below)
+    assert data_side == 1, "\n".join(lines)
