@@ -179,3 +179,13 @@ def test_feature_pipeline_single_window_exchange(spark):
                 below.append(nxt)
             data_side += any("Generate" in b for b in below)
     assert data_side == 1, "\n".join(lines)
+
+
+def test_partition_sizing_helpers(spark):
+    from voltcast.operators.ordered import MAX_SORT_PARTITIONS, sized_for_fit, sort_partitions
+    df = spark.range(1000).repartition(6)
+    base = int(spark.conf.get("spark.sql.shuffle.partitions"))
+    assert base <= sort_partitions(df) <= MAX_SORT_PARTITIONS
+    assert sort_partitions(df, target_bytes=1) > base  # follows the size estimate
+    assert sized_for_fit(df).rdd.getNumPartitions() == 1
+    assert sized_for_fit(df, target_bytes=1).rdd.getNumPartitions() == 6  # coalesce never increases
