@@ -12,6 +12,12 @@ def _docs(spark: SparkSession, sf_dir: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/documents.parquet")
 
 
+def op6_jaccard_join(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Shingle-set size and near-duplicate component of every document."""
+    from voltcast.llm import jaccard_join
+    return jaccard_join.components(_docs(spark, sf_dir))
+
+
 def op9_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
     """BPE ids of every document and the text decoded from them, as digests."""
     import public_tokenizers
@@ -20,5 +26,5 @@ def op9_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
     return bpe.encoded_digests(bpe.encode(_docs(spark, sf_dir), public_tokenizers.path("word_bpe_49k.json")))
 
 
-QUERIES = {f.__name__: f for f in (op9_bpe,)}
+QUERIES = {f.__name__: f for f in (op6_jaccard_join, op9_bpe)}
 SQL: dict[str, str] = {}
