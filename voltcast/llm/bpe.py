@@ -44,7 +44,8 @@ def encode(docs: DataFrame, tokenizer_path: str, key: str = "doc_id", text: str
     """
     spark = docs.sparkSession
     table = C.chunk_table(docs.select(F.col(key).cast("long").alias("k"), F.col(text).cast("string").alias("t")), "k", "t", lower=False)
-    n = C.n_shares(docs)
+    table_of_pieces = pieces(tokenizer_path)
+    id_type = "uint16" if len(table_of_pieces) <= 65536 else "uint32"
 
     def encode_share(words: list[list[bytes]], _) -> list:
         from tokenizers import Tokenizer
@@ -60,45 +61,35 @@ def encode(docs: DataFrame, tokenizer_path: str, key: str = "doc_id", text: str
         out = []
         for ws in words:
             own = [ids[w] for w in ws]
-            out.append((np.array([len(x) for x in own], np.uint16 if max(map(len, own)) < 65536 else np.uint32),
-                        C.planes(np.array([i for x in own for i in x], np.uint32))))
+            out.append((np.array([len(x) for x in own], np.uint8 if max(map(len, own)) < 256 else np.uint32),
+                        C.planes(np.array([i for x in own for i in x], id_type))))
         return out
 
-    piece_table = spark.sparkContext.broadcast(pieces(tokenizer_path))
+    piece_table = spark.sparkContext.broadcast(table_of_pieces)
 
     def place(chunk: C.Chunk, replies: dict) -> pa.Table:
         piece = piece_table.value
-        share = chunk.shares(n)
-        order = np.argsort(share, kind="stable")
-        lengths = np.zeros(len(share), np.int64)
-        flat, at = [], np.zeros(len(share), np.int64)
-        begin = np.searchsorted(share[order], np.arange(n + 1))
-        total = 0
-        for s in sorted(replies):
-            sizes, ids = replies[s]
-            own = order[begin[s]:begin[s + 1]]
-            lengths[own] = sizes
-            at[own] = total + np.cumsum(sizes, dtype=np.int64) - sizes
-            flat.append(C.from_planes(ids, "uint32"))
-            total += int(sizes.sum())
-        ids = np.concatenate(flat).astype(np.int32) if flat else np.zeros(0, np.int32)
+        sizes = [x for x, _ in replies.values()]
+        ids = np.concatenate([C.from_planes(x, id_type) for _, x in replies.values()]).astype(np.int32) if replies else np.zeros(0, np.int32)
+        lengths = np.concatenate(sizes).astype(np.int64) if sizes else np.zeros(0, np.int64)
+        at = np.cumsum(lengths) - lengths
         strings = [piece[i] for i in ids.tolist()]
         decoded = [" ".join(strings[a:a + k]) for a, k in zip(at.tolist(), lengths.tolist())]
+        del strings
         size = lengths[chunk.index]
         ends = np.cumsum(size)
         take = np.arange(int(size.sum())) - np.repeat(ends - size, size) + np.repeat(at[chunk.index], size)
         offsets = np.concatenate([[0], ends])[chunk.offsets]
-        texts, index = [], chunk.index.tolist()
-        bounds = chunk.offsets.tolist()
+        texts, bounds = [], chunk.offsets.tolist()
         empty = bool((lengths == 0).any())
         for a, b in zip(bounds[:-1], bounds[1:]):
-            own = [decoded[i] for i in index[a:b]]
+            own = [decoded[i] for i in chunk.index[a:b].tolist()]
             texts.append(" ".join([x for x in own if x] if empty else own))
         return pa.table({"k": pa.array(chunk.keys, pa.int64()),
                          "ids": pa.ListArray.from_arrays(pa.array(offsets, pa.int32()), pa.array(ids[take], pa.int32())),
                          "decoded": pa.array(texts, pa.string())})
 
-    replies = C.answer(C.word_requests(table, n), encode_share)
+    replies = C.answer(C.word_requests(table), encode_share)
     out = C.finish(table, replies, place, "k long, ids array<int>, decoded string")
     return out.withColumnRenamed("k", key)
 

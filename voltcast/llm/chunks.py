@@ -26,8 +26,8 @@ from pyspark.sql import functions as F
 
 from voltcast.session import scratch_path
 
-CHUNK_BYTES = 8 << 20
-CHUNK_SCHEMA = "chunk long, data binary"
+CHUNK_BYTES = 4 << 20
+CHUNK_SCHEMA = "chunk long, data binary, words array<binary>"
 SHARE_SCHEMA = "chunk long, share int, data binary"
 
 
@@ -41,8 +41,8 @@ def from_planes(data: bytes, kind: str) -> np.ndarray:
     return np.ascontiguousarray(np.frombuffer(data, np.uint8).reshape(size, -1).T).reshape(-1).view(kind)
 
 
-def pack(obj) -> bytes:
-    return zstandard.ZstdCompressor(level=3).compress(pickle.dumps(obj, protocol=5))
+def pack(obj, level: int = 3) -> bytes:
+    return zstandard.ZstdCompressor(level=level).compress(pickle.dumps(obj, protocol=5))
 
 
 def unpack(data: bytes):
@@ -50,55 +50,75 @@ def unpack(data: bytes):
 
 
 class Chunk:
-    """Row keys, words per text, the distinct words and the word index of each position."""
+    """Row keys and flags, words per text, and the word index of each position.
 
-    def __init__(self, keys: list, counts: np.ndarray, words: list[bytes], index: np.ndarray):
-        self.keys, self.counts, self.words, self.index = keys, counts, words, index
+    Distinct words stand by share of the vocabulary, then sorted; ``sizes`` has
+    the number of words of each share, ``times`` how often each word occurs. An
+    index counts words from the most frequent one, which compresses well.
+    """
+
+    def __init__(self, keys: list, flags: list, counts: np.ndarray, sizes: np.ndarray, times: np.ndarray, index: np.ndarray):
+        self.keys, self.flags, self.counts, self.sizes, self.times, self.index = keys, flags, counts, sizes, times, index
 
     def dumps(self) -> bytes:
-        return pack((self.keys, self.counts, b"\n".join(self.words), planes(self.index)))
+        rank = np.empty(len(self.times), np.uint32)
+        rank[np.argsort(-self.times, kind="stable")] = np.arange(len(rank), dtype=np.uint32)
+        return pack((self.keys, self.flags, self.counts, self.sizes, planes(self.times.astype(np.uint32)), planes(rank[self.index])), 7)
 
     @classmethod
     def loads(cls, data: bytes) -> Chunk:
-        keys, counts, words, index = unpack(data)
-        return cls(keys, counts, words.split(b"\n") if words else [], from_planes(index, "uint32"))
+        keys, flags, counts, sizes, times, index = unpack(data)
+        times = from_planes(times, "uint32").astype(np.int64)
+        return cls(keys, flags, counts, sizes, times, np.argsort(-times, kind="stable")[from_planes(index, "uint32")])
 
     @property
     def offsets(self) -> np.ndarray:
         return np.concatenate([[0], np.cumsum(self.counts, dtype=np.int64)])
 
-    def shares(self, n: int) -> np.ndarray:
-        """The share of the vocabulary that owns each distinct word."""
-        return np.fromiter((zlib.crc32(w) % n for w in self.words), np.int32, len(self.words))
-
 
-def chunk_table(docs: DataFrame, key: str, text: str, lower: bool, limit: int = CHUNK_BYTES) -> DataFrame:
+def chunk_table(docs: DataFrame, key: str, text: str, lower: bool, flag: str | None = None, limit: int = CHUNK_BYTES) -> DataFrame:
     """Cut (key, text) rows into packed chunks and write them to the shared folder.
 
     A null text is a text without words. Words are split at ASCII white space;
     ``lower`` lowers A-Z first. Rows are kept one by one, repeated or not.
+    ``words`` holds, per share of the vocabulary, the chunk's distinct words and
+    how often each occurs in rows where ``flag`` is true (all rows without one).
     """
+    n = n_shares(docs)
 
     def cut(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         from pyspark import TaskContext
         first = TaskContext.get().partitionId() << 33
-        keys, counts, index, seen, size = [], [], [], {}, 0
+        keys, flags, counts, index, seen, size = [], [], [], [], {}, 0
 
         def flush():
-            nonlocal keys, counts, index, seen, size, first
-            chunk = Chunk(keys, np.array(counts, np.uint32), list(seen), np.concatenate(index) if index else np.zeros(0, np.uint32))
-            row = pa.RecordBatch.from_pydict({"chunk": [first], "data": [chunk.dumps()]})
-            keys, counts, index, seen, size, first = [], [], [], {}, 0, first + 1
+            nonlocal keys, flags, counts, index, seen, size, first
+            words = list(seen)
+            share = np.fromiter((zlib.crc32(w) % n for w in words), np.int64, len(words))
+            order = np.array(sorted(range(len(words)), key=lambda i: (share[i], words[i])), np.int64)
+            place = np.empty(len(words), np.int64)
+            place[order] = np.arange(len(words))
+            index = place[np.concatenate(index)] if len(words) else np.zeros(0, np.int64)
+            counts = np.array(counts, np.uint32)
+            sizes = np.bincount(share, minlength=n)
+            at = np.concatenate([[0], np.cumsum(sizes)])
+            flagged = np.bincount(index[np.repeat(np.array(flags, bool), counts)], minlength=len(words)).astype(np.uint32)
+            chunk = Chunk(keys, flags, counts, sizes, np.bincount(index, minlength=len(words)), index)
+            asked = [pack((b"\n".join([words[i] for i in order[a:b]]), planes(flagged[a:b]))) if a < b else None for a, b in zip(at[:-1], at[1:])]
+            row = pa.RecordBatch.from_pydict({"chunk": [first], "data": [chunk.dumps()], "words": [asked]},
+                                             schema=pa.schema([("chunk", pa.int64()), ("data", pa.binary()), ("words", pa.list_(pa.binary()))]))
+            keys, flags, counts, index, seen, size, first = [], [], [], [], {}, 0, first + 1
             return row
 
         for batch in batches:
-            for k, t in zip(batch.column(0).to_pylist(), batch.column(1)):
+            for k, t, f in zip(batch.column(0).to_pylist(), batch.column(1), batch.column(2).to_pylist()):
                 raw = (t.as_py() or "").encode("utf-8", "surrogatepass")
                 words = (raw.lower() if lower else raw).split()
                 keys.append(k)
+                flags.append(f)
                 counts.append(len(words))
                 put = seen.setdefault
-                index.append(np.fromiter((put(w, len(seen)) for w in words), np.uint32, len(words)))
+                index.append(np.fromiter((put(w, len(seen)) for w in words), np.int64, len(words)))
                 size += len(raw) + 64
                 if size >= limit:
                     yield flush()
@@ -106,57 +126,45 @@ def chunk_table(docs: DataFrame, key: str, text: str, lower: bool, limit: int =
             yield flush()
 
     path = scratch_path(docs.sparkSession, "chunks")
-    docs.select(key, text).mapInArrow(cut, CHUNK_SCHEMA).write.parquet(path)
+    docs.select(key, text, F.coalesce(F.col(flag), F.lit(False)) if flag else F.lit(True)).mapInArrow(cut, CHUNK_SCHEMA).write.parquet(path)
     return docs.sparkSession.read.parquet(path)
 
 
-def word_requests(chunks: DataFrame, n_shares: int, extra: Callable[[Chunk], np.ndarray] | None = None) -> DataFrame:
-    """One row per chunk and share: the chunk's distinct words of that share, and ``extra`` of each."""
+def each(chunks: DataFrame, work: Callable[[int, Chunk, list[bytes]], pa.Table], schema: str) -> DataFrame:
+    """Turn every chunk, with its number and distinct words, into rows."""
 
-    def ask(batches):
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            for number, data in zip(batch.column(0).to_pylist(), batch.column(1)):
-                chunk = Chunk.loads(data.as_py())
-                share = chunk.shares(n_shares)
-                more = extra(chunk) if extra else None
-                order = np.argsort(share, kind="stable")
-                bounds = np.searchsorted(share[order], np.arange(n_shares + 1))
-                rows = {"chunk": [], "share": [], "data": []}
-                for s in range(n_shares):
-                    own = order[bounds[s]:bounds[s + 1]]
-                    if len(own):
-                        rows["chunk"].append(number)
-                        rows["share"].append(s)
-                        rows["data"].append(pack((b"\n".join([chunk.words[i] for i in own]), None if more is None else more[own])))
-                yield pa.RecordBatch.from_pydict(rows, schema=pa.schema([("chunk", pa.int64()), ("share", pa.int32()), ("data", pa.binary())]))
-
-    return chunks.mapInArrow(ask, SHARE_SCHEMA)
-
-
-def answer(requests: DataFrame, own: Callable[[list[list[bytes]], list], list]) -> DataFrame:
-    """Each share of the vocabulary in one task: ``own`` gets all chunks' words and extras, and returns a value per chunk."""
+            for i, number in enumerate(batch.column(0).to_pylist()):
+                words = [w for x in batch.column(2)[i].as_py() if x is not None for w in unpack(x)[0].split(b"\n")]
+                yield from work(number, Chunk.loads(batch.column(1)[i].as_py()), words).to_batches()
+
+    return chunks.mapInArrow(run, schema)
+
+
+def word_requests(chunks: DataFrame) -> DataFrame:
+    """One row per chunk and share that it has words of."""
+    return chunks.select("chunk", F.posexplode("words").alias("share", "data")).where("data is not null")
+
+
+def answer(requests: DataFrame, own: Callable[[list[list[bytes]], list[np.ndarray]], list]) -> DataFrame:
+    """Each share of the vocabulary in one task: ``own`` gets all chunks' words and counts, and returns a value per chunk."""
 
     def serve(table: pa.Table) -> pa.Table:
         asked = [unpack(x) for x in table.column("data").to_pylist()]
-        replies = own([w.split(b"\n") for w, _ in asked], [x for _, x in asked])
+        replies = own([w.split(b"\n") for w, _ in asked], [from_planes(x, "uint32") for _, x in asked])
         return pa.table({"chunk": table.column("chunk"), "share": table.column("share"),
                          "data": pa.array([pack(x) for x in replies], pa.binary())})
 
     return requests.groupBy("share").applyInArrow(serve, SHARE_SCHEMA)
 
 
-def by_position(chunk: Chunk, n_shares: int, replies: dict[int, list]) -> list:
-    """Put the shares' replies (one list per share) back in the order of ``chunk.words``."""
-    share = chunk.shares(n_shares)
-    out: list = [None] * len(share)
-    for s, values in replies.items():
-        for i, v in zip(np.flatnonzero(share == s).tolist(), values):
-            out[i] = v
-    return out
-
-
 def finish(chunks: DataFrame, replies: DataFrame, done: Callable[[Chunk, dict[int, object]], pa.Table], schema: str) -> DataFrame:
-    """Bring each chunk together with its replies and turn it into result rows."""
+    """Bring each chunk together with its replies and turn it into result rows.
+
+    A share's reply covers that share's words in order, so replies in the order
+    of shares cover the chunk's distinct words in order.
+    """
 
     def one(table: pa.Table) -> pa.Table:
         share = table.column("share").to_pylist()
@@ -167,12 +175,12 @@ def finish(chunks: DataFrame, replies: DataFrame, done: Callable[[Chunk, dict[in
                 chunk = Chunk.loads(data[i].as_py())
             else:
                 parts[s] = unpack(data[i].as_py())
-        return done(chunk, parts)
+        return done(chunk, {s: parts[s] for s in sorted(parts)})
 
     rows = chunks.select("chunk", F.lit(None).cast("int").alias("share"), "data").unionByName(replies)
     return rows.groupBy("chunk").applyInArrow(one, schema)
 
 
 def n_shares(df: DataFrame) -> int:
-    """Shares of the vocabulary: two per shuffle partition, so that a share stays small as the job is widened."""
-    return 2 * int(df.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    """Shares of the vocabulary: as many as shuffle partitions, so that a share stays small as the job is widened."""
+    return int(df.sparkSession.conf.get("spark.sql.shuffle.partitions"))
