@@ -31,7 +31,7 @@ from voltcast.llm import chunks as C
 from voltcast.llm import textbuf as T
 from voltcast.llm.connect import groups, written
 
-SLICE = 16 << 20
+SLICE = 3 << 19                     # shingles of a packed block before it is cut by share
 _U = np.uint64
 
 
@@ -80,29 +80,44 @@ def frequent_shingles(docs: DataFrame, text: str, size: int, t: tuple[int, int])
     out_schema = pa.schema([("share", pa.int32()), ("data", pa.binary())])
 
     def gather(batches):
+        hs, whos, digests, ns, held, docs_seen = [], [], [], [], 0, 0
+
+        def flush():
+            nonlocal hs, whos, digests, ns, held, docs_seen
+            h, who, digest, sizes = (np.concatenate(x) for x in (hs, whos, digests, ns))
+            hs, whos, digests, ns, held, docs_seen = [], [], [], [], 0, 0
+            nodes, first = np.unique(digest, return_index=True)
+            own = np.full(len(digest), -1, np.int32)
+            own[first] = np.arange(len(first))
+            who = own[who]
+            h, who = h[who >= 0], who[who >= 0]
+            order = np.argsort(h)
+            h, who = h[order], who[order]
+            del order
+            at = np.searchsorted(h >> _U(32), (np.arange(shares + 1, dtype=_U) * _U(1 << 32) + _U(shares - 1)) // _U(shares))
+            rows = {"share": [], "data": []}
+            for s, (a, b) in enumerate(zip(at[:-1], at[1:])):
+                if a < b:
+                    used, local = np.unique(who[a:b], return_inverse=True)
+                    rows["share"].append(s)
+                    rows["data"].append(C.pack((C.planes(np.diff(h[a:b], prepend=_U(0))), C.planes(local.astype(np.uint32)),
+                                                C.planes(nodes[used]), C.planes(sizes[first[used]]))))
+            return pa.RecordBatch.from_pydict(rows, schema=out_schema)
+
         for batch in batches:
-            for _, piece in T.slices(batch.column(0), SLICE):
+            for _, piece in T.slices(batch.column(0)):
                 h, doc, sizes, digest = _sets(piece, size)
-                nodes, first = np.unique(digest[sizes > 0], return_index=True)
-                first = np.flatnonzero(sizes > 0)[first]
-                own = np.full(len(sizes), -1)
-                own[first] = np.arange(len(first))
-                keep = own[doc] >= 0
-                h, who = h[keep], own[doc[keep]].astype(np.uint32)
-                order = np.argsort(h)
-                h, who = h[order], who[order]
-                share = ((h >> _U(32)) * _U(shares) >> _U(32)).astype(np.int64)
-                at = np.searchsorted(share, np.arange(shares + 1))
-                rows = {"share": [], "data": []}
-                ns = sizes[first].astype(np.uint32)
-                for s in range(shares):
-                    a, b = at[s], at[s + 1]
-                    if a < b:
-                        step = np.diff(h[a:b], prepend=_U(0))
-                        used, local = np.unique(who[a:b], return_inverse=True)
-                        rows["share"].append(s)
-                        rows["data"].append(C.pack((C.planes(step), C.planes(local.astype(np.uint32)), C.planes(nodes[used]), C.planes(ns[used]))))
-                yield pa.RecordBatch.from_pydict(rows, schema=out_schema)
+                some = sizes > 0
+                hs.append(h)
+                whos.append(((np.cumsum(some) - 1)[doc] + docs_seen).astype(np.int32))
+                digests.append(digest[some])
+                ns.append(sizes[some].astype(np.uint32))
+                docs_seen += int(some.sum())
+                held += len(h)
+                if held >= SLICE:
+                    yield flush()
+        if held:
+            yield flush()
 
     def count(table: pa.Table) -> pa.Table:
         hs, ds, ns, table_d = [], [], [], []
