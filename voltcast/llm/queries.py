@@ -5,13 +5,26 @@ Every query applies its operator with production parameters to its whole table.
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import functions as F
 
 
 def _docs(spark: SparkSession, sf_dir: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/documents.parquet")
 
 
+def _remainder(n: int) -> Column:
+    return F.crc32(F.col("doc_id").cast("string").cast("binary")) % n
+
+
+def op2_lm_score(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Log-probability of every document under a model of the documents that are not held out."""
+    from voltcast.llm import lm_score
+    docs = _docs(spark, sf_dir).select("doc_id", "text", (_remainder(10) != 0).alias("training"))
+    return lm_score.score(docs, "training").select(
+        "doc_id", (~F.col("training")).alias("held_out"), "n_tokens", "n_known", "train_tokens", "base_score", "score")
+
+
 def op6_jaccard_join(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Shingle-set size and near-duplicate component of every document."""
     from voltcast.llm import jaccard_join
@@ -26,5 +39,5 @@ def op9_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
     return bpe.encoded_digests(bpe.encode(_docs(spark, sf_dir), public_tokenizers.path("word_bpe_49k.json")))
 
 
-QUERIES = {f.__name__: f for f in (op6_jaccard_join, op9_bpe)}
+QUERIES = {f.__name__: f for f in (op2_lm_score, op6_jaccard_join, op9_bpe)}
 SQL: dict[str, str] = {}
