@@ -25,6 +25,20 @@ def op2_lm_score(spark: SparkSession, sf_dir: str) -> DataFrame:
         "doc_id", (~F.col("training")).alias("held_out"), "n_tokens", "n_known", "train_tokens", "base_score", "score")
 
 
+def op3_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Base counts of every document and the verdict of the rule cascade."""
+    from voltcast.llm import quality_rules
+    return quality_rules.judge(_docs(spark, sf_dir))
+
+
+def op5_quality_model(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Quality score of every document, learned from labels outside the held-out fifth."""
+    from voltcast.llm import quality_model
+    labels = spark.read.parquet(f"{sf_dir}/labels.parquet").select("doc_id", "quality")
+    out = quality_model.classify(_docs(spark, sf_dir), labels, _remainder(5) != 0)
+    return out.select("doc_id", F.coalesce(_remainder(5) == 0, F.lit(False)).alias("held_out"), "score", "predicted")
+
+
 def op6_jaccard_join(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Shingle-set size and near-duplicate component of every document."""
     from voltcast.llm import jaccard_join
@@ -39,5 +53,13 @@ def op9_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
     return bpe.encoded_digests(bpe.encode(_docs(spark, sf_dir), public_tokenizers.path("word_bpe_49k.json")))
 
 
-QUERIES = {f.__name__: f for f in (op2_lm_score, op6_jaccard_join, op9_bpe)}
+def op10_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Toxicity score of every document, learned from labels outside the held-out quarter."""
+    from voltcast.llm import toxicity
+    labels = spark.read.parquet(f"{sf_dir}/labels.parquet").select("doc_id", "toxic")
+    out = toxicity.classify(_docs(spark, sf_dir), labels, _remainder(4) != 2)
+    return out.select("doc_id", F.coalesce(_remainder(4) == 2, F.lit(False)).alias("held_out"), "score", "predicted", "n_abusive", "n_quoted")
+
+
+QUERIES = {f.__name__: f for f in (op2_lm_score, op3_quality_rules, op5_quality_model, op6_jaccard_join, op9_bpe, op10_toxicity)}
 SQL: dict[str, str] = {}
