@@ -31,6 +31,12 @@ def op3_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
     return quality_rules.judge(_docs(spark, sf_dir))
 
 
+def op4_decontam(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Documents that contain a benchmark item, replaced words tolerated; one row per document and item."""
+    from voltcast.llm import decontam
+    return decontam.overlaps(_docs(spark, sf_dir), spark.read.parquet(f"{sf_dir}/benchmark.parquet"))
+
+
 def op5_quality_model(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Quality score of every document, learned from labels outside the held-out fifth."""
     from voltcast.llm import quality_model
@@ -61,5 +67,5 @@ def op10_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
     return out.select("doc_id", F.coalesce(_remainder(4) == 2, F.lit(False)).alias("held_out"), "score", "predicted", "n_abusive", "n_quoted")
 
 
-QUERIES = {f.__name__: f for f in (op2_lm_score, op3_quality_rules, op5_quality_model, op6_jaccard_join, op9_bpe, op10_toxicity)}
+QUERIES = {f.__name__: f for f in (op2_lm_score, op3_quality_rules, op4_decontam, op5_quality_model, op6_jaccard_join, op9_bpe, op10_toxicity)}
 SQL: dict[str, str] = {}
