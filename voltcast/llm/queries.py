@@ -8,6 +8,8 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from voltcast.llm.url_filter import TRACKING
+
 
 def _docs(spark: SparkSession, sf_dir: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/documents.parquet")
@@ -17,6 +19,18 @@ def _remainder(n: int) -> Column:
     return F.crc32(F.col("doc_id").cast("string").cast("binary")) % n
 
 
+URL_RULES = [("allow", "org", "/"), ("block", "example.org", "/es/"), ("block", "example.org", "/en/1"),
+             ("allow", "com", "/fr/"), ("block", "com", "/de/")]
+
+
+def op1_url_filter(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Verdict on every page's URL; the list stands for one of ad pages: URLs of the pages whose HTML has an ad block."""
+    from voltcast.llm import url_filter
+    pages = spark.read.parquet(f"{sf_dir}/pages.parquet")
+    listed = pages.where(F.col("html").contains('class="ad"')).select("url")
+    return url_filter.judge(pages.select("page_id", "url"), listed, URL_RULES)
+
+
 def op2_lm_score(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Log-probability of every document under a model of the documents that are not held out."""
     from voltcast.llm import lm_score
@@ -67,5 +81,33 @@ def op10_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
     return out.select("doc_id", F.coalesce(_remainder(4) == 2, F.lit(False)).alias("held_out"), "score", "predicted", "n_abusive", "n_quoted")
 
 
-QUERIES = {f.__name__: f for f in (op2_lm_score, op3_quality_rules, op4_decontam, op5_quality_model, op6_jaccard_join, op9_bpe, op10_toxicity)}
-SQL: dict[str, str] = {}
+QUERIES = {f.__name__: f for f in (op1_url_filter, op2_lm_score, op3_quality_rules, op4_decontam, op5_quality_model, op6_jaccard_join, op9_bpe, op10_toxicity)}
+_CANONICAL = """
+    CASE WHEN contains(url, '://') THEN
+      regexp_replace(regexp_replace(host, '^(www|m)\\.', ''), ':(80|443)$', '')
+      || regexp_replace(regexp_replace(path, '(/index)?\\.html?$', ''), '/+$', '')
+      || CASE WHEN len(params) > 0 THEN '?' || array_to_string(list_sort(params), '&') ELSE '' END END"""
+SQL: dict[str, str] = {
+    "op1_url_filter": f"""
+WITH cut AS (
+  SELECT page_id, url, html,
+         translate(coalesce(regexp_extract(url, '(?s)^.*?://([^/?#]*)([^?#]*)(?:\\?([^#]*))?', 1), ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz') AS host,
+         coalesce(regexp_extract(url, '(?s)^.*?://([^/?#]*)([^?#]*)(?:\\?([^#]*))?', 2), '') AS path,
+         list_filter(string_split(coalesce(regexp_extract(url, '(?s)^.*?://([^/?#]*)([^?#]*)(?:\\?([^#]*))?', 3), ''), '&'),
+                     lambda x: x <> '' AND NOT list_contains({TRACKING!r}, split_part(x, '=', 1))) AS params
+  FROM pages),
+named AS (SELECT page_id, host, path, html, {_CANONICAL} AS canonical FROM cut),
+listed AS (SELECT DISTINCT canonical AS entry FROM named WHERE canonical IS NOT NULL AND contains(html, 'class="ad"')),
+ruled AS (
+  SELECT *, CASE
+    WHEN (host = 'example.org' OR ends_with(host, '.example.org')) AND starts_with(path, '/en/1') THEN 'example.org/en/1'
+    WHEN (host = 'example.org' OR ends_with(host, '.example.org')) AND starts_with(path, '/es/') THEN 'example.org/es/'
+    WHEN (host = 'com' OR ends_with(host, '.com')) AND starts_with(path, '/fr/') THEN 'com/fr/'
+    WHEN (host = 'com' OR ends_with(host, '.com')) AND starts_with(path, '/de/') THEN 'com/de/'
+    WHEN (host = 'org' OR ends_with(host, '.org')) AND starts_with(path, '/') THEN 'org/' END AS rule
+  FROM named)
+SELECT page_id, host, path, rule,
+       CASE WHEN rule IN ('org/', 'com/fr/') THEN 'allow' WHEN rule IS NOT NULL THEN 'block'
+            WHEN entry IS NOT NULL THEN 'block' ELSE 'allow' END AS verdict, canonical
+FROM ruled LEFT JOIN listed ON canonical = entry""",
+}
