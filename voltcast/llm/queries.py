@@ -65,6 +65,12 @@ def op6_jaccard_join(spark: SparkSession, sf_dir: str) -> DataFrame:
     return jaccard_join.components(_docs(spark, sf_dir))
 
 
+def op7_pii(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Personal data in every document: base counts, base digest and all spans."""
+    from voltcast.llm import pii
+    return pii.digests(pii.find(_docs(spark, sf_dir)))
+
+
 def op9_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
     """BPE ids of every document and the text decoded from them, as digests."""
     import public_tokenizers
@@ -81,7 +87,7 @@ def op10_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
     return out.select("doc_id", F.coalesce(_remainder(4) == 2, F.lit(False)).alias("held_out"), "score", "predicted", "n_abusive", "n_quoted")
 
 
-QUERIES = {f.__name__: f for f in (op1_url_filter, op2_lm_score, op3_quality_rules, op4_decontam, op5_quality_model, op6_jaccard_join, op9_bpe, op10_toxicity)}
+QUERIES = {f.__name__: f for f in (op1_url_filter, op2_lm_score, op3_quality_rules, op4_decontam, op5_quality_model, op6_jaccard_join, op7_pii, op9_bpe, op10_toxicity)}
 _CANONICAL = """
     CASE WHEN contains(url, '://') THEN
       regexp_replace(regexp_replace(host, '^(www|m)\\.', ''), ':(80|443)$', '')
