@@ -21,13 +21,13 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from voltcast.llm import textbuf as T
+from voltcast.llm.bitmap import bitmap, present
 from voltcast.llm.connect import written
 
 MASKS = ("1110111", "11011011", "1101000111")
 SPAN = 13
 SIMILARITY = (3, 4)
 LEAST_WORDS = 5
-BITMAP_BITS = 24
 _U = np.uint64
 
 
@@ -100,13 +100,7 @@ def overlaps(docs: DataFrame, items: DataFrame, key: str = "doc_id", text: str =
                     yield pa.RecordBatch.from_pydict({"seed": pa.array(seed.view(np.int64)), "number": pa.array(np.full(len(seed), number)), "at": pa.array(at)})
 
     seeds = written(words.select("number", "n", "words").mapInArrow(item_seeds, "seed long, number long, at long"), "seeds")
-    slot = F.shiftrightunsigned("seed", 64 - BITMAP_BITS)
-    parts = (seeds.select(F.shiftright(slot, 6).cast("int").alias("i"), F.expr(f"shiftleft(1L, cast(shiftrightunsigned(seed, {64 - BITMAP_BITS}) & 63 as int))").alias("b"))
-             .groupBy("i").agg(F.bit_or("b").alias("b")).collect())
-    bitmap = np.zeros(1 << (BITMAP_BITS - 6), np.int64)
-    for i, b in parts:
-        bitmap[i] = b
-    held = spark.sparkContext.broadcast(bitmap.view(np.uint8))
+    held = spark.sparkContext.broadcast(bitmap(seeds, "seed"))
 
     def segments(batches):
         table = held.value
@@ -117,8 +111,7 @@ def overlaps(docs: DataFrame, items: DataFrame, key: str = "doc_id", text: str =
                 found = []
                 for m, mask in enumerate(masks):
                     seed, first, doc = _seeds(h, w.offsets, mask, m)
-                    own = seed >> _U(64 - BITMAP_BITS)
-                    hit = np.flatnonzero((table[own >> _U(3)] >> (own & _U(7)).astype(np.uint8)) & 1)
+                    hit = present(table, seed)
                     found.append((doc[hit], first[hit], seed[hit]))
                 doc, first, seed = (np.concatenate(x) for x in zip(*found))
                 if not len(doc):

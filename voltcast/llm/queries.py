@@ -71,6 +71,12 @@ def op7_pii(spark: SparkSession, sf_dir: str) -> DataFrame:
     return pii.digests(pii.find(_docs(spark, sf_dir)))
 
 
+def op8_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Every document with the lines that repeat elsewhere, or earlier in it, taken out."""
+    from voltcast.llm import line_dedup
+    return line_dedup.dedup(_docs(spark, sf_dir)).select("doc_id", "text", "n_removed")
+
+
 def op9_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
     """BPE ids of every document and the text decoded from them, as digests."""
     import public_tokenizers
@@ -87,7 +93,7 @@ def op10_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
     return out.select("doc_id", F.coalesce(_remainder(4) == 2, F.lit(False)).alias("held_out"), "score", "predicted", "n_abusive", "n_quoted")
 
 
-QUERIES = {f.__name__: f for f in (op1_url_filter, op2_lm_score, op3_quality_rules, op4_decontam, op5_quality_model, op6_jaccard_join, op7_pii, op9_bpe, op10_toxicity)}
+QUERIES = {f.__name__: f for f in (op1_url_filter, op2_lm_score, op3_quality_rules, op4_decontam, op5_quality_model, op6_jaccard_join, op7_pii, op8_line_dedup, op9_bpe, op10_toxicity)}
 _CANONICAL = """
     CASE WHEN contains(url, '://') THEN
       regexp_replace(regexp_replace(host, '^(www|m)\\.', ''), ':(80|443)$', '')

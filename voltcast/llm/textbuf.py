@@ -64,10 +64,11 @@ class Words:
     """Words of a piece of a string column.
 
     ``offsets[i]:offsets[i+1]`` are the words of text i; ``start``/``end`` are
-    byte positions in ``data``; ``text_at`` bounds each text's bytes.
+    byte positions in ``data``; ``text_at`` bounds each text's bytes. ``blank``
+    marks bytes that separate words besides white space.
     """
 
-    def __init__(self, column: pa.Array, lower: bool = True):
+    def __init__(self, column: pa.Array, lower: bool = True, blank: np.ndarray | None = None):
         bounds = np.frombuffer(column.buffers()[1], np.int64)[column.offset:column.offset + len(column) + 1]
         raw = column.buffers()[2]
         raw = np.frombuffer(raw, np.uint8) if raw is not None and raw.size else np.zeros(0, np.uint8)
@@ -75,7 +76,7 @@ class Words:
         self.raw = raw
         self.data = _LOWER[raw] if lower else raw
         self.text_at = bounds - bounds[0]
-        inside = ~_WS[raw]
+        inside = ~(_WS if blank is None else _WS | blank)[raw]
         first, last = inside.copy(), inside.copy()
         if len(raw):
             first[1:] &= ~inside[:-1]
