@@ -4,10 +4,11 @@ Two nodes are candidates if they share a bucket; a costly check decides which
 candidates are linked. Only the connected groups are wanted, so pairs that are
 already in one group need no check:
 
-1. star rounds: every member of a bucket is checked against the bucket's first
-   (then last) node, which is linear in the bucket and joins nearly all copies;
-2. what is left: only buckets that still hold two groups, and in them only
-   pairs of different groups, neither of which was the star's centre.
+1. star rounds: every member of a bucket is checked against one node of it,
+   which is linear in the bucket. The first centre is the node of the highest
+   ``rank`` (a guess at what the others are copies of), later ones are drawn by
+   a hash, in buckets that still hold two groups and against other groups only;
+2. what is left: in such buckets, all pairs of different groups.
 
 Each pair is checked once per step however many buckets it shares. No bucket
 is gathered in one task: centres are found by pre-aggregated minima and joined
@@ -56,39 +57,43 @@ def components(links: DataFrame) -> DataFrame:
         edges.select(F.col("v").alias("node"), F.col("v").alias("component")).distinct())
 
 
-def groups(buckets: DataFrame, fits: Callable[[str, str], Column], verify: Callable[[DataFrame], DataFrame]) -> DataFrame:
+def groups(buckets: DataFrame, fits: Callable[[str, str], Column], verify: Callable[[DataFrame], DataFrame], rounds: int = 4) -> DataFrame:
     """Connected groups of the nodes in ``buckets``: (node, component) for every linked node.
 
-    ``buckets`` has key and node (long) and any columns that ``fits`` needs.
-    ``fits(a, b)`` is a cheap necessary condition between the rows aliased a and
-    b. ``verify`` gets distinct pairs (a, b) and returns those that are linked.
-    Nodes that no link reaches are absent. An empty table gives an empty one.
+    ``buckets`` has key, node (long), rank (any ordered type) and the columns
+    that ``fits`` needs; ``fits(a, b)`` is a cheap necessary condition on those
+    columns with the prefixes a and b. ``verify`` gets distinct pairs (a, b) and
+    returns those that are linked. Nodes that no link reaches are absent. An
+    empty table gives an empty one.
     """
-    info = [c for c in buckets.columns if c != "key"]
-
-    def star(rows: DataFrame, centre) -> DataFrame:
-        lead = rows.groupBy("key").agg(centre(F.struct(*info)).alias("c"), F.count("*").alias("members")).where("members > 1")
-        lead = lead.select("key", *[F.col(f"c.{c}").alias(f"lead_{c}") for c in info])
-        return (rows.join(lead, "key").where(F.col("node") != F.col("lead_node")).where(fits("lead_", ""))
-                .select(F.col("lead_node").alias("a"), F.col("node").alias("b")).distinct())
-
-    links = written(verify(star(buckets, F.min)), "links")
+    info = [c for c in buckets.columns if c not in ("key", "component", "rank")]
+
+    def star(rows: DataFrame, order: Column, other_group: bool) -> DataFrame:
+        carried = info + ["component"] * other_group
+        lead = rows.groupBy("key").agg(F.max(F.struct(order, *carried)).alias("c"), F.count("*").alias("members")).where("members > 1")
+        lead = lead.select("key", *[F.col(f"c.{c}").alias(f"lead_{c}") for c in carried])
+        pairs = rows.join(lead, "key").where(F.col("node") != F.col("lead_node")).where(fits("lead_", ""))
+        if other_group:
+            pairs = pairs.where("component <> lead_component")
+        return pairs.select(F.least("lead_node", "node").alias("a"), F.greatest("lead_node", "node").alias("b")).distinct()
+
+    links = written(verify(star(buckets, F.col("rank"), False)), "links")
     known = components(links)
-    for centre in (F.max, None):
-        rows = buckets.join(known, "node", "left").withColumn("component", F.coalesce("component", "node"))
-        open_keys = (rows.groupBy("key").agg(F.count("*").alias("members"), F.min("component").alias("x"), F.max("component").alias("y"),
-                                            F.min("node").alias("first"), F.max("node").alias("last"))
-                     .where("members > 2 and x <> y").select("key", "first", "last"))
-        rows = written(rows.join(open_keys, "key"), "open")
-        if centre is not None:
-            more = star(rows.select("key", *info), centre)
+    rows = None
+    for turn in range(1, rounds + 1):
+        named = (buckets if rows is None else rows.drop("component")).join(known, "node", "left").withColumn("component", F.coalesce("component", "node"))
+        open_keys = (named.groupBy("key").agg(F.count("*").alias("members"), F.min("component").alias("x"), F.max("component").alias("y"))
+                     .where("members > 2 and x <> y").select("key"))
+        rows = written(named.join(open_keys, "key"), "open")
+        if rows.isEmpty():
+            break
+        if turn < rounds:
+            more = star(rows, F.xxhash64("node", F.lit(turn)).alias("order"), True)
         else:
-            rest = rows.where("node <> first and node <> last")
-            a = rest.select("key", "component", *[F.col(c).alias(f"l_{c}") for c in info]).withColumnRenamed("component", "l_component")
-            more = (a.join(rest, "key").where("l_component < component").where(fits("l_", ""))
-                    .select(F.col("l_node").alias("a"), F.col("node").alias("b")).distinct())
+            a = rows.select("key", *[F.col(c).alias(f"l_{c}") for c in [*info, "component"]])
+            more = (a.join(rows, "key").where("l_component < component").where(fits("l_", ""))
+                    .select(F.least("l_node", "node").alias("a"), F.greatest("l_node", "node").alias("b")).distinct())
         found = written(verify(more), "links")
         if not found.isEmpty():
-            links = links.unionByName(found)
-            known = components(links)
+            known = components(known.select(F.col("node").alias("a"), F.col("component").alias("b")).unionByName(found))
     return known

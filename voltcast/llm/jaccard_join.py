@@ -6,7 +6,9 @@ classes. Shingles are put in a global order by document frequency, rarest
 first. Two sets with Jaccard similarity of at least t share one of their first
 n - ceil(t*n) + 1 shingles in that order (prefix filter), so classes are joined
 on those; a shingle of frequency 1 cannot join and only counts as a position.
-Length and positional filters drop pairs inside the join, a suffix filter
+Inside the join a length filter and a positional filter (the first common
+shingle must stand early enough in both sets for the overlap that their two
+sizes need) drop pairs, a suffix filter
 (bounding the overlap left and right of pivots) drops more before the exact
 overlap is counted, once per pair. Only shingles of frequency 2 or more can be
 common to two classes, so the overlap is counted on those.
@@ -71,9 +73,10 @@ def shingle_sets(docs: DataFrame, key: str, text: str, size: int = 5) -> DataFra
 def frequent_shingles(docs: DataFrame, text: str, size: int, t: tuple[int, int]) -> DataFrame:
     """Classes that have a prefix shingle of frequency 2 or more, written to the shared folder.
 
-    Columns: node, n, start (position of the first such shingle), prefix (the
-    prefix shingles that can join), common (all shingles of frequency 2 or
-    more, sorted by hash, 8 bytes each).
+    Columns: node, n, start (position of the first such shingle), weight (mean
+    frequency: highest for what others are copies of), prefix (the prefix
+    shingles that can join), common (all shingles of frequency 2 or more,
+    sorted by hash, 8 bytes each).
     """
     shares = int(docs.sparkSession.conf.get("spark.sql.shuffle.partitions"))
     schema = "share int, data binary"
@@ -174,25 +177,27 @@ def frequent_shingles(docs: DataFrame, text: str, size: int, t: tuple[int, int])
         h, df = np.concatenate([p[3] for p in parts]), np.concatenate([p[4] for p in parts])
         del parts
         order = np.lexsort((h, df, d))
-        d, n, h = d[order], n[order], h[order]
+        d, n, h, df = d[order], n[order], h[order], df[order].astype(np.float64)
         nodes, begin = np.unique(d, return_index=True)
         m = np.diff(np.append(begin, len(d)))
         n = n[begin]
         start = n - m
         length = n - -(-t[0] * n // t[1]) + 1 - start
-        out = {"node": [], "n": [], "start": [], "prefix": [], "common": []}
+        weight = np.add.reduceat(df, begin) / n
+        out = {"node": [], "n": [], "start": [], "weight": [], "prefix": [], "common": []}
         for i in np.flatnonzero(length > 0).tolist():
             own = h[begin[i]:begin[i] + m[i]]
             out["node"].append(int(nodes[i].view(np.int64)))
             out["n"].append(int(n[i]))
             out["start"].append(int(start[i]))
+            out["weight"].append(float(weight[i]))
             out["prefix"].append(own[:length[i]].view(np.int64))
             out["common"].append(np.sort(own).tobytes())
         return pa.table(out, schema=pa.schema([("node", pa.int64()), ("n", pa.int64()), ("start", pa.int64()),
-                                               ("prefix", pa.list_(pa.int64())), ("common", pa.binary())]))
+                                               ("weight", pa.float64()), ("prefix", pa.list_(pa.int64())), ("common", pa.binary())]))
 
     counted = docs.select(F.col(text).cast("string")).mapInArrow(gather, schema).groupBy("share").applyInArrow(count, schema)
-    return written(counted.groupBy("share").applyInArrow(prefixes, "node long, n long, start long, prefix array<long>, common binary"), "prefixes")
+    return written(counted.groupBy("share").applyInArrow(prefixes, "node long, n long, start long, weight double, prefix array<long>, common binary"), "prefixes")
 
 
 def _overlap_bound(x: np.ndarray, y: np.ndarray, depth: int) -> int:
@@ -236,13 +241,14 @@ def components(docs: DataFrame, key: str = "doc_id", text: str = "text", size: i
     t = similarity
     rows = written(shingle_sets(docs, key, text, size), "sets")
     sets = frequent_shingles(docs, text, size, t)
-    index = (sets.select("node", "n", "start", F.posexplode("prefix").alias("i", "key"))
-             .select("key", "node", "n", (F.col("start") + F.col("i")).alias("pos")))
+    index = (sets.select("node", "n", "start", "weight", F.posexplode("prefix").alias("i", "key"))
+             .select("key", F.col("weight").alias("rank"), "node", "n", (F.col("start") + F.col("i")).alias("pos")))
 
     def fits(a: str, b: str) -> Column:
-        na, nb, pa_, pb = F.col(a + "n"), F.col(b + "n"), F.col(a + "pos"), F.col(b + "pos")
-        most = F.least(pa_, pb) + 1 + F.least(na - pa_ - 1, nb - pb - 1)
-        return (t[1] * F.least(na, nb) >= t[0] * F.greatest(na, nb)) & ((t[0] + t[1]) * most >= t[0] * (na + nb))
+        na, nb = F.col(a + "n"), F.col(b + "n")
+        # an overlap of at least need leaves n - need + 1 shingles for the first common one to be among
+        need = F.ceil(t[0] * (na + nb) / (t[0] + t[1]) - 1e-9)
+        return (t[1] * F.least(na, nb) >= t[0] * F.greatest(na, nb)) & (F.col(a + "pos") + need <= na) & (F.col(b + "pos") + need <= nb)
 
     known = groups(index, fits, lambda pairs: linked_pairs(pairs, sets, t))
     classes = rows.where("node is not null").groupBy("node").agg(F.min("key").alias("low"))
