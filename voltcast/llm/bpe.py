@@ -10,7 +10,9 @@ decoder does.
 
 Defined cases: a null text encodes as an empty one, with no ids and an empty
 decoded text; rows are kept one by one, with null or repeated keys too; other
-columns are ignored; an empty table gives an empty result.
+columns are ignored; an empty table gives an empty result. Rows are read twice
+and must come in the same order both times, as they do from files; if they do
+not, the job stops with an error.
 """
 
 from __future__ import annotations
@@ -43,7 +45,7 @@ def encode(docs: DataFrame, tokenizer_path: str, key: str = "doc_id", text: str
     Python environment); it is never written.
     """
     spark = docs.sparkSession
-    table = C.chunk_table(docs.select(F.col(key).cast("long").alias("k"), F.col(text).cast("string").alias("t")), "k", "t", lower=False)
+    rows = docs.select(F.col(key).cast("long").alias("k"), F.col(text).cast("string").alias("t"))
     table_of_pieces = pieces(tokenizer_path)
     id_type = "uint16" if len(table_of_pieces) <= 65536 else "uint32"
 
@@ -52,17 +54,24 @@ def encode(docs: DataFrame, tokenizer_path: str, key: str = "doc_id", text: str
         tokenizer = Tokenizer.from_file(tokenizer_path)
         tokenizer.no_truncation()
         tokenizer.no_padding()
-        distinct = list(dict.fromkeys(w for ws in words for w in ws))
-        ids: dict[bytes, tuple] = {}
+        number: dict[bytes, int] = {}
+        for ws in words:
+            for w in ws:
+                number.setdefault(w, len(number))
+        distinct, sizes, flat = list(number), [], []
         for at in range(0, len(distinct), 4096):
-            part = distinct[at:at + 4096]
-            got = tokenizer.encode_batch_fast([w.decode("utf-8", "surrogatepass") for w in part], add_special_tokens=False)
-            ids.update(zip(part, (e.ids for e in got)))
+            for e in tokenizer.encode_batch_fast([w.decode("utf-8", "surrogatepass") for w in distinct[at:at + 4096]], add_special_tokens=False):
+                own = e.ids
+                sizes.append(len(own))
+                flat.extend(own)
+        sizes, flat = np.array(sizes, np.int64), np.array(flat, id_type)
+        start = np.cumsum(sizes) - sizes
         out = []
         for ws in words:
-            own = [ids[w] for w in ws]
-            out.append((np.array([len(x) for x in own], np.uint8 if max(map(len, own)) < 256 else np.uint32),
-                        C.planes(np.array([i for x in own for i in x], id_type))))
+            own = np.fromiter(map(number.__getitem__, ws), np.int64, len(ws))
+            size = sizes[own]
+            take = np.arange(int(size.sum())) + np.repeat(start[own] - (np.cumsum(size) - size), size)
+            out.append((size.astype(np.uint8 if size.max() < 256 else np.uint32), C.planes(flat[take])))
         return out
 
     piece_table = spark.sparkContext.broadcast(table_of_pieces)
@@ -89,8 +98,9 @@ def encode(docs: DataFrame, tokenizer_path: str, key: str = "doc_id", text: str
                          "ids": pa.ListArray.from_arrays(pa.array(offsets, pa.int32()), pa.array(ids[take], pa.int32())),
                          "decoded": pa.array(texts, pa.string())})
 
-    replies = C.answer(C.word_requests(table), encode_share)
-    out = C.finish(table, replies, place, "k long, ids array<int>, decoded string")
+    # the chunks are cut twice rather than written: their words for the requests, their positions for the result
+    replies = C.answer(C.word_requests(C.chunk_rows(rows, "k", "t", lower=False, want=("words",))), encode_share)
+    out = C.finish(C.chunk_rows(rows, "k", "t", lower=False, want=("data",)), replies, place, "k long, ids array<int>, decoded string")
     return out.withColumnRenamed("k", key)
 
 

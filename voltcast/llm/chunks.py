@@ -8,15 +8,19 @@ word once and answers each chunk, and the chunk puts the answers back by
 position. A frequent word costs one entry per chunk, so no key is hot; a task
 holds one chunk or one share of the vocabulary.
 
-The chunk table is written to the shared checkpoint folder, so the chunk
-numbers that the later joins rely on are fixed and survive lost executors.
+A chunk is named by a hash of its content. ``chunk_table`` writes the chunks to
+the shared checkpoint folder; ``chunk_rows`` cuts them anew for each use, which
+saves that copy and needs a source whose rows come in the same order each time
+(files do). A chunk whose replies are not complete stops the job with an error.
 """
 
 from __future__ import annotations
 
 import pickle
 import zlib
+from collections import defaultdict
 from collections.abc import Callable, Iterator
+from itertools import count
 
 import numpy as np
 import pyarrow as pa
@@ -52,7 +56,7 @@ def unpack(data: bytes):
 class Chunk:
     """Row keys and flags, words per text, and the word index of each position.
 
-    Distinct words stand by share of the vocabulary, then sorted; ``sizes`` has
+    Distinct words stand by share of the vocabulary, then as they first occur; ``sizes`` has
     the number of words of each share, ``times`` how often each word occurs. An
     index counts words from the most frequent one, which compresses well.
     """
@@ -63,7 +67,7 @@ class Chunk:
     def dumps(self) -> bytes:
         rank = np.empty(len(self.times), np.uint32)
         rank[np.argsort(-self.times, kind="stable")] = np.arange(len(rank), dtype=np.uint32)
-        return pack((self.keys, self.flags, self.counts, self.sizes, planes(self.times.astype(np.uint32)), planes(rank[self.index])), 7)
+        return pack((self.keys, self.flags, self.counts, self.sizes, planes(self.times.astype(np.uint32)), planes(rank[self.index])))
 
     @classmethod
     def loads(cls, data: bytes) -> Chunk:
@@ -76,39 +80,46 @@ class Chunk:
         return np.concatenate([[0], np.cumsum(self.counts, dtype=np.int64)])
 
 
-def chunk_table(docs: DataFrame, key: str, text: str, lower: bool, flag: str | None = None, limit: int = CHUNK_BYTES) -> DataFrame:
-    """Cut (key, text) rows into packed chunks and write them to the shared folder.
+def chunk_rows(docs: DataFrame, key: str, text: str, lower: bool, flag: str | None = None, limit: int = CHUNK_BYTES,
+               want: tuple[str, ...] = ("data", "words")) -> DataFrame:
+    """Cut (key, text) rows into packed chunks.
 
     A null text is a text without words. Words are split at ASCII white space;
     ``lower`` lowers A-Z first. Rows are kept one by one, repeated or not.
     ``words`` holds, per share of the vocabulary, the chunk's distinct words and
     how often each occurs in rows where ``flag`` is true (all rows without one).
+    Columns not in ``want`` are null.
     """
     n = n_shares(docs)
+    schema = pa.schema([("chunk", pa.int64()), ("data", pa.binary()), ("words", pa.list_(pa.binary()))])
 
     def cut(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        import xxhash
         from pyspark import TaskContext
-        first = TaskContext.get().partitionId() << 33
-        keys, flags, counts, index, seen, size = [], [], [], [], {}, 0
+        part, made = TaskContext.get().partitionId(), 0
+        keys, flags, counts, index, seen, size = [], [], [], [], defaultdict(count().__next__), 0
 
         def flush():
-            nonlocal keys, flags, counts, index, seen, size, first
+            nonlocal keys, flags, counts, index, seen, size, made
             words = list(seen)
             share = np.fromiter((zlib.crc32(w) % n for w in words), np.int64, len(words))
-            order = np.array(sorted(range(len(words)), key=lambda i: (share[i], words[i])), np.int64)
+            order = np.argsort(share, kind="stable")
             place = np.empty(len(words), np.int64)
             place[order] = np.arange(len(words))
             index = place[np.concatenate(index)] if len(words) else np.zeros(0, np.int64)
             counts = np.array(counts, np.uint32)
             sizes = np.bincount(share, minlength=n)
-            at = np.concatenate([[0], np.cumsum(sizes)])
-            flagged = np.bincount(index[np.repeat(np.array(flags, bool), counts)], minlength=len(words)).astype(np.uint32)
-            chunk = Chunk(keys, flags, counts, sizes, np.bincount(index, minlength=len(words)), index)
-            asked = [pack((b"\n".join([words[i] for i in order[a:b]]), planes(flagged[a:b]))) if a < b else None for a, b in zip(at[:-1], at[1:])]
-            row = pa.RecordBatch.from_pydict({"chunk": [first], "data": [chunk.dumps()], "words": [asked]},
-                                             schema=pa.schema([("chunk", pa.int64()), ("data", pa.binary()), ("words", pa.list_(pa.binary()))]))
-            keys, flags, counts, index, seen, size, first = [], [], [], [], {}, 0, first + 1
-            return row
+            name = xxhash.xxh3_64_intdigest(repr((part, made, keys)).encode() + counts.tobytes() + index.tobytes())
+            row = {"chunk": [np.int64(np.uint64(name).view(np.int64))], "data": [None], "words": [None]}
+            if "data" in want:
+                row["data"] = [Chunk(keys, flags, counts, sizes, np.bincount(index, minlength=len(words)), index).dumps()]
+            if "words" in want:
+                flagged = np.bincount(index[np.repeat(np.array(flags, bool), counts)], minlength=len(words)).astype(np.uint32)
+                at = np.concatenate([[0], np.cumsum(sizes)])
+                row["words"] = [[pack((b"\n".join([words[i] for i in order[a:b]]), planes(flagged[a:b]))) if a < b else None
+                                 for a, b in zip(at[:-1], at[1:])]]
+            keys, flags, counts, index, seen, size, made = [], [], [], [], defaultdict(count().__next__), 0, made + 1
+            return pa.RecordBatch.from_pydict(row, schema=schema)
 
         for batch in batches:
             for k, t, f in zip(batch.column(0).to_pylist(), batch.column(1), batch.column(2).to_pylist()):
@@ -117,16 +128,21 @@ def chunk_table(docs: DataFrame, key: str, text: str, lower: bool, flag: str | N
                 keys.append(k)
                 flags.append(f)
                 counts.append(len(words))
-                put = seen.setdefault
-                index.append(np.fromiter((put(w, len(seen)) for w in words), np.int64, len(words)))
+                index.append(np.fromiter(map(seen.__getitem__, words), np.uint32, len(words)))
                 size += len(raw) + 64
                 if size >= limit:
                     yield flush()
         if keys:
             yield flush()
 
+    flagged = F.coalesce(F.col(flag), F.lit(False)) if flag else F.lit(True)
+    return docs.select(key, text, flagged).mapInArrow(cut, CHUNK_SCHEMA)
+
+
+def chunk_table(docs: DataFrame, key: str, text: str, lower: bool, flag: str | None = None) -> DataFrame:
+    """``chunk_rows``, written to the shared folder and read back."""
     path = scratch_path(docs.sparkSession, "chunks")
-    docs.select(key, text, F.coalesce(F.col(flag), F.lit(False)) if flag else F.lit(True)).mapInArrow(cut, CHUNK_SCHEMA).write.parquet(path)
+    chunk_rows(docs, key, text, lower, flag).write.parquet(path)
     return docs.sparkSession.read.parquet(path)
 
 
@@ -175,6 +191,8 @@ def finish(chunks: DataFrame, replies: DataFrame, done: Callable[[Chunk, dict[in
                 chunk = Chunk.loads(data[i].as_py())
             else:
                 parts[s] = unpack(data[i].as_py())
+        if chunk is None or sum(s < len(chunk.sizes) for s in parts) != np.count_nonzero(chunk.sizes):
+            raise RuntimeError("chunks changed between two reads of the input; write the input to files first")
         return done(chunk, {s: parts[s] for s in sorted(parts)})
 
     rows = chunks.select("chunk", F.lit(None).cast("int").alias("share"), "data").unionByName(replies)
