@@ -258,3 +258,10 @@ def components(docs: DataFrame, key: str = "doc_id", text: str = "text", size: i
     return (rows.join(named, "node", "left")
             .select(F.col("key").alias(key), F.col("n").alias("n_shingles"),
                     F.when(F.col("node").isNull(), F.col("key")).otherwise(F.col("component_id")).alias("component_id")))
+
+
+def representatives(docs: DataFrame, key: str = "doc_id", text: str = "text", **options) -> DataFrame:
+    """The rows without those whose key is not the smallest of its component, columns unchanged; rows with a null key stay."""
+    found = components(docs, key, text, **options)
+    gone = found.where(F.col(key) != F.col("component_id")).select(F.col(key).alias("_gone")).distinct()
+    return docs.join(gone, docs[key].cast("long") == gone["_gone"], "left_anti")
