@@ -57,14 +57,17 @@ def components(links: DataFrame) -> DataFrame:
         edges.select(F.col("v").alias("node"), F.col("v").alias("component")).distinct())
 
 
-def groups(buckets: DataFrame, fits: Callable[[str, str], Column], verify: Callable[[DataFrame], DataFrame], rounds: int = 4) -> DataFrame:
+def groups(buckets: DataFrame, fits: Callable[[str, str], Column], verify: Callable[[DataFrame], DataFrame], rounds: int = 4,
+           first: DataFrame | None = None) -> DataFrame:
     """Connected groups of the nodes in ``buckets``: (node, component) for every linked node.
 
     ``buckets`` has key, node (long), rank (any ordered type) and the columns
     that ``fits`` needs; ``fits(a, b)`` is a cheap necessary condition on those
     columns with the prefixes a and b. ``verify`` gets distinct pairs (a, b) and
     returns those that are linked. Nodes that no link reaches are absent. An
-    empty table gives an empty one.
+    empty table gives an empty one. A caller that has made the first star round's
+    pairs itself passes them as ``first``; ``buckets`` then needs no rank, and
+    only the buckets of three members or more.
     """
     info = [c for c in buckets.columns if c not in ("key", "component", "rank")]
 
@@ -77,7 +80,7 @@ def groups(buckets: DataFrame, fits: Callable[[str, str], Column], verify: Calla
             pairs = pairs.where("component <> lead_component")
         return pairs.select(F.least("lead_node", "node").alias("a"), F.greatest("lead_node", "node").alias("b")).distinct()
 
-    links = written(verify(star(buckets, F.col("rank"), False)), "links")
+    links = written(verify(star(buckets, F.col("rank"), False) if first is None else first), "links")
     known = components(links)
     rows = None
     for turn in range(1, rounds + 1):
