@@ -49,26 +49,20 @@ def encode(docs: DataFrame, tokenizer_path: str, key: str = "doc_id", text: str
     table_of_pieces = pieces(tokenizer_path)
     id_type = "uint16" if len(table_of_pieces) <= 65536 else "uint32"
 
-    def encode_share(words: list[list[bytes]], _) -> list:
+    def encode_share(distinct: list[bytes], index: list[np.ndarray], _) -> list:
         from tokenizers import Tokenizer
         tokenizer = Tokenizer.from_file(tokenizer_path)
         tokenizer.no_truncation()
         tokenizer.no_padding()
-        number: dict[bytes, int] = {}
-        for ws in words:
-            for w in ws:
-                number.setdefault(w, len(number))
-        distinct, sizes, flat = list(number), [], []
+        sizes, flat = [], []
         for at in range(0, len(distinct), 4096):
-            for e in tokenizer.encode_batch_fast([w.decode("utf-8", "surrogatepass") for w in distinct[at:at + 4096]], add_special_tokens=False):
-                own = e.ids
-                sizes.append(len(own))
-                flat.extend(own)
-        sizes, flat = np.array(sizes, np.int64), np.array(flat, id_type)
+            own = [e.ids for e in tokenizer.encode_batch_fast([w.decode("utf-8", "surrogatepass") for w in distinct[at:at + 4096]], add_special_tokens=False)]
+            sizes.extend(map(len, own))
+            flat.append(np.array([i for x in own for i in x], id_type))
+        sizes, flat = np.array(sizes, np.int64), np.concatenate(flat)
         start = np.cumsum(sizes) - sizes
         out = []
-        for ws in words:
-            own = np.fromiter(map(number.__getitem__, ws), np.int64, len(ws))
+        for own in index:
             size = sizes[own]
             take = np.arange(int(size.sum())) + np.repeat(start[own] - (np.cumsum(size) - size), size)
             out.append((size.astype(np.uint8 if size.max() < 256 else np.uint32), C.planes(flat[take])))

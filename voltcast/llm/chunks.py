@@ -163,12 +163,22 @@ def word_requests(chunks: DataFrame) -> DataFrame:
     return chunks.select("chunk", F.posexplode("words").alias("share", "data")).where("data is not null")
 
 
-def answer(requests: DataFrame, own: Callable[[list[list[bytes]], list[np.ndarray]], list]) -> DataFrame:
-    """Each share of the vocabulary in one task: ``own`` gets all chunks' words and counts, and returns a value per chunk."""
+def answer(requests: DataFrame, own: Callable[[list[bytes], list[np.ndarray], list[np.ndarray]], list]) -> DataFrame:
+    """Each share of the vocabulary in one task.
+
+    ``own`` gets the share's distinct words and, per chunk, their indexes into
+    these and their counts; it returns a value per chunk.
+    """
 
     def serve(table: pa.Table) -> pa.Table:
-        asked = [unpack(x) for x in table.column("data").to_pylist()]
-        replies = own([w.split(b"\n") for w, _ in asked], [from_planes(x, "uint32") for _, x in asked])
+        number: defaultdict[bytes, int] = defaultdict(count().__next__)
+        index, times = [], []
+        for data in table.column("data"):
+            words, held = unpack(data.as_py())
+            words = words.split(b"\n")
+            index.append(np.fromiter(map(number.__getitem__, words), np.uint32, len(words)))
+            times.append(from_planes(held, "uint32"))
+        replies = own(list(number), index, times)
         return pa.table({"chunk": table.column("chunk"), "share": table.column("share"),
                          "data": pa.array([pack(x) for x in replies], pa.binary())})
 

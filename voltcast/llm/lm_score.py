@@ -129,13 +129,11 @@ def score(docs: DataFrame, training: str, key: str = "doc_id", text: str = "text
     shares = C.n_shares(docs)
 
     # exact word counts, once per distinct word; every chunk gets those of its words
-    def count(words: list[list[bytes]], times: list[np.ndarray]) -> list:
-        total: dict[bytes, int] = {}
-        for ws, ts in zip(words, times):
-            for w, c in zip(ws, ts.tolist()):
-                total[w] = total.get(w, 0) + c
-        known = [c for c in total.values() if c]
-        return [(C.planes(np.array([total[w] for w in ws], np.int64)), sum(known), len(known)) for ws in words]
+    def count(words: list[bytes], index: list[np.ndarray], times: list[np.ndarray]) -> list:
+        total = np.zeros(len(words), np.int64)
+        for own, c in zip(index, times):
+            total[own] += c                                 # a chunk has each word once
+        return [(C.planes(total[own]), int(total.sum()), int((total > 0).sum())) for own in index]
 
     counted = written(C.answer(C.word_requests(table), count), "counts")
     one_each = counted.groupBy("share").agg(F.min_by("data", "chunk").alias("data")).select("data")
