@@ -44,7 +44,7 @@ def test_exact_percentile_matches_numpy(spark):
     df = spark.createDataFrame([(float(v),) for v in vals], "a double")
     for q in (0.5, 0.98, 0.0, 1.0):
         want = np.percentile(vals, q * 100)
-        assert stats.exact_percentile(df, "a", q, accuracy=200, one_buffer_max=0) == pytest.approx(want)
+        assert stats.exact_percentile(df, "a", q, accuracy=200) == pytest.approx(want)
         assert stats.exact_percentile(df, "a", q) == pytest.approx(want)
 
 

@@ -82,7 +82,8 @@ def residual_summary(preds: DataFrame, group_cols: Sequence[str] = ("model",), k
     base = preds.select(*group_cols, r.alias("residual"))
     mom = base.groupBy(*group_cols).agg(F.count(F.lit(1)).alias("n"), F.avg("residual").alias("mean_residual"),
                                         F.var_pop("residual").alias("var_residual"))
-    d = base.join(mom, list(group_cols))
+    # one row per group (model): a dozen or so, never the size of the data
+    d = base.join(F.broadcast(mom), list(group_cols))
     out = d.groupBy(*group_cols, "n", "mean_residual", "var_residual").agg(
         (F.avg(F.when(F.abs(F.col("residual") - F.col("mean_residual"))
                       > F.lit(k) * F.sqrt(F.col("var_residual")), 1.0).otherwise(0.0)) * 100)
@@ -91,12 +92,13 @@ def residual_summary(preds: DataFrame, group_cols: Sequence[str] = ("model",), k
 
 
 def equal_width_histogram(df: DataFrame, value_col: str, bins: int,
-                          group_cols: Sequence[str] = ()) -> DataFrame:
+                          group_cols: Sequence[str] = (), few_groups: bool = False) -> DataFrame:
     """Equal-width bins from min to max per group; the last bin is closed; centres reported.
 
     Empty bins are reported with count 0 (bin ids generated from ``sequence``).
     Zero width (all values equal) puts every value in bin 0. The limits table has
-    one row per group and is joined back on the group key.
+    one row per group and is joined back on the group key; ``few_groups`` says
+    that the groups are few whatever the data (models), so it is broadcast.
     """
     keys = list(group_cols) or ["_g"]
     if not group_cols:
@@ -106,7 +108,7 @@ def equal_width_histogram(df: DataFrame, value_col: str, bins: int,
     width = (F.col("_hi") - F.col("_lo")) / F.lit(float(bins))
     idx = F.when(width == 0, F.lit(0)).otherwise(
         F.least(F.floor(F.try_divide(v - F.col("_lo"), width)), F.lit(bins - 1)))
-    d = df.join(F.broadcast(lim) if not group_cols else lim, keys)
+    d = df.join(F.broadcast(lim) if few_groups or not group_cols else lim, keys)
     counts = d.groupBy(*keys, idx.cast("int").alias("bin")).agg(F.count(F.lit(1)).alias("count"))
     grid = lim.select(*keys, "_lo", "_hi", F.explode(F.sequence(F.lit(0), F.lit(bins - 1))).alias("bin"))
     out = grid.join(counts, [*keys, "bin"], "left")
@@ -130,25 +132,14 @@ def best_of_history(df: DataFrame, value_col: str, order_col: str, group_cols: S
                                        F.count(F.lit(1)).alias("n"))
 
 
-def percentile_exact(col: str | Column, q: float) -> Column:
-    """Exact percentile with linear interpolation (NumPy's default)."""
-    c = F.col(col) if isinstance(col, str) else col
-    return F.percentile(c, F.lit(q))
+def exact_percentile(df: DataFrame, col: str, q: float, accuracy: int = 100_000) -> float:
+    """Exact percentile with linear interpolation (NumPy's default), without one task holding a column.
 
-
-EXACT_IN_ONE_BUFFER = 1_000_000  # values (8 MB): the size bound for a single-buffer exact percentile
-
-
-def exact_percentile(df: DataFrame, col: str, q: float, accuracy: int = 100_000,
-                     one_buffer_max: int = EXACT_IN_ONE_BUFFER) -> float:
-    """Exact percentile with linear interpolation, without one task holding an unbounded column.
-
-    Up to ``one_buffer_max`` values (checked by a count) Spark's exact
-    ``percentile`` aggregate is used: its buffer holds at most that many values.
-    Beyond it: 1. ``percentile_approx`` brackets the target rank (rank error at
-    most n/accuracy), 2. rows below the bracket are counted, 3. only the bracket
-    (about 4n/accuracy rows) is ranked, by a distributed sort. Falls back to the
-    whole column when the bracket misses (cannot happen within the bound).
+    1. ``percentile_approx`` brackets the target rank (rank error at most
+    n/accuracy), 2. rows below the bracket are counted, 3. only the bracket
+    (about 4n/accuracy rows, or as many as are tied there) is ranked, by a
+    distributed sort. Falls back to the whole column when the bracket misses
+    (cannot happen within the bound).
     """
     from voltcast.operators.ordered import position_index
 
@@ -156,8 +147,6 @@ def exact_percentile(df: DataFrame, col: str, q: float, accuracy: int = 100_000,
     n = vals.count()
     if n == 0:
         return float("nan")
-    if n <= one_buffer_max:
-        return float(vals.agg(F.percentile("v", F.lit(q))).first()[0])
     rank = q * (n - 1)
     k0 = int(math.floor(rank))
     frac = rank - k0
