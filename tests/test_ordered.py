@@ -182,10 +182,23 @@ def test_feature_pipeline_single_window_exchange(spark):
 
 
 def test_partition_sizing_helpers(spark):
-    from voltcast.operators.ordered import MAX_SORT_PARTITIONS, sized_for_fit, sort_partitions
+    from voltcast.operators.ordered import MAX_SORT_PARTITIONS, fit_input, sort_partitions
     df = spark.range(1000).repartition(6)
     base = int(spark.conf.get("spark.sql.shuffle.partitions"))
     assert base <= sort_partitions(df) <= MAX_SORT_PARTITIONS
     assert sort_partitions(df, target_bytes=1) > base  # follows the size estimate
-    assert sized_for_fit(df).rdd.getNumPartitions() == 1
-    assert sized_for_fit(df, target_bytes=1).rdd.getNumPartitions() == 6  # coalesce never increases
+    assert fit_input(df).rdd.getNumPartitions() == 6  # its own
+    assert fit_input(df, 2).rdd.getNumPartitions() == 2
+    assert fit_input(df, 50).rdd.getNumPartitions() == 6  # coalesce never increases
+
+
+def test_null_series_keys_are_a_series(spark):
+    from pyspark.sql import functions as F
+
+    from voltcast.operators.ordered import forward_fill, position_index
+    rows = [(None, 1, 1.0), (None, 2, None), ("a", 1, None), ("a", 2, 5.0), ("a", 3, None)]
+    df = position_index(spark.createDataFrame(rows, "s string, t int, v double"), ["t"], ["s"])
+    assert sorted((r.s or "", r.t, r.pos) for r in df.collect()) == [("", 1, 0), ("", 2, 1), ("a", 1, 0), ("a", 2, 1), ("a", 3, 2)]
+    filled = forward_fill(df, "v", series_keys=["s"], block_size=1)
+    assert sorted((r.s or "", r.t, r.v) for r in filled.select("s", "t", F.coalesce("v", F.lit(-1.0)).alias("v")).collect()) == [
+        ("", 1, 1.0), ("", 2, 1.0), ("a", 1, -1.0), ("a", 2, 5.0), ("a", 3, 5.0)]

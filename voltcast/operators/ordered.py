@@ -49,18 +49,20 @@ def sort_partitions(df: DataFrame, target_bytes: int = TARGET_PARTITION_BYTES) -
     return int(min(MAX_SORT_PARTITIONS, max(base, -(-size // target_bytes))))
 
 
-def sized_for_fit(df: DataFrame, target_bytes: int = TARGET_PARTITION_BYTES) -> DataFrame:
-    """Coalesce a model-fitting input to about ``target_bytes`` per partition.
+def fit_input(df: DataFrame, partitions: int | None = None) -> DataFrame:
+    """Input of a model fit, coalesced to ``partitions`` if given (never a shuffle, never more).
 
-    Iterative fitters run several jobs per iteration; their task count follows
-    the input's partitions, so tiny partitions only add scheduling overhead.
-    ``coalesce`` never increases the count and never shuffles.
+    Iterative fitters run several jobs per iteration, with a task per input
+    partition: a small input gains from few, a big one from its own.
     """
-    try:
-        size = int(str(df._jdf.queryExecution().optimizedPlan().stats().sizeInBytes()))
-    except Exception:  # noqa: BLE001
-        return df
-    return df.coalesce(int(min(MAX_SORT_PARTITIONS, max(1, -(-size // target_bytes)))))
+    return df if partitions is None else df.coalesce(partitions)
+
+
+def same_keys(left: DataFrame, right: DataFrame, keys: Sequence[str], how: str = "inner") -> DataFrame:
+    """Equi-join on ``keys`` in which null keys are equal; the right side's keys are dropped."""
+    other = right.select(*[F.col(k).alias(f"_r_{k}") for k in keys], *[c for c in right.columns if c not in keys])
+    cond = [left[k].eqNullSafe(other[f"_r_{k}"]) for k in keys]
+    return left.join(other, cond, how).drop(*[f"_r_{k}" for k in keys])
 
 
 def position_index(df: DataFrame, order_cols: Sequence[str], series_keys: Sequence[str] = (),
@@ -93,7 +95,7 @@ def position_index(df: DataFrame, order_cols: Sequence[str], series_keys: Sequen
            .withColumn("_gpos", F.col("_off") + local))
     if series_keys and per_series:
         starts = out.groupBy(*series_keys).agg(F.min("_gpos").alias("_start"))
-        out = out.join(starts, list(series_keys)).withColumn(pos_col, F.col("_gpos") - F.col("_start"))
+        out = same_keys(out, starts, series_keys).withColumn(pos_col, F.col("_gpos") - F.col("_start"))
         out = out.drop("_start")
     else:
         out = out.withColumn(pos_col, F.col("_gpos"))
@@ -120,7 +122,7 @@ def blocked_window(df: DataFrame, build: Callable[[Window], dict[str, Column]],
     ex = df.select("*", F.explode(copies).alias("_halo"))
     ex = ex.withColumn("_blk", F.floor(pos / F.lit(b)) + F.col("_halo"))
     if block_side is not None:
-        ex = ex.join(block_side, [*series_keys, "_blk"], "left")
+        ex = same_keys(ex, block_side, [*series_keys, "_blk"], "left")
     w = Window.partitionBy(*series_keys, "_blk").orderBy(pos_col)
     exprs = build(w)
     out = ex.select("*", *[e.alias(n) for n, e in exprs.items()])

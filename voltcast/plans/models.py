@@ -22,7 +22,7 @@ from pyspark.sql import functions as F
 
 from voltcast import constants as C
 from voltcast.operators import stats
-from voltcast.operators.ordered import sized_for_fit
+from voltcast.operators.ordered import fit_input
 
 
 def assembler(cols: Sequence[str], out: str = "features") -> VectorAssembler:
@@ -74,11 +74,12 @@ def gradient_boosting(cols: Sequence[str], label: str = C.TARGET, seed: int = 42
 
 def boosting_regularised(cols: Sequence[str], label: str = C.TARGET, seed: int = 42, max_iter: int = 300,
                          max_depth: int = 6, step: float = 0.05, col_sample: float = 0.8,
-                         min_info_gain: float = 0.0) -> Pipeline:
+                         min_info_gain: float = 1.0) -> Pipeline:
     """Re-aimed depth-wise regularised boosting: 300 x depth 6, lr .05, rows and columns sampled 0.8.
 
     MLlib has no L1/L2 leaf penalty; ``min_info_gain`` is the available
-    regulariser. Column sampling is per split node, not per tree.
+    regulariser: a split must lower the node's variance by that much (in squared
+    units of the label). Column sampling is per split node, not per tree.
     """
     gbt = GBTRegressor(featuresCol="features", labelCol=label, maxIter=max_iter, maxDepth=max_depth,
                        stepSize=step, subsamplingRate=0.8, featureSubsetStrategy=str(col_sample),
@@ -108,15 +109,15 @@ def as_long(scored: DataFrame, name: str, label: str = C.TARGET, pred_col: str =
 
 
 def naive_forecast(test: DataFrame, seasonal_col: str = "lag_288", name: str = C.NAIVE,
-                   label: str = C.TARGET) -> DataFrame:
+                   label: str = C.TARGET, keys: Sequence[str] = ("datetime",)) -> DataFrame:
     """Seasonal naive: the value one season (288 rows = one day) earlier."""
-    return test.select("datetime", F.lit(name).alias("model"), F.col(label).alias("actual"),
+    return test.select(*keys, F.lit(name).alias("model"), F.col(label).alias("actual"),
                        F.col(seasonal_col).alias("predicted"))
 
 
 def fit_predict(pipeline: Pipeline, train: DataFrame, test: DataFrame, name: str,
                 label: str = C.TARGET) -> tuple[PipelineModel, DataFrame]:
-    model = pipeline.fit(sized_for_fit(train))
+    model = pipeline.fit(fit_input(train))
     return model, as_long(model.transform(test), name, label)
 
 
@@ -156,16 +157,16 @@ def inverse_rmse_weights(board: DataFrame, components: Sequence[str], model_col:
     return comp.select("model", (F.col("_inv") / total).alias("weight"))
 
 
-def blend(predictions: DataFrame, weights: DataFrame, name: str) -> DataFrame:
-    """Weighted sum of component predictions per timestamp.
+def blend(predictions: DataFrame, weights: DataFrame, name: str, keys: Sequence[str] = ("datetime",)) -> DataFrame:
+    """Weighted sum of component predictions per row, named by ``keys`` (with the position where timestamps tie).
 
     The weight table has one row per component model (a proven, tiny bound), so
-    it is broadcast; the blend is one aggregation keyed by timestamp.
+    it is broadcast; the blend is one aggregation.
     """
     d = predictions.join(F.broadcast(weights), "model")
-    return (d.groupBy("datetime").agg(F.first("actual").alias("actual"),
-                                      F.sum(F.col("weight") * F.col("predicted")).alias("predicted"))
-            .select("datetime", F.lit(name).alias("model"), "actual", "predicted"))
+    return (d.groupBy(*keys).agg(F.first("actual").alias("actual"),
+                                 F.sum(F.col("weight") * F.col("predicted")).alias("predicted"))
+            .select(*keys, F.lit(name).alias("model"), "actual", "predicted"))
 
 
 # --------------------------------------------------------------------------- scalers (M1, M2)
@@ -210,7 +211,3 @@ def fit_minmax(train: DataFrame, cols: Sequence[str]) -> ColumnScaler:
     shift = {c: float(row[f"lo{i}"]) for i, c in enumerate(cols)}
     scale = {c: (float(row[f"hi{i}"]) - float(row[f"lo{i}"])) or 1.0 for i, c in enumerate(cols)}
     return ColumnScaler(shift, scale)
-
-
-def metrics_table(predictions: DataFrame) -> DataFrame:
-    return stats.regression_metrics(predictions)
