@@ -134,7 +134,9 @@ def test_search_history_and_running_min(spark):
     base = dt.datetime(2024, 1, 1)
     rows = [(i, base + dt.timedelta(hours=i), float(np.sin(i / 4.0)), float(i % 24)) for i in range(240)]
     df = spark.createDataFrame(rows, "row long, datetime timestamp_ntz, load double, h double")
-    hist, best = tuning.search(spark, df, ["h"], "t", n_trials=2, k=2, space="leafwise", parallelism=2)
+    hist, best = tuning.search_all(spark, df, ["h"], {"t": "leafwise"}, n_trials=2, k=2, parallelism=2)
+    best = best["t"]
+    assert {r.n_trials for r in hist.collect()} == {2}
     h = running_min(hist, "mae", "trial").orderBy("trial").toPandas()
     assert len(h) == 2 and (h["running_min"] <= h["mae"]).all()
     assert best.number in (1, 2)

@@ -75,7 +75,7 @@ def raw_series(spark: SparkSession, sf_dir: str, cadence: Cadence) -> DataFrame:
 def engineered(spark: SparkSession, sf_dir: str, cadence: Cadence = FIVE_MIN) -> DataFrame:
     """All rows (pre-drop) with every feature and ``pos``."""
     return memo(spark, sf_dir, f"engineered-{cadence.seasonal}",
-                lambda: fp.engineer(raw_series(spark, sf_dir, cadence), cadence, block_size=4096))
+                lambda: fp.engineer(raw_series(spark, sf_dir, cadence), cadence, block_size=C.DEFAULT_BLOCK))
 
 
 def features(spark: SparkSession, sf_dir: str, cadence: Cadence = FIVE_MIN) -> DataFrame:
@@ -137,8 +137,8 @@ def q_drop_incomplete(spark, sf_dir):
 def q_ingest_profile(spark, sf_dir):
     raw = raw_series(spark, sf_dir, FIVE_MIN)
     return rounded(raw.agg(F.count(F.lit(1)).alias("n_rows"),
-                           F.date_format(F.min("datetime"), "yyyy-MM-dd").alias("first_date"),
-                           F.date_format(F.max("datetime"), "yyyy-MM-dd").alias("last_date"),
+                           F.min("datetime").cast("date").alias("first_date"),
+                           F.max("datetime").cast("date").alias("last_date"),
                            F.min("load").alias("min_load"), F.max("load").alias("max_load")))
 
 
@@ -354,7 +354,7 @@ def q_knn_forecast(spark, sf_dir):
 def q_lookback_sequences(spark, sf_dir):
     cols = [*FIVE_MIN.features, C.TARGET]
     scaled = fp.post_drop_position(minmax_frame(spark, sf_dir))
-    seq = lookback_sequences(scaled, cols, C.TARGET, 24, pos_col="row", block_size=4096)
+    seq = lookback_sequences(scaled, cols, C.TARGET, 24, pos_col="row", block_size=C.DEFAULT_BLOCK)
     return rounded(seq.select("datetime", "label", F.size("seq").alias("n_values"),
                               F.aggregate("seq", F.lit(0.0), lambda a, x: a + x).alias("seq_sum"),
                               F.col("seq")[0].alias("seq_first"),
@@ -611,9 +611,8 @@ def searched(spark, sf_dir):
         if key not in _fits:
             train, _ = split_frames(spark, sf_dir)
             rows = fp.post_drop_position(train)
-            h1, b1 = tuning.search(spark, rows, FEATS, "xgb", TRIALS_QUERY, 3, "depthwise")
-            h2, b2 = tuning.search(spark, rows, FEATS, "lgbm", TRIALS_QUERY, 3, "leafwise")
-            _fits[key] = (h1.unionByName(h2), {C.XGB_TUNED: b1, C.LGBM_TUNED: b2})
+            history, best = tuning.search_all(spark, rows, FEATS, {"xgb": "depthwise", "lgbm": "leafwise"}, TRIALS_QUERY, 3)
+            _fits[key] = (history, {C.XGB_TUNED: best["xgb"], C.LGBM_TUNED: best["lgbm"]})
     return _fits[key]
 
 
@@ -649,14 +648,14 @@ def q_sequence_forecast(spark, sf_dir):
     train, _ = split_frames(spark, sf_dir)
     sc = M.fit_minmax(train, cols)
     scaled = fp.post_drop_position(sc.apply(features(spark, sf_dir).select("pos", "datetime", *cols)))
-    seq = lookback_sequences(scaled, cols, C.TARGET, 24, pos_col="row", block_size=4096)
+    seq = lookback_sequences(scaled, cols, C.TARGET, 24, pos_col="row", block_size=C.DEFAULT_BLOCK)
     seq = seq.withColumn("features", array_to_vector("seq"))
     cut = F.to_timestamp_ntz(F.lit(SPLIT))
     lr = LinearRegression(featuresCol="features", labelCol="label", regParam=1e-3, elasticNetParam=0.0,
                           solver="normal")
     model = lr.fit(seq.filter(F.col("datetime") < cut))
     out = model.transform(seq.filter(F.col("datetime") >= cut))
-    return rounded(out.select("datetime", F.lit(C.LSTM).alias("model"),
+    return rounded(out.select("datetime", F.lit(C.SEQUENCE).alias("model"),
                               sc.inverse("label", C.TARGET).alias("actual"),
                               sc.inverse("prediction", C.TARGET).alias("predicted")))
 
@@ -716,16 +715,17 @@ ALL_QUERIES["series_feature_frame"] = q_series_feature_frame
 def q_cv_boosting(spark, sf_dir):
     """Expanding 5-fold CV of the 200-round boosted forecaster on all complete rows (fold MAE + summary)."""
     ranked = memo(spark, sf_dir, "post-drop-rows", lambda: fp.post_drop_position(features(spark, sf_dir)))
-    folds = cvops.expanding_folds(ranked, 5, row_col="row").persist()
+    ranked = ranked.persist()
     pipe = M.boosting_regularised(FEATS, max_iter=200)
-    rows = []
-    for f in range(1, 6):
-        part = folds.filter(F.col("fold") == f)
-        model = pipe.fit(M.sized_for_fit(part.filter(F.col("role") == "train")))
-        scored = model.transform(part.filter(F.col("role") == "test"))
-        mae = scored.agg(F.avg(F.abs(F.col(C.TARGET) - F.col("prediction")))).first()[0]
-        rows.append((f, float(mae)))
-    folds.unpersist()
+
+    def fold_error(bounds):
+        fold, start, end = bounds
+        model = pipe.fit(ranked.filter(F.col("row") < start))
+        scored = model.transform(ranked.filter((F.col("row") >= start) & (F.col("row") < end)))
+        return fold, float(scored.agg(F.avg(F.abs(F.col(C.TARGET) - F.col("prediction")))).first()[0])
+
+    with ThreadPoolExecutor(max_workers=5) as ex:
+        rows = list(ex.map(fold_error, cvops.fold_bounds(ranked.count(), 5)))
     per_fold = spark.createDataFrame(rows, "fold int, mae double")
     summary = stats.cv_summary(per_fold, "mae")
     return rounded(per_fold.withColumn("cv_mean_mae", summary.select("cv_mean_mae").scalar())

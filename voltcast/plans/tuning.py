@@ -2,8 +2,9 @@
 
 Seeded random search over the reference's spaces; each trial is scored by the
 mean validation MAE over expanding time folds of the training rows, with early
-stopping on the validation fold. Trials run from a bounded thread pool so Spark
-executes several fits at once; every fit is a distributed MLlib job.
+stopping on the validation fold. All (study, trial, fold) fits go to one bounded
+thread pool, so Spark executes several at once; every fit is a distributed MLlib
+job. Folds are range filters on one persisted frame, which is released at the end.
 """
 
 from __future__ import annotations
@@ -22,8 +23,8 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from voltcast import constants as C
-from voltcast.operators.cv import expanding_folds
-from voltcast.operators.ordered import sized_for_fit
+from voltcast.operators.cv import fold_bounds
+from voltcast.operators.ordered import fit_input
 from voltcast.plans.models import assembler
 
 
@@ -54,7 +55,7 @@ def sample_leafwise(rng: np.random.RandomState) -> dict:
 
 
 def estimator(params: dict, label: str = C.TARGET, seed: int = 42, early_stop: bool = False,
-              validation_tol: float = 0.01) -> GBTRegressor:
+              validation_tol: float = 0.001) -> GBTRegressor:
     """Map a trial's parameters onto MLlib boosting.
 
     ``num_leaves`` becomes a depth cap of ceil(log2(leaves)) (MLlib grows depth-wise),
@@ -71,48 +72,51 @@ def estimator(params: dict, label: str = C.TARGET, seed: int = 42, early_stop: b
               stepSize=params["learning_rate"], subsamplingRate=0.8, seed=seed,
               featureSubsetStrategy=str(params.get("colsample_bytree", 0.8)),
               minInstancesPerNode=params.get("min_child_samples", 1))
+    if "num_leaves" in params:
+        kw["maxBins"] = 255  # as the leaf-wise model with default parameters
     if early_stop:
         kw.update(validationIndicatorCol="is_val", validationTol=validation_tol)
     return GBTRegressor(**kw)
 
 
-def fold_frames(train_rows: DataFrame, k: int, row_col: str = "row") -> list[DataFrame]:
-    """One frame per fold with ``is_val`` marking its validation block."""
-    tagged = expanding_folds(train_rows, k, row_col=row_col).persist()
-    return [sized_for_fit(tagged.filter(F.col("fold") == f).withColumn("is_val", F.col("role") == "test"))
-            for f in range(1, k + 1)]
+def fold_frames(rows: DataFrame, n: int, k: int, row_col: str = "row") -> list[DataFrame]:
+    """One frame per fold: all rows before the end of its validation block, which ``is_val`` marks."""
+    return [rows.filter(F.col(row_col) < end).withColumn("is_val", F.col(row_col) >= start) for _, start, end in fold_bounds(n, k)]
 
 
-def evaluate_trial(trial: Trial, folds: Sequence[DataFrame], cols: Sequence[str], label: str = C.TARGET) -> float:
-    maes = []
+def fold_error(trial: Trial, fold: DataFrame, cols: Sequence[str], label: str = C.TARGET, partitions: int | None = None) -> float:
     t0 = time.perf_counter()
-    for fold in folds:
-        pipe = Pipeline(stages=[assembler(cols), estimator(trial.params, label, early_stop=True)])
-        model = pipe.fit(fold)
-        val = model.transform(fold.filter(F.col("is_val")))
-        maes.append(val.agg(F.avg(F.abs(F.col(label) - F.col("prediction")))).first()[0])
-        log.info("trial %d fold done: trees=%d", trial.number, model.stages[-1].getNumTrees)
-    log.info("trial %d %s: mae=%.4f in %.1fs", trial.number, trial.params, float(np.mean(maes)),
-             time.perf_counter() - t0)
-    return float(np.mean(maes))
-
-
-def search(spark: SparkSession, train_rows: DataFrame, cols: Sequence[str], study: str, n_trials: int = 50,
-           k: int = 3, space: str = "depthwise", seed: int = 42, parallelism: int = 4,
-           label: str = C.TARGET) -> tuple[DataFrame, Trial]:
-    """Run the search; returns the history (study, trial, mae, running_min) and the best trial."""
-    rng = np.random.RandomState(seed)
-    sampler = sample_depthwise if space == "depthwise" else sample_leafwise
-    trials = [Trial(i + 1, sampler(rng)) for i in range(n_trials)]
-    folds = fold_frames(train_rows, k)
-    with ThreadPoolExecutor(max_workers=max(1, parallelism)) as ex:
-        maes = list(ex.map(lambda t: evaluate_trial(t, folds, cols, label), trials))
-    rows = [(study, t.number, m, str(t.params)) for t, m in zip(trials, maes)]
-    hist = spark.createDataFrame(rows, "study string, trial int, mae double, params string")
-    best = trials[int(np.argmin(maes))]
-    return hist, best
-
-
-def refit(best: Trial, train: DataFrame, cols: Sequence[str], label: str = C.TARGET):
+    model = Pipeline(stages=[assembler(cols), estimator(trial.params, label, early_stop=True)]).fit(fit_input(fold, partitions))
+    mae = model.transform(fold.filter(F.col("is_val"))).agg(F.avg(F.abs(F.col(label) - F.col("prediction")))).first()[0]
+    log.info("trial %d %s: trees=%d mae=%.4f in %.1fs", trial.number, trial.params, model.stages[-1].getNumTrees, mae, time.perf_counter() - t0)
+    return float(mae)
+
+
+def search_all(spark: SparkSession, train_rows: DataFrame, cols: Sequence[str], studies: dict[str, str], n_trials: int = 50,
+               k: int = 3, seed: int = 42, parallelism: int = 8, label: str = C.TARGET, row_col: str = "row",
+               partitions: int | None = None) -> tuple[DataFrame, dict[str, Trial]]:
+    """Run the studies ({name: space}); returns the history (study, trial, mae, params, n_trials) and each study's best trial."""
+    samplers = {"depthwise": sample_depthwise, "leafwise": sample_leafwise}
+    trials = {}
+    for study, space in studies.items():
+        rng = np.random.RandomState(seed)
+        trials[study] = [Trial(i + 1, samplers[space](rng)) for i in range(n_trials)]
+    rows = train_rows.persist()
+    try:
+        folds = fold_frames(rows, rows.count(), k, row_col)
+        work = [(s, t, f) for s in trials for t in trials[s] for f in folds]
+        with ThreadPoolExecutor(max_workers=max(1, parallelism)) as ex:
+            errors = list(ex.map(lambda x: fold_error(x[1], x[2], cols, label, partitions), work))
+    finally:
+        rows.unpersist()
+    history, best = [], {}
+    for s, own in trials.items():
+        mae = [float(np.mean([e for (study, t, _), e in zip(work, errors) if study == s and t.number == x.number])) for x in own]
+        history += [(s, t.number, m, str(t.params), n_trials) for t, m in zip(own, mae)]
+        best[s] = own[int(np.argmin(mae))]
+    return spark.createDataFrame(history, "study string, trial int, mae double, params string, n_trials int"), best
+
+
+def refit(best: Trial, train: DataFrame, cols: Sequence[str], label: str = C.TARGET, partitions: int | None = None):
     """Refit the best parameters on all training rows with the full tree count (no early stop)."""
-    return Pipeline(stages=[assembler(cols), estimator(best.params, label)]).fit(sized_for_fit(train))
+    return Pipeline(stages=[assembler(cols), estimator(best.params, label)]).fit(fit_input(train, partitions))
