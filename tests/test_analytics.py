@@ -90,3 +90,22 @@ def test_resolve_tuned_column(spark):
     wide = an.wide_predictions(_preds(spark), ["a", "b"]).withColumnRenamed("a", C.XGB)
     got = an.shown_prediction(wide, C.XGB_TUNED, "b").orderBy("datetime").first()
     assert got.shown == 11.0
+
+
+def test_tied_timestamps_stay_rows_when_the_position_is_a_key(spark):
+    from voltcast.plans import analytics as an
+    from voltcast.plans import models as M
+    rows = [(p, "2024-01-01", m, 10.0 + p, v + p) for p in range(3) for m, v in (("a", 1.0), ("b", 2.0))]
+    preds = spark.createDataFrame(rows, "pos int, datetime string, model string, actual double, predicted double")
+    wide = an.wide_predictions(preds, ["a", "b"], keys=("datetime", "pos"))
+    assert sorted((r.pos, r.a, r.b, r.Actual) for r in wide.collect()) == [(p, 1.0 + p, 2.0 + p, 10.0 + p) for p in range(3)]
+    weights = spark.createDataFrame([("a", 0.5), ("b", 0.5)], "model string, weight double")
+    assert sorted((r.pos, r.predicted) for r in M.blend(preds, weights, "mix", keys=("datetime", "pos")).collect()) == [(p, 1.5 + p) for p in range(3)]
+
+
+def test_summary_and_histogram_do_not_shuffle_rows_by_model(spark):
+    from voltcast.plans import analytics as an
+    preds = spark.createDataFrame([("m", float(i), float(i % 7)) for i in range(50)], "model string, actual double, predicted double")
+    for df in (an.residual_summary(preds), an.residual_histogram(preds)):
+        plan = df._jdf.queryExecution().sparkPlan().toString()
+        assert "BroadcastHashJoin" in plan

@@ -83,11 +83,14 @@ def relative_score(metrics: DataFrame) -> DataFrame:
                           F.greatest(F.lit(C.RELATIVE_FLOOR), F.coalesce(raw, F.lit(0.0))).alias("score"))
 
 
-def wide_predictions(preds: DataFrame, models: Sequence[str]) -> DataFrame:
-    """datetime, Actual, one column per model (keyed by timestamp, not by position)."""
-    return (preds.groupBy("datetime").pivot("model", list(models))
-            .agg(F.first("predicted"))
-            .join(preds.groupBy("datetime").agg(F.first("actual").alias("Actual")), "datetime"))
+def wide_predictions(preds: DataFrame, models: Sequence[str], keys: Sequence[str] = ("datetime",)) -> DataFrame:
+    """Keys, Actual, one column per model, in one aggregation.
+
+    ``keys`` name a prediction row: add the row position (and series keys) where
+    timestamps tie, else tied rows become one.
+    """
+    return preds.groupBy(*keys).agg(*[F.max(F.when(F.col("model") == m, F.col("predicted"))).alias(m) for m in models],
+                                    F.max("actual").alias("Actual"))
 
 
 def long_predictions(wide: DataFrame, models: Sequence[str]) -> DataFrame:
@@ -136,12 +139,11 @@ def top_models_zoom(preds: DataFrame, board: DataFrame, top: int, last_rows: int
     best = board.filter(F.col("rank") <= top).select("model")  # at most ``top`` rows
     chosen = preds.join(F.broadcast(best), "model", "left_semi")
     tail = tail_per_model(chosen, last_rows)
-    actual = tail_per_model(preds.select("datetime", "actual").distinct()
-                            .withColumn("model", F.lit("Actual")).withColumnRenamed("actual", "predicted"),
-                            last_rows)
+    # the actuals are those of the best model's rows: all models are scored on the same ones
+    first = board.filter(F.col("rank") == 1).select("model")
+    actual = tail.join(F.broadcast(first), "model", "left_semi")
     return (tail.select("datetime", F.col("model").alias("series"), F.col("predicted").alias("value"))
-            .unionByName(actual.select("datetime", F.col("model").alias("series"),
-                                       F.col("predicted").alias("value"))))
+            .unionByName(actual.select("datetime", F.lit("Actual").alias("series"), F.col("actual").alias("value"))))
 
 
 def find_model(metrics: DataFrame, names: Sequence[str]) -> DataFrame:
@@ -159,7 +161,7 @@ def residual_summary(preds: DataFrame) -> DataFrame:
 
 def residual_histogram(preds: DataFrame, bins: int = 15) -> DataFrame:
     r = preds.select("model", (F.col("actual") - F.col("predicted")).alias("residual"))
-    return stats.equal_width_histogram(r, "residual", bins, ["model"])
+    return stats.equal_width_histogram(r, "residual", bins, ["model"], few_groups=True)
 
 
 def residual_kde(preds: DataFrame, grid: int = 200) -> DataFrame:
