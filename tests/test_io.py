@@ -129,3 +129,71 @@ def test_profile_document_computed_once(spark):
     first = readers.profile_document(spark, path, compute).first()
     again = readers.profile_document(spark, path, compute).first()
     assert first.temp == again.temp == 2.0 and len(calls) == 1
+
+
+def test_missing_value_words_become_null(spark, tmp_path):
+    from voltcast.sources import readers
+    path = tmp_path / "raw.csv"
+    words = ["NA", "N/A", "null", "None", "nan", "", " NaN ", "#N/A"]
+    path.write_text("Unnamed: 0, datetime ,Power demand,temp,moving_avg_3\n" + "".join(
+        f"{i},2024-01-01 00:0{i}:00,{i}.5,{w},1\n" for i, w in enumerate(words)))
+    rows = readers.read_load_csv(spark, str(path)).orderBy("datetime").collect()
+    assert [r.temp for r in rows] == [None] * len(words) and [r.load for r in rows] == [i + 0.5 for i in range(len(words))]
+
+
+def test_profile_document_defaults_to_zero_means(spark, tmp_path):
+    from voltcast.sources import readers
+    row = readers.profile_document(spark, str(tmp_path / "absent.json"), columns=["a", "b"]).first()
+    assert (row.a, row.b) == (0.0, 0.0) and not (tmp_path / "absent.json").exists()
+
+
+def test_importances_round_trip(spark, tmp_path):
+    from voltcast.plans import sinks
+    from voltcast.sources import readers
+    wide = spark.createDataFrame([("hour", 0.5, 0.25, 0.125), ("temp", 0.5, 0.75, 0.875)], "`Feature` string, `Random Forest` double, `XGBoost` double, `LightGBM` double")
+    sinks.write_importances(wide, str(tmp_path / "imp"))
+    assert sorted(map(tuple, readers.read_importances(spark, str(tmp_path / "imp")).collect())) == sorted(map(tuple, wide.collect()))
+
+
+def test_predictions_are_read_oldest_first(spark, tmp_path):
+    from voltcast.sources import readers
+    path = tmp_path / "p.csv"
+    path.write_text("datetime,Actual\n" + "".join(f"2024-01-0{d} 00:00:00,{d}\n" for d in (3, 1, 5, 2, 4)))
+    assert [r.Actual for r in readers.read_predictions(spark, str(path), limit=3).collect()] == [3.0, 4.0, 5.0]
+
+
+def test_report_lists_features_in_the_models_order(spark):
+    import json
+
+    from voltcast.constants import FEATURES_5MIN
+    from voltcast.plans import sinks
+    board = spark.createDataFrame([(1, "m", 1.0, 1.0, 1.0, 1.0)], "rank int, model string, MAE double, RMSE double, R2 double, MAPE double")
+    names = [FEATURES_5MIN[5], "zzz", FEATURES_5MIN[0], "aaa"]
+    imp = spark.createDataFrame([(n, 1.0) for n in names], "Feature string, x double").repartition(4)
+    got = json.loads(sinks.report_json(board, imp).first()[0])
+    assert [f["Feature"] for f in got["features"]] == [FEATURES_5MIN[0], FEATURES_5MIN[5], "aaa", "zzz"]
+
+
+def test_no_machine_local_folder_without_a_local_master(spark, monkeypatch):
+    import pytest
+
+    from voltcast import session
+
+    class Context:
+        master = "spark://host:7077"
+
+        def getCheckpointDir(self):
+            return None
+
+        def getConf(self):
+            return self
+
+        def get(self, *_):
+            return None
+
+    class Session:
+        sparkContext, conf = Context(), Context()
+
+    with pytest.raises(RuntimeError, match="spark.checkpoint.dir"):
+        session.ensure_checkpoint_dir(Session())
+    assert session.ensure_checkpoint_dir(spark)

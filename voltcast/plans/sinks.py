@@ -74,7 +74,12 @@ def report_json(board: DataFrame, importances: DataFrame) -> DataFrame:
     """
     m = board.agg(F.sort_array(F.collect_list(F.struct("rank", "model", "MAE", "RMSE", "R2", "MAPE")))
                   .alias("metrics"))
-    f = importances.agg(F.collect_list(F.struct(*[F.col(f"`{c}`") for c in importances.columns]))).scalar()
+    first = importances.columns[0]  # the feature name; features stand in the model's order, others after them by name
+    place = F.coalesce(F.array_position(F.array(*[F.lit(x) for x in C.FEATURES_5MIN]), F.col(f"`{first}`")), F.lit(0))
+    place = F.when(place > 0, place).otherwise(F.lit(len(C.FEATURES_5MIN) + 1))
+    own = F.struct(*[F.col(f"`{c}`") for c in importances.columns])
+    f = importances.agg(F.transform(F.sort_array(F.collect_list(F.struct(place.alias("at"), F.col(f"`{first}`").alias("name"), own.alias("row")))),
+                                    lambda x: x["row"])).scalar()
     return m.select(F.to_json(F.struct("metrics", f.alias("features"))).alias("report"))
 
 

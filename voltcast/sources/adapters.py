@@ -19,6 +19,8 @@ from collections.abc import Sequence
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+EVENT_TYPES = ["click", "error", "purchase", "signup", "view"]
+
 RAW_COLUMNS = ["datetime", "load", "temp", "dwpt", "rhum", "wspd", "pres", "wdir",
                "year", "month", "day", "hour", "minute"]
 
@@ -58,4 +60,4 @@ def hourly_type_pivot(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Hourly ``avg(value)`` per event type, one column per type (missing types give nulls)."""
     ev = table(spark, sf_dir, "events")
     bucket = F.window("ts", "60 minutes").start.alias("datetime")
-    return (ev.groupBy(bucket).pivot("event_type").agg(F.round(F.avg("value"), 6)))
+    return (ev.groupBy(bucket).pivot("event_type", EVENT_TYPES).agg(F.round(F.avg("value"), 6)))

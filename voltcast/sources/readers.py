@@ -10,7 +10,7 @@ from __future__ import annotations
 
 from collections.abc import Sequence
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.types import (DoubleType, IntegerType, LongType, StringType, StructField, StructType)
 
@@ -53,14 +53,24 @@ def drop_columns(df: DataFrame, cols: Sequence[str], strict: bool = False) -> Da
     return df.drop(*[c for c in cols if c in df.columns])
 
 
+# FIXED values: the words that CSV readers of data-frame libraries take as missing by default.
+MISSING_WORDS = ["", "#N/A", "#N/A N/A", "#NA", "-1.#IND", "-1.#QNAN", "-NaN", "-nan", "1.#IND", "1.#QNAN", "<NA>", "N/A", "NA", "NULL",
+                 "NaN", "None", "n/a", "nan", "null"]
+
+
+def present(col: str) -> Column:
+    """Trimmed text of a CSV field, null for a missing-value word."""
+    v = F.trim(F.col(f"`{col}`"))
+    return F.when(~v.isin(MISSING_WORDS), v)
+
+
 def read_load_csv(spark: SparkSession, path: str | Sequence[str], strict: bool = True,
                   target: str = "Power demand") -> DataFrame:
     """Raw load CSV -> typed frame (datetime, load, weather, calendar columns).
 
     Steps: header CSV read as text; trim headers; drop the index and the
     pre-computed moving average; rename the target to ``load``; parse
-    ``datetime``; cast to declared types (``NaN`` text stays a double NaN here
-    and becomes null in the feature pipeline).
+    ``datetime``; missing-value words become null; cast to declared types.
     """
     if not isinstance(path, str):
         path = first_existing(spark, path)
@@ -76,9 +86,9 @@ def read_load_csv(spark: SparkSession, path: str | Sequence[str], strict: bool =
     for c in df.columns:
         t = RAW_TYPES.get(c)
         if t == "timestamp_ntz":
-            out.append(F.to_timestamp_ntz(F.col(c)).alias(c))
+            out.append(F.to_timestamp_ntz(present(c)).alias(c))
         elif t:
-            out.append(F.col(c).cast(t).alias(c))
+            out.append(present(c).cast(t).alias(c))
         else:
             out.append(F.col(c))
     return df.select(*out)
@@ -132,14 +142,14 @@ def read_importances(spark: SparkSession, path: str) -> DataFrame:
 
 
 def read_predictions(spark: SparkSession, path: str, limit: int = 2016) -> DataFrame:
-    """Wide predictions; the latest ``limit`` rows by datetime (``limit <= 0``: all)."""
+    """Wide predictions; the latest ``limit`` rows by datetime, oldest first (``limit <= 0``: all rows)."""
     df = spark.read.option("header", True).option("inferSchema", False).csv(path)
     cols = [F.to_timestamp_ntz("datetime").alias("datetime")] + [
         F.col(f"`{c}`").cast("double").alias(c) for c in df.columns if c != "datetime"]
     df = df.select(*cols)
     if limit > 0:
         df = df.orderBy(F.col("datetime").desc()).limit(limit)
-    return df
+    return df.orderBy("datetime")
 
 
 def read_config(spark: SparkSession, path: str, defaults: dict | None = None) -> DataFrame:
@@ -158,14 +168,18 @@ def read_config(spark: SparkSession, path: str, defaults: dict | None = None) ->
     return spark.createDataFrame([tuple(defaults.values())], StructType(fields))
 
 
-def profile_document(spark: SparkSession, path: str, compute) -> DataFrame:
+def profile_document(spark: SparkSession, path: str, compute=None, columns: Sequence[str] = ()) -> DataFrame:
     """Feature-means document: read it when present, else compute, write and return it.
 
     ``compute()`` returns the one-row profile DataFrame (e.g. the feature means of
-    the complete rows); it is only evaluated when the document is absent.
+    the complete rows); it is only evaluated when the document is absent. Without
+    ``compute`` an absent document means zero for each of ``columns``, and nothing
+    is written.
     """
     if path_exists(spark, path):
         return spark.read.option("multiLine", True).json(path)
+    if compute is None:
+        return spark.range(1).select(*[F.lit(0.0).alias(c) for c in columns])
     prof = compute()
     prof.coalesce(1).write.mode("overwrite").json(path)
     return spark.read.json(path)
