@@ -23,7 +23,6 @@ FEATURES_5MIN = [
     "roll_mean_12", "roll_std_12", "roll_max_12", "roll_min_12",
 ]
 TARGET = "load"
-WEATHER = ["temp", "dwpt", "rhum", "wspd", "pres"]
 
 # Inclusive hour ranges of the two day flags.
 PEAK_HOURS = (18, 21)
@@ -52,9 +51,7 @@ LGBM = "LightGBM"
 XGB_TUNED = "XGBoost (Tuned)"
 LGBM_TUNED = "LightGBM (Tuned)"
 ENSEMBLE = "Ensemble (XGB+LGBM)"
-LSTM = "LSTM"
-SIMPLE_MODELS = [LINEAR, TREE, FOREST, KNN, GBT]
-ADVANCED_MODELS = [XGB_TUNED, LGBM_TUNED, ENSEMBLE, LSTM]
+SEQUENCE = "Sequence Ridge"   # the re-aimed sequence model is a ridge regression, and is called so
 
 # Dashboard code names per model; unknown models keep their own name.
 MODEL_CODENAMES = {
@@ -81,15 +78,9 @@ STATUS_STANDBY = "STANDBY"
 RELATIVE_SCALE = 85.0
 RELATIVE_FLOOR = 15.0
 
-# Result-table column names of the metrics table.
-METRIC_COLUMNS = ["MAE", "RMSE", "R²", "MAPE (%)"]
-
 # Default 50/50 blend weights when no config document exists.
 DEFAULT_WEIGHTS = {"w_xgb": 0.5, "w_lgbm": 0.5}
 
-# Reference split date (train before, test from).
-REFERENCE_SPLIT = "2024-01-01"
-
 # ---------------------------------------------------------------------------
 # Our parameters
 # ---------------------------------------------------------------------------

@@ -2,7 +2,10 @@
 
 from __future__ import annotations
 
+import atexit
 import os
+import re
+import shutil
 import tempfile
 
 from pyspark.sql import DataFrame, SparkSession
@@ -39,8 +42,9 @@ def ensure_checkpoint_dir(spark: SparkSession) -> str:
     """Return the shared checkpoint folder, setting one only where none is configured.
 
     On a cluster ``spark.checkpoint.dir`` names a shared file system; it is read
-    from the session and never overridden. Only when it is unset (local tests)
-    a fresh folder under the system temp directory is used.
+    from the session and never overridden. Where it is unset, a local master (one
+    process, so one disk) gets a fresh temporary folder that goes with the
+    session; any other master is an error, as its executors share no local disk.
     """
     sc = spark.sparkContext
     current = sc.getCheckpointDir()
@@ -48,7 +52,10 @@ def ensure_checkpoint_dir(spark: SparkSession) -> str:
         return current
     conf_dir = spark.conf.get("spark.checkpoint.dir", None) or sc.getConf().get("spark.checkpoint.dir", None)
     if not conf_dir:
+        if not re.match(r"local(\[|$)", sc.master):
+            raise RuntimeError("set spark.checkpoint.dir to a folder that the driver and all executors share")
         conf_dir = tempfile.mkdtemp(prefix="voltcast-ckpt-")
+        atexit.register(shutil.rmtree, conf_dir, ignore_errors=True)
     sc.setCheckpointDir(conf_dir)
     return sc.getCheckpointDir() or conf_dir
 
