@@ -31,23 +31,23 @@ from pyspark.sql import functions as F
 def _cell_topk(k: int, chunk: int):
     def run(train: pd.DataFrame, test: pd.DataFrame) -> pd.DataFrame:
         if train.empty or test.empty:
-            return pd.DataFrame({"qid": pd.Series([], dtype="int64"), "d": pd.Series([], dtype="float64"),
+            return pd.DataFrame({"_key": test["_key"].iloc[:0], "d": pd.Series([], dtype="float64"),
                                  "y": pd.Series([], dtype="float64"), "o": pd.Series([], dtype="int64")})
         xt = np.stack(train["x"].to_numpy()).astype(np.float64)
         yt = train["y"].to_numpy(dtype=np.float64)
         ot = train["o"].to_numpy(dtype=np.int64)
         xq = np.stack(test["x"].to_numpy()).astype(np.float64)
-        qid = test["qid"].to_numpy(dtype=np.int64)
+        key = test["_key"]
         kk = min(k, len(yt))
         outs = []
-        for s in range(0, len(qid), chunk):
+        for s in range(0, len(key), chunk):
             diff = xq[s:s + chunk, None, :] - xt[None, :, :]
             d = np.sqrt(np.einsum("ijk,ijk->ij", diff, diff))
             # order by (distance, train order); keep the first kk of each row
             order = np.lexsort((np.broadcast_to(ot, d.shape), d), axis=1)[:, :kk]
             rows = np.repeat(np.arange(d.shape[0]), kk)
             cols = order.reshape(-1)
-            outs.append(pd.DataFrame({"qid": np.repeat(qid[s:s + chunk], kk), "d": d[rows, cols],
+            outs.append(pd.DataFrame({"_key": key.iloc[s + rows].reset_index(drop=True), "d": d[rows, cols],
                                       "y": yt[cols], "o": ot[cols]}))
         return pd.concat(outs, ignore_index=True)
     return run
@@ -70,21 +70,18 @@ def knn_regress(train: DataFrame, test: DataFrame, feature_cols: Sequence[str],
     tr = tr.withColumn("rb", F.pmod(F.xxhash64("o"), F.lit(n_rb)).cast("int"))
     tr = tr.withColumn("tb", F.explode(F.sequence(F.lit(0), F.lit(n_tb - 1))))
     te = test.select(F.col(test_key).alias("_key"), vec)
-    te = te.withColumn("qid", F.xxhash64("_key"))
-    keys = te.select("_key", "qid")
-    te = te.withColumn("tb", F.pmod(F.col("qid"), F.lit(n_tb)).cast("int"))
+    te = te.withColumn("tb", F.pmod(F.xxhash64("_key"), F.lit(n_tb)).cast("int"))
     te = te.withColumn("rb", F.explode(F.sequence(F.lit(0), F.lit(n_rb - 1))))
-    cand = (tr.groupBy("tb", "rb").cogroup(te.select("tb", "rb", "qid", "x").groupBy("tb", "rb"))
-            .applyInPandas(_cell_topk(k, chunk), schema="qid long, d double, y double, o long"))
-    w = Window.partitionBy("qid").orderBy("d", "o")
+    key_type = te.schema["_key"].dataType.simpleString()
+    cand = (tr.groupBy("tb", "rb").cogroup(te.select("tb", "rb", "_key", "x").groupBy("tb", "rb"))
+            .applyInPandas(_cell_topk(k, chunk), schema=f"_key {key_type}, d double, y double, o long"))
+    w = Window.partitionBy("_key").orderBy("d", "o")
     top = cand.withColumn("_r", F.row_number().over(w)).filter(F.col("_r") <= k)
     exact = F.col("d") == 0
-    agg = top.groupBy("qid").agg(
+    agg = top.groupBy("_key").agg(
         F.sum(F.when(exact, 1).otherwise(0)).alias("n_exact"),
         F.avg(F.when(exact, F.col("y"))).alias("_exact_mean"),
         F.sum(F.when(~exact, F.col("y") / F.col("d"))).alias("_num"),
         F.sum(F.when(~exact, F.lit(1.0) / F.col("d"))).alias("_den"))
     pred = F.when(F.col("n_exact") > 0, F.col("_exact_mean")).otherwise(F.col("_num") / F.col("_den"))
-    # qid is a 64-bit hash of the key; joining back on both keeps a collision from mixing rows
-    res = agg.select("qid", pred.alias("predicted"), "n_exact")
-    return keys.join(res, "qid").select(F.col("_key").alias(test_key), "predicted", "n_exact")
+    return agg.select(F.col("_key").alias(test_key), pred.alias("predicted"), "n_exact")
