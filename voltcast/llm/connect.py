@@ -36,28 +36,27 @@ def components(links: DataFrame) -> DataFrame:
     """Smallest reachable node of every linked node: (node, component).
 
     ``links`` has long columns a, b. Alternates large-star and small-star steps
-    until the edge set stands still; each turn is written to the shared folder.
+    until every node points to one root and no root points on; each turn is
+    written to the shared folder.
     """
-    edges = written(links.where("a <> b").select(F.greatest("a", "b").alias("u"), F.least("a", "b").alias("v")).distinct(), "edges")
-    mark = None
+    edges = links.where("a <> b").select(F.greatest("a", "b").alias("u"), F.least("a", "b").alias("v"))
     while True:
+        edges = written(edges, "edges")
+        roles = edges.select(F.col("u").alias("n"), F.lit(1).alias("from"), F.lit(0).alias("to")).unionByName(
+            edges.select(F.col("v").alias("n"), F.lit(0).alias("from"), F.lit(1).alias("to")))
+        if roles.groupBy("n").agg(F.sum("from").alias("f"), F.sum("to").alias("t")).where("f > 1 or (f = 1 and t > 0)").isEmpty():
+            break
         both = edges.select("u", "v").unionByName(edges.select(F.col("v").alias("u"), F.col("u").alias("v")))
         low = both.groupBy("u").agg(F.least(F.min("v"), F.col("u")).alias("m"))
-        large = both.where("v > u").join(low, "u").select(F.col("v").alias("u"), F.col("m").alias("v")).distinct()
-        large = written(large, "edges")
+        large = written(both.where("v > u").join(low, "u").select(F.col("v").alias("u"), F.col("m").alias("v")), "edges")
         low = large.groupBy("u").agg(F.min("v").alias("m"))
-        small = large.join(low, "u").select(F.greatest("v", "m").alias("u"), F.col("m").alias("v"), F.col("u").alias("w"))
-        small = small.select("u", "v").where("u <> v").unionByName(small.select(F.col("w").alias("u"), "v")).distinct()
-        edges = written(small, "edges")
-        now = edges.agg(F.count("*"), F.sum(F.xxhash64("u", "v").cast("decimal(38,0)"))).first()
-        if now == mark:
-            break
-        mark = now
+        small = large.join(low, "u").select(F.explode(F.array(F.struct(F.col("v").alias("u"), F.col("m").alias("v")), F.struct("u", F.col("m").alias("v")))).alias("e"))
+        edges = small.select("e.u", "e.v").where("u <> v").distinct()
     return edges.select(F.col("u").alias("node"), F.col("v").alias("component")).unionByName(
         edges.select(F.col("v").alias("node"), F.col("v").alias("component")).distinct())
 
 
-def groups(buckets: DataFrame, fits: Callable[[str, str], Column], verify: Callable[[DataFrame], DataFrame], rounds: int = 4,
+def groups(buckets: DataFrame, fits: Callable[[str, str], Column], verify: Callable[[DataFrame], DataFrame], rounds: int = 1,
            first: DataFrame | None = None) -> DataFrame:
     """Connected groups of the nodes in ``buckets``: (node, component) for every linked node.
 
