@@ -122,4 +122,52 @@ SELECT page_id, host, path, rule,
        CASE WHEN rule IN ('org/', 'com/fr/') THEN 'allow' WHEN rule IS NOT NULL THEN 'block'
             WHEN entry IS NOT NULL THEN 'block' ELSE 'allow' END AS verdict, canonical
 FROM ruled LEFT JOIN listed ON canonical = entry""",
+    "op3_quality_rules": r"""
+WITH t AS (SELECT doc_id, coalesce(text, '') AS text FROM documents),
+w AS (SELECT doc_id, text, regexp_extract_all(text, '[^\x20\x09-\x0D]+') AS ws,
+             list_filter(string_split(text, chr(10)), lambda l: regexp_matches(l, '[^\x20\x09-\x0D]')) AS ls FROM t),
+tok AS (SELECT doc_id, unnest(ws) AS w, generate_subscripts(ws, 1) AS i FROM w),
+runs AS (SELECT doc_id, i, w || ' ' || lead(w, 1) OVER o || ' ' || lead(w, 2) OVER o || ' ' || lead(w, 3) OVER o || ' ' || lead(w, 4) OVER o
+                || ' ' || lead(w, 5) OVER o || ' ' || lead(w, 6) OVER o || ' ' || lead(w, 7) OVER o AS g, (lag(w) OVER o = w)::INT AS same
+         FROM tok WINDOW o AS (PARTITION BY doc_id ORDER BY i)),
+again AS (SELECT doc_id, i, count(*) OVER (PARTITION BY doc_id, g) AS n FROM runs WHERE g IS NOT NULL),
+stut AS (SELECT doc_id, sum(same) AS same FROM runs GROUP BY doc_id),
+cover AS (SELECT doc_id, count(DISTINCT place) AS n FROM (SELECT doc_id, unnest(range(i, i + 8)) AS place FROM again WHERE n > 1) GROUP BY doc_id),
+c AS (SELECT w.doc_id, len(ws) AS n_words, coalesce(list_sum(list_transform(ws, lambda x: length(x))), 0)::BIGINT AS word_chars,
+             length(regexp_replace(text, '[^#*$%&|<>]', '', 'g')) AS n_symbols, len(ls) - len(list_distinct(ls)) AS n_dup_lines,
+             coalesce(cover.n, 0) AS n_repeat_words, len(ls) AS n_lines,
+             length(regexp_replace(text, '[^A-Z]', '', 'g')) AS up, length(regexp_replace(text, '[^a-z]', '', 'g')) AS low,
+             length(regexp_replace(text, '[^!?]', '', 'g')) AS marks, length(regexp_replace(text, '[^0-9]', '', 'g')) AS digits,
+             length(regexp_replace(text, '[^|]', '', 'g')) AS bars,
+             coalesce(stut.same, 0) AS same
+      FROM w LEFT JOIN cover ON w.doc_id = cover.doc_id LEFT JOIN stut ON w.doc_id = stut.doc_id),
+b AS (SELECT *, n_words < 20 OR 100 * n_repeat_words > 30 * n_words AS base_failed FROM c)
+SELECT doc_id, n_words, word_chars, n_symbols, n_dup_lines, n_repeat_words, base_failed,
+       NOT (base_failed OR 10 * n_symbols > word_chars OR up > low OR 3 * marks > n_words OR 2 * digits > word_chars
+            OR word_chars < 2 * n_words OR word_chars > 18 * n_words OR (n_lines >= 4 AND 10 * n_dup_lines > 3 * n_lines)
+            OR 5 * bars > n_words OR 5 * same > n_words) AS kept
+FROM b""",
+    "op4_decontam": r"""
+WITH d AS (SELECT doc_id, regexp_extract_all(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[^\x20\x09-\x0D]+') AS ws FROM documents),
+i AS (SELECT item_id, regexp_extract_all(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[^\x20\x09-\x0D]+') AS ws FROM benchmark),
+it AS (SELECT item_id, len(ws) AS n, least(len(ws), 13) AS span, unnest(ws) AS w, unnest(range(len(ws))) AS q FROM i WHERE len(ws) >= 5),
+dt AS (SELECT doc_id, len(ws) AS m, unnest(ws) AS w, unnest(range(len(ws))) AS p FROM d),
+eq AS (SELECT doc_id, item_id, m, n, span, p - q AS shift, p FROM dt JOIN it USING (w)),
+diag AS (SELECT doc_id, item_id, m, n, span, shift, count(*) AS n_matched, list(p) AS ps FROM eq GROUP BY ALL HAVING 4 * count(*) >= 3 * span),
+win AS (SELECT *, unnest(range(greatest(shift, 0), least(shift + n, m) - span + 1)) AS place FROM diag),
+hit AS (SELECT doc_id, item_id, n, n_matched, span, shift, place, len(list_filter(ps, lambda x: x >= place AND x < place + span)) AS inside FROM win),
+best AS (SELECT doc_id, item_id, n, n_matched, shift, span, max(inside) AS top, arg_min(place, (-inside, place)) AS start_word FROM hit GROUP BY ALL)
+SELECT doc_id, item_id, arg_max(start_word, (n_matched, -start_word)) AS start_word, max(n_matched) AS n_matched, n AS n_item
+FROM best WHERE 4 * top >= 3 * span GROUP BY doc_id, item_id, n""",
+    "op6_jaccard_join": r"""
+WITH RECURSIVE w AS (
+  SELECT doc_id, regexp_extract_all(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[^\x20\x09-\x0D]+') AS ws FROM documents),
+s AS (SELECT doc_id, CASE WHEN len(ws) >= 5 THEN list_distinct(list_transform(range(1, len(ws) - 3), lambda i: array_to_string(ws[i:i + 4], ' ')))
+                          WHEN len(ws) > 0 THEN [array_to_string(ws, ' ')] ELSE [] END AS g FROM w),
+t AS (SELECT doc_id, len(g) AS n, unnest(g) AS g FROM s),
+p AS (SELECT a.doc_id AS x, b.doc_id AS y FROM t a JOIN t b ON a.g = b.g AND a.doc_id <> b.doc_id
+      GROUP BY a.doc_id, b.doc_id, a.n, b.n HAVING 100 * count(*) >= 75 * (a.n + b.n - count(*))),
+reach AS (SELECT doc_id AS x, doc_id AS y FROM s UNION SELECT reach.x, p.y FROM reach JOIN p ON reach.y = p.x)
+SELECT s.doc_id, len(g) AS n_shingles, c.component_id
+FROM s JOIN (SELECT x, min(y) AS component_id FROM reach GROUP BY x) c ON s.doc_id = c.x""",
 }
