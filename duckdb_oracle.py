@@ -430,4 +430,12 @@ def all_sql() -> dict[str, str]:
     out.update(source_sink_queries())
     out.update(series_queries())
     out["series_feature_frame"] = series_feature_sql()
+    naive = (f"WITH preds AS (SELECT event_type, datetime, 'Naive Baseline' AS model, load AS actual, lag_24 AS predicted "
+             f"FROM ({series_feature_sql()}) WHERE datetime >= TIMESTAMP '2024-01-24') ")
+    out["series_naive_forecast"] = naive + "SELECT * FROM preds"
+    err = "(actual - predicted)"
+    out["series_metrics"] = naive + f"""SELECT event_type, model, count(*) AS n, {r6(f'avg(abs({err}))')} AS MAE,
+        {r6(f'sqrt(avg({err} * {err}))')} AS RMSE, {r6(f'1 - sum({err} * {err}) / (var_pop(actual) * count(*))')} AS R2,
+        {r6(f'avg(abs({err} / nullif(actual, 0))) * 100')} AS MAPE, CAST(sum(CASE WHEN actual = 0 THEN 1 ELSE 0 END) AS BIGINT) AS n_zero_actual
+        FROM preds GROUP BY event_type, model"""
     return out

@@ -701,15 +701,35 @@ def q_series_window_features(spark, sf_dir):
 ALL_QUERIES["series_window_features"] = q_series_window_features
 
 
+def series_features(spark, sf_dir) -> DataFrame:
+    raw = adapters.load_series(adapters.table(spark, sf_dir, "events"), 60, ["event_type"])
+    eng = fp.engineer(raw, HOURLY, series_keys=["event_type"])
+    return drop_incomplete(eng).select("event_type", "datetime", "load", *HOURLY.features)
+
+
 def q_series_feature_frame(spark, sf_dir):
     """The whole feature pipeline per event type on hourly buckets (series key ``event_type``)."""
-    raw = adapters.load_series(adapters.table(spark, sf_dir, "events"), 60, ["event_type"])
-    eng = fp.engineer(raw, HOURLY, series_keys=["event_type"], block_size=64)
-    ff = drop_incomplete(eng).select("event_type", "datetime", "load", *HOURLY.features)
-    return rounded(ff)
+    return rounded(series_features(spark, sf_dir))
+
+
+def series_predictions(spark, sf_dir) -> DataFrame:
+    _, test = fp.train_test(series_features(spark, sf_dir), SPLIT)
+    return M.naive_forecast(test, "lag_24", keys=("event_type", "datetime"))
+
+
+def q_series_naive_forecast(spark, sf_dir):
+    """Seasonal naive forecast of every series over its test rows."""
+    return rounded(series_predictions(spark, sf_dir))
+
+
+def q_series_metrics(spark, sf_dir):
+    """Error metrics per series and model, in one aggregation."""
+    return rounded(stats.regression_metrics(series_predictions(spark, sf_dir), ["event_type", "model"]))
 
 
 ALL_QUERIES["series_feature_frame"] = q_series_feature_frame
+ALL_QUERIES["series_naive_forecast"] = q_series_naive_forecast
+ALL_QUERIES["series_metrics"] = q_series_metrics
 
 
 def q_cv_boosting(spark, sf_dir):
