@@ -21,7 +21,6 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from voltcast import constants as C
-from voltcast.operators import stats
 from voltcast.operators.ordered import fit_input
 
 
