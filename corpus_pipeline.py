@@ -29,7 +29,7 @@ def stage_quality(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFram
 
 def stage_lines(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Line dedup: of each group of fuzzy copies of a line, the first occurrence stays; n_chars follows the text."""
-    return line_dedup.dedup(docs, removed=None).withColumn("n_chars", F.length("text").cast("long")).select(*docs.columns)
+    return line_dedup.dedup(docs, removed=None, simhash_only=False).withColumn("n_chars", F.length("text").cast("long")).select(*docs.columns)
 
 
 def stage_copies(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:

@@ -457,6 +457,42 @@ def test_word_edit_distance_within_a_limit():
         assert [within(a, b, k) for k in range(6)] == [far <= k for k in range(6)]
 
 
+def test_line_dedup_finds_all_similar_lines(spark):
+    """Against the edit distance alone: a tenth or a quarter of the words of short and long lines changed, moved, put in or left out."""
+    from voltcast.llm import line_dedup as L
+    rng = np.random.default_rng(15)
+    lines, pairs = [], []
+    for n in [3, 4, 5, 7, 8, 9, 10, 11, 12, 16, 20, 40, 80] * 4:
+        a = [f"u{x}" if x > 5 else f"often{x}" for x in rng.integers(0, 40 * n, n)]
+        for edits in {1, n // 10, n // 4}:
+            b = list(a)
+            for at in rng.permutation(n)[:edits]:
+                kind = rng.integers(0, 3)
+                b[at:at + 1] = [["other%d" % rng.integers(10**6)], [b[at] if at < len(b) else "end", "extra%d" % rng.integers(10**6)], []][kind]
+            pairs.append((" ".join(a), " ".join(b)))
+        lines.append(" ".join(a))
+    rows = list(enumerate(dict.fromkeys([x for p in pairs for x in p if x] + ["of of of of of", "of of of of on", "a b c", "a b c d"])))
+    parent = {k: k for k, _ in rows}
+
+    def root(k):
+        while parent[k] != k:
+            k = parent[k]
+        return k
+
+    split = {k: t.split() for k, t in rows}
+    linked = 0
+    for k, a in split.items():
+        for j in range(k):
+            b = split[j]
+            if 4 * abs(len(a) - len(b)) <= max(len(a), len(b)) and set(a) & set(b) and 4 * edit(a, b) <= max(len(a), len(b)):
+                linked += 1
+                x, y = sorted((root(k), root(j)))
+                parent[y] = x
+    assert linked > 60
+    df = spark.createDataFrame(rows, "doc_id long, text string").repartition(3)
+    assert {r.doc_id for r in L.dedup(df, simhash_only=False).where("n_removed > 0").collect()} == {k for k in parent if root(k) != k}
+
+
 # 9 ---------------------------------------------------------------------------------------------------------------
 
 def test_bpe(docs, none):

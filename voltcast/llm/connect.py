@@ -57,7 +57,7 @@ def components(links: DataFrame) -> DataFrame:
 
 
 def groups(buckets: DataFrame, fits: Callable[[str, str], Column], verify: Callable[[DataFrame], DataFrame], rounds: int = 1,
-           first: DataFrame | None = None) -> DataFrame:
+           first: DataFrame | None = None, led: bool = True) -> DataFrame:
     """Connected groups of the nodes in ``buckets``: (node, component) for every linked node.
 
     ``buckets`` has key, node (long), rank (any ordered type) and the columns
@@ -66,7 +66,8 @@ def groups(buckets: DataFrame, fits: Callable[[str, str], Column], verify: Calla
     returns those that are linked. Nodes that no link reaches are absent. An
     empty table gives an empty one. A caller that has made the first star round's
     pairs itself passes them as ``first``; ``buckets`` then needs no rank, and
-    only the buckets of three members or more.
+    only the buckets of three members or more. If ``first`` comes from other
+    buckets, ``led`` is false and all buckets of two are wanted.
     """
     info = [c for c in buckets.columns if c not in ("key", "component", "rank")]
 
@@ -85,7 +86,7 @@ def groups(buckets: DataFrame, fits: Callable[[str, str], Column], verify: Calla
     for turn in range(1, rounds + 1):
         named = (buckets if rows is None else rows.drop("component")).join(known, "node", "left").withColumn("component", F.coalesce("component", "node"))
         open_keys = (named.groupBy("key").agg(F.count("*").alias("members"), F.min("component").alias("x"), F.max("component").alias("y"))
-                     .where("members > 2 and x <> y").select("key"))
+                     .where((F.col("members") > (2 if led or turn > 1 else 1)) & (F.col("x") != F.col("y"))).select("key"))
         rows = written(named.join(open_keys, "key"), "open")
         if rows.isEmpty():
             break

@@ -74,7 +74,7 @@ def op7_pii(spark: SparkSession, sf_dir: str) -> DataFrame:
 def op8_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Every document with the lines that repeat elsewhere, or earlier in it, taken out."""
     from voltcast.llm import line_dedup
-    return line_dedup.dedup(_docs(spark, sf_dir)).select("doc_id", "text", "n_removed")
+    return line_dedup.dedup(_docs(spark, sf_dir), simhash_only=False).select("doc_id", "text", "n_removed")
 
 
 def op9_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
