@@ -181,6 +181,47 @@ def test_decontamination(spark, none):
     assert decontam.overlaps(docs.where("false"), items).count() == 0 and decontam.overlaps(docs, items.where("false")).count() == 0
 
 
+def test_masks_leave_no_placement_of_replaced_words():
+    from itertools import combinations
+
+    from voltcast.llm import decontam
+    for n in range(decontam.LEAST_WORDS, decontam.SPAN + 1):
+        for k in range(n // 4 + 1):
+            for p in combinations(range(n), k):
+                assert any(not {o + at for o in m} & set(p) for m in decontam.cover(n) for at in range(n - m[-1])), (n, p)
+
+
+def test_decontamination_at_the_threshold_equals_the_sql(spark):
+    """Items of 5 to 18 words with as many replaced words as the rule allows, and one more, in any place."""
+    from itertools import combinations
+
+    import duckdb
+
+    from voltcast.llm import decontam
+    from voltcast.llm.queries import SQL
+    rng = np.random.default_rng(2)
+    pad = [f"p{i}" for i in range(9)]
+    items, texts = [], []
+    for n in range(5, 19):
+        item = [f"i{n}w{i}" for i in range(n)]
+        items.append((n, " ".join(item)))
+        for k in range(1, n // 4 + 2):
+            places = list(combinations(range(n), k))
+            for p in (places if len(places) <= 60 else [places[i] for i in rng.permutation(len(places))[:60]] + [(1, 5, 6)]):
+                texts.append(" ".join(pad[:len(texts) % 9] + [f"x{i}" if i in p else w for i, w in enumerate(item)] + pad[len(texts) % 4:]))
+    with duckdb.connect() as db:
+        db.execute("CREATE TABLE documents (doc_id BIGINT, text VARCHAR)")
+        db.execute("CREATE TABLE benchmark (item_id BIGINT, text VARCHAR)")
+        db.executemany("INSERT INTO documents VALUES (?, ?)", list(enumerate(texts)))
+        db.executemany("INSERT INTO benchmark VALUES (?, ?)", items)
+        cursor = db.execute(SQL["op4_decontam"])
+        want = [dict(zip([c[0] for c in cursor.description], r)) for r in cursor.fetchall()]
+    got = decontam.overlaps(spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string").repartition(3),
+                            spark.createDataFrame(items, "item_id long, text string"))
+    cols = ("doc_id", "item_id", "start_word", "n_matched", "n_item")
+    assert len(want) > 300 and by_row(got, *cols) == Counter(tuple(r[c] for c in cols) for r in want)
+
+
 # 5 and 10 --------------------------------------------------------------------------------------------------------
 
 def auc(scores, labels):

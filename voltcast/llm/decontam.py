@@ -5,7 +5,9 @@ selects; the words between them may differ. Seeds of benchmark items and of
 documents are joined. Around each hit the document is laid over the item at the
 hit's offset and compared word by word: an item counts as contained if, in some
 stretch of ``SPAN`` aligned words (the whole item if shorter), at least 3/4 are
-equal. So replaced words do not hide a passage.
+equal. The masks of each length are chosen so that wherever the allowed words
+differ, one mask fits between them (``cover``); so replaced words do not hide a
+passage.
 
 Documents are read once. A bitmap of the item seeds, of fixed size and so
 broadcast, lets through nearly only documents' real seeds; positions near to
@@ -15,6 +17,10 @@ can reach, so whole texts are never shuffled.
 
 from __future__ import annotations
 
+from functools import lru_cache
+from itertools import combinations
+from math import comb
+
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
@@ -24,16 +30,38 @@ from voltcast.llm import textbuf as T
 from voltcast.llm.bitmap import bitmap, present
 from voltcast.llm.connect import written
 
-MASKS = ("1110111", "11011011", "1101000111")
+MASK_WORDS, MASKS = 5, 4                # most words of a mask, and most masks for a length
+PLACEMENTS = 5000                       # placements up to which masks are searched for
 SPAN = 13
 SIMILARITY = (3, 4)
 LEAST_WORDS = 5
 _U = np.uint64
 
 
-def _masks(short_lengths: list[int]) -> list[tuple[int, ...]]:
-    """Word offsets of the masks, and for items too short for a mask all their words."""
-    return [tuple(i for i, c in enumerate(m) if c == "1") for m in MASKS] + [tuple(range(n)) for n in sorted(short_lengths)]
+@lru_cache
+def cover(span: int, similarity: tuple[int, int] = SIMILARITY) -> tuple[tuple[int, ...], ...]:
+    """Masks (word offsets) of which one, somewhere in ``span`` words, has only equal words wherever the words differ that ``similarity`` allows.
+
+    As many words in a mask as ``MASKS`` masks can cover. Where the placements
+    are too many to enumerate, the run of equal words that must be left is the mask.
+    """
+    differ = span * (similarity[1] - similarity[0]) // similarity[1]
+    run = (tuple(range(-(-(span - differ) // (differ + 1)))),)
+    if comb(span, differ) > PLACEMENTS:
+        return run
+    placements = [set(p) for p in combinations(range(span), differ)]
+    for size in range(min(MASK_WORDS, span - differ), len(run[0]), -1):
+        fits = {}
+        for rest in combinations(range(1, span), size - 1):
+            mask = (0, *rest)
+            fits[mask] = {i for i, p in enumerate(placements) if any(p.isdisjoint(o + at for o in mask) for at in range(span - mask[-1]))}
+        left, masks = set(range(len(placements))), []
+        while left and len(masks) < MASKS:
+            masks.append(max(fits, key=lambda m: (len(fits[m] & left), -m[-1], m)))
+            left -= fits[masks[-1]]
+        if not left:
+            return tuple(masks)
+    return run
 
 
 def _seeds(hashes: np.ndarray, offsets: np.ndarray, mask: tuple[int, ...], number: int):
@@ -74,7 +102,6 @@ def overlaps(docs: DataFrame, items: DataFrame, key: str = "doc_id", text: str =
     """
     spark = docs.sparkSession
     items = items.select(F.col(item_key).cast("long").alias("item"), F.col(item_text).cast("string").alias("t"))
-    longest_mask = max(len(m) for m in MASKS)
 
     def item_words(batches):
         for batch in batches:
@@ -87,14 +114,16 @@ def overlaps(docs: DataFrame, items: DataFrame, key: str = "doc_id", text: str =
     words = written(items.mapInArrow(item_words, "item long, n long, words binary").where(F.col("n") >= LEAST_WORDS)
                     .withColumn("number", F.monotonically_increasing_id()), "items")
     reach = words.agg(F.max("n")).first()[0] or 0
-    masks = _masks([r.n for r in words.where(F.col("n") < longest_mask).select("n").distinct().collect()])
+    covers = {n: cover(n, similarity) for n in [span, *(r.n for r in words.where(F.col("n") < span).select("n").distinct().collect())]}
+    masks = sorted({m for c in covers.values() for m in c})
+    longest_mask = max(m[-1] + 1 for m in masks)
 
     def item_seeds(batches):
         for batch in batches:
             for number, n, x in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), batch.column(2)):
                 h = np.frombuffer(x.as_buffer(), _U)
                 for m, mask in enumerate(masks):
-                    if m >= len(MASKS) and n != len(mask):
+                    if mask not in covers[min(n, span)]:
                         continue
                     seed, at, _ = _seeds(h, np.array([0, len(h)]), mask, m)
                     yield pa.RecordBatch.from_pydict({"seed": pa.array(seed.view(np.int64)), "number": pa.array(np.full(len(seed), number)), "at": pa.array(at)})
