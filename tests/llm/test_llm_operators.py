@@ -295,6 +295,18 @@ def test_quoted_terms_are_not_abuse():
 
 # 6 ---------------------------------------------------------------------------------------------------------------
 
+def test_density_of_long_texts_is_counted():
+    from voltcast.llm.toxicity import Automaton, densest, features
+    automaton = Automaton(["idiot"])
+    near = 7
+    scattered, quoted = ("word " * 99 + "idiot ") * 250, 'word "idiot" ' * 250
+    assert [features(t, automaton)[near] for t in (scattered, quoted, "idiot " * 250)] == [np.log1p(1), 0.0, np.log1p(50)]
+    rng = np.random.default_rng(3)
+    for _ in range(50):
+        places = sorted(set(rng.integers(0, 900, rng.integers(0, 300)).tolist()))
+        assert densest(places) == max((sum(1 for j in places if i <= j < i + 50) for i in places), default=0)
+
+
 def brute_components(rows, t=(3, 4)):
     sets = []
     for _, text in rows:

@@ -122,11 +122,21 @@ def hits(text: str, automaton: Automaton) -> list[tuple[int, int, bool]]:
     return out
 
 
+def densest(places: list[int], reach: int = 50) -> int:
+    """Most of the sorted places that lie within ``reach`` words."""
+    most = first = 0
+    for last, place in enumerate(places):
+        while place - places[first] >= reach:
+            first += 1
+        most = max(most, last - first + 1)
+    return most
+
+
 def features(text: str, automaton: Automaton) -> list[float]:
     found = hits(text, automaton)
     exact, fuzzy, stem = (sum(1 for _, e, q in found if not q and e == kind) for kind in (0, 1, STEM_HIT))
     quoted = len(found) - exact - fuzzy - stem
-    near = max((sum(1 for j, _, r in found if not r and i <= j < i + 50) for i, _, q in found if not q), default=0) if len(found) < 200 else 50
+    near = densest([i for i, _, q in found if not q])
     return [1.0, float(exact > 0), np.log1p(exact), float(fuzzy > 0), np.log1p(fuzzy), float(quoted > 0), np.log1p(quoted), np.log1p(near),
             float(stem > 0), np.log1p(stem)]
 
