@@ -295,6 +295,21 @@ def test_quoted_terms_are_not_abuse():
 
 # 6 ---------------------------------------------------------------------------------------------------------------
 
+@pytest.mark.parametrize("share", [0.5, 0.8])
+def test_toxicity_learns_from_mostly_toxic_labels(spark, share):
+    from voltcast.llm import toxicity
+    rng = np.random.default_rng(9)
+    rows = []
+    for i in range(1000):
+        toxic = int(i < share * 1000)
+        body = [f"plain{x}" for x in rng.integers(0, 300, 30)]
+        rows.append((i, " ".join(body + ["scumbag", "moron"][i % 2:][:1] * toxic), toxic))
+    sample = spark.createDataFrame(rows, "k long, t string, y int")
+    model = toxicity.fit(sample)
+    got = {r.doc_id: r.predicted for r in toxicity.score(sample.withColumnRenamed("k", "doc_id").withColumnRenamed("t", "text"), model).collect()}
+    assert got == {i: y for i, _, y in rows}
+
+
 def test_density_of_long_texts_is_counted():
     from voltcast.llm.toxicity import Automaton, densest, features
     automaton = Automaton(["idiot"])

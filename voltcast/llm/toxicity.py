@@ -160,8 +160,9 @@ class Model:
 def learn_lexicon(sample: DataFrame, terms: int = LEXICON_TERMS) -> list[str]:
     """At most ``terms`` words and stems that are abusive by their documents' labels.
 
-    A term is taken when most of its documents are toxic and that share is
-    farther from the sample's than chance explains among all distinct words
+    A term is taken when most of its documents are toxic, at more than twice the
+    sample's odds (which some share fulfils however many are toxic), and that
+    share is farther from the sample's than chance explains among all distinct words
     (document count times divergence above log of the number of terms plus 3).
     The strongest come first, at equal strength whole words and then long stems; one
     whose documents earlier terms account for is left out.
@@ -199,7 +200,7 @@ def learn_lexicon(sample: DataFrame, terms: int = LEXICON_TERMS) -> list[str]:
     size = counts.count()
     p = F.col("k") / F.col("n")
     gain = F.col("n") * (p * F.log(p / base) + F.when(p < 1, (1 - p) * F.log((1 - p) / (1 - base))).otherwise(0.0))
-    found = counts.where((F.col("k") > 0) & (p > max(0.5, 2 * base)) & (gain > float(np.log(size) + 3)) & (F.length("w") > 2))
+    found = counts.where((F.col("k") > 0) & (p > 0.5) & (F.col("k") * (total - toxic) > 2 * (F.col("n") - F.col("k")) * toxic) & (gain > float(np.log(size) + 3)) & (F.length("w") > 2))
     chosen: dict[str, int] = {}
     for r in found.orderBy(F.round(gain, 6).desc(), F.col("w").endswith("*"), F.length("w").desc(), "w").limit(10 * terms).collect():
         bare = r.w.rstrip("*")
