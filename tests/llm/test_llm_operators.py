@@ -436,6 +436,21 @@ def test_pii_bootstrap_finds_unseen_identifiers_in_trusted_contexts(spark):
     assert got[101].spans == ""
 
 
+def test_pii_bootstrap_finds_identifiers_with_blanks_and_spelt_out_at(spark):
+    from voltcast.llm import pii
+    rows = [(i, f"my phone number {p} is here and my e-mail address {m} is here and my credit card {c} is here") for i, (p, m, c) in enumerate(zip(
+        [f"+49 30 12345{i}7" for i in range(8)], [f"name{i}@mail.org" for i in range(8)],
+        ["4111111111111111", "5500005555555559", "340000000000009", "30000000000004", "6011000000000004", "4012888888881881", "5105105105105100", "4222222222222"]))]
+    planted = [("phone", "my phone number ", "030 1234 5678"), ("phone", "my phone number (", "030) 1234 5678"), ("card", "my credit card ", "4111 XXXX XXXX 9999"),
+               ("email", "my e-mail address ", "jane(at)mail.org"), ("email", "my e-mail address ", "jane[at]mail.org"), ("email", "my e-mail address ", "jane (at) mail.org"),
+               ("email", "my e-mail address ", "jane.doe7 [at] mail.org")]
+    rows += [(100 + i, f"{before}{m} is here") for i, (_, before, m) in enumerate(planted)]
+    rows += [(200, "we met (at) noon and [at] night"), (201, "room 12 34 56 78 90 was empty"), (202, "x x x x x x x x x x x x x"), (203, "7 " * 6000)]
+    got = {r.doc_id: r.spans for r in pii.digests(pii.find(spark.createDataFrame(rows, "doc_id long, text string"))).collect()}
+    assert [got[100 + i] for i in range(len(planted))] == [f"{kind}:{len(before)}:{len(before) + len(m)}" for kind, before, m in planted]
+    assert [got[i] for i in (200, 201, 202, 203)] == [""] * 4
+
+
 def test_pii_runs_without_python(spark):
     from voltcast.llm import pii
     plan = pii.find(spark.createDataFrame([(1, "a@b.c")], "doc_id long, text string"))._jdf.queryExecution().executedPlan().toString()

@@ -2,8 +2,10 @@
 
 Base identifiers (email, ip, card, phone) are found by regular expressions. They
 seed a bootstrap: the words before and after a seed are its lexical patterns
-(one word before, two words before, one word after). Identifier-like tokens
-that no base pattern covers are the candidates; a candidate is an instance of
+(one word before, two words before, one word after). Identifier-like tokens,
+runs of digit groups between single blanks, taken whole, and words around (at)
+or [at], with or without blanks, are the candidates unless a base span overlaps
+them; a candidate is an instance of
 every kind whose outer form it could have. Patterns and instances form a graph:
 
 - a pattern's score is the mean score of its distinct instances (seeds have
@@ -37,10 +39,14 @@ OCTETS = r"^0*(?:25[0-5]|2[0-4][0-9]|1[0-9][0-9]|[0-9]{1,2})(?:\.0*(?:25[0-5]|2[
 LIKE = {
     "email": r"^[^@]+(?:@|\(at\)|\[at\])[^@]+$",
     "ip": r"^[0-9]+(?:[.,:][0-9]+){3}$",
-    "card": r"^(?:[0-9Xx*][.-]?){12,19}$",
-    "phone": r"^\+?(?:[0-9][().-]*){7,15}$",
+    "card": r"^(?:[0-9Xx*][ .-]?){12,19}$",
+    "phone": r"^\+?(?:[0-9][ ().-]*){7,15}$",
 }
 CANDIDATE = r"(?<!\S)[^\s0-9@]*+[0-9@]\S*+"
+# The forms that hold blanks or a spelt-out @: words around (at), and two or more groups of digits or masking signs.
+SPACED = (r"(?<!\S)(?:[^\s@]+? ?(?:\(at\)|\[at\]) ?[^\s@]++"
+          r"|[+(\[\"'`{<]*+[0-9Xx*][0-9Xx*().-]*+(?: [0-9Xx*(][0-9Xx*().-]*+(?![^\s,;:!?|\"'`\]}>]))++)")
+ANY = r"[0-9@]|\(at\)|\[at\]"
 WRAP = "\"'`()[]{}<>.,;:!?|"
 REACH = 60
 ROUNDS, ACCEPT, SUPPORT, PRIOR = 3, 0.8, 5, 1.0
@@ -110,23 +116,24 @@ def find(docs: DataFrame, key: str = "doc_id", text: str = "text") -> DataFrame:
     ``kind`` is an index into ``KINDS``; ``spans`` has the base spans and the
     bootstrapped ones. Defined cases: a null or empty text has no span; rows
     are searched one by one, repeated or not; other columns are ignored;
-    candidates that overlap a base span are not looked at; an empty table gives
+    candidates that overlap a base span are not looked at; of new spans inside
+    one another the longest is given; an empty table gives
     an empty result.
     """
     kind_span = "array<struct<start:int,kind:int,end:int,m:string>>"
     none = F.expr(f"cast(array() as {kind_span})")
     t = F.col("text")
     rows = docs.select(F.col(key).alias("key"), F.col(text).cast("string").alias("text"))
-    some = t.rlike("[0-9@]")
+    some = t.rlike(ANY)
     found = rows.where(some)
     for kind in KINDS:
         found = found.withColumn(kind, F.coalesce(_base(kind, t), none))
     found = found.withColumn("base", F.array_sort(F.flatten(F.array(*KINDS))))
-    tokens = F.transform(matches(t, CANDIDATE), lambda x: F.struct(
+    tokens = F.transform(F.concat(matches(t, CANDIDATE), F.filter(matches(t, SPACED), lambda x: x["m"].rlike(ANY))), lambda x: F.struct(
         (x["start"] + F.length(x["m"]) - F.length(F.ltrim(x["m"], F.lit(WRAP)))).alias("start"), F.trim(x["m"], F.lit(WRAP)).alias("m")))
     tokens = F.filter(tokens, lambda x: F.exists(F.array(*[x["m"].rlike(LIKE[k]) for k in KINDS]), lambda b: b)
                       & ~F.exists("base", lambda b: (b["start"] < x["start"] + F.length(x["m"])) & (x["start"] < b["end"])))
-    found = found.withColumn("other", tokens)
+    found = found.withColumn("other", F.array_distinct(tokens))
     seeds = F.transform("base", lambda b: F.struct(b["kind"].alias("kind"), b["m"].alias("m"), _contexts(t, b["start"], b["end"]).alias("p")))
     likely = F.flatten(F.transform("other", lambda x: F.transform(
         F.filter(F.array(*[F.when(x["m"].rlike(LIKE[k]), F.lit(i)) for i, k in enumerate(KINDS)]), lambda i: i.isNotNull()),
@@ -140,6 +147,8 @@ def find(docs: DataFrame, key: str = "doc_id", text: str = "text") -> DataFrame:
     new = (found.select("row", F.explode("other").alias("s")).select("row", "s.kind", "s.start", "s.end", "s.m", F.explode("s.p").alias("pattern"))
            .join(trusted, ["kind", "pattern"], "left_semi").groupBy("row", "start", "end", "m").agg(F.min("kind").alias("kind"))
            .groupBy("row").agg(F.collect_list(F.struct("start", "kind", "end", "m")).alias("new")))
+    inside = lambda x, y: (y["start"] <= x["start"]) & (x["end"] <= y["end"]) & (y["end"] - y["start"] > x["end"] - x["start"])
+    new = new.withColumn("new", F.filter("new", lambda x: ~F.exists("new", lambda y: inside(x, y))))
     full = (found.join(new, "row", "left")
             .select("key", "base", F.array_sort(F.concat("base", F.coalesce("new", none))).alias("spans")))
     clean = rows.where(F.coalesce(~some, F.lit(True))).select("key", none.alias("base"), none.alias("spans"))
