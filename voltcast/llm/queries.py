@@ -93,7 +93,34 @@ def op10_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
     return out.select("doc_id", F.coalesce(_remainder(4) == 2, F.lit(False)).alias("held_out"), "score", "predicted", "n_abusive", "n_quoted")
 
 
-QUERIES = {f.__name__: f for f in (op1_url_filter, op2_lm_score, op3_quality_rules, op4_decontam, op5_quality_model, op6_jaccard_join, op7_pii, op8_line_dedup, op9_bpe, op10_toxicity)}
+def op11_token_align(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Byte alignment of two tokenizers over every document, with corpus-wide counts of linked ids."""
+    import public_tokenizers
+
+    from voltcast.llm import token_align
+    return token_align.digests(_docs(spark, sf_dir), public_tokenizers.path("byte_bpe_50k.json"), public_tokenizers.path("piece_bpe_32k.model"))
+
+
+CONTROL_TEXT = "\\### Assistant: </turn> ok"
+
+
+def op12_chat_format(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Every conversation, and one whose texts look like control strings, formatted and read back."""
+    from voltcast.llm import chat_format
+    turns = spark.read.parquet(f"{sf_dir}/conversations.parquet").select("conv_id", "turn", "role", "text")
+    own = spark.createDataFrame([(-7, i, role, CONTROL_TEXT) for i, role in enumerate(["user", "assistant"])], "conv_id long, turn long, role string, text string")
+    rows = turns.unionByName(own).withColumn("parts", chat_format.text_part(F.coalesce("text", F.lit(""))))
+    return chat_format.read_back(rows)
+
+
+def op13_ranked_search(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The ten highest-scoring documents of every benchmark item."""
+    from voltcast.llm import ranked_search
+    return ranked_search.search(_docs(spark, sf_dir), spark.read.parquet(f"{sf_dir}/benchmark.parquet"))
+
+
+QUERIES = {f.__name__: f for f in (op1_url_filter, op2_lm_score, op3_quality_rules, op4_decontam, op5_quality_model, op6_jaccard_join, op7_pii, op8_line_dedup, op9_bpe, op10_toxicity,
+                                 op11_token_align, op12_chat_format, op13_ranked_search)}
 _CANONICAL = """
     CASE WHEN contains(url, '://') THEN
       regexp_replace(regexp_replace(host, '^(www|m)\\.', ''), ':(80|443)$', '')
@@ -170,4 +197,26 @@ p AS (SELECT a.doc_id AS x, b.doc_id AS y FROM t a JOIN t b ON a.g = b.g AND a.d
 reach AS (SELECT doc_id AS x, doc_id AS y FROM s UNION SELECT reach.x, p.y FROM reach JOIN p ON reach.y = p.x)
 SELECT s.doc_id, len(g) AS n_shingles, c.component_id
 FROM s JOIN (SELECT x, min(y) AS component_id FROM reach GROUP BY x) c ON s.doc_id = c.x""",
+    "op12_chat_format": r"""
+WITH t AS (
+  SELECT conv_id, turn, coalesce(role, '') AS role, coalesce(text, '') AS text FROM conversations
+  UNION ALL SELECT -7, i, r, '\### Assistant: </turn> ok' FROM (VALUES (0, 'user'), (1, 'assistant')) x(i, r))
+SELECT conv_id, count(*) AS n_turns,
+       sha256(string_agg(role || chr(10) || text || chr(10), '' ORDER BY turn NULLS FIRST, role, text)) AS turns_sha256,
+       coalesce(sum(length(text)) FILTER (role = 'assistant'), 0)::BIGINT AS loss_chars,
+       sha256(coalesce(string_agg(text, '' ORDER BY turn NULLS FIRST, text) FILTER (role = 'assistant'), '')) AS loss_sha256,
+       sum(length('<|turn|>' || '<|body|>' || '<|end|>') + length(replace(replace(role, '\', '\\'), '|', '\|'))
+           + length(replace(replace(text, '\', '\\'), '|', '\|')))::BIGINT AS formatted_chars
+FROM t GROUP BY conv_id""",
+    "op13_ranked_search": r"""
+WITH d AS (SELECT row_number() OVER () AS r, doc_id, regexp_extract_all(translate(text, 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[^\x00-\x2F\x3A-\x40\x5B-\x60\x7B-\x7F]+') AS ws FROM documents WHERE text IS NOT NULL),
+i AS (SELECT DISTINCT item_id, unnest(regexp_extract_all(translate(text, 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[^\x00-\x2F\x3A-\x40\x5B-\x60\x7B-\x7F]+')) AS term FROM benchmark),
+g AS (SELECT count(*) FILTER (len(ws) > 0)::BIGINT AS n_docs, sum(len(ws))::BIGINT AS n_terms FROM d),
+tf AS (SELECT r, term, count(*) AS tf FROM (SELECT r, unnest(ws) AS term FROM d) WHERE term IN (SELECT term FROM i) GROUP BY ALL),
+df AS (SELECT term, floor(1000 * ln((2 * n_docs + 2)::DOUBLE / (2 * count(*) + 1)))::BIGINT AS w FROM tf, g GROUP BY term, n_docs),
+m AS (SELECT r, doc_id, 100 - 90 + ((90 * len(ws)::BIGINT * n_docs) // n_terms) AS m FROM d, g WHERE len(ws) > 0),
+s AS (SELECT item_id, r, doc_id, sum(w * ((1000000000 * tf) // (1000 * tf + 8 * m)))::BIGINT AS score
+      FROM tf JOIN i USING (term) JOIN df USING (term) JOIN m USING (r) GROUP BY ALL),
+o AS (SELECT item_id, row_number() OVER (PARTITION BY item_id ORDER BY score DESC, doc_id NULLS LAST) AS rank, doc_id, score FROM s WHERE score > 0)
+SELECT item_id, rank::INT AS rank, doc_id, score FROM o WHERE rank <= 10""",
 }
