@@ -118,14 +118,14 @@ def test_model_save_load_round_trip(spark):
 
 
 def test_early_stopping_stops_on_noise(spark):
-    from pyspark.ml import Pipeline
+    from voltcast.operators import boosting
     from voltcast.plans import tuning
     rng = np.random.default_rng(2)
-    rows = [(float(a), float(b), bool(i % 4 == 0)) for i, (a, b) in enumerate(rng.normal(size=(400, 2)))]
-    df = spark.createDataFrame(rows, "x double, load double, is_val boolean")
-    est = tuning.estimator({"n_estimators": 60, "max_depth": 3, "learning_rate": 0.3}, early_stop=True)
-    model = Pipeline(stages=[M.assembler(["x"]), est]).fit(df)
-    assert model.stages[-1].getNumTrees < 60
+    rows = [(i, float(a), float(b)) for i, (a, b) in enumerate(rng.normal(size=(400, 2)))]
+    df = spark.createDataFrame(rows, "row long, x double, load double")
+    p = tuning.model_params({"n_estimators": 60, "max_depth": 3, "learning_rate": 0.3}, patience=20)
+    model = boosting.fit_many(df, [boosting.Spec(("m",), p, (0, 300), (300, 400))], ["x"], "load", "row")[("m",)]
+    assert model.best_round + 20 == len(model.errors) - 1 < 60
 
 
 def test_search_history_and_running_min(spark):
@@ -140,3 +140,18 @@ def test_search_history_and_running_min(spark):
     h = running_min(hist, "mae", "trial").orderBy("trial").toPandas()
     assert len(h) == 2 and (h["running_min"] <= h["mae"]).all()
     assert best.number in (1, 2)
+
+
+def test_folds_per_series(spark):
+    from voltcast.operators.cv import fold_summary, with_test_fold
+    sizes = {"a": 47, "b": 12, None: 30, "short": 5}
+    rows = [(s, r, base) for s, n in sizes.items() for r, base in enumerate(range(100, 100 + n))]
+    df = spark.createDataFrame(rows, "s string, row long, datetime long").repartition(3)
+    got = {(r.s, r.fold, r.role): (r.n_rows, r.first_row, r.last_row, r.first_datetime, r.last_datetime) for r in fold_summary(df, 5, series_keys=["s"]).collect()}
+    want = {}
+    for s, n in sizes.items():
+        for fold, start, end in fold_bounds(n, 5) if n > 5 else []:
+            want[(s, fold, "test")] = (end - start, start, end - 1, 100 + start, 99 + end)
+            want[(s, fold, "train")] = (start, 0, start - 1, 100, 99 + start)
+    assert got == want
+    assert {r.test_fold for r in with_test_fold(df, 5, series_keys=["s"]).where("s = 'short'").collect()} == {None}

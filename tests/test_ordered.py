@@ -182,16 +182,47 @@ def test_feature_pipeline_single_window_exchange(spark):
 
 
 def test_partition_sizing_helpers(spark):
-    from voltcast.operators.ordered import MAX_SORT_PARTITIONS, fit_input, sort_partitions
+    from voltcast.operators.ordered import fit_input, sort_partitions
     df = spark.range(1000).repartition(6)
     base = int(spark.conf.get("spark.sql.shuffle.partitions"))
-    assert base <= sort_partitions(df) <= MAX_SORT_PARTITIONS
-    assert sort_partitions(df, target_bytes=1) > base  # follows the size estimate
+    assert sort_partitions(df) == 1
+    assert sort_partitions(df, target_bytes=1000) == 16  # 16 bytes a row
+    assert sort_partitions(spark.range(4_000_000)) == base
+    assert sort_partitions(df.where("false")) == 1
     assert fit_input(df).rdd.getNumPartitions() == 6  # its own
     assert fit_input(df, 2).rdd.getNumPartitions() == 2
     assert fit_input(df, 50).rdd.getNumPartitions() == 6  # coalesce never increases
 
 
+def test_partitions_follow_rows_and_not_estimates(spark):
+    from voltcast.constants import HOURLY
+    from voltcast.operators.ordered import sort_partitions
+    from voltcast.plans import features as fp
+    base = dt.datetime(2024, 1, 1)
+    rows = [(base + dt.timedelta(hours=i), float(i % 50), 1.0, 2.0, 3.0, 4.0, 5.0, None if i % 3 else float(i % 360)) for i in range(600)]
+    raw = spark.createDataFrame(rows, "datetime timestamp_ntz, load double, temp double, dwpt double, rhum double, wspd double, pres double, wdir double")
+    features = fp.feature_frame(raw.withColumn("hour", F.hour("datetime")).withColumn("month", F.month("datetime")), HOURLY)
+    lazily_cached = features.persist()
+    assert sort_partitions(lazily_cached) == 1
+    ranked = fp.post_drop_position(lazily_cached)
+    assert ranked.rdd.getNumPartitions() == 1 and ranked.count() == lazily_cached.count() > 400
+    estimate = int(str(lazily_cached.join(lazily_cached.select("pos"), "pos")._jdf.queryExecution().optimizedPlan().stats().sizeInBytes()))
+    assert sort_partitions(lazily_cached.join(lazily_cached.select("pos"), "pos")) == 1 < estimate // 1000
+
+
+def test_carry_in_two_levels(spark):
+    from voltcast.operators.ordered import block_carry
+    rng = random.Random(4)
+    values = [(s, p, float(p) if rng.random() < 0.04 else None) for s in ("a", None) for p in range(300)]
+    df = spark.createDataFrame(values, "s string, pos long, v double").repartition(5)
+    for run in (1, 3, 1000):
+        got = {(r.s, r._blk): r._carry for r in block_carry(df, "v", 7, series_keys=["s"], run=run).collect()}
+        for s in ("a", None):
+            for blk in range(43):
+                held = [v for k, p, v in values if k == s and p < 7 * blk and v is not None]
+                assert got[(s, blk)] == (held[-1] if held else None)
+
+
 def test_null_series_keys_are_a_series(spark):
     from pyspark.sql import functions as F
 

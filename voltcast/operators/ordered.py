@@ -31,22 +31,36 @@ from voltcast.session import materialize
 
 _LOCAL_BITS = 33  # monotonically_increasing_id = partition << 33 | row-in-partition
 TARGET_PARTITION_BYTES = 128 * 1024 * 1024
-MAX_SORT_PARTITIONS = 100_000  # also the size bound of the broadcast offset table
+SMALL_PARTITION_BYTES = 1024 * 1024        # data of a few MB uses the session's parallelism, smaller data fewer tasks
+FIXED_WIDTH = {"boolean": 1, "tinyint": 1, "smallint": 2, "int": 4, "float": 4, "date": 4}
+
+
+def row_width(df: DataFrame) -> Column:
+    """Bytes of a row: 8 for each number or timestamp, the length of each string or binary, and 8 a row."""
+    width = F.lit(8)
+    for f in df.schema.fields:
+        kind = f.dataType.simpleString()
+        if kind in ("string", "binary"):
+            width = width + F.coalesce(F.octet_length(F.col(f"`{f.name}`")), F.lit(0)) + 8
+        elif kind.startswith(("array", "map", "struct")):
+            width = width + F.coalesce(F.length(F.to_json(F.struct(F.col(f"`{f.name}`")))), F.lit(0))
+        else:
+            width = width + F.lit(FIXED_WIDTH.get(kind, 8))
+    return width
 
 
 def sort_partitions(df: DataFrame, target_bytes: int = TARGET_PARTITION_BYTES) -> int:
-    """Range partitions for a global sort: Catalyst's size estimate / target size.
+    """Range partitions for a global sort, from the bytes that the rows really have.
 
     AQE can coalesce range partitions afterwards but cannot split them, so the
-    count must follow the data, not the session's default.
+    count must follow the data: at least one partition per ``target_bytes``. The
+    bytes are counted, not estimated: Catalyst's estimates
+    multiply the sides of joins and can be off by any factor. That is one pass
+    over the input, beside the one of the range sampler.
     """
-    spark = df.sparkSession
-    base = int(spark.conf.get("spark.sql.shuffle.partitions", "200"))
-    try:
-        size = int(str(df._jdf.queryExecution().optimizedPlan().stats().sizeInBytes()))
-    except Exception:  # noqa: BLE001 - estimate unavailable: fall back to the session default
-        return base
-    return int(min(MAX_SORT_PARTITIONS, max(base, -(-size // target_bytes))))
+    size = df.agg(F.sum(row_width(df).cast("double"))).first()[0] or 0.0
+    parallel = int(df.sparkSession.conf.get("spark.sql.shuffle.partitions", "200"))
+    return max(1, int(-(-size // target_bytes)), min(parallel, int(-(-size // SMALL_PARTITION_BYTES))))
 
 
 def fit_input(df: DataFrame, partitions: int | None = None) -> DataFrame:
@@ -58,15 +72,19 @@ def fit_input(df: DataFrame, partitions: int | None = None) -> DataFrame:
     return df if partitions is None else df.coalesce(partitions)
 
 
-def same_keys(left: DataFrame, right: DataFrame, keys: Sequence[str], how: str = "inner") -> DataFrame:
-    """Equi-join on ``keys`` in which null keys are equal; the right side's keys are dropped."""
+def same_keys(left: DataFrame, right: DataFrame, keys: Sequence[str], how: str = "inner", never_null: Sequence[str] = ()) -> DataFrame:
+    """Equi-join on ``keys`` in which null keys are equal; the right side's keys are dropped.
+
+    Keys in ``never_null`` are compared plainly, which lets Spark see that a side
+    grouped by them is unique.
+    """
     other = right.select(*[F.col(k).alias(f"_r_{k}") for k in keys], *[c for c in right.columns if c not in keys])
-    cond = [left[k].eqNullSafe(other[f"_r_{k}"]) for k in keys]
+    cond = [left[k] == other[f"_r_{k}"] if k in never_null else left[k].eqNullSafe(other[f"_r_{k}"]) for k in keys]
     return left.join(other, cond, how).drop(*[f"_r_{k}" for k in keys])
 
 
 def position_index(df: DataFrame, order_cols: Sequence[str], series_keys: Sequence[str] = (),
-                   pos_col: str = "pos", per_series: bool = True) -> DataFrame:
+                   pos_col: str = "pos", per_series: bool = True, target_bytes: int = TARGET_PARTITION_BYTES) -> DataFrame:
     """Add a gapless 0-based row position in (series, order_cols) order.
 
     ``order_cols`` must make the order total (add a tiebreak column when the
@@ -78,14 +96,14 @@ def position_index(df: DataFrame, order_cols: Sequence[str], series_keys: Sequen
     The sorted frame is checkpointed (reliable) because it is read more than once.
     """
     keys = [*series_keys, *order_cols]
-    n_parts = sort_partitions(df)
+    n_parts = sort_partitions(df, target_bytes)
     ordered = (df.repartitionByRange(n_parts, *keys).sortWithinPartitions(*keys)
                .withColumn("_mid", F.monotonically_increasing_id()))
     ordered = materialize(ordered)
     pid = F.shiftright(F.col("_mid"), _LOCAL_BITS)
     local = F.col("_mid").bitwiseAND(F.lit((1 << _LOCAL_BITS) - 1))
     counts = ordered.groupBy(pid.alias("_pid")).agg(F.count(F.lit(1)).alias("_n"))
-    # One row per partition of the sort: at most MAX_SORT_PARTITIONS rows.
+    # One row per partition of the sort, each of target_bytes: 100 TB has 800,000 at 128 MB.
     offsets = counts.select(
         "_pid",
         F.coalesce(F.sum("_n").over(Window.orderBy("_pid").rowsBetween(Window.unboundedPreceding, -1)),
@@ -122,7 +140,7 @@ def blocked_window(df: DataFrame, build: Callable[[Window], dict[str, Column]],
     ex = df.select("*", F.explode(copies).alias("_halo"))
     ex = ex.withColumn("_blk", F.floor(pos / F.lit(b)) + F.col("_halo"))
     if block_side is not None:
-        ex = same_keys(ex, block_side, [*series_keys, "_blk"], "left")
+        ex = same_keys(ex, block_side, [*series_keys, "_blk"], "left", never_null=["_blk"])
     w = Window.partitionBy(*series_keys, "_blk").orderBy(pos_col)
     exprs = build(w)
     out = ex.select("*", *[e.alias(n) for n, e in exprs.items()])
@@ -144,21 +162,30 @@ def trailing_stats(col: str, n: int, w: Window) -> dict[str, Column]:
     }
 
 
+CARRY_RUN = 4096  # blocks whose carries one window partition works out
+
+
 def block_carry(df: DataFrame, col: str, block_size: int, pos_col: str = "pos",
-                series_keys: Sequence[str] = ()) -> DataFrame:
+                series_keys: Sequence[str] = (), run: int = CARRY_RUN) -> DataFrame:
     """(series, _blk, _carry): the last non-null ``col`` in all blocks before ``_blk``.
 
-    One row per block: a map-side partially aggregated pass, then a window over
-    the block table (blocks, not rows).
+    In two levels, so that no task sees all blocks of a series: the last value
+    per block comes from a map-side partially aggregated pass; blocks are taken
+    in runs of ``run``; the last value per run is carried over the runs (one row
+    per run), then inside each run over its blocks.
     """
     b = max(int(block_size), 1)
     blk = F.floor(F.col(pos_col) / F.lit(b))
-    last_in_block = (df.groupBy(*series_keys, blk.alias("_blk"))
-                     .agg(F.max(F.when(F.col(col).isNotNull(), F.struct(F.col(pos_col), F.col(col))))
-                          .getField(col).alias("_blast")))
-    w_blk = (Window.partitionBy(*series_keys).orderBy("_blk")
-             .rowsBetween(Window.unboundedPreceding, -1))
-    return last_in_block.select(*series_keys, "_blk", F.last("_blast", ignorenulls=True).over(w_blk).alias("_carry"))
+    last_of = lambda order, value: F.max(F.when(F.col(value).isNotNull(), F.struct(F.col(order), F.col(value)))).getField(value)
+    blocks = (df.groupBy(*series_keys, blk.alias("_blk")).agg(last_of(pos_col, col).alias("_blast"))
+              .withColumn("_run", F.floor(F.col("_blk") / F.lit(run))))
+    before = lambda keys, order: Window.partitionBy(*keys).orderBy(order).rowsBetween(Window.unboundedPreceding, -1)
+    runs = blocks.groupBy(*series_keys, "_run").agg(last_of("_blk", "_blast").alias("_rlast"))
+    # the runs of a series: its blocks / run, the only rows that meet in one task
+    runs = runs.select(*series_keys, "_run", F.last("_rlast", ignorenulls=True).over(before(series_keys, "_run")).alias("_rcarry"))
+    inside = blocks.withColumn("_bcarry", F.last("_blast", ignorenulls=True).over(before([*series_keys, "_run"], "_blk")))
+    out = same_keys(inside, runs, [*series_keys, "_run"], "left", never_null=["_run"])
+    return out.select(*series_keys, "_blk", F.coalesce("_bcarry", "_rcarry").alias("_carry"))
 
 
 def fill_expr(col: str, w: Window) -> Column:

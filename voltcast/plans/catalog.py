@@ -21,8 +21,8 @@ from pyspark.sql.types import DoubleType, FloatType
 from voltcast import constants as C
 from voltcast.constants import FIVE_MIN, HEATMAP_FEATURES, HOURLY, Cadence
 from voltcast.functions.features import drop_incomplete
+from voltcast.operators import boosting, stats
 from voltcast.operators import cv as cvops
-from voltcast.operators import stats
 from voltcast.operators.knn import knn_regress
 from voltcast.operators.ordered import lookback_sequences, position_index
 from voltcast.plans import analytics as an
@@ -48,7 +48,7 @@ def rounded(df: DataFrame, digits: int = 6) -> DataFrame:
 
 
 def _key(spark: SparkSession, sf_dir: str, *parts) -> tuple:
-    return (id(spark), sf_dir.rstrip("/"), *parts)
+    return (spark.sparkContext.applicationId, sf_dir.rstrip("/"), *parts)
 
 
 def memo(spark: SparkSession, sf_dir: str, name: str, build) -> DataFrame:
@@ -65,6 +65,8 @@ def clear_memo() -> None:
         except Exception:  # noqa: BLE001 - session may already be gone
             pass
     _memo.clear()
+    _fits.clear()
+    _fit_locks.clear()
 
 
 def raw_series(spark: SparkSession, sf_dir: str, cadence: Cadence) -> DataFrame:
@@ -363,23 +365,19 @@ def q_lookback_sequences(spark, sf_dir):
 
 # --------------------------------------------------------------------------- time-ordered CV
 
-def fold_frame(spark, sf_dir, k: int = 5) -> DataFrame:
-    ranked = memo(spark, sf_dir, "post-drop-rows", lambda: fp.post_drop_position(features(spark, sf_dir)))
-    return cvops.expanding_folds(ranked, k, row_col="row")
+def ranked_rows(spark, sf_dir) -> DataFrame:
+    """The complete rows with their position among themselves."""
+    return memo(spark, sf_dir, "post-drop-rows", lambda: fp.post_drop_position(features(spark, sf_dir)))
 
 
 def q_expanding_folds(spark, sf_dir):
-    f = fold_frame(spark, sf_dir)
-    return f.groupBy("fold", "role").agg(F.count(F.lit(1)).alias("n_rows"), F.min("row").alias("first_row"),
-                                         F.max("row").alias("last_row"),
-                                         F.min("datetime").alias("first_datetime"),
-                                         F.max("datetime").alias("last_datetime"))
+    return cvops.fold_summary(ranked_rows(spark, sf_dir), 5)
 
 
 def cv_naive_frame(spark, sf_dir) -> DataFrame:
-    f = fold_frame(spark, sf_dir).filter(F.col("role") == "test")
-    return f.groupBy("fold").agg(F.count(F.lit(1)).alias("n_test"),
-                                 F.avg(F.abs(F.col(C.TARGET) - F.col("lag_288"))).alias("mae"))
+    f = cvops.with_test_fold(ranked_rows(spark, sf_dir), 5).where("test_fold > 0")
+    return f.groupBy(F.col("test_fold").alias("fold")).agg(F.count(F.lit(1)).alias("n_test"),
+                                                           F.avg(F.abs(F.col(C.TARGET) - F.col("lag_288"))).alias("mae"))
 
 
 def q_cv_naive(spark, sf_dir):
@@ -485,32 +483,36 @@ ALL_QUERIES.update({
 # --------------------------------------------------------------------------- reference forecasters (rows checks)
 
 
-_fit_lock = threading.Lock()
-_fits: dict = {}
 FEATS = FIVE_MIN.features
-TRIALS_QUERY = 2  # registered search size; the library default is the reference's 50
+N_TRIALS = 50  # per study
+_fit_locks: dict = {}
+_fits: dict = {}
+
+
+def fit_once(spark, sf_dir, name: str, build):
+    """A fitted result, built once per application and input; only callers of the same one wait for it."""
+    key = _key(spark, sf_dir, name)
+    with _fit_locks.setdefault(key, threading.Lock()):
+        if key not in _fits:
+            _fits[key] = build()
+        return _fits[key]
 
 
-def _pipelines() -> dict:
-    return {
-        C.TREE: M.decision_tree(FEATS),
-        C.FOREST: M.random_forest(FEATS),
-        C.GBT: M.gradient_boosting(FEATS),
-        C.XGB: M.boosting_regularised(FEATS),
-        C.LGBM: M.boosting_leafwise(FEATS),
-    }
+PIPELINES = {C.TREE: M.decision_tree, C.FOREST: M.random_forest, C.GBT: M.gradient_boosting}
+BOOSTED = {C.XGB: M.REGULARISED, C.LGBM: M.LEAF_WISE}
 
 
 def fitted(spark, sf_dir, names) -> dict:
-    """Fit (once per session and input) the named reference forecasters, concurrently."""
-    key = _key(spark, sf_dir)
-    with _fit_lock:
-        have = _fits.setdefault(key, {})
-        todo = {n: p for n, p in _pipelines().items() if n in names and n not in have}
-        if todo:
-            train, test = split_frames(spark, sf_dir)
-            have.update(M.fit_all(todo, train, test, parallelism=len(todo)))
-    return {n: have[n] for n in names}
+    """The named reference forecasters, fitted concurrently; the boosted pair is grown together."""
+    train, test = split_frames(spark, sf_dir)
+
+    def one(name):
+        if name in BOOSTED:
+            return fit_once(spark, sf_dir, "boosted", lambda: M.fit_boosted(BOOSTED, train, test, FEATS))[name]
+        return fit_once(spark, sf_dir, name, lambda: M.fit_all({name: PIPELINES[name](FEATS)}, train, test)[name])
+
+    with ThreadPoolExecutor(max_workers=len(names)) as ex:
+        return dict(zip(names, ex.map(one, names)))
 
 
 def _preds(spark, sf_dir, name):
@@ -546,7 +548,7 @@ def reference_predictions(spark, sf_dir) -> DataFrame:
     kp = knn_regress(tr, te, FEATS, C.TARGET, train_order="pos", test_key="datetime", k=10)
     knn = te.select("datetime", F.col(C.TARGET).alias("actual")).join(kp, "datetime").select(
         "datetime", F.lit(C.KNN).alias("model"), "actual", "predicted")
-    trees = fitted(spark, sf_dir, list(_pipelines()))
+    trees = fitted(spark, sf_dir, [*PIPELINES, *BOOSTED])
     parts = [M.naive_forecast(test, "lag_288"), lr, knn, *[r.predictions for r in trees.values()]]
     return M.union_predictions(parts)
 
@@ -555,14 +557,27 @@ def q_model_comparison(spark, sf_dir):
     return rounded(stats.leaderboard(stats.regression_metrics(reference_predictions(spark, sf_dir))))
 
 
+def boosted_nodes(spark, sf_dir) -> DataFrame:
+    """Node table of the boosted pair, stored once per fit and read back."""
+    def store():
+        path = scratch_path(spark, "tree-nodes")
+        runs = fitted(spark, sf_dir, list(BOOSTED))
+        M.union_predictions([runs[n].model.nodes(spark, n) for n in BOOSTED]).write.parquet(path)
+        return path
+    return spark.read.parquet(fit_once(spark, sf_dir, "boosted-nodes", store))
+
+
 def importances_long(spark, sf_dir) -> DataFrame:
-    """(model, feature, importance) from the forest and the two boosted forecasters (normalised)."""
-    runs = fitted(spark, sf_dir, [C.FOREST, C.XGB, C.LGBM])
-    rows = []
-    for name, run in runs.items():
-        imp = run.model.stages[-1].featureImportances.toArray()
-        rows += [(name, f, float(v)) for f, v in zip(FEATS, imp)]
-    return spark.createDataFrame(rows, "model string, feature string, importance double")
+    """(model, feature, importance): the forest's impurity decrease and the depth-wise booster's mean gain per split, each as shares
+    of 1, and the leaf-wise booster's number of splits."""
+    run = fitted(spark, sf_dir, [C.FOREST])[C.FOREST]
+    forest = spark.createDataFrame([(C.FOREST, f, float(v)) for f, v in zip(FEATS, run.model.stages[-1].featureImportances.toArray())],
+                                   "model string, feature string, importance double")
+    counts = boosting.split_counts(boosted_nodes(spark, sf_dir), FEATS)
+    mean = F.coalesce(F.try_divide("gain", "splits"), F.lit(0.0))
+    share = F.try_divide(mean, F.sum(mean).over(Window.partitionBy("model")))
+    boosted = counts.select("model", "feature", F.when(F.col("model") == C.LGBM, F.col("splits").cast("double")).otherwise(share).alias("importance"))
+    return forest.unionByName(boosted)
 
 
 def q_feature_importance(spark, sf_dir):
@@ -605,29 +620,23 @@ def q_fit_history(spark, sf_dir):
 
 
 def searched(spark, sf_dir):
-    """Both searches (history and best trial of each), once per session and input."""
-    key = _key(spark, sf_dir, "searched")
-    with _fit_lock:
-        if key not in _fits:
-            train, _ = split_frames(spark, sf_dir)
-            rows = fp.post_drop_position(train)
-            history, best = tuning.search_all(spark, rows, FEATS, {"xgb": "depthwise", "lgbm": "leafwise"}, TRIALS_QUERY, 3)
-            _fits[key] = (history, {C.XGB_TUNED: best["xgb"], C.LGBM_TUNED: best["lgbm"]})
-    return _fits[key]
+    """Both searches (history and best trial of each), once per application and input."""
+    def search():
+        train, _ = split_frames(spark, sf_dir)
+        history, best = tuning.search_all(spark, fp.post_drop_position(train), FEATS, {"xgb": "depthwise", "lgbm": "leafwise"}, N_TRIALS, 3)
+        return history, {C.XGB_TUNED: best["xgb"], C.LGBM_TUNED: best["lgbm"]}
+    return fit_once(spark, sf_dir, "searched", search)
 
 
 def tuned(spark, sf_dir):
     """Best trials refitted on all training rows (full tree count), scored on the test rows."""
     hist, best = searched(spark, sf_dir)
-    key = _key(spark, sf_dir, "tuned")
-    with _fit_lock:
-        if key not in _fits:
-            train, test = split_frames(spark, sf_dir)
-            with ThreadPoolExecutor(max_workers=2) as ex:
-                models = dict(zip(best, ex.map(lambda t: tuning.refit(t, train, FEATS), best.values())))
-            preds = [M.as_long(m.transform(test), name) for name, m in models.items()]
-            _fits[key] = preds[0].unionByName(preds[1])
-    return hist, _fits[key]
+
+    def refit():
+        train, test = split_frames(spark, sf_dir)
+        models = tuning.refit(best, train, FEATS)
+        return M.union_predictions([M.as_long(m.predict(test.select("datetime", C.TARGET, *FEATS)), name) for name, m in models.items()])
+    return hist, fit_once(spark, sf_dir, "tuned", refit)
 
 
 def q_tune_history(spark, sf_dir):
@@ -732,21 +741,22 @@ ALL_QUERIES["series_naive_forecast"] = q_series_naive_forecast
 ALL_QUERIES["series_metrics"] = q_series_metrics
 
 
+CV_BOOSTER = boosting.Params(rounds=200, depth=6, rate=0.05, l1=0.0, l2=1.0, columns=0.8, rows=0.8)
+
+
+def cv_boosting_folds(spark, sf_dir) -> DataFrame:
+    """Fold MAE of the 200-round boosted forecaster, expanding 5-fold CV on all complete rows; the folds' models are grown together."""
+    def fit():
+        rows = ranked_rows(spark, sf_dir)
+        bounds = cvops.fold_bounds(rows.count(), 5)
+        models = boosting.fit_many(rows, [boosting.Spec((f,), CV_BOOSTER, (0, start), (start, end)) for f, start, end in bounds], FEATS, C.TARGET, "row", keep_trees=False)
+        return [(f, float(models[(f,)].errors[-1]["mae"])) for f, _, _ in bounds]
+    return spark.createDataFrame(fit_once(spark, sf_dir, "cv-boosting", fit), "fold int, mae double")
+
+
 def q_cv_boosting(spark, sf_dir):
-    """Expanding 5-fold CV of the 200-round boosted forecaster on all complete rows (fold MAE + summary)."""
-    ranked = memo(spark, sf_dir, "post-drop-rows", lambda: fp.post_drop_position(features(spark, sf_dir)))
-    ranked = ranked.persist()
-    pipe = M.boosting_regularised(FEATS, max_iter=200)
-
-    def fold_error(bounds):
-        fold, start, end = bounds
-        model = pipe.fit(ranked.filter(F.col("row") < start))
-        scored = model.transform(ranked.filter((F.col("row") >= start) & (F.col("row") < end)))
-        return fold, float(scored.agg(F.avg(F.abs(F.col(C.TARGET) - F.col("prediction")))).first()[0])
-
-    with ThreadPoolExecutor(max_workers=5) as ex:
-        rows = list(ex.map(fold_error, cvops.fold_bounds(ranked.count(), 5)))
-    per_fold = spark.createDataFrame(rows, "fold int, mae double")
+    """Expanding 5-fold CV of the boosted forecaster: fold MAE, and their mean and standard deviation."""
+    per_fold = cv_boosting_folds(spark, sf_dir)
     summary = stats.cv_summary(per_fold, "mae")
     return rounded(per_fold.withColumn("cv_mean_mae", summary.select("cv_mean_mae").scalar())
                    .withColumn("cv_std_mae", summary.select("cv_std_mae").scalar()))

@@ -1,34 +1,26 @@
 """Hyper-parameter search for the boosted forecasters (re-aimed from a TPE sampler).
 
 Seeded random search over the reference's spaces; each trial is scored by the
-mean validation MAE over expanding time folds of the training rows, with early
-stopping on the validation fold. All (study, trial, fold) fits go to one bounded
-thread pool, so Spark executes several at once; every fit is a distributed MLlib
-job. Folds are range filters on one persisted frame, which is released at the end.
+mean validation MAE over expanding time folds of the training rows. All (study,
+trial, fold) models are grown together by ``operators.boosting``: rows are binned
+once and folds are row ranges. A model stops when its validation error has not
+fallen for ``PATIENCE`` rounds and is cut back to its best round.
 """
 
 from __future__ import annotations
 
-import logging
 import math
-import time
 from collections.abc import Sequence
-from concurrent.futures import ThreadPoolExecutor
 from dataclasses import dataclass
 
 import numpy as np
-from pyspark.ml import Pipeline
-from pyspark.ml.regression import GBTRegressor
 from pyspark.sql import DataFrame, SparkSession
-from pyspark.sql import functions as F
 
 from voltcast import constants as C
+from voltcast.operators import boosting
 from voltcast.operators.cv import fold_bounds
-from voltcast.operators.ordered import fit_input
-from voltcast.plans.models import assembler
 
-
-log = logging.getLogger(__name__)
+PATIENCE = 20
 
 
 @dataclass(frozen=True)
@@ -54,69 +46,49 @@ def sample_leafwise(rng: np.random.RandomState) -> dict:
             "colsample_bytree": float(rng.uniform(0.5, 1.0))}
 
 
-def estimator(params: dict, label: str = C.TARGET, seed: int = 42, early_stop: bool = False,
-              validation_tol: float = 0.001) -> GBTRegressor:
-    """Map a trial's parameters onto MLlib boosting.
+def model_params(params: dict, patience: int | None = None, seed: int = 42) -> boosting.Params:
+    """A trial's parameters as those of a model.
 
-    ``num_leaves`` becomes a depth cap of ceil(log2(leaves)) (MLlib grows depth-wise),
-    ``min_child_samples`` the minimum rows per node, ``colsample_bytree`` the per-node
-    feature fraction. With ``early_stop`` the validation rows (flag column ``is_val``)
-    stop training when the improvement of the validation loss falls under
-    ``validation_tol`` x max(loss, 0.01) (MLlib's rule; the reference uses a
-    20-round patience, which MLlib does not offer).
+    Depth-wise models sample 0.8 of rows and features per tree and stop on the
+    MAE; leaf-wise ones stop on the squared error and use all rows, as the
+    reference's row share has no effect there without a sampling frequency.
     """
-    depth = params.get("max_depth", 6)
-    if "num_leaves" in params:
-        depth = min(depth, max(1, math.ceil(math.log2(params["num_leaves"]))))
-    kw = dict(featuresCol="features", labelCol=label, maxIter=params["n_estimators"], maxDepth=depth,
-              stepSize=params["learning_rate"], subsamplingRate=0.8, seed=seed,
-              featureSubsetStrategy=str(params.get("colsample_bytree", 0.8)),
-              minInstancesPerNode=params.get("min_child_samples", 1))
+    shared = dict(rounds=params["n_estimators"], depth=params["max_depth"], rate=params["learning_rate"], l1=0.1, l2=1.0, patience=patience, seed=seed)
     if "num_leaves" in params:
-        kw["maxBins"] = 255  # as the leaf-wise model with default parameters
-    if early_stop:
-        kw.update(validationIndicatorCol="is_val", validationTol=validation_tol)
-    return GBTRegressor(**kw)
-
-
-def fold_frames(rows: DataFrame, n: int, k: int, row_col: str = "row") -> list[DataFrame]:
-    """One frame per fold: all rows before the end of its validation block, which ``is_val`` marks."""
-    return [rows.filter(F.col(row_col) < end).withColumn("is_val", F.col(row_col) >= start) for _, start, end in fold_bounds(n, k)]
-
-
-def fold_error(trial: Trial, fold: DataFrame, cols: Sequence[str], label: str = C.TARGET, partitions: int | None = None) -> float:
-    t0 = time.perf_counter()
-    model = Pipeline(stages=[assembler(cols), estimator(trial.params, label, early_stop=True)]).fit(fit_input(fold, partitions))
-    mae = model.transform(fold.filter(F.col("is_val"))).agg(F.avg(F.abs(F.col(label) - F.col("prediction")))).first()[0]
-    log.info("trial %d %s: trees=%d mae=%.4f in %.1fs", trial.number, trial.params, model.stages[-1].getNumTrees, mae, time.perf_counter() - t0)
-    return float(mae)
+        return boosting.Params(**shared, leaves=params["num_leaves"], min_rows=params["min_child_samples"], columns=params["colsample_bytree"], rows=1.0, metric="mse")
+    return boosting.Params(**shared, columns=0.8, rows=0.8, metric="mae")
 
 
 def search_all(spark: SparkSession, train_rows: DataFrame, cols: Sequence[str], studies: dict[str, str], n_trials: int = 50,
                k: int = 3, seed: int = 42, parallelism: int = 8, label: str = C.TARGET, row_col: str = "row",
-               partitions: int | None = None) -> tuple[DataFrame, dict[str, Trial]]:
-    """Run the studies ({name: space}); returns the history (study, trial, mae, params, n_trials) and each study's best trial."""
+               patience: int = PATIENCE) -> tuple[DataFrame, dict[str, Trial]]:
+    """Run the studies ({name: space}); returns the history (study, trial, mae, rounds, params, n_trials) and each study's best trial.
+
+    ``rounds`` is the mean number of rounds that the folds' models were cut back to.
+    """
     samplers = {"depthwise": sample_depthwise, "leafwise": sample_leafwise}
     trials = {}
     for study, space in studies.items():
         rng = np.random.RandomState(seed)
         trials[study] = [Trial(i + 1, samplers[space](rng)) for i in range(n_trials)]
-    rows = train_rows.persist()
+    rows = train_rows.select(row_col, label, *cols).persist()
     try:
-        folds = fold_frames(rows, rows.count(), k, row_col)
-        work = [(s, t, f) for s in trials for t in trials[s] for f in folds]
-        with ThreadPoolExecutor(max_workers=max(1, parallelism)) as ex:
-            errors = list(ex.map(lambda x: fold_error(x[1], x[2], cols, label, partitions), work))
+        folds = fold_bounds(rows.count(), k)
+        specs = [boosting.Spec((s, t.number, f), model_params(t.params, patience, seed), (0, start), (start, end))
+                 for s in trials for t in trials[s] for f, start, end in folds]
+        fitted = boosting.fit_many(rows, specs, cols, label, row_col, keep_trees=False, runs=parallelism)
     finally:
         rows.unpersist()
     history, best = [], {}
     for s, own in trials.items():
-        mae = [float(np.mean([e for (study, t, _), e in zip(work, errors) if study == s and t.number == x.number])) for x in own]
-        history += [(s, t.number, m, str(t.params), n_trials) for t, m in zip(own, mae)]
+        models = [[fitted[(s, t.number, f)] for f, _, _ in folds] for t in own]
+        mae = [float(np.mean([m.error("mae") for m in x])) for x in models]
+        history += [(s, t.number, e, float(np.mean([m.best_round for m in x])), str(t.params), n_trials) for t, e, x in zip(own, mae, models)]
         best[s] = own[int(np.argmin(mae))]
-    return spark.createDataFrame(history, "study string, trial int, mae double, params string, n_trials int"), best
+    return spark.createDataFrame(history, "study string, trial int, mae double, rounds double, params string, n_trials int"), best
 
 
-def refit(best: Trial, train: DataFrame, cols: Sequence[str], label: str = C.TARGET, partitions: int | None = None):
-    """Refit the best parameters on all training rows with the full tree count (no early stop)."""
-    return Pipeline(stages=[assembler(cols), estimator(best.params, label)]).fit(fit_input(train, partitions))
+def refit(best: dict[str, Trial], train: DataFrame, cols: Sequence[str], label: str = C.TARGET, row_col: str = "pos", seed: int = 42) -> dict[str, boosting.Boosted]:
+    """Refit each study's best parameters on all training rows with the full tree count (no early stop), together."""
+    specs = [boosting.Spec((s,), model_params(t.params, seed=seed), boosting.ALL_ROWS) for s, t in best.items()]
+    return {name: model for (name,), model in boosting.fit_many(train, specs, cols, label, row_col).items()}
