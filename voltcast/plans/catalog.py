@@ -498,12 +498,12 @@ def fit_once(spark, sf_dir, name: str, build):
         return _fits[key]
 
 
-PIPELINES = {C.TREE: M.decision_tree, C.FOREST: M.random_forest, C.GBT: M.gradient_boosting}
-BOOSTED = {C.XGB: M.REGULARISED, C.LGBM: M.LEAF_WISE}
+PIPELINES = {C.TREE: M.decision_tree, C.FOREST: M.random_forest}
+BOOSTED = {C.GBT: M.GRADIENT, C.XGB: M.REGULARISED, C.LGBM: M.LEAF_WISE}
 
 
 def fitted(spark, sf_dir, names) -> dict:
-    """The named reference forecasters, fitted concurrently; the boosted pair is grown together."""
+    """The named reference forecasters, fitted concurrently; the boosted ones are grown together."""
     train, test = split_frames(spark, sf_dir)
 
     def one(name):
@@ -558,7 +558,7 @@ def q_model_comparison(spark, sf_dir):
 
 
 def boosted_nodes(spark, sf_dir) -> DataFrame:
-    """Node table of the boosted pair, stored once per fit and read back."""
+    """Node tables of the boosted forecasters, stored once per fit and read back."""
     def store():
         path = scratch_path(spark, "tree-nodes")
         runs = fitted(spark, sf_dir, list(BOOSTED))
@@ -573,7 +573,7 @@ def importances_long(spark, sf_dir) -> DataFrame:
     run = fitted(spark, sf_dir, [C.FOREST])[C.FOREST]
     forest = spark.createDataFrame([(C.FOREST, f, float(v)) for f, v in zip(FEATS, run.model.stages[-1].featureImportances.toArray())],
                                    "model string, feature string, importance double")
-    counts = boosting.split_counts(boosted_nodes(spark, sf_dir), FEATS)
+    counts = boosting.split_counts(boosted_nodes(spark, sf_dir).where(F.col("model") != C.GBT), FEATS)
     mean = F.coalesce(F.try_divide("gain", "splits"), F.lit(0.0))
     share = F.try_divide(mean, F.sum(mean).over(Window.partitionBy("model")))
     boosted = counts.select("model", "feature", F.when(F.col("model") == C.LGBM, F.col("splits").cast("double")).otherwise(share).alias("importance"))
@@ -606,17 +606,17 @@ def q_report_json(spark, sf_dir):
     return sinks.report_json(board_set(spark, sf_dir), importances_wide(spark, sf_dir))
 
 
+def fit_history(spark, sf_dir) -> list[tuple]:
+    """(iteration, loss, val_loss): squared loss on training and on test rows after each round of the boosted forecaster."""
+    rows = ranked_rows(spark, sf_dir)
+    end = rows.where(F.col("datetime") < F.to_timestamp_ntz(F.lit(SPLIT))).count()
+    parts = {"loss": (0, end), "val_loss": (end, boosting.ALL_ROWS[1])}
+    got = boosting.fit_many(rows, [boosting.Spec((n,), M.GRADIENT, (0, end), part) for n, part in parts.items()], FEATS, C.TARGET, "row", keep_trees=False)
+    return [(i, *(float(got[(n,)].errors[i]["mse"]) for n in parts)) for i in range(1, M.GRADIENT.rounds + 1)]
+
+
 def q_fit_history(spark, sf_dir):
-    """Per-iteration squared loss of the boosted forecaster on train and test rows."""
-    run = fitted(spark, sf_dir, [C.GBT])[C.GBT]
-    train, test = split_frames(spark, sf_dir)
-    gbt = run.model.stages[-1]
-    feats_tr = run.model.stages[0].transform(train)
-    feats_te = run.model.stages[0].transform(test)
-    loss = gbt.evaluateEachIteration(feats_tr, "squared")
-    val = gbt.evaluateEachIteration(feats_te, "squared")
-    rows = [(i + 1, float(a), float(b)) for i, (a, b) in enumerate(zip(loss, val))]
-    return rounded(spark.createDataFrame(rows, "iteration int, loss double, val_loss double"))
+    return rounded(spark.createDataFrame(fit_once(spark, sf_dir, "history", lambda: fit_history(spark, sf_dir)), "iteration int, loss double, val_loss double"))
 
 
 def searched(spark, sf_dir):
@@ -774,9 +774,10 @@ def sequence_predictions(spark, sf_dir) -> DataFrame:
 
 
 def all_model_predictions(spark, sf_dir) -> DataFrame:
-    """Every forecaster of the reference run: 8 base models, 2 tuned, their blend, the sequence model."""
-    return M.union_predictions([reference_predictions(spark, sf_dir), tuned_with_blend(spark, sf_dir),
-                                sequence_predictions(spark, sf_dir)])
+    """Every forecaster of the reference run: 8 base models, 2 tuned, their blend, the sequence model; fitted side by side."""
+    features(spark, sf_dir).count()
+    with ThreadPoolExecutor(max_workers=3) as ex:
+        return M.union_predictions(list(ex.map(lambda build: build(spark, sf_dir), [reference_predictions, tuned_with_blend, sequence_predictions])))
 
 
 def q_compare_tuned(spark, sf_dir):
