@@ -116,3 +116,27 @@ def test_lockstep_runs_of_any_size_give_the_same_links(seed):
         a, b, cut = lockstep(*ends, *runs(*ends, *at, every))
         assert list(zip(a.tolist(), b.tolist())) == want
         assert set(ends[0][a[cut]].tolist()) == set(ends[0].tolist()) & set(ends[1].tolist())
+
+
+def test_both_encoders_agree_on_every_character_of_the_quick_range(paths):
+    from voltcast.llm.token_align import SAME, _models, byte_level_tokens
+    slow, quick, _, held, _ = _models(*paths)
+    assert quick is not None
+    inside = [chr(c) for c in range(0x11000) if not 0xD800 <= c < 0xE000 and SAME.fullmatch(chr(c))]
+    assert len(inside) > 30_000
+    texts = [f" a{c}b 1{c}2 {c}{c} ,{c}. \n{c}'{c}ll  {c}\t" for c in inside]
+    got = [quick.encode_to_numpy(t, disallowed_special=()).tolist() for t in texts]
+    assert got == [e.ids for e in slow.encode_batch_fast(texts, add_special_tokens=False)]
+    assert [held.spell(np.array(g)) for g in got[::97]] == [t.encode() for t in texts[::97]]
+    assert SAME.fullmatch("<|endoftext|>") and SAME.fullmatch("\u0378") is None and len(byte_level_tokens(paths[0])) == 50256
+
+
+def test_a_vocabulary_out_of_order_goes_without_the_quick_encoder(paths, tmp_path):
+    import json
+
+    from voltcast.llm.token_align import _plain_encoder, byte_level_tokens
+    spec = json.load(open(paths[0], encoding="utf-8"))
+    spec["model"]["merges"][5], spec["model"]["merges"][900] = spec["model"]["merges"][900], spec["model"]["merges"][5]
+    other = tmp_path / "other.json"
+    other.write_text(json.dumps(spec), encoding="utf-8")
+    assert _plain_encoder(str(other), byte_level_tokens(str(other))) is None
