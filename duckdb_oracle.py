@@ -298,6 +298,18 @@ def analytic_queries() -> dict[str, str]:
                                         min(actual - predicted) AS rlo, max(actual - predicted) AS rhi, count(*) AS n
                                  FROM preds GROUP BY model) m USING (model)) t
         GROUP BY model, ix, iy""")
+    masses = "(VALUES (0, 5), (1, 24), (2, 43), (3, 62), (4, 81), (5, 100)) w(level, mass)"
+    q["residual_density_levels"] = wp(f""",
+lims AS (SELECT model, min(predicted) AS plo, max(predicted) AS phi, min(actual - predicted) AS rlo, max(actual - predicted) AS rhi FROM preds GROUP BY model),
+cells AS (SELECT model, ix, iy, count(*) AS cnt FROM (
+    SELECT p.model, CASE WHEN phi = plo THEN 0 ELSE least(floor((predicted - plo) / ((phi - plo) / 20.0)), 19) END AS ix,
+           CASE WHEN rhi = rlo THEN 0 ELSE least(floor((actual - predicted - rlo) / ((rhi - rlo) / 20.0)), 19) END AS iy
+    FROM preds p JOIN lims USING (model)) t GROUP BY ALL),
+ranked AS (SELECT *, sum(cnt) OVER (PARTITION BY model ORDER BY cnt DESC, ix, iy ROWS UNBOUNDED PRECEDING) AS covered, sum(cnt) OVER (PARTITION BY model) AS n FROM cells),
+lev AS (SELECT model, level, mass, max(cnt) AS min_count FROM ranked CROSS JOIN {masses} WHERE covered * 100 >= n * (100 - mass) GROUP BY ALL)
+SELECT lev.model, CAST(level AS INTEGER) AS level, CAST(mass AS INTEGER) AS mass, CAST(min_count AS BIGINT) AS min_count, CAST(count(*) AS BIGINT) AS cells,
+       {r6('sum(cnt) / any_value(n)')} AS share
+FROM lev JOIN ranked ON lev.model = ranked.model AND cnt >= min_count GROUP BY lev.model, level, mass, min_count""".replace("\n,\nlims", ",\nlims")).replace("\n,\nlims", ",\nlims")
     q["group_limits"] = wp(f"""SELECT {r6('min(predicted)')} AS x_min, {r6('max(predicted)')} AS x_max,
             {r6('quantile_cont(abs(actual - predicted), 0.98) * 1.15')} AS y_lim FROM preds""")
     std_b = ", ".join(f"avg({c}) AS m_{c}, stddev_pop({c}) AS s_{c}" for c in F5.features)
@@ -423,6 +435,12 @@ feat AS (
 SELECT event_type, datetime, {sel(['load', *feats])} FROM feat WHERE {notnull}"""
 
 
+def unrounded(sql: str) -> str:
+    """The series features without the rounding of the last select."""
+    feats = H.features
+    return sql.replace(sel(["load", *feats]), ", ".join(["load", *feats]))
+
+
 def all_sql() -> dict[str, str]:
     out = {}
     out.update(feature_queries())
@@ -433,6 +451,42 @@ def all_sql() -> dict[str, str]:
     naive = (f"WITH preds AS (SELECT event_type, datetime, 'Naive Baseline' AS model, load AS actual, lag_24 AS predicted "
              f"FROM ({series_feature_sql()}) WHERE datetime >= TIMESTAMP '2024-01-24') ")
     out["series_naive_forecast"] = naive + "SELECT * FROM preds"
+    sff = series_feature_sql()
+    b1 = ("(covar_pop(lag_1, load) * var_pop(roll_mean_12) - covar_pop(roll_mean_12, load) * covar_pop(lag_1, roll_mean_12))"
+          " / (var_pop(lag_1) * var_pop(roll_mean_12) - covar_pop(lag_1, roll_mean_12) ^ 2)")
+    b2 = ("(covar_pop(roll_mean_12, load) * var_pop(lag_1) - covar_pop(lag_1, load) * covar_pop(lag_1, roll_mean_12))"
+          " / (var_pop(lag_1) * var_pop(roll_mean_12) - covar_pop(lag_1, roll_mean_12) ^ 2)")
+    fit = f"""WITH sf AS ({unrounded(sff)}),
+tr AS (SELECT * FROM sf WHERE datetime < {SPLIT_TS}), te AS (SELECT * FROM sf WHERE datetime >= {SPLIT_TS}),
+ols AS (SELECT event_type, {b1} AS b1, {b2} AS b2, avg(load) AS ybar, avg(lag_1) AS x1, avg(roll_mean_12) AS x2 FROM tr GROUP BY event_type),
+lin AS (SELECT event_type, datetime, 'Linear Regression' AS model, load AS actual, ybar + b1 * (lag_1 - x1) + b2 * (roll_mean_12 - x2) AS predicted FROM te JOIN ols USING (event_type)),
+both_preds AS (SELECT * FROM lin UNION ALL SELECT event_type, datetime, 'Naive Baseline', load, lag_24 FROM te)
+"""
+    pred = f"event_type, datetime, model, {r6('actual')} AS actual, {r6('predicted')} AS predicted"
+    out["series_linreg_forecast"] = fit + f"SELECT {pred} FROM lin"
+    out["series_tail"] = fit + f"SELECT {pred} FROM both_preds QUALIFY row_number() OVER (PARTITION BY event_type, model ORDER BY datetime DESC) <= 24"
+    out["series_residuals"] = fit + f"SELECT event_type, datetime, model, {r6('actual - predicted')} AS residual, {r6('abs(actual - predicted)')} AS abs_residual FROM both_preds"
+    out["series_folds"] = f"""WITH rk AS (SELECT event_type, datetime, row_number() OVER (PARTITION BY event_type ORDER BY datetime) - 1 AS rw,
+                   count(*) OVER (PARTITION BY event_type) AS n FROM ({sff})),
+fb AS (SELECT event_type, f AS fold, n - 5 * (n // 6) + (f - 1) * (n // 6) AS ts, n - 5 * (n // 6) + f * (n // 6) AS te
+       FROM (SELECT DISTINCT event_type, n FROM rk WHERE n >= 6) x CROSS JOIN range(1, 6) r(f))
+SELECT event_type, CAST(fold AS INTEGER) AS fold, CASE WHEN rw < ts THEN 'train' ELSE 'test' END AS role, CAST(count(*) AS BIGINT) AS n_rows,
+       CAST(min(rw) AS BIGINT) AS first_row, CAST(max(rw) AS BIGINT) AS last_row, min(datetime) AS first_datetime, max(datetime) AS last_datetime
+FROM rk JOIN fb USING (event_type) WHERE rw < te GROUP BY event_type, fold, rw < ts"""
+    out["appended_features"] = with_features(f"SELECT pos, datetime, {sel(['load', *F5.features])} FROM ff WHERE datetime >= {SPLIT_TS}")
+    corr = ", ".join(f"abs(corr({c}, load)) AS {c}" for c in F5.features)
+    imp = f""",
+imp AS (SELECT 'train' AS model, feature, importance FROM (UNPIVOT (SELECT {corr} FROM ff WHERE datetime < {SPLIT_TS}) ON COLUMNS(*) INTO NAME feature VALUE importance)
+        UNION ALL
+        SELECT 'test' AS model, feature, importance FROM (UNPIVOT (SELECT {corr} FROM ff WHERE datetime >= {SPLIT_TS}) ON COLUMNS(*) INTO NAME feature VALUE importance)),
+ok AS (SELECT * FROM imp WHERE importance IS NOT NULL AND NOT isnan(importance))"""
+    join = lambda body: with_features(imp + "\n" + body).replace("\n,\nimp", ",\nimp")
+    names = ", ".join(f"('{c}')" for c in F5.features)
+    out["correlation_importances"] = join(f"""SELECT f.feature AS "Feature", {r6("max(importance) FILTER (WHERE model = 'train')")} AS train,
+       {r6("max(importance) FILTER (WHERE model = 'test')")} AS test FROM (VALUES {names}) f(feature) LEFT JOIN ok USING (feature) GROUP BY f.feature""")
+    out["topk_correlations"] = join(f"""SELECT model, feature, {r6('importance')} AS importance,
+       CAST(row_number() OVER (PARTITION BY model ORDER BY {r6('importance')} DESC, feature) AS INTEGER) AS rank FROM ok
+QUALIFY row_number() OVER (PARTITION BY model ORDER BY {r6('importance')} DESC, feature) <= 15""")
     err = "(actual - predicted)"
     out["series_metrics"] = naive + f"""SELECT event_type, model, count(*) AS n, {r6(f'avg(abs({err}))')} AS MAE,
         {r6(f'sqrt(avg({err} * {err}))')} AS RMSE, {r6(f'1 - sum({err} * {err}) / (var_pop(actual) * count(*))')} AS R2,

@@ -18,9 +18,9 @@ from voltcast import constants as C
 from voltcast.operators import stats
 
 
-def residuals(preds: DataFrame) -> DataFrame:
+def residuals(preds: DataFrame, keys: Sequence[str] = ("datetime",)) -> DataFrame:
     r = F.col("actual") - F.col("predicted")
-    return preds.select("datetime", "model", r.alias("residual"), F.abs(r).alias("abs_residual"))
+    return preds.select(*keys, "model", r.alias("residual"), F.abs(r).alias("abs_residual"))
 
 
 def model_status(metrics: DataFrame, baseline: str = C.NAIVE) -> DataFrame:
@@ -93,9 +93,9 @@ def wide_predictions(preds: DataFrame, models: Sequence[str], keys: Sequence[str
                                     F.max("actual").alias("Actual"))
 
 
-def long_predictions(wide: DataFrame, models: Sequence[str]) -> DataFrame:
+def long_predictions(wide: DataFrame, models: Sequence[str], keys: Sequence[str] = ("datetime",)) -> DataFrame:
     cols = ["Actual", *models]
-    return wide.unpivot(["datetime"], [f"`{c}`" for c in cols], "series", "value")
+    return wide.unpivot(list(keys), [f"`{c}`" for c in cols], "series", "value")
 
 
 def metrics_long(metrics: DataFrame, metric_cols: Sequence[str] = ("MAE", "RMSE", "MAPE")) -> DataFrame:
@@ -119,19 +119,20 @@ def compare_models(metrics: DataFrame, models: Sequence[str]) -> DataFrame:
     return wide.withColumn("best_model", best_value(chosen, "model"))
 
 
-def topk_per_group(df: DataFrame, group_col: str, order_col: str, k: int, desc: bool = True,
+def topk_per_group(df: DataFrame, group_col: str | Sequence[str], order_col: str, k: int, desc: bool = True,
                    tiebreak: str | None = None) -> DataFrame:
-    """Top k rows per group (planned as a partial WindowGroupLimit before the shuffle)."""
+    """Top k rows per group (planned as a partial WindowGroupLimit before the shuffle); ties go to the smallest ``tiebreak``."""
+    groups = [group_col] if isinstance(group_col, str) else list(group_col)
     o = F.col(order_col).desc() if desc else F.col(order_col).asc()
-    w = Window.partitionBy(group_col).orderBy(o, *([F.col(tiebreak)] if tiebreak else []))
+    w = Window.partitionBy(*groups).orderBy(o, *([F.col(tiebreak)] if tiebreak else []))
     return df.withColumn("rank", F.row_number().over(w)).filter(F.col("rank") <= k)
 
 
-def tail_per_model(preds: DataFrame, n: int) -> DataFrame:
-    """Latest n rows per model (n <= 0 keeps everything)."""
+def tail_per_model(preds: DataFrame, n: int, series_keys: Sequence[str] = (), tiebreak: str | None = None) -> DataFrame:
+    """Latest n rows per model (and series); n <= 0 keeps everything. ``tiebreak`` decides between equal times, where there are any."""
     if n <= 0:
         return preds
-    return topk_per_group(preds, "model", "datetime", n).drop("rank")
+    return topk_per_group(preds, [*series_keys, "model"], "datetime", n, tiebreak=tiebreak).drop("rank")
 
 
 def top_models_zoom(preds: DataFrame, board: DataFrame, top: int, last_rows: int) -> DataFrame:
@@ -167,24 +168,23 @@ def residual_histogram(preds: DataFrame, bins: int = 15) -> DataFrame:
 def residual_kde(preds: DataFrame, grid: int = 200) -> DataFrame:
     """Gaussian KDE of residuals per model on ``grid`` points from min to max.
 
-    Bandwidth is Scott's rule (sample std x n^(-1/5)). Each row contributes to
-    every grid point: rows are expanded ``grid`` times by a generator and summed
-    with map-side partial aggregation, so work is linear in the rows.
+    Bandwidth is Scott's rule (sample std x n^(-1/5)). One pass adds each row to
+    ``grid`` running sums per model, combined map-side; rows are never copied.
     """
     r = preds.select("model", (F.col("actual") - F.col("predicted")).alias("x"))
     lim = r.groupBy("model").agg(F.min("x").alias("lo"), F.max("x").alias("hi"), F.count(F.lit(1)).alias("n"),
                                  F.stddev_samp("x").alias("sd"))
     lim = lim.withColumn("h", F.col("sd") * F.pow(F.col("n").cast("double"), F.lit(-0.2)))
-    step = (F.col("hi") - F.col("lo")) / F.lit(float(grid - 1))
-    d = r.join(F.broadcast(lim), "model").withColumn("g", F.explode(F.sequence(F.lit(0), F.lit(grid - 1))))
-    gx = F.col("lo") + step * F.col("g")
-    z = F.try_divide(gx - F.col("x"), F.col("h"))  # zero bandwidth (all residuals equal): null density
-    contrib = F.exp(F.lit(-0.5) * z * z)
-    agg = d.groupBy("model", "g", "lo", "hi", "n", "h").agg(F.sum(contrib).alias("_s"))
+    lim = lim.withColumn("step", (F.col("hi") - F.col("lo")) / F.lit(float(grid - 1)))
+    d = r.join(F.broadcast(lim), "model")  # one row per model
+
+    def kernel(g: int):
+        z = F.try_divide(F.col("lo") + F.col("step") * F.lit(g) - F.col("x"), F.col("h"))  # zero bandwidth (all residuals equal): null density
+        return F.sum(F.exp(F.lit(-0.5) * z * z))
+    sums = d.groupBy("model", "lo", "step", "n", "h").agg(F.array(*[kernel(g) for g in range(grid)]).alias("_s"))
     norm = F.try_divide(F.lit(1.0), F.col("n") * F.col("h") * F.lit(math.sqrt(2 * math.pi)))
-    return agg.select("model", F.col("g").alias("grid_index"),
-                      (F.col("lo") + (F.col("hi") - F.col("lo")) / F.lit(float(grid - 1)) * F.col("g")).alias("x"),
-                      (F.col("_s") * norm).alias("density"))
+    return sums.select("*", F.posexplode("_s").alias("grid_index", "_k")).select(
+        "model", "grid_index", (F.col("lo") + F.col("step") * F.col("grid_index")).alias("x"), (F.col("_k") * norm).alias("density"))
 
 
 def residual_density_2d(preds: DataFrame, bins: int = 20) -> DataFrame:
@@ -203,6 +203,35 @@ def residual_density_2d(preds: DataFrame, bins: int = 20) -> DataFrame:
     return g.select("model", "ix", "iy", "count", (F.col("count") / F.col("n")).alias("share"))
 
 
+# The masses (in hundredths) that lie outside six evenly spaced contours, from 5 up to 100.
+DENSITY_MASSES = (5, 24, 43, 62, 81, 100)
+
+
+def residual_density_levels(preds: DataFrame, bins: int = 20, masses: Sequence[int] = DENSITY_MASSES) -> DataFrame:
+    """Contour levels of the (predicted, residual) grid per model: (model, level, mass, min_count, cells, share).
+
+    Cells in falling order of their counts are summed up; the level of a mass is
+    the count of the first cell at which all but that share of the rows is
+    covered. ``cells`` and ``share`` are what lies on or above the level. The
+    grid table has at most bins x bins rows per model.
+    """
+    cells = residual_density_2d(preds, bins)
+    order = Window.partitionBy("model").orderBy(F.col("count").desc(), "ix", "iy").rowsBetween(Window.unboundedPreceding, 0)
+    ranked = cells.select("model", "count", F.sum("count").over(order).alias("covered"), F.sum("count").over(Window.partitionBy("model")).alias("n"))
+    wanted = F.array(*[F.struct(F.lit(i).alias("level"), F.lit(m).alias("mass")) for i, m in enumerate(masses)])
+    level = (ranked.select("*", F.explode(wanted).alias("w")).where(F.col("covered") * 100 >= F.col("n") * (100 - F.col("w.mass")))
+             .groupBy("model", "w.level", "w.mass").agg(F.max("count").alias("min_count")))
+    above = level.join(cells.select("model", "count", "share"), "model").where("count >= min_count")
+    return above.groupBy("model", "level", "mass", "min_count").agg(F.count(F.lit(1)).alias("cells"), F.sum("share").alias("share"))
+
+
+def align_importances(long: DataFrame, models: Sequence[str], order: Sequence[str]) -> DataFrame:
+    """One row per feature in the given order, one importance column per model; null where a model does not have the feature."""
+    wide = long.groupBy(F.col("feature").alias("Feature")).agg(*[F.max(F.when(F.col("model") == m, F.col("importance"))).alias(m) for m in models])
+    place = F.array_position(F.array(*[F.lit(f) for f in order]), F.col("Feature"))
+    return wide.withColumn("_at", place).where("_at > 0").orderBy("_at").drop("_at")
+
+
 def group_limits(preds: DataFrame, q: float = 0.98, pad: float = 1.15) -> DataFrame:
     """Shared x range (predictions) and symmetric y limit (q-th percentile of |residual| x pad)."""
     absr = preds.select(F.abs(F.col("actual") - F.col("predicted")).alias("a"))

@@ -586,11 +586,7 @@ def q_feature_importance(spark, sf_dir):
 
 
 def importances_wide(spark, sf_dir) -> DataFrame:
-    imp = importances_long(spark, sf_dir)
-    order = spark.createDataFrame([(i, f) for i, f in enumerate(FEATS)], "idx int, Feature string")
-    wide = imp.groupBy(F.col("feature").alias("Feature")).pivot("model", [C.FOREST, C.XGB, C.LGBM]).agg(
-        F.first("importance"))
-    return F.broadcast(order).join(wide, "Feature").orderBy("idx").drop("idx")
+    return an.align_importances(importances_long(spark, sf_dir), [C.FOREST, C.XGB, C.LGBM], FEATS)
 
 
 def q_importances_wide(spark, sf_dir):
@@ -736,6 +732,74 @@ def q_series_metrics(spark, sf_dir):
     return rounded(stats.regression_metrics(series_predictions(spark, sf_dir), ["event_type", "model"]))
 
 
+def series_linear(spark, sf_dir) -> DataFrame:
+    train, test = fp.train_test(series_features(spark, sf_dir), SPLIT)
+    return M.series_linear_forecast(train, test, ["lag_1", "roll_mean_12"], ["event_type"])
+
+
+def q_series_linreg_forecast(spark, sf_dir):
+    """Every series' own least-squares forecast on two features, all from one aggregation."""
+    return rounded(series_linear(spark, sf_dir))
+
+
+def q_series_folds(spark, sf_dir):
+    """Expanding folds of every series, from its own number of complete rows."""
+    rows = fp.post_drop_position(fp.feature_frame(adapters.load_series(adapters.table(spark, sf_dir, "events"), 60, ["event_type"]), HOURLY, ["event_type"]), ["event_type"])
+    return cvops.fold_summary(rows, 5, series_keys=["event_type"])
+
+
+def q_series_tail(spark, sf_dir):
+    """The last day of every series and model, of two forecasters."""
+    preds = series_predictions(spark, sf_dir).unionByName(series_linear(spark, sf_dir))
+    return rounded(an.tail_per_model(preds, HOURLY.rows_per_day, ["event_type"]))
+
+
+def q_series_residuals(spark, sf_dir):
+    """Residuals of every series and model."""
+    preds = series_predictions(spark, sf_dir).unionByName(series_linear(spark, sf_dir))
+    return rounded(an.residuals(preds, ("event_type", "datetime")))
+
+
+def q_appended_features(spark, sf_dir):
+    """Features of the rows from the split on, from the stored state of the rows before."""
+    from voltcast.plans import append
+    raw = raw_series(spark, sf_dir, FIVE_MIN)
+    before, after = fp.train_test(raw, SPLIT)
+    path = scratch_path(spark, "feature-state")
+    append.feature_state(before).write.parquet(path)
+    found, _ = append.append_features(after, spark.read.parquet(path))
+    return rounded(drop_incomplete(found).select("pos", "datetime", C.TARGET, *FEATS))
+
+
+def correlation_importances(spark, sf_dir) -> DataFrame:
+    """(model, feature, importance): absolute correlation of each feature with the load, on training and on test rows."""
+    train, test = split_frames(spark, sf_dir)
+    named = {"train": train, "test": test}
+    corr = lambda c: F.try_divide(F.covar_pop(c, C.TARGET), F.sqrt(F.var_pop(c) * F.var_pop(C.TARGET)))  # null for a constant column
+    parts = [d.agg(*[F.abs(corr(c)).alias(c) for c in FEATS]).unpivot([], FEATS, "feature", "importance").select(F.lit(m).alias("model"), "feature", "importance")
+             for m, d in named.items()]
+    return M.union_predictions(parts)
+
+
+def q_correlation_importances(spark, sf_dir):
+    """Importances side by side in feature order, of two rankings by correlation."""
+    return rounded(an.align_importances(correlation_importances(spark, sf_dir), ["train", "test"], FEATS))
+
+
+def q_topk_correlations(spark, sf_dir):
+    """The 15 features of the highest correlation with the load, on training and on test rows."""
+    imp = rounded(correlation_importances(spark, sf_dir).where("importance is not null"))
+    return an.topk_per_group(imp, "model", "importance", 15, tiebreak="feature")
+
+
+def q_residual_density_levels(spark, sf_dir):
+    return rounded(an.residual_density_levels(prediction_set(spark, sf_dir), 20))
+
+
+ALL_QUERIES.update({"series_linreg_forecast": q_series_linreg_forecast, "series_folds": q_series_folds, "series_tail": q_series_tail,
+                    "series_residuals": q_series_residuals, "appended_features": q_appended_features,
+                    "correlation_importances": q_correlation_importances, "topk_correlations": q_topk_correlations,
+                    "residual_density_levels": q_residual_density_levels})
 ALL_QUERIES["series_feature_frame"] = q_series_feature_frame
 ALL_QUERIES["series_naive_forecast"] = q_series_naive_forecast
 ALL_QUERIES["series_metrics"] = q_series_metrics

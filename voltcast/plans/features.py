@@ -57,6 +57,13 @@ def add_window_features(df: DataFrame, cadence: Cadence = FIVE_MIN, series_keys:
     return out
 
 
+def add_row_features(df: DataFrame) -> DataFrame:
+    """Wind, cyclical, calendar and interaction features of rows whose ``wdir`` is filled; raw helper columns go, ``wdir_filled`` stays."""
+    df = df.withColumn("wdir_filled", F.col("wdir"))
+    df = add_interactions(add_calendar(add_cyclical(add_wind(df))))
+    return df.drop(*[c for c in RAW_DROPS if c in df.columns])
+
+
 def engineer(raw: DataFrame, cadence: Cadence = FIVE_MIN, series_keys: Sequence[str] = (),
              tiebreak: Sequence[str] = (), block_size: int = DEFAULT_BLOCK,
              keep_pos: bool = True, keep_filled: bool = True) -> DataFrame:
@@ -70,12 +77,7 @@ def engineer(raw: DataFrame, cadence: Cadence = FIVE_MIN, series_keys: Sequence[
     """
     df = with_position(raw, series_keys, tiebreak)
     df = add_window_features(df, cadence, series_keys, block_size=block_size, fill_col="wdir")
-    df = df.withColumn("wdir_filled", F.col("wdir"))
-    df = add_wind(df)
-    df = add_cyclical(df)
-    df = add_calendar(df)
-    df = add_interactions(df)
-    df = df.drop(*[c for c in RAW_DROPS if c in df.columns])
+    df = add_row_features(df)
     if not keep_filled:
         df = df.drop("wdir_filled")
     if not keep_pos:
@@ -93,6 +95,7 @@ def feature_frame(raw: DataFrame, cadence: Cadence = FIVE_MIN, series_keys: Sequ
     df = engineer(raw, cadence, series_keys, tiebreak, block_size)
     df = drop_incomplete(df)
     cols = [*series_keys, "pos", "datetime", TARGET, *cadence.features]
+    require_columns(df, cols)
     return df.select(*cols)
 
 

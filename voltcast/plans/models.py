@@ -13,6 +13,8 @@ from collections.abc import Sequence
 from concurrent.futures import ThreadPoolExecutor
 from dataclasses import dataclass, field
 
+import numpy as np
+import pyarrow as pa
 from pyspark.ml import Pipeline, PipelineModel
 from pyspark.ml.feature import StandardScaler, VectorAssembler
 from pyspark.ml.regression import DecisionTreeRegressor, LinearRegression, RandomForestRegressor
@@ -21,7 +23,7 @@ from pyspark.sql import functions as F
 
 from voltcast import constants as C
 from voltcast.operators import boosting
-from voltcast.operators.ordered import fit_input
+from voltcast.operators.ordered import fit_input, same_keys
 
 
 def assembler(cols: Sequence[str], out: str = "features") -> VectorAssembler:
@@ -126,6 +128,53 @@ def union_predictions(frames: Sequence[DataFrame]) -> DataFrame:
     return out
 
 
+# --------------------------------------------------------------------------- many series at once
+
+def linear_coefficients(train: DataFrame, cols: Sequence[str], series_keys: Sequence[str], label: str = C.TARGET) -> DataFrame:
+    """(series, n, intercept, weights): least squares with intercept of every series, in one aggregation.
+
+    The Gram matrix is taken about the means (population covariances, merged
+    stably from partial moments), d (d + 3) / 2 numbers per series, and solved
+    where the series' row is; a singular one gets the solution of least norm. Rows
+    with a null label or feature do not count.
+    """
+    d = len(cols)
+    x = [F.col(f"`{c}`").cast("double") for c in cols]
+    y = F.col(label).cast("double")
+    rows = train.dropna(subset=[label, *cols])
+    pairs = [(i, j) for i in range(d) for j in range(i, d)]
+    sums = rows.groupBy(*series_keys).agg(
+        F.count(F.lit(1)).alias("n"), F.array(*[F.avg(c) for c in x]).alias("_mean"), F.avg(y).alias("_ybar"),
+        F.array(*[F.covar_pop(x[i], x[j]) for i, j in pairs]).alias("_gram"), F.array(*[F.covar_pop(c, y) for c in x]).alias("_cross"))
+
+    def solve(batches):
+        for batch in batches:
+            at = {name: k for k, name in enumerate(batch.schema.names)}
+            weights, intercept = [], []
+            for mean, ybar, gram, cross in zip(*(batch.column(at[c]).to_pylist() for c in ("_mean", "_ybar", "_gram", "_cross"))):
+                full = np.zeros((d, d))
+                for (i, j), v in zip(pairs, gram):
+                    full[i, j] = full[j, i] = v
+                # scaled to unit variance first, so that the rank does not hang on the units
+                scale = np.sqrt(np.where(np.diag(full) > 0, np.diag(full), 1.0))
+                w = np.linalg.lstsq(full / np.outer(scale, scale), np.array(cross) / scale, rcond=1e-12)[0] / scale
+                weights.append(w.tolist())
+                intercept.append(float(ybar - np.dot(w, mean)))
+            keep = [batch.column(at[c]) for c in [*series_keys, "n"]]
+            yield pa.RecordBatch.from_arrays([*keep, pa.array(intercept, pa.float64()), pa.array(weights, pa.list_(pa.float64()))], [*series_keys, "n", "intercept", "weights"])
+
+    kinds = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in sums.schema.fields if f.name in series_keys)
+    return sums.mapInArrow(solve, f"{kinds}, n long, intercept double, weights array<double>")
+
+
+def series_linear_forecast(train: DataFrame, test: DataFrame, cols: Sequence[str], series_keys: Sequence[str], label: str = C.TARGET,
+                           keys: Sequence[str] = ("datetime",), name: str = C.LINEAR) -> DataFrame:
+    """Long predictions of every series by its own linear model; a series without training rows has null predictions."""
+    scored = same_keys(test, linear_coefficients(train, cols, series_keys, label).drop("n"), series_keys, "left")
+    dot = sum((F.col("weights")[i] * F.col(f"`{c}`") for i, c in enumerate(cols)), F.col("intercept"))
+    return as_long(scored.withColumn("prediction", dot), name, label, keys=[*series_keys, *keys])
+
+
 # --------------------------------------------------------------------------- ensemble
 
 def inverse_rmse_weights(board: DataFrame, components: Sequence[str], model_col: str = "model") -> DataFrame:
