@@ -1,8 +1,8 @@
 """BPE encoding and decoding through a table of distinct words.
 
 Texts are split at ASCII white space in Spark; each distinct word of the corpus
-is encoded once, by the task that owns it, and its ids are joined back to every
-position (see ``chunks``). Neither the normaliser nor the pre-tokeniser of the
+is encoded once, by the task that owns it and answers the chunks one by one, and
+its ids are joined back to every position (see ``chunks``). Neither the normaliser nor the pre-tokeniser of the
 word vocabulary looks across white space, so the ids of a text are the ids of
 its words in a row. Decoding joins ids with the id-to-piece table (bounded by
 the vocabulary) and puts a space between pieces, as a tokeniser without a
@@ -38,6 +38,10 @@ def pieces(path: str) -> list[str]:
     return out
 
 
+def _with_room(a: np.ndarray, n: int) -> np.ndarray:
+    return a if n <= len(a) else np.concatenate([a, np.zeros(max(n, 2 * len(a)) - len(a), a.dtype)])
+
+
 def encode(docs: DataFrame, tokenizer_path: str, key: str = "doc_id", text: str = "text") -> DataFrame:
     """Per row: the key, ``ids`` array<int> and the ``decoded`` text.
 
@@ -49,24 +53,36 @@ def encode(docs: DataFrame, tokenizer_path: str, key: str = "doc_id", text: str
     table_of_pieces = pieces(tokenizer_path)
     id_type = "uint16" if len(table_of_pieces) <= 65536 else "uint32"
 
-    def encode_share(distinct: list[bytes], index: list[np.ndarray], _) -> list:
+    def encoder():
+        import os
+        os.environ["TOKENIZERS_PARALLELISM"] = "false"
         from tokenizers import Tokenizer
         tokenizer = Tokenizer.from_file(tokenizer_path)
         tokenizer.no_truncation()
         tokenizer.no_padding()
-        sizes, flat = [], []
-        for at in range(0, len(distinct), 4096):
-            own = [e.ids for e in tokenizer.encode_batch_fast([w.decode("utf-8", "surrogatepass") for w in distinct[at:at + 4096]], add_special_tokens=False)]
-            sizes.extend(map(len, own))
-            flat.append(np.array([i for x in own for i in x], id_type))
-        sizes, flat = np.array(sizes, np.int64), np.concatenate(flat)
-        start = np.cumsum(sizes) - sizes
-        out = []
-        for own in index:
-            size = sizes[own]
-            take = np.arange(int(size.sum())) + np.repeat(start[own] - (np.cumsum(size) - size), size)
-            out.append((size.astype(np.uint8 if size.max() < 256 else np.uint32), C.planes(flat[take])))
-        return out
+        number: dict[bytes, int] = {}
+        sizes, ids, held = np.zeros(1 << 12, np.int32), np.zeros(1 << 14, id_type), 0      # of the distinct words so far, with room to grow
+
+        def reply(words: list[bytes]):
+            nonlocal sizes, ids, held
+            fresh = [w for w in words if w not in number]
+            for at in range(0, len(fresh), 4096):
+                part = fresh[at:at + 4096]
+                own = [e.ids for e in tokenizer.encode_batch_fast([w.decode("utf-8", "surrogatepass") for w in part], add_special_tokens=False)]
+                flat = np.array([i for x in own for i in x], id_type)
+                first = len(number)
+                number.update(zip(part, range(first, first + len(part))))
+                sizes, ids = _with_room(sizes, first + len(part)), _with_room(ids, held + len(flat))
+                sizes[first:first + len(part)] = np.fromiter(map(len, own), np.int32, len(own))
+                ids[held:held + len(flat)] = flat
+                held += len(flat)
+            own = np.fromiter(map(number.__getitem__, words), np.int64, len(words))
+            ends = np.cumsum(sizes[:len(number)], dtype=np.int64)
+            size = sizes[own].astype(np.int64)
+            take = np.arange(int(size.sum())) + np.repeat(ends[own] - size - (np.cumsum(size) - size), size)
+            return size.astype(np.uint8 if size.max() < 256 else np.uint32), C.planes(ids[take])
+
+        return reply
 
     piece_table = spark.sparkContext.broadcast(table_of_pieces)
 
@@ -93,7 +109,7 @@ def encode(docs: DataFrame, tokenizer_path: str, key: str = "doc_id", text: str
                          "decoded": pa.array(texts, pa.string())})
 
     # the chunks are cut twice rather than written: their words for the requests, their positions for the result
-    replies = C.answer(C.word_requests(C.chunk_rows(rows, "k", "t", lower=False, want=("words",))), encode_share)
+    replies = C.answer_each(C.word_requests(C.chunk_rows(rows, "k", "t", lower=False, want=("words",))), encoder)
     out = C.finish(C.chunk_rows(rows, "k", "t", lower=False, want=("data",)), replies, place, "k long, ids array<int>, decoded string")
     return out.withColumnRenamed("k", key)
 

@@ -185,6 +185,27 @@ def answer(requests: DataFrame, own: Callable[[list[bytes], list[np.ndarray], li
     return requests.groupBy("share").applyInArrow(serve, SHARE_SCHEMA)
 
 
+def answer_each(requests: DataFrame, start: Callable[[], Callable[[list[bytes]], object]]) -> DataFrame:
+    """Each share of the vocabulary in one task, whose requests stream by and are answered one at a time.
+
+    ``start`` begins a share; what it returns gets the words of one request after
+    another and returns the value for each. So a task holds what it keeps of the
+    share's distinct words, and one batch of requests.
+    """
+
+    def serve(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        now, reply = None, None
+        for batch in batches:
+            for i, share in enumerate(batch.column(1).to_pylist()):
+                if share != now:
+                    now, reply = share, start()
+                data = pack(reply(unpack(batch.column(2)[i].as_py())[0].split(b"\n")))
+                yield pa.RecordBatch.from_arrays([batch.column(0).slice(i, 1), batch.column(1).slice(i, 1), pa.array([data], pa.binary())], ["chunk", "share", "data"])
+
+    n = n_shares(requests)
+    return requests.repartition(n, "share").sortWithinPartitions("share").mapInArrow(serve, SHARE_SCHEMA)
+
+
 def finish(chunks: DataFrame, replies: DataFrame, done: Callable[[Chunk, dict[int, object]], pa.Table], schema: str) -> DataFrame:
     """Bring each chunk together with its replies and turn it into result rows.
 
