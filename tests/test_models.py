@@ -155,3 +155,27 @@ def test_folds_per_series(spark):
             want[(s, fold, "train")] = (start, 0, start - 1, 100, 99 + start)
     assert got == want
     assert {r.test_fold for r in with_test_fold(df, 5, series_keys=["s"]).where("s = 'short'").collect()} == {None}
+
+
+def test_knn_boxes_visit_only_what_can_matter(spark):
+    from voltcast.operators import knn as K
+    rng = np.random.default_rng(12)
+    centres = rng.normal(size=(12, 2)) * 100
+    tr = (centres[rng.integers(0, 12, 3000)] + rng.normal(size=(3000, 2))).round(1)
+    tr[:900] = tr[0]                                                     # a third of the rows at one point, which no cut divides
+    yt = rng.normal(size=3000)
+    te = np.concatenate([(centres[rng.integers(0, 12, 300)] + rng.normal(size=(300, 2))).round(1), tr[:3], [[1e4, 1e4]]])
+    train = spark.createDataFrame([(i, *map(float, r), float(y)) for i, (r, y) in enumerate(zip(tr, yt))], "o long, a double, b double, y double").repartition(4)
+    test = spark.createDataFrame([(i, *map(float, r)) for i, r in enumerate(te)], "q long, a double, b double").repartition(3)
+    got = K.knn_regress(train, test, ["a", "b"], "y", "o", "q", k=7, train_block=100, test_block=50, chunk=16).orderBy("q").toPandas()
+    np.testing.assert_allclose(got["predicted"].to_numpy(), _brute_knn(tr, yt, te, 7), rtol=1e-9)
+    vectors = train.select(F.array("a", "b").alias("x"))
+    boxes = K.build_boxes(vectors, 2, 100)
+    assert boxes.count.sum() == 3000 and boxes.count.max() >= 900 and (boxes.count > 0).sum() > 15
+    d = np.sqrt(((te[:, None] - tr[None]) ** 2).sum(2))
+    bounded = spark.createDataFrame([(list(map(float, r)), i, float(np.sort(d[i])[6])) for i, r in enumerate(te)], "x array<double>, _key long, bound double")
+    copies = K._visits(bounded, boxes, 7, True, 10**6).count() + K._visits(bounded, boxes, 7, False, 10**6).count()
+    assert copies < 4 * len(te) < len(te) * (boxes.count > 0).sum() / 3     # neighbouring boxes, not all
+    few = train.where("o >= 2996")
+    assert K.knn_regress(few, test, ["a", "b"], "y", "o", "q", k=7).count() == len(te)
+    assert K.knn_regress(train.where("false"), test, ["a", "b"], "y", "o", "q", k=7).count() == 0
