@@ -362,8 +362,16 @@ cvn AS (SELECT fold, count(*) AS n_test, avg(abs(load - lag_288)) AS mae FROM fr
                          "CAST(count(*) AS BIGINT) AS n_folds FROM cvn")
     q["running_min"] = wf(f"SELECT CAST(fold AS INTEGER) AS fold, CAST(n_test AS BIGINT) AS n_test, {r6('mae')} AS mae, "
                           f"{r6('min(mae) OVER (ORDER BY fold ROWS UNBOUNDED PRECEDING)')} AS running_min FROM cvn")
+    q["artefact_trials"] = wf(f"SELECT CAST(fold AS INTEGER) AS \"Trial\", {r6('mae')} AS \"MAE\", "
+                              f"{r6('min(mae) OVER (ORDER BY fold ROWS UNBOUNDED PRECEDING)')} AS \"Running_Min\" FROM cvn")
     q["best_of_history"] = wf(f"SELECT CAST(arg_min(fold, (mae, fold)) AS INTEGER) AS best_fold, {r6('min(mae)')} AS best_mae, "
                               "CAST(count(*) AS BIGINT) AS n FROM cvn")
+    q["artefact_epochs"] = with_features(f"SELECT CAST(weekday AS INTEGER) AS \"Epoch\", {r6('avg(abs(load - lag_12))')} AS \"Loss\", "
+                                         f"{r6('avg(abs(load - lag_288))')} AS \"Val_Loss\" FROM ff GROUP BY weekday")
+    q["artefact_profile"] = q["feature_profile"] if "feature_profile" in q else feature_queries()["feature_profile"]
+    q["artefact_predictions"] = wp(f"""SELECT datetime, {r6('"Actual"')} AS "Actual", {r6('"Naive Baseline"')} AS "Naive Baseline",
+        {r6('"Linear Regression"')} AS "Linear Regression", {r6(f'"{ENS}"')} AS "{ENS}" FROM wide ORDER BY datetime DESC LIMIT 576""")
+    q["saved_model_forecast"] = q["linreg_forecast"]
     return q
 
 

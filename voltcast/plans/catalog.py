@@ -796,6 +796,45 @@ def q_residual_density_levels(spark, sf_dir):
     return rounded(an.residual_density_levels(prediction_set(spark, sf_dir), 20))
 
 
+def q_artefact_predictions(spark, sf_dir):
+    """Wide predictions written as CSV, and the latest two days of them read back."""
+    path = scratch_path(spark, "predictions")
+    sinks.write_predictions(an.wide_predictions(prediction_set(spark, sf_dir), SQL_MODELS), path)
+    return rounded(readers.read_predictions(spark, path, 2 * FIVE_MIN.rows_per_day))
+
+
+def q_artefact_trials(spark, sf_dir):
+    """Errors of the naive forecast's folds with their running minimum, written as a trial history and read back."""
+    path = scratch_path(spark, "trials")
+    sinks.write_trials(stats.running_min(cv_naive_frame(spark, sf_dir), "mae", "fold").withColumnRenamed("fold", "trial"), path)
+    return rounded(readers.read_trials(spark, path))
+
+
+def q_artefact_epochs(spark, sf_dir):
+    """Mean absolute change of the load over 12 and 288 rows per weekday, written as an epoch history and read back."""
+    path = scratch_path(spark, "epochs")
+    change = lambda lag: F.avg(F.abs(F.col(C.TARGET) - F.col(lag)))
+    sinks.write_fit_history(features(spark, sf_dir).groupBy(F.col("weekday").alias("iteration")).agg(change("lag_12").alias("loss"), change("lag_288").alias("val_loss")), path)
+    return rounded(readers.read_epochs(spark, path))
+
+
+def q_artefact_profile(spark, sf_dir):
+    """Feature means: computed and written as a JSON document the first time, read the second."""
+    path = scratch_path(spark, "profile")
+    readers.profile_document(spark, path, lambda: stats.feature_profile(features(spark, sf_dir), FEATS))
+    return rounded(readers.profile_document(spark, path).select(*FEATS))
+
+
+def q_saved_model_forecast(spark, sf_dir):
+    """Least-squares forecaster saved, loaded and scored on the test rows."""
+    train, test = split_frames(spark, sf_dir)
+    path = scratch_path(spark, "model")
+    sinks.save_model(M.linear_regression(LR_COLS).fit(train), path)
+    return rounded(sinks.score(sinks.load_model(path), test, C.LINEAR))
+
+
+ALL_QUERIES.update({"artefact_predictions": q_artefact_predictions, "artefact_trials": q_artefact_trials, "artefact_epochs": q_artefact_epochs,
+                    "artefact_profile": q_artefact_profile, "saved_model_forecast": q_saved_model_forecast})
 ALL_QUERIES.update({"series_linreg_forecast": q_series_linreg_forecast, "series_folds": q_series_folds, "series_tail": q_series_tail,
                     "series_residuals": q_series_residuals, "appended_features": q_appended_features,
                     "correlation_importances": q_correlation_importances, "topk_correlations": q_topk_correlations,

@@ -142,14 +142,18 @@ def read_importances(spark: SparkSession, path: str) -> DataFrame:
 
 
 def read_predictions(spark: SparkSession, path: str, limit: int = 2016) -> DataFrame:
-    """Wide predictions; the latest ``limit`` rows by datetime, oldest first (``limit <= 0``: all rows)."""
+    """Wide predictions; the latest ``limit`` rows by datetime, oldest first (``limit <= 0``: all rows).
+
+    Rows of equal times rank by their values, column by column, so the cut does
+    not depend on how the files were read.
+    """
     df = spark.read.option("header", True).option("inferSchema", False).csv(path)
     cols = [F.to_timestamp_ntz("datetime").alias("datetime")] + [
         F.col(f"`{c}`").cast("double").alias(c) for c in df.columns if c != "datetime"]
     df = df.select(*cols)
     if limit > 0:
-        df = df.orderBy(F.col("datetime").desc()).limit(limit)
-    return df.orderBy("datetime")
+        df = df.orderBy(F.col("datetime").desc(), *[F.col(f"`{c}`") for c in df.columns if c != "datetime"]).limit(limit)
+    return df.orderBy("datetime", *[F.col(f"`{c}`") for c in df.columns if c != "datetime"])
 
 
 def read_config(spark: SparkSession, path: str, defaults: dict | None = None) -> DataFrame:
