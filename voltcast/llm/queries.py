@@ -36,7 +36,7 @@ def op2_lm_score(spark: SparkSession, sf_dir: str) -> DataFrame:
     from voltcast.llm import lm_score
     docs = _docs(spark, sf_dir).select("doc_id", "text", (_remainder(10) != 0).alias("training"))
     return lm_score.score(docs, "training").select(
-        "doc_id", (~F.col("training")).alias("held_out"), "n_tokens", "n_known", "train_tokens", "base_score", "score")
+        "doc_id", F.coalesce(_remainder(10) == 0, F.lit(False)).alias("held_out"), "n_tokens", "n_known", "train_tokens", "base_score", "score")
 
 
 def op3_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
