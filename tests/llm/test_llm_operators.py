@@ -291,6 +291,10 @@ def test_quoted_terms_are_not_abuse():
     assert [q for *_, q in hits('they said "you idiot" to us. Idiot!', a)] == [True, True]
     assert [(e, q) for _, e, q in hits("you id1ot, go " + "away " * 9 + "Idiot!", a)] == [(1, False), (0, False)]
     assert hits("", a) == []
+    between = 'x "foo bar" idiot "baz qux" y'
+    deep = '"one ' + "word " * 20 + "idiot " + "word " * 20 + 'end" idiot'
+    assert [q for *_, q in hits(between, a)] == [False] and [q for *_, q in hits(deep, a)] == [True, False]
+    assert [q for *_, q in hits('never "closed idiot here', a)] == [False] and [q for *_, q in hits('«idiot» " idiot " idiot', a)] == [True, True, False]
 
 
 # 6 ---------------------------------------------------------------------------------------------------------------

@@ -5,9 +5,10 @@ and stems (``abc*``: words that begin so) whose documents are toxic far more
 often than chance allows. Its trie is intersected with Levenshtein automata
 (one error for whole words of five letters or more, none for stems): states are
 sets of (trie node, errors), made as texts need them. Each
-hit is read in a window of words around it: a hit between quotation marks or
-after a word of saying counts as quoted, else as abuse. A logistic model over
-counts of exact, misspelled, stem and quoted hits gives the score.
+hit is read in a window of words around it: a hit between quotation marks, or
+within ``WINDOW`` words of a word of saying, counts as quoted, else as abuse. A logistic model over
+counts of exact, misspelled, stem and quoted hits gives the score. Quotation
+marks are paired over the whole text; one that is never closed opens nothing.
 """
 
 from __future__ import annotations
@@ -24,7 +25,6 @@ from voltcast.llm import logistic as L
 from voltcast.llm.connect import written
 
 CUT = 0.3
-LEXICON_TERMS = 500
 STEMS = range(4, 9)                      # letters of a stem
 STEM_HIT = 2                             # how ``match`` reports a stem; 0 and 1 are the errors of a whole word
 WINDOW = 6
@@ -105,20 +105,33 @@ class Automaton:
         return found
 
 
+def quotations(words: list[str]) -> np.ndarray:
+    """Which words lie between paired quotation marks; marks stand at the beginning and the end of words."""
+    inside = np.zeros(len(words), bool)
+    begin = None
+    for i, w in enumerate(words):
+        if begin is None and w[0] in OPEN:
+            begin = i
+            if len(w) == 1:
+                continue
+        if begin is not None and w.rstrip(".,;:!?")[-1:] in CLOSE and w.rstrip(".,;:!?"):
+            inside[begin:i + 1] = True
+            begin = None
+    return inside
+
+
 def hits(text: str, automaton: Automaton) -> list[tuple[int, int, bool]]:
     """(word position, errors, quoted) of each term in a text."""
     words = tokens(text)
-    out = []
+    out, inside = [], None
     for i, w in enumerate(words):
         e = automaton.known.get(w)
         if e is None:
             e = automaton.match(w.strip(STRIP))
             automaton.known[w] = e
         if e >= 0:
-            before, after = words[max(0, i - WINDOW):i], words[i + 1:i + 1 + WINDOW]
-            opened = w[0] in OPEN or any(x[0] in OPEN and x[-1] not in CLOSE for x in before)
-            closed = w[-1] in CLOSE or w.rstrip(".,;:!?")[-1:] in CLOSE or any(x.rstrip(".,;:!?")[-1:] in CLOSE for x in after)
-            out.append((i, e, (opened and closed) or any(x.strip(STRIP) in SAYING for x in before)))
+            inside = quotations(words) if inside is None else inside
+            out.append((i, e, bool(inside[i]) or any(x.strip(STRIP) in SAYING for x in words[max(0, i - WINDOW):i])))
     return out
 
 
@@ -157,8 +170,8 @@ class Model:
         self.__init__(**state)
 
 
-def learn_lexicon(sample: DataFrame, terms: int = LEXICON_TERMS) -> list[str]:
-    """At most ``terms`` words and stems that are abusive by their documents' labels.
+def learn_lexicon(sample: DataFrame) -> list[str]:
+    """Words and stems that are abusive by their documents' labels; all that pass, from the bounded sample.
 
     A term is taken when most of its documents are toxic, at more than twice the
     sample's odds (which some share fulfils however many are toxic), and that
@@ -202,14 +215,14 @@ def learn_lexicon(sample: DataFrame, terms: int = LEXICON_TERMS) -> list[str]:
     gain = F.col("n") * (p * F.log(p / base) + F.when(p < 1, (1 - p) * F.log((1 - p) / (1 - base))).otherwise(0.0))
     found = counts.where((F.col("k") > 0) & (p > 0.5) & (F.col("k") * (total - toxic) > 2 * (F.col("n") - F.col("k")) * toxic) & (gain > float(np.log(size) + 3)) & (F.length("w") > 2))
     chosen: dict[str, int] = {}
-    for r in found.orderBy(F.round(gain, 6).desc(), F.col("w").endswith("*"), F.length("w").desc(), "w").limit(10 * terms).collect():
+    for r in found.orderBy(F.round(gain, 6).desc(), F.col("w").endswith("*"), F.length("w").desc(), "w").collect():
         bare = r.w.rstrip("*")
         covered = any(bare[:size] + "*" in chosen for size in range(1, len(bare) + 1))
         if r.w.endswith("*"):
             covered = covered or sum(k for w, k in chosen.items() if w.startswith(bare)) >= 0.9 * r.k
         if not covered:
             chosen[r.w] = r.k
-    return list(chosen)[:terms]
+    return list(chosen)
 
 
 def fit(sample: DataFrame, l2: float = 1e-3) -> Model:
