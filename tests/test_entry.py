@@ -11,4 +11,5 @@ def test_entry_smoke(spark):
 def test_registry_consistent():
     q, s = E.queries(), E.oracle_sql()
     assert set(s) <= set(q)
-    assert len(q) >= 60
+    own = [k for k in q if not k.startswith(("op", "pipeline"))]
+    assert len(own) >= 88 and len(set(own) & set(s)) >= 71

@@ -895,16 +895,51 @@ def q_final_metrics(spark, sf_dir):
     return sinks.metrics_for_export(board)
 
 
+def q_model_invariants(spark, sf_dir):
+    """What must hold of every fitted tree forecaster: one finite prediction per test time, inside the range of the training
+    loads for single trees and averages of trees, and a smaller error than the mean of the test loads."""
+    train, _ = split_frames(spark, sf_dir)
+    names = [*PIPELINES, *BOOSTED]
+    preds = M.union_predictions([r.predictions for r in fitted(spark, sf_dir, names).values()])
+    low, high = train.agg(F.min(C.TARGET)).scalar(), train.agg(F.max(C.TARGET)).scalar()
+    inside = F.col("predicted").between(low - F.lit(1e-9), high + F.lit(1e-9)) | F.col("model").isin(list(BOOSTED))
+    err = F.col("actual") - F.col("predicted")
+    return rounded(preds.groupBy("model").agg(
+        F.count(F.lit(1)).alias("n_rows"), F.countDistinct("datetime").alias("n_times"), F.avg("actual").alias("mean_actual"),
+        F.min(inside & F.col("predicted").isNotNull() & ~F.isnan("predicted")).alias("in_range"),
+        (F.avg(err * err) < F.var_pop("actual")).alias("beats_mean")))
+
+
+def q_importance_invariants(spark, sf_dir):
+    """Of every model with importances: one per feature, none negative, and their shares add up to 1."""
+    imp = importances_long(spark, sf_dir)
+    share = F.col("importance") / F.sum("importance").over(Window.partitionBy("model"))
+    return rounded(imp.withColumn("share", share).groupBy("model").agg(
+        F.countDistinct("feature").alias("n_features"), (F.min("importance") >= 0).alias("none_negative"), F.sum("share").alias("total")))
+
+
+def q_history_invariants(spark, sf_dir):
+    """Of the boosted forecaster's history: every round once, and both losses end below where they began."""
+    order = lambda c, pick: pick(c, "iteration")
+    return q_fit_history(spark, sf_dir).agg(
+        F.count(F.lit(1)).alias("n_rounds"), F.countDistinct("iteration").alias("n_distinct"),
+        (order("loss", F.max_by) < order("loss", F.min_by)).alias("loss_falls"),
+        (order("val_loss", F.max_by) < order("val_loss", F.min_by)).alias("val_loss_falls"))
+
+
+ALL_QUERIES["model_invariants"] = q_model_invariants
+ALL_QUERIES["importance_invariants"] = q_importance_invariants
+ALL_QUERIES["history_invariants"] = q_history_invariants
 ALL_QUERIES["compare_tuned"] = q_compare_tuned
 ALL_QUERIES["cv_boosting"] = q_cv_boosting
 ALL_QUERIES["final_metrics"] = q_final_metrics
 
 
-# Registry order: SQL-checked queries first, then the model queries from the
+# Registry order: queries on data first, then those on fitted models from the
 # cheapest to the most expensive (later ones reuse earlier fits).
-_ROWS_ONLY = ["tree_forecast", "sequence_forecast", "tune_history", "forest_forecast", "gbt_forecast",
-              "fit_history", "gbt_reg_forecast", "gbt_leaf_forecast", "feature_importance", "importances_wide",
-              "topk_features", "report_json", "model_comparison", "tuned_forecast", "compare_tuned",
-              "final_metrics", "cv_boosting"]
+_ROWS_ONLY = ["tree_forecast", "sequence_forecast", "gbt_forecast", "gbt_reg_forecast", "gbt_leaf_forecast", "fit_history",
+              "history_invariants", "cv_boosting", "forest_forecast", "model_invariants", "importance_invariants",
+              "feature_importance", "importances_wide", "topk_features", "report_json", "model_comparison", "tune_history",
+              "tuned_forecast", "compare_tuned", "final_metrics"]
 ALL_QUERIES = {**{k: v for k, v in ALL_QUERIES.items() if k not in _ROWS_ONLY},
                **{k: ALL_QUERIES[k] for k in _ROWS_ONLY}}
