@@ -152,6 +152,7 @@ def test_patience_waits_for_a_late_improvement(spark):
         assert [e["mae"] for e in model.errors] == pytest.approx(errors[:stop + 1], rel=1e-6)
         assert model.best_round == int(np.argmin(errors[:stop + 1])) and model.error() == pytest.approx(min(errors[:stop + 1]))
     assert got[("long",)].error() <= got[("short",)].error()
+    assert got[("none",)].best_round is None and got[("none",)].error() == errors[-1]
     cut = got[("long",)]
     scored = cut.predict(df.where("row >= 200")).collect()
     assert np.mean([abs(r.load - r.prediction) for r in scored]) == pytest.approx(cut.error(), rel=1e-4)

@@ -94,8 +94,8 @@ class Boosted:
     best_round: int | None = None
 
     def error(self, metric: str = "mae") -> float:
-        """Validation error of the model cut back to its best round."""
-        return self.errors[self.best_round][metric]
+        """Validation error of the model: at its best round if it was fitted with patience, else after all rounds."""
+        return self.errors[-1 if self.best_round is None else self.best_round][metric]
 
     def predict(self, df: DataFrame, out: str = "prediction") -> DataFrame:
         """``df`` with the prediction; rows stay in their partitions. The broadcast model is bounded by its rounds and leaves."""
@@ -599,8 +599,8 @@ def _fit_run(blocks: RDD, whole: bool, specs: list[Spec], edges: list[np.ndarray
         before = kept
     if before is not None:
         before.unpersist()
-    for model, errors, best in zip(models, lock.errors, lock.best):
-        model.errors, model.best_round = errors, best
+    for model, spec, errors, best in zip(models, specs, lock.errors, lock.best):
+        model.errors, model.best_round = errors, best if spec.params.patience else None
     return models
 
 

@@ -853,7 +853,7 @@ def cv_boosting_folds(spark, sf_dir) -> DataFrame:
         rows = ranked_rows(spark, sf_dir)
         bounds = cvops.fold_bounds(rows.count(), 5)
         models = boosting.fit_many(rows, [boosting.Spec((f,), CV_BOOSTER, (0, start), (start, end)) for f, start, end in bounds], FEATS, C.TARGET, "row", keep_trees=False)
-        return [(f, float(models[(f,)].errors[-1]["mae"])) for f, _, _ in bounds]
+        return [(f, float(models[(f,)].error("mae"))) for f, _, _ in bounds]
     return spark.createDataFrame(fit_once(spark, sf_dir, "cv-boosting", fit), "fold int, mae double")
 
 
