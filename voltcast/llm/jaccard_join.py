@@ -24,6 +24,8 @@ Digest collisions: two different sets of the same size merge with probability
 
 from __future__ import annotations
 
+from collections.abc import Callable
+
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame
@@ -70,13 +72,16 @@ def shingle_sets(docs: DataFrame, key: str, text: str, size: int = 5) -> DataFra
     return docs.select(F.col(key).cast("long").alias("key"), F.col(text).cast("string")).mapInArrow(digests, "key long, n long, node long")
 
 
-def frequent_shingles(docs: DataFrame, text: str, size: int, t: tuple[int, int]) -> DataFrame:
+def frequent_shingles(docs: DataFrame, text: str, sets: Callable, first: Callable[[np.ndarray], np.ndarray], whole: bool = True) -> DataFrame:
     """Classes that have a prefix shingle of frequency 2 or more, written to the shared folder.
 
+    ``sets`` makes the sets of a piece of texts, as ``_sets`` does, and ``first(n)``
+    is the length of the prefix of a set of n shingles, those of frequency 1 included.
+
     Columns: node, n, start (position of the first such shingle), weight (mean
     frequency: highest for what others are copies of), prefix (the prefix
     shingles that can join), common (all shingles of frequency 2 or more,
-    sorted by hash, 8 bytes each).
+    sorted by hash, 8 bytes each; empty unless ``whole``).
     """
     shares = int(docs.sparkSession.conf.get("spark.sql.shuffle.partitions"))
     schema = "share int, data binary"
@@ -109,7 +114,7 @@ def frequent_shingles(docs: DataFrame, text: str, size: int, t: tuple[int, int])
 
         for batch in batches:
             for _, piece in T.slices(batch.column(0)):
-                h, doc, sizes, digest = _sets(piece, size)
+                h, doc, sizes, digest = sets(piece)
                 some = sizes > 0
                 hs.append(h)
                 whos.append(((np.cumsum(some) - 1)[doc] + docs_seen).astype(np.int32))
@@ -182,7 +187,7 @@ def frequent_shingles(docs: DataFrame, text: str, size: int, t: tuple[int, int])
         m = np.diff(np.append(begin, len(d)))
         n = n[begin]
         start = n - m
-        length = n - -(-t[0] * n // t[1]) + 1 - start
+        length = first(n) - start
         weight = np.add.reduceat(df, begin) / n
         out = {"node": [], "n": [], "start": [], "weight": [], "prefix": [], "common": []}
         for i in np.flatnonzero(length > 0).tolist():
@@ -192,7 +197,7 @@ def frequent_shingles(docs: DataFrame, text: str, size: int, t: tuple[int, int])
             out["start"].append(int(start[i]))
             out["weight"].append(float(weight[i]))
             out["prefix"].append(own[:length[i]].view(np.int64))
-            out["common"].append(np.sort(own).tobytes())
+            out["common"].append(np.sort(own).tobytes() if whole else b"")
         return pa.table(out, schema=pa.schema([("node", pa.int64()), ("n", pa.int64()), ("start", pa.int64()),
                                                ("weight", pa.float64()), ("prefix", pa.list_(pa.int64())), ("common", pa.binary())]))
 
@@ -240,7 +245,7 @@ def components(docs: DataFrame, key: str = "doc_id", text: str = "text", size: i
     """
     t = similarity
     rows = written(shingle_sets(docs, key, text, size), "sets")
-    sets = frequent_shingles(docs, text, size, t)
+    sets = frequent_shingles(docs, text, lambda piece: _sets(piece, size), lambda n: n - -(-t[0] * n // t[1]) + 1)
     index = (sets.select("node", "n", "start", "weight", F.posexplode("prefix").alias("i", "key"))
              .select("key", F.col("weight").alias("rank"), "node", "n", (F.col("start") + F.col("i")).alias("pos")))
 

@@ -6,18 +6,15 @@ node. Two nodes are linked if their edit similarity over words, 1 - distance /
 longer length, is at least 0.9. Of each connected group of lines only the
 first occurrence in the corpus (smallest key, then smallest line number) is kept.
 
-Candidates: each node has a 64-bit SimHash of its words, in which a word weighs
-the square of its length up to ``LONGEST``, as short words are shared by unrelated
-lines. It is cut into blocks; SimHashes that agree on two of them meet in the
-bucket of these two, and are candidates if they differ in at most ``DISTANCE``
-bits. The bound follows the similarity: it is where nearly all lines of that
-similarity lie; README has the measured recall. Lines of nine words and fewer
-are similar only if equal.
-
-A bucket is not compared all with all. Its rows arrive sorted and stream by: the
-first one is a centre, rows within ``NEAR`` bits of a centre are compared with
-centres only, the others become centres themselves. So a bucket of many copies costs
-one comparison each, and only centres are held.
+Candidates come from an exact prefix filter, so that no pair within the bound is
+left out. A line's set is its runs of five words, numbered where one repeats. One
+edit takes at most five of them away, so of two lines within k edits each has at
+most 5 k that the other has not, and as long as the bound is a tenth of the words
+they have at least one in common. Put in one order, rarest first, the first common one is among
+the first 5 k + 1 of both: lines are joined on these, by ``jaccard_join``'s exact
+frequencies, where runs of frequency 1 only count as positions. Star rounds and
+then all open pairs of different groups (``connect``) are compared word by word.
+Lines of eight words and fewer are similar only if equal.
 
 Lines travel as hashes; words of a line travel only for candidates, let through
 by a fixed-size bitmap; texts are shuffled once, to meet their lines' verdicts.
@@ -25,23 +22,21 @@ by a fixed-size bitmap; texts are shuffled once, to meet their lines' verdicts.
 
 from __future__ import annotations
 
-from itertools import combinations
-
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from voltcast.llm import textbuf as T
 from voltcast.llm.bitmap import bitmap, present
-from voltcast.llm.connect import components, written
+from voltcast.llm.connect import groups, written
+from voltcast.llm.jaccard_join import frequent_shingles
 
 SIMILARITY = (9, 10)
-DISTANCE, NEAR = 14, 2                     # bits between candidates, and between a centre and what it stands for
-LONGEST = 6                                # word length from which on all words weigh the same
-LEAST_WORDS = 10                           # shorter lines have no similar ones that are not equal
-EDGES = tuple(range(0, 65, 8))   # blocks of the SimHash, in bits
-CHOICES = tuple(combinations(range(8), 2))
+LEAST_WORDS = 9                            # shorter lines have no similar ones that are not equal
+RUN = 5                                    # words of a run
+RUN_BITS = 48                              # of a run's hash; equal hashes of different runs only add candidates
+ROUNDS = 1                                 # of stars before all open pairs
 _U = np.uint64
 _BLANK = np.zeros(256, bool)
 _BLANK[[*range(33, 48), *range(58, 65), *range(91, 97), *range(123, 127)]] = True
@@ -53,7 +48,6 @@ class Lines:
     def __init__(self, piece: pa.Array):
         w = T.Words(piece, blank=_BLANK)
         self.words = w.hashes()
-        self.weights = np.minimum(w.end - w.start, LONGEST).astype(np.uint8) ** 2
         breaks = np.concatenate([[0], np.cumsum(w.raw == 10)])
         line = breaks[w.start] - breaks[w.text_at[w.doc]]
         new = np.ones(len(line), bool)
@@ -68,14 +62,19 @@ class Lines:
     def counts(self) -> np.ndarray:
         return np.diff(self.bounds)
 
-    def simhash(self) -> np.ndarray:
-        """Weighted majority of each bit over the words of a line (ties give 0)."""
-        if not len(self.begin):
-            return np.zeros(0, _U)
-        bits = np.unpackbits(self.words.view(np.uint8).reshape(-1, 8), axis=1)
-        bits *= self.weights[:, None]
-        ones = np.add.reduceat(bits, self.begin, axis=0, dtype=np.int32)
-        return np.packbits(2 * ones > np.add.reduceat(self.weights, self.begin, dtype=np.int32)[:, None], axis=1).view(_U).reshape(-1)
+    def runs(self) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+        """Runs of ``RUN`` words of the lines of ``LEAST_WORDS`` or more, numbered where one repeats in its line: (hash, line, number per line)."""
+        long = np.where(self.counts >= LEAST_WORDS, self.counts, 0)
+        words = self.words[np.repeat(long > 0, self.counts)]
+        h, _, line = T.windows(words, np.concatenate([[0], np.cumsum(long)]), RUN)
+        order = np.lexsort((h, line))
+        h, line = h[order], line[order]
+        new = np.ones(len(h), bool)
+        new[1:] = (h[1:] != h[:-1]) | (line[1:] != line[:-1])
+        at = np.flatnonzero(new)
+        number = np.arange(len(h)) - np.repeat(at, np.diff(np.append(at, len(h))))
+        h = np.where(number > 0, T.mix(h + number.astype(_U) * _U(0x9E3779B97F4A7C15)), h)
+        return h & ~_U((1 << (64 - RUN_BITS)) - 1), line, np.maximum(long - RUN + 1, 0)
 
 
 def _sums(values: np.ndarray, begin: np.ndarray) -> np.ndarray:
@@ -141,7 +140,7 @@ def within(a: np.ndarray, b: np.ndarray, limit: int) -> bool:
 
 
 def _line_table(docs: DataFrame) -> DataFrame:
-    """(doc, key, line, node, sim, n) of every line with words; doc names a row by its key and text, n is the number of words."""
+    """(doc, key, line, node) of every line with words; doc names a row by its key and text."""
 
     def run(batches):
         for batch in batches:
@@ -150,10 +149,9 @@ def _line_table(docs: DataFrame) -> DataFrame:
                 where = pa.array(x.doc + at)
                 yield pa.RecordBatch.from_arrays(
                     [batch.column(0).take(where), batch.column(1).take(where), pa.array(x.line.astype(np.int32)),
-                     pa.array(x.hash.view(np.int64)), pa.array(x.simhash().view(np.int64)), pa.array(x.counts.astype(np.int32))],
-                    ["doc", "key", "line", "node", "sim", "n"])
+                     pa.array(x.hash.view(np.int64))], ["doc", "key", "line", "node"])
 
-    return written(docs.mapInArrow(run, "doc long, key long, line int, node long, sim long, n int"), "lines")
+    return written(docs.mapInArrow(run, "doc long, key long, line int, node long"), "lines")
 
 
 def _line_words(docs: DataFrame, nodes: DataFrame) -> DataFrame:
@@ -191,70 +189,34 @@ def _similar(pairs: DataFrame) -> DataFrame:
     return pairs.mapInArrow(run, "a long, b long")
 
 
-def _block_key(choice: int, sim: str) -> str:
-    """SQL for the chosen blocks' bits side by side, under the number of the choice."""
-    out = f"{choice}L"
-    for i in CHOICES[choice]:
-        size = EDGES[i + 1] - EDGES[i]
-        out = f"shiftleft({out}, {size}) + (shiftrightunsigned({sim}, {EDGES[i]}) & {(1 << size) - 1}L)"
-    return f"cast({out} as int)"
-
-
-def _stars(key: np.ndarray, sim: np.ndarray, old: np.ndarray, last: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    """Candidate pairs (two arrays of positions) in sorted buckets, and the centres of the bucket ``last``; pairs of old rows are known already."""
-    left, right, centres = [], [], []
-    live = np.arange(len(key))
-    while len(live):
-        first = np.concatenate([[True], key[live[1:]] != key[live[:-1]]])
-        lead = live[first][np.cumsum(first) - 1]
-        centres.append(live[first][key[live[first]] == last])
-        apart = np.bitwise_count(sim[live] ^ sim[lead])
-        pair = ~first & (apart <= DISTANCE) & ~(old[live] & old[lead])
-        left.append(lead[pair])
-        right.append(live[pair])
-        live = live[~first & ((apart > NEAR) | old[live])]
-    return tuple(np.concatenate(x) if x else np.zeros(0, np.int64) for x in (left, right, centres))
-
-
-def _candidates(sims: DataFrame) -> DataFrame:
-    """Distinct pairs (a, b) of SimHashes that share a bucket and are near enough; ``sims`` has them once each. One shuffle of (key, sim)."""
-    keys = F.array(*[F.expr(_block_key(c, "sim")) for c in range(len(CHOICES))])
-    parts = int(sims.sparkSession.conf.get("spark.sql.shuffle.partitions"))
-    rows = sims.select(F.explode(keys).alias("key"), "sim").repartition(parts, "key").sortWithinPartitions("key", "sim")
+def most_edits(words: np.ndarray) -> np.ndarray:
+    """Edits that a line may be away from any similar one, which may be the longer of the two."""
+    return words * (SIMILARITY[1] - SIMILARITY[0]) // SIMILARITY[0]
 
-    def run(batches):
-        key, sim = np.zeros(0, np.int32), np.zeros(0, _U)         # the centres of the last bucket
-        for batch in batches:
-            if not batch.num_rows:
-                continue
-            own_key, own = (c.to_numpy(zero_copy_only=False) for c in batch.columns)
-            old = np.arange(len(key) + len(own)) < len(key)
-            key, sim = np.concatenate([key, own_key]), np.concatenate([sim, own.view(_U)])
-            a, b, centres = _stars(key, sim, old, key[-1])
-            yield pa.RecordBatch.from_arrays([pa.array(np.minimum(sim[a].view(np.int64), sim[b].view(np.int64))),
-                                              pa.array(np.maximum(sim[a].view(np.int64), sim[b].view(np.int64)))], ["a", "b"])
-            centres = np.sort(centres)
-            key, sim = key[centres], sim[centres]
-
-    return rows.mapInArrow(run, "a long, b long").distinct()
-
-
-def _linked(rows: DataFrame, nodes: DataFrame) -> DataFrame:
-    """Pairs (a, b) of nodes that are candidates and similar."""
-    long = nodes.where(F.col("n") >= LEAST_WORDS)
-    # lines of one SimHash meet their smallest node; it stands for them in the buckets
-    sims = written(long.groupBy("sim").agg(F.min_by(F.struct("node", "n"), "node").alias("rep")), "sims")
-    side = lambda c: sims.select(F.col("sim").alias(c), F.col("rep.node").alias(f"{c}_node"), F.col("rep.n").alias(f"{c}_n"))
-    near = _candidates(sims.select("sim")).join(side("a"), "a").join(side("b"), "b")
-    same = long.join(sims, "sim").where("node <> rep.node").select(F.col("rep.node").alias("a_node"), F.col("rep.n").alias("a_n"), F.col("node").alias("b_node"), F.col("n").alias("b_n"))
-    pairs = near.select("a_node", "a_n", "b_node", "b_n").unionByName(same)
-    longer, more = F.greatest("a_n", "b_n"), F.abs(F.col("a_n") - F.col("b_n"))
-    pairs = pairs.where(more * SIMILARITY[1] <= longer * (SIMILARITY[1] - SIMILARITY[0])).select(F.col("a_node").alias("a"), F.col("b_node").alias("b"))
-    pairs = written(pairs, "pairs")
-    words = _line_words(rows, pairs.select(F.explode(F.array("a", "b")).alias("node")).distinct())
-    words = written(words, "words")
-    return _similar(pairs.join(words.select(F.col("node").alias("a"), F.col("words").alias("x")), "a")
-                    .join(words.select(F.col("node").alias("b"), F.col("words").alias("y")), "b").select("a", "b", "x", "y"))
+
+def _run_sets(piece: pa.Array):
+    x = Lines(piece)
+    h, line, sizes = x.runs()
+    return h, line, sizes, x.hash
+
+
+def _groups(rows: DataFrame) -> DataFrame:
+    """(node, component) of every linked node of the (doc, key, t) rows."""
+    sets = frequent_shingles(rows, "t", _run_sets, lambda n: RUN * most_edits(n + RUN - 1) + 1, whole=False)
+    index = sets.select(F.explode("prefix").alias("key"), F.col("weight").alias("rank"), "node", (F.col("n") + F.lit(RUN - 1)).alias("n"))
+    shared = index.groupBy("key").agg(F.count("*").alias("members")).where("members > 1").select("key")
+    index = written(index.join(shared, "key"), "index")
+    words = written(_line_words(rows, index.select("node").distinct()), "words")
+
+    def fits(a: str, b: str) -> Column:
+        longer, more = F.greatest(a + "n", b + "n"), F.abs(F.col(a + "n") - F.col(b + "n"))
+        return more * SIMILARITY[1] <= longer * (SIMILARITY[1] - SIMILARITY[0])
+
+    def verify(pairs: DataFrame) -> DataFrame:
+        return _similar(pairs.join(words.select(F.col("node").alias("a"), F.col("words").alias("x")), "a")
+                        .join(words.select(F.col("node").alias("b"), F.col("words").alias("y")), "b").select("a", "b", "x", "y"))
+
+    return groups(index, fits, verify, ROUNDS)
 
 
 def repeated_lines(docs: DataFrame, key: str = "doc_id", text: str = "text") -> DataFrame:
@@ -262,8 +224,8 @@ def repeated_lines(docs: DataFrame, key: str = "doc_id", text: str = "text") ->
     rows = docs.select(F.xxhash64(F.col(key).cast("long"), F.col(text).cast("string")).alias("doc"), F.col(key).cast("long").alias("key"), F.col(text).cast("string").alias("t"))
     lines = _line_table(rows)
     first = F.min(F.struct(F.col("key").isNull().alias("last"), "key", "line", "doc"))
-    nodes = written(lines.groupBy("node").agg(first.alias("first"), F.min("sim").alias("sim"), F.min("n").alias("n"), F.count("*").alias("times")), "nodes")
-    known = components(written(_linked(rows, nodes), "links"))
+    nodes = written(lines.groupBy("node").agg(first.alias("first"), F.count("*").alias("times")), "nodes")
+    known = _groups(rows)
     named = nodes.join(known, "node", "left").withColumn("component", F.coalesce("component", "node"))
     lowest = named.groupBy("component").agg(F.min("first").alias("keep"), F.sum("times").alias("times")).where("times > 1")
     verdict = named.select("node", "component").join(lowest, "component").select("node", "keep")
