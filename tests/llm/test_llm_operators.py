@@ -263,6 +263,21 @@ def test_pairwise_scores_follow_the_preference():
     assert (good @ w > bad @ w).mean() > 0.8
 
 
+def test_classifiers_learn_from_all_labelled_rows(spark, monkeypatch):
+    """More rows than the old bound of 20,000 are read, and all of them decide the quantile."""
+    from pyspark.sql import functions as F
+
+    from voltcast.llm import logistic
+    docs = spark.range(21_000).select(F.col("id").alias("doc_id"), F.lit("a text").alias("text"))
+    labels = docs.select("doc_id", (F.col("doc_id") % 2).cast("int").alias("y"))
+    assert logistic.labelled_sample(docs, labels, "doc_id", "text", "y", F.lit(True)).count() == 21_000
+    v = np.random.default_rng(5).integers(0, 300, 4000) ** 2.0
+    table = spark.createDataFrame([(float(x),) for x in v], "v double")
+    monkeypatch.setattr(logistic, "FEW", 50)
+    for share in (0.0, 0.137, 0.5, 1.0):
+        assert abs(logistic.quantile(table, share) - np.quantile(v, share)) < 1e-9
+
+
 def edit(a, b):
     row = list(range(len(b) + 1))
     for i, x in enumerate(a, 1):

@@ -1,9 +1,11 @@
 """Quality classifier by Bradley-Terry pairwise ranking.
 
-Each text has a utility w . x over style features. Preference pairs (a text
-labelled good is preferred to one labelled bad) are drawn from a bounded
-sample, and w minimises the logistic loss of the feature differences. The
-threshold is the utility quantile at the bad share of the sample; a utility at
+Each text has a utility w . x over style features. All labelled rows are dealt
+by a hash into blocks; in its block every row of the larger class stands in
+``PAIRS_PER_ROW`` preference pairs (a text labelled good is preferred to one
+labelled bad), every row of the other in at least as many, and w minimises the
+logistic loss of the feature differences of all pairs. The threshold is the
+utility quantile at the bad share of all labelled rows; a utility at
 the threshold is mapped to ``CUT`` by the logistic curve.
 """
 
@@ -19,9 +21,11 @@ from pyspark.sql import functions as F
 from voltcast.llm import logistic as L
 from voltcast.llm import textbuf as T
 from voltcast.llm import textstats as S
+from voltcast.llm.connect import written
 
 CUT = 0.3
 PAIRS_PER_ROW = 20
+BLOCK_ROWS = 256                           # rows of the smaller class in a block, about
 _UPPER = S.byte_class(bytes(range(65, 91)))
 _LETTER = S.byte_class(bytes([*range(65, 91), *range(97, 123)]))
 _DIGIT = S.byte_class(b"0123456789")
@@ -57,8 +61,20 @@ class Model:
         return L.sigmoid(x @ self.weights - self.threshold + np.log(CUT / (1 - CUT)))
 
 
+def _differences(x: np.ndarray, y: np.ndarray, seed: list[int]) -> np.ndarray:
+    """Good minus bad over the pairs of a block: each row in turn, in a new order each time."""
+    rng = np.random.default_rng(seed)
+    good, bad = x[y == 1], x[y == 0]
+    if not len(good) or not len(bad):
+        return np.zeros((0, x.shape[1]))
+    m = PAIRS_PER_ROW * max(len(good), len(bad))
+    turns = lambda n: np.concatenate([rng.permutation(n) for _ in range(-(-m // n))])[:m]
+    return good[turns(len(good))] - bad[turns(len(bad))]
+
+
 def fit(sample: DataFrame, l2: float = 1e-4, seed: int = 7) -> Model:
-    """Fit on the (k, t, y) rows of ``logistic.labelled_sample``; a sample with one class only scores every text alike."""
+    """Fit on the (k, t, y) rows of ``logistic.labelled_sample``; rows of one class only score every text alike."""
+    width = features(pa.array([""], pa.large_string())).shape[1]
 
     def rows(batches):
         for batch in batches:
@@ -66,20 +82,34 @@ def fit(sample: DataFrame, l2: float = 1e-4, seed: int = 7) -> Model:
                 yield pa.RecordBatch.from_pydict({"k": batch.column(0).slice(at, len(piece)), "y": batch.column(2).slice(at, len(piece)),
                                                   "x": pa.array(list(features(piece)), pa.list_(pa.float64()))})
 
-    got = sample.select(F.col("k").cast("string"), "t", "y").mapInArrow(rows, "k string, y int, x array<double>").collect()
-    got.sort(key=lambda r: r.k)
-    if not got:
-        return Model(np.zeros(features(pa.array([""], pa.large_string())).shape[1]), -4.0)
-    x, y = np.array([r.x for r in got]), np.array([r.y for r in got])
-    good, bad = x[y == 1], x[y == 0]
-    if not len(good) or not len(bad):
-        return Model(np.zeros(x.shape[1]), -4.0 if len(good) else 4.0)
-    rng = np.random.default_rng(seed)
-    m = PAIRS_PER_ROW * min(len(good), len(bad))
-    d = good[rng.integers(len(good), size=m)] - bad[rng.integers(len(bad), size=m)]
-    both = np.concatenate([d, -d])
-    weights = L.newton(both, np.repeat([1.0, 0.0], m), l2)
-    return Model(weights, float(np.quantile(x @ weights, len(bad) / len(y))))
+    got = written(sample.select(F.col("k").cast("string"), "t", "y").mapInArrow(rows, "k string, y int, x array<double>"), "labelled")
+    sizes = {r.y: r["count"] for r in got.groupBy("y").count().collect()}
+    n_good, n_bad = sizes.get(1, 0), sizes.get(0, 0)
+    if not n_good or not n_bad:
+        return Model(np.zeros(width), 4.0 if n_bad else -4.0)
+    count = max(1, min(n_good, n_bad) // BLOCK_ROWS)
+
+    def pack(table: pa.Table) -> pa.Table:
+        table = table.sort_by("k")
+        return pa.table({"block": table.column("block").slice(0, 1), "x": pa.array([np.array(table.column("x").to_pylist()).tobytes()], pa.binary()),
+                         "y": pa.array([table.column("y").to_numpy().astype(np.int8).tobytes()], pa.binary())})
+
+    blocks = got.where("y in (0, 1)").withColumn("block", F.pmod(F.xxhash64("k"), F.lit(count)).cast("int")).groupBy("block").applyInArrow(pack, "block int, x binary, y binary")
+    blocks = written(blocks, "blocks")
+
+    def sums(w: np.ndarray) -> np.ndarray:
+        def of(batch: pa.RecordBatch) -> np.ndarray:
+            total = np.zeros(1 + width + width * width)
+            for block, x, y in zip(*(c.to_pylist() for c in batch.columns)):
+                d = _differences(np.frombuffer(x).reshape(-1, width), np.frombuffer(y, np.int8), [seed, block])
+                total += L.gradient_sums(d, np.ones(len(d)), w)
+            return total
+
+        return L.summed(blocks, of)
+
+    weights = L.newton_over(sums, width, l2)
+    utility = F.aggregate(F.zip_with("x", F.array(*[F.lit(float(v)) for v in weights]), lambda a, b: a * b), F.lit(0.0), lambda a, b: a + b)
+    return Model(weights, L.quantile(got.select(utility.alias("v")), n_bad / sum(sizes.values())))
 
 
 def score(docs: DataFrame, model: Model, key: str = "doc_id", text: str = "text") -> DataFrame:
@@ -108,8 +138,7 @@ def keep(docs: DataFrame, model: Model, text: str = "text") -> DataFrame:
     return docs.mapInArrow(run, docs.schema)
 
 
-def classify(docs: DataFrame, labels: DataFrame, train: Column, key: str = "doc_id", text: str = "text", label: str = "quality",
-             sample_rows: int = L.SAMPLE_ROWS) -> DataFrame:
+def classify(docs: DataFrame, labels: DataFrame, train: Column, key: str = "doc_id", text: str = "text", label: str = "quality") -> DataFrame:
     """Fit on the labelled rows where ``train`` holds, score every row.
 
     Defined cases: a null text scores as an empty one; rows are scored one by
@@ -117,4 +146,4 @@ def classify(docs: DataFrame, labels: DataFrame, train: Column, key: str = "doc_
     score, above the cut unless all labels are bad; other columns are ignored;
     an empty table gives an empty result.
     """
-    return score(docs, fit(L.labelled_sample(docs, labels, key, text, label, train, sample_rows)), key, text)
+    return score(docs, fit(L.labelled_sample(docs, labels, key, text, label, train)), key, text)

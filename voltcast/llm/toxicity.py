@@ -227,6 +227,7 @@ def learn_lexicon(sample: DataFrame) -> list[str]:
 
 def fit(sample: DataFrame, l2: float = 1e-3) -> Model:
     """Learn lexicon and weights from the (k, t, y) rows of ``logistic.labelled_sample``; without both classes every text scores 0."""
+    sample = written(sample, "labelled")
     terms = learn_lexicon(sample)
     automaton_terms = terms
 
@@ -238,9 +239,12 @@ def fit(sample: DataFrame, l2: float = 1e-3) -> Model:
 
     if not terms:
         return Model([], np.array([-9.0] + [0.0] * 9))
-    got = sample.select(F.col("k").cast("string"), "t", "y").mapInArrow(rows, "k string, y int, x array<double>").collect()
-    got.sort(key=lambda r: r.k)
-    return Model(terms, L.newton(np.array([r.x for r in got]), np.array([float(r.y) for r in got]), l2, free=0))
+    got = written(sample.select(F.col("k").cast("string"), "t", "y").mapInArrow(rows, "k string, y int, x array<double>"), "features")
+
+    def sums(w: np.ndarray) -> np.ndarray:
+        return L.summed(got, lambda batch: L.gradient_sums(np.array(batch.column(2).to_pylist()), batch.column(1).to_numpy().astype(float), w))
+
+    return Model(terms, L.newton_over(sums, 10, l2, free=0))
 
 
 def score(docs: DataFrame, model: Model, key: str = "doc_id", text: str = "text") -> DataFrame:
@@ -258,8 +262,7 @@ def score(docs: DataFrame, model: Model, key: str = "doc_id", text: str = "text"
             .mapInArrow(run, "k long, score double, predicted int, n_abusive long, n_quoted long").withColumnRenamed("k", key))
 
 
-def classify(docs: DataFrame, labels: DataFrame, train: Column, key: str = "doc_id", text: str = "text", label: str = "toxic",
-             sample_rows: int = L.SAMPLE_ROWS) -> DataFrame:
+def classify(docs: DataFrame, labels: DataFrame, train: Column, key: str = "doc_id", text: str = "text", label: str = "toxic") -> DataFrame:
     """Learn from the labelled rows where ``train`` holds, score every row.
 
     Defined cases: a null text scores as an empty one; rows are scored one by
@@ -267,4 +270,4 @@ def classify(docs: DataFrame, labels: DataFrame, train: Column, key: str = "doc_
     lexicon is empty and every text scores near 0; other columns are ignored;
     an empty table gives an empty result.
     """
-    return score(docs, fit(L.labelled_sample(docs, labels, key, text, label, train, sample_rows)), key, text)
+    return score(docs, fit(L.labelled_sample(docs, labels, key, text, label, train)), key, text)
