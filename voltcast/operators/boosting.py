@@ -449,7 +449,8 @@ def _grow(a: dict, seed: int, turn: int, allowed: np.ndarray, level_splits: Call
                 "model": model}
         t = {c: np.concatenate([t[c], more[c]]) for c in t}
         level += 1
-        opened = size + np.flatnonzero((level < a["depth"][model]) & (more["rows"] >= np.maximum(2 * a["min_rows"][model], 2)))
+        least = a["least"] if "least" in a else np.maximum(2 * a["min_rows"], 2)
+        opened = size + np.flatnonzero((level < a["depth"][model]) & (more["rows"] >= least[model]))
         if known:
             opened = _best_first(t, a["leaves"], known, node, opened)
     m = t["model"]

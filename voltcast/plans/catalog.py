@@ -498,7 +498,8 @@ def fit_once(spark, sf_dir, name: str, build):
         return _fits[key]
 
 
-PIPELINES = {C.TREE: M.decision_tree, C.FOREST: M.random_forest}
+PIPELINES = {C.TREE: M.decision_tree}
+TREE_MODELS = [C.TREE, C.FOREST]
 BOOSTED = {C.GBT: M.GRADIENT, C.XGB: M.REGULARISED, C.LGBM: M.LEAF_WISE}
 
 
@@ -509,6 +510,8 @@ def fitted(spark, sf_dir, names) -> dict:
     def one(name):
         if name in BOOSTED:
             return fit_once(spark, sf_dir, "boosted", lambda: M.fit_boosted(BOOSTED, train, test, FEATS))[name]
+        if name == C.FOREST:
+            return fit_once(spark, sf_dir, name, lambda: M.fit_forest(name, M.BAGGED, train, test, FEATS))
         return fit_once(spark, sf_dir, name, lambda: M.fit_all({name: PIPELINES[name](FEATS)}, train, test)[name])
 
     with ThreadPoolExecutor(max_workers=len(names)) as ex:
@@ -548,7 +551,7 @@ def reference_predictions(spark, sf_dir) -> DataFrame:
     kp = knn_regress(tr, te, FEATS, C.TARGET, train_order="pos", test_key="datetime", k=10)
     knn = te.select("datetime", F.col(C.TARGET).alias("actual")).join(kp, "datetime").select(
         "datetime", F.lit(C.KNN).alias("model"), "actual", "predicted")
-    trees = fitted(spark, sf_dir, [*PIPELINES, *BOOSTED])
+    trees = fitted(spark, sf_dir, [*TREE_MODELS, *BOOSTED])
     parts = [M.naive_forecast(test, "lag_288"), lr, knn, *[r.predictions for r in trees.values()]]
     return M.union_predictions(parts)
 
@@ -571,7 +574,7 @@ def importances_long(spark, sf_dir) -> DataFrame:
     """(model, feature, importance): the forest's impurity decrease and the depth-wise booster's mean gain per split, each as shares
     of 1, and the leaf-wise booster's number of splits."""
     run = fitted(spark, sf_dir, [C.FOREST])[C.FOREST]
-    forest = spark.createDataFrame([(C.FOREST, f, float(v)) for f, v in zip(FEATS, run.model.stages[-1].featureImportances.toArray())],
+    forest = spark.createDataFrame([(C.FOREST, f, float(v)) for f, v in zip(FEATS, run.model.importances)],
                                    "model string, feature string, importance double")
     counts = boosting.split_counts(boosted_nodes(spark, sf_dir).where(F.col("model") != C.GBT), FEATS)
     mean = F.coalesce(F.try_divide("gain", "splits"), F.lit(0.0))
@@ -899,7 +902,7 @@ def q_model_invariants(spark, sf_dir):
     """What must hold of every fitted tree forecaster: one finite prediction per test time, inside the range of the training
     loads for single trees and averages of trees, and a smaller error than the mean of the test loads."""
     train, _ = split_frames(spark, sf_dir)
-    names = [*PIPELINES, *BOOSTED]
+    names = [*TREE_MODELS, *BOOSTED]
     preds = M.union_predictions([r.predictions for r in fitted(spark, sf_dir, names).values()])
     low, high = train.agg(F.min(C.TARGET)).scalar(), train.agg(F.max(C.TARGET)).scalar()
     inside = F.col("predicted").between(low - F.lit(1e-9), high + F.lit(1e-9)) | F.col("model").isin(list(BOOSTED))

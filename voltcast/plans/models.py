@@ -17,12 +17,12 @@ import numpy as np
 import pyarrow as pa
 from pyspark.ml import Pipeline, PipelineModel
 from pyspark.ml.feature import StandardScaler, VectorAssembler
-from pyspark.ml.regression import DecisionTreeRegressor, LinearRegression, RandomForestRegressor
+from pyspark.ml.regression import DecisionTreeRegressor, LinearRegression
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from voltcast import constants as C
-from voltcast.operators import boosting
+from voltcast.operators import boosting, forest
 from voltcast.operators.ordered import fit_input, same_keys
 
 
@@ -57,14 +57,8 @@ def decision_tree(cols: Sequence[str], label: str = C.TARGET, seed: int = 42) ->
     return Pipeline(stages=[assembler(cols), dt])
 
 
-def random_forest(cols: Sequence[str], label: str = C.TARGET, seed: int = 42, num_trees: int = 150) -> Pipeline:
-    """150 trees of depth 15, min leaf 4; every split considers all features."""
-    rf = RandomForestRegressor(featuresCol="features", labelCol=label, numTrees=num_trees, maxDepth=15,
-                               minInstancesPerNode=4, featureSubsetStrategy="all", seed=seed,
-                               cacheNodeIds=True, checkpointInterval=10, maxMemoryInMB=128)
-    return Pipeline(stages=[assembler(cols), rf])
-
-
+# 150 trees of depth 15, min leaf 4; every split considers all features (operators.forest).
+BAGGED = forest.Params(trees=150, depth=15, min_rows=4, bins=32, seed=42)
 # Plain squared-loss boosting: 200 rounds of depth 5, rate .05, rows sampled 0.8, no penalties (operators.boosting).
 GRADIENT = boosting.Params(rounds=200, depth=5, rate=0.05, l1=0.0, l2=0.0, columns=1.0, rows=0.8)
 # Second-order boosting with L1 and L2 leaf penalties (operators.boosting).
@@ -102,10 +96,17 @@ def fit_boosted(params: dict[str, boosting.Params], train: DataFrame, test: Data
     return {n: ModelRun(n, fitted[(n,)], as_long(fitted[(n,)].predict(test.select(*keys, label, *cols)), n, label, keys=keys)) for n in params}
 
 
+def fit_forest(name: str, params: forest.Params, train: DataFrame, test: DataFrame, cols: Sequence[str], label: str = C.TARGET,
+               row_col: str = "pos", keys: Sequence[str] = ("datetime",)) -> ModelRun:
+    """Fit a random forest on all training rows and score the test rows."""
+    model = forest.fit(train, params, cols, label, row_col)
+    return ModelRun(name, model, as_long(model.predict(test.select(*keys, label, *cols)), name, label, keys=keys))
+
+
 @dataclass
 class ModelRun:
     name: str
-    model: PipelineModel | boosting.Boosted | None
+    model: PipelineModel | boosting.Boosted | forest.Forest | None
     predictions: DataFrame
     extras: dict = field(default_factory=dict)
 
