@@ -57,8 +57,28 @@ class Automaton:
             else:
                 self.allowed[node] = errors if len(term) >= least else 0
         self.start = self._closed({(0, 0)})
-        self.moves: dict[tuple[frozenset, str], frozenset] = {}
         self.known: dict[str, int] = {}
+        self.clean: set[str] = set()      # words as they stand in texts, with what is stripped, that are no term
+        self._forget()
+
+    def _forget(self) -> None:
+        """No states but the start; a state is a number, its moves, its fewest errors as a whole word (or none) and whether a stem ends there."""
+        self.numbers: dict[frozenset, int] = {}
+        self.states: list[frozenset] = []
+        self.moves: list[dict[str, int]] = []
+        self.whole: list[int | None] = []
+        self.stem: list[bool] = []
+        self.n_moves = 0
+        self._number(self.start)
+
+    def _number(self, state: frozenset) -> int:
+        if state not in self.numbers:
+            self.numbers[state] = len(self.states)
+            self.states.append(state)
+            self.moves.append({})
+            self.whole.append(min((e for node, e in state if e <= self.allowed.get(node, -1)), default=None))
+            self.stem.append(any(e == 0 and node in self.stems for node, e in state))
+        return self.numbers[state]
 
     def _closed(self, states: set[tuple[int, int]]) -> frozenset:
         """With letters of the term left out (an error each); only the fewest errors of a node are kept."""
@@ -87,23 +107,41 @@ class Automaton:
         """-1 for no term, else the errors of the closest whole word, else STEM_HIT."""
         found = self.known.get(word)
         if found is None:
-            state, stem = self.start, False
+            at, stem = 0, False
             for c in word:
-                after = self.moves.get((state, c))
+                after = self.moves[at].get(c)
                 if after is None:
-                    if len(self.moves) > 200_000:
-                        self.moves.clear()
-                    after = self.moves[state, c] = self._move(state, c)
-                state = after
-                if not state:
+                    state = self.states[at]
+                    if self.n_moves > 200_000:
+                        self._forget()
+                        at = self._number(state)
+                    after = self.moves[at][c] = self._number(self._move(state, c))
+                    self.n_moves += 1
+                at = after
+                if not self.states[at]:
                     break
-                stem = stem or any(e == 0 and node in self.stems for node, e in state)
-            found = min((e for node, e in state if e <= self.allowed.get(node, -1)), default=STEM_HIT if stem else -1)
+                stem = stem or self.stem[at]
+            found = self.whole[at]
+            if found is None:
+                found = STEM_HIT if stem else -1
             if len(self.known) > 500_000:
                 self.known.clear()
             self.known[word] = found
         return found
 
+    def seen(self, words: list[str]) -> dict[str, int]:
+        """The terms among words as they stand in a text, and how ``match`` reports them."""
+        found = {}
+        for w in set(words).difference(self.clean):
+            e = self.match(w.strip(STRIP))
+            if e >= 0:
+                found[w] = e
+            else:
+                if len(self.clean) > 500_000:
+                    self.clean.clear()
+                self.clean.add(w)
+        return found
+
 
 def quotations(words: list[str]) -> np.ndarray:
     """Which words lie between paired quotation marks; marks stand at the beginning and the end of words."""
@@ -123,16 +161,11 @@ def quotations(words: list[str]) -> np.ndarray:
 def hits(text: str, automaton: Automaton) -> list[tuple[int, int, bool]]:
     """(word position, errors, quoted) of each term in a text."""
     words = tokens(text)
-    out, inside = [], None
-    for i, w in enumerate(words):
-        e = automaton.known.get(w)
-        if e is None:
-            e = automaton.match(w.strip(STRIP))
-            automaton.known[w] = e
-        if e >= 0:
-            inside = quotations(words) if inside is None else inside
-            out.append((i, e, bool(inside[i]) or any(x.strip(STRIP) in SAYING for x in words[max(0, i - WINDOW):i])))
-    return out
+    terms = automaton.seen(words)
+    if not terms:
+        return []
+    inside = quotations(words)
+    return [(i, terms[w], bool(inside[i]) or any(x.strip(STRIP) in SAYING for x in words[max(0, i - WINDOW):i])) for i, w in enumerate(words) if w in terms]
 
 
 def densest(places: list[int], reach: int = 50) -> int:
@@ -147,6 +180,8 @@ def densest(places: list[int], reach: int = 50) -> int:
 
 def features(text: str, automaton: Automaton) -> list[float]:
     found = hits(text, automaton)
+    if not found:
+        return [1.0] + [0.0] * 9
     exact, fuzzy, stem = (sum(1 for _, e, q in found if not q and e == kind) for kind in (0, 1, STEM_HIT))
     quoted = len(found) - exact - fuzzy - stem
     near = densest([i for i, _, q in found if not q])
