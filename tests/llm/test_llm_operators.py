@@ -559,6 +559,18 @@ def test_a_group_of_near_copies_makes_few_pairs(spark, monkeypatch):
     assert [r.doc_id for r in got.where("n_removed = 0").collect()] == [0] and sum(seen) < 3 * len(rows)
 
 
+def test_near_copies_beside_a_longer_line_make_few_pairs(spark, monkeypatch):
+    """Their buckets' centre must not be the line that holds all of their runs but is too long to be similar."""
+    from voltcast.llm import line_dedup as L
+    base, seen = [f"w{i}" for i in range(40)], []
+    real = L._similar
+    monkeypatch.setattr(L, "_similar", lambda pairs: (seen.append(pairs.count()), real(pairs))[1])
+    rows = [(0, " ".join([*base, *(f"tail{i}" for i in range(5))]))]
+    rows += [(i, " ".join(f"new{i}x{j}" if j in (i % 20, 20 + i % 20) else w for j, w in enumerate(base))) for i in range(1, 200)]
+    got = L.dedup(spark.createDataFrame(rows, "doc_id long, text string").repartition(3))
+    assert {r.doc_id for r in got.where("n_removed = 0").collect()} == {0, 1} and sum(seen) < 3 * len(rows)
+
+
 def test_word_edit_distance_within_a_limit():
     from voltcast.llm.line_dedup import within
     rng = np.random.default_rng(6)

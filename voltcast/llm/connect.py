@@ -57,7 +57,7 @@ def components(links: DataFrame) -> DataFrame:
 
 
 def groups(buckets: DataFrame, fits: Callable[[str, str], Column], verify: Callable[[DataFrame], DataFrame], rounds: int = 1,
-           first: DataFrame | None = None, led: bool = True) -> DataFrame:
+           first: DataFrame | None = None, led: bool = True, split: str | None = None) -> DataFrame:
     """Connected groups of the nodes in ``buckets``: (node, component) for every linked node.
 
     ``buckets`` has key, node (long), rank (any ordered type) and the columns
@@ -67,15 +67,19 @@ def groups(buckets: DataFrame, fits: Callable[[str, str], Column], verify: Calla
     empty table gives an empty one. A caller that has made the first star round's
     pairs itself passes them as ``first``; ``buckets`` then needs no rank, and
     only the buckets of three members or more. If ``first`` comes from other
-    buckets, ``led`` is false and all buckets of two are wanted.
+    buckets, ``led`` is false and all buckets of two are wanted. ``split`` names
+    a column that deals a bucket into parts with a centre each, for nodes that
+    differ so much that one centre would fit few of them.
     """
-    info = [c for c in buckets.columns if c not in ("key", "component", "rank")]
+    info = [c for c in buckets.columns if c not in ("key", "component", "rank", split)]
+    part = ["key", split] if split else ["key"]
+    led = led and not split
 
     def star(rows: DataFrame, order: Column, other_group: bool) -> DataFrame:
         carried = info + ["component"] * other_group
-        lead = rows.groupBy("key").agg(F.max(F.struct(order, *carried)).alias("c"), F.count("*").alias("members")).where("members > 1")
-        lead = lead.select("key", *[F.col(f"c.{c}").alias(f"lead_{c}") for c in carried])
-        pairs = rows.join(lead, "key").where(F.col("node") != F.col("lead_node")).where(fits("lead_", ""))
+        lead = rows.groupBy(*part).agg(F.max(F.struct(order, *carried)).alias("c"), F.count("*").alias("members")).where("members > 1")
+        lead = lead.select(*part, *[F.col(f"c.{c}").alias(f"lead_{c}") for c in carried])
+        pairs = rows.join(lead, part).where(F.col("node") != F.col("lead_node")).where(fits("lead_", ""))
         if other_group:
             pairs = pairs.where("component <> lead_component")
         return pairs.select(F.least("lead_node", "node").alias("a"), F.greatest("lead_node", "node").alias("b")).distinct()

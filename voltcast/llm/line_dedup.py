@@ -65,16 +65,34 @@ class Lines:
     def runs(self) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
         """Runs of ``RUN`` words of the lines of ``LEAST_WORDS`` or more, numbered where one repeats in its line: (hash, line, number per line)."""
         long = np.where(self.counts >= LEAST_WORDS, self.counts, 0)
-        words = self.words[np.repeat(long > 0, self.counts)]
-        h, _, line = T.windows(words, np.concatenate([[0], np.cumsum(long)]), RUN)
-        order = np.lexsort((h, line))
-        h, line = h[order], line[order]
-        new = np.ones(len(h), bool)
-        new[1:] = (h[1:] != h[:-1]) | (line[1:] != line[:-1])
-        at = np.flatnonzero(new)
-        number = np.arange(len(h)) - np.repeat(at, np.diff(np.append(at, len(h))))
-        h = np.where(number > 0, T.mix(h + number.astype(_U) * _U(0x9E3779B97F4A7C15)), h)
-        return h & ~_U((1 << (64 - RUN_BITS)) - 1), line, np.maximum(long - RUN + 1, 0)
+        h, line, *_ = numbered_runs(short(self.words[np.repeat(long > 0, self.counts)]), np.concatenate([[0], np.cumsum(long)]))
+        return h, line, np.maximum(long - RUN + 1, 0)
+
+
+def short(words: np.ndarray) -> np.ndarray:
+    """32 bits of each word's hash, which tell the words of two lines apart."""
+    return (words >> _U(32)).astype(np.uint32)
+
+
+def numbered_runs(words: np.ndarray, offsets: np.ndarray) -> tuple[np.ndarray, ...]:
+    """Runs of lines: (hash, line, number of the run among equal ones of its line, places of the first and the last of these)."""
+    h, place, line = T.windows(words.astype(_U), offsets, RUN)
+    place = place - offsets[line]
+    number, first, last = np.zeros(len(h), np.int64), place.copy(), place.copy()
+    own = T.mix(h + line.astype(_U) * _U(0xD1B54A32D192ED03))
+    ordered = np.sort(own)
+    again = np.unique(ordered[1:][ordered[1:] == ordered[:-1]])
+    if len(again):
+        at = np.flatnonzero(again[np.minimum(np.searchsorted(again, own), len(again) - 1)] == own)
+        at = at[np.lexsort((place[at], h[at], line[at]))]
+        new = np.ones(len(at), bool)
+        new[1:] = (h[at][1:] != h[at][:-1]) | (line[at][1:] != line[at][:-1])
+        begin = np.flatnonzero(new)
+        times = np.diff(np.append(begin, len(at)))
+        number[at] = np.arange(len(at)) - np.repeat(begin, times)
+        first[at], last[at] = np.repeat(place[at[begin]], times), np.repeat(place[at[begin + times - 1]], times)
+        h[at] = np.where(number[at] > 0, T.mix(h[at] + number[at].astype(_U) * _U(0x9E3779B97F4A7C15)), h[at])
+    return h & ~_U((1 << (64 - RUN_BITS)) - 1), line, number, first, last
 
 
 def _sums(values: np.ndarray, begin: np.ndarray) -> np.ndarray:
@@ -155,20 +173,20 @@ def _line_table(docs: DataFrame) -> DataFrame:
 
 
 def _line_words(docs: DataFrame, nodes: DataFrame) -> DataFrame:
-    """(node, words) of the wanted lines: 32 bits of each word's hash, which tell the words of two lines apart."""
+    """(node, words) of the wanted lines: the ``short`` hashes of their words."""
     held = docs.sparkSession.sparkContext.broadcast(bitmap(nodes, "node"))
 
     def run(batches):
         for batch in batches:
             for _, piece in T.slices(batch.column(2)):
                 x = Lines(piece)
-                short = (x.words >> _U(32)).astype(np.uint32)
+                words = short(x.words)
                 hit = present(held.value, x.hash)
                 _, first = np.unique(x.hash[hit], return_index=True)
                 hit = hit[first]
                 yield pa.RecordBatch.from_arrays(
                     [pa.array(x.hash[hit].view(np.int64)),
-                     pa.array([short[a:b].tobytes() for a, b in zip(x.begin[hit], x.bounds[hit + 1])], pa.binary())], ["node", "words"])
+                     pa.array([words[a:b].tobytes() for a, b in zip(x.begin[hit], x.bounds[hit + 1])], pa.binary())], ["node", "words"])
 
     return docs.mapInArrow(run, "node long, words binary").join(nodes, "node", "left_semi").groupBy("node").agg(F.first("words").alias("words"))
 
@@ -200,36 +218,80 @@ def _run_sets(piece: pa.Array):
     return h, line, sizes, x.hash
 
 
+def _joinable(sets: DataFrame, words: DataFrame) -> DataFrame:
+    """(key, rank, node, n, part, lo, hi): of each prefix, the runs up to the first that settles it, with their places in the line.
+
+    Of runs that start at places equal modulo five no two overlap, so one edit
+    takes at most one of them away. Once one such class has more runs, those of
+    frequency 1 included, than a line may have edits, one of them is in every similar line.
+    """
+
+    def run(batches):
+        for batch in batches:
+            if not batch.num_rows:
+                continue
+            node, weight, prefix, common, text = batch.columns
+            text = [np.frombuffer(x.as_buffer(), np.uint32) for x in text]
+            count = np.array([len(x) for x in text])
+            h, line, number, first, last = numbered_runs(np.concatenate(text), np.concatenate([[0], np.cumsum(count)]))
+            own = h ^ T.mix(line.astype(_U))
+            often = np.concatenate([np.frombuffer(x.as_buffer(), _U) for x in common])
+            often ^= T.mix(np.repeat(np.arange(len(common)), [x.as_buffer().size // 8 for x in common]).astype(_U))
+            alone = (number == 0) & ~np.isin(own, often)
+            settled = np.bincount(line[alone] * RUN + first[alone] % RUN, minlength=RUN * len(count)).reshape(-1, RUN)
+            key = prefix.values.slice(prefix.offsets[0].as_py(), prefix.offsets[-1].as_py() - prefix.offsets[0].as_py()).to_numpy().view(_U)
+            at = prefix.offsets.to_numpy() - prefix.offsets[0].as_py()
+            who = np.repeat(np.arange(len(count)), np.diff(at))
+            order = np.argsort(own)
+            place = order[np.searchsorted(own[order], key ^ T.mix(who.astype(_U)))]
+            edits = most_edits(count)[who]
+            before = np.zeros(len(key), np.int64)
+            for r in range(RUN):
+                hit = (number[place] == 0) & (first[place] % RUN == r)
+                total = np.concatenate([[0], np.cumsum(hit)])
+                before = np.maximum(before, total[:-1] - total[at[who]] + settled[who, r])
+            keep = np.flatnonzero(before <= edits)
+            who, place = who[keep], place[keep]
+            yield pa.RecordBatch.from_arrays(
+                [pa.array(key[keep].view(np.int64)), weight.take(pa.array(who)), node.take(pa.array(who)), pa.array(count[who].astype(np.int32)),
+                 pa.array((np.log(count[who]) / np.log(SIMILARITY[1] / SIMILARITY[0])).astype(np.int32)),
+                 pa.array(first[place].astype(np.int32)), pa.array(last[place].astype(np.int32))], ["key", "rank", "node", "n", "part", "lo", "hi"])
+
+    return sets.select("node", "weight", "prefix", "common").join(words, "node").mapInArrow(run, "key long, rank double, node long, n int, part int, lo int, hi int")
+
+
 def _groups(rows: DataFrame) -> DataFrame:
     """(node, component) of every linked node of the (doc, key, t) rows."""
-    sets = frequent_shingles(rows, "t", _run_sets, lambda n: RUN * most_edits(n + RUN - 1) + 1, whole=False)
-    index = sets.select(F.explode("prefix").alias("key"), F.col("weight").alias("rank"), "node", (F.col("n") + F.lit(RUN - 1)).alias("n"))
+    sets = frequent_shingles(rows, "t", _run_sets, lambda n: RUN * most_edits(n + RUN - 1) + 1)
+    words = written(_line_words(rows, sets.select("node")), "words")
+    index = written(_joinable(sets, words), "index")
     shared = index.groupBy("key").agg(F.count("*").alias("members")).where("members > 1").select("key")
     index = written(index.join(shared, "key"), "index")
-    words = written(_line_words(rows, index.select("node").distinct()), "words")
 
     def fits(a: str, b: str) -> Column:
         longer, more = F.greatest(a + "n", b + "n"), F.abs(F.col(a + "n") - F.col(b + "n"))
-        return more * SIMILARITY[1] <= longer * (SIMILARITY[1] - SIMILARITY[0])
+        apart = F.greatest(F.col(a + "lo") - F.col(b + "hi"), F.col(b + "lo") - F.col(a + "hi"))
+        edits = F.floor(longer * (SIMILARITY[1] - SIMILARITY[0]) / SIMILARITY[1])
+        return (more * SIMILARITY[1] <= longer * (SIMILARITY[1] - SIMILARITY[0])) & (apart <= edits)
 
     def verify(pairs: DataFrame) -> DataFrame:
         return _similar(pairs.join(words.select(F.col("node").alias("a"), F.col("words").alias("x")), "a")
                         .join(words.select(F.col("node").alias("b"), F.col("words").alias("y")), "b").select("a", "b", "x", "y"))
 
-    return groups(index, fits, verify, ROUNDS)
+    return groups(index, fits, verify, ROUNDS, split="part")
 
 
 def repeated_lines(docs: DataFrame, key: str = "doc_id", text: str = "text") -> DataFrame:
     """Lines to remove: (doc, drop) with sorted numbers of the lines of a row that are not their group's first occurrence."""
     rows = docs.select(F.xxhash64(F.col(key).cast("long"), F.col(text).cast("string")).alias("doc"), F.col(key).cast("long").alias("key"), F.col(text).cast("string").alias("t"))
     lines = _line_table(rows)
+    twice = lines.groupBy("node").agg(F.count("*").alias("times")).where("times > 1").select("node")
+    named = twice.join(_groups(rows), "node", "full").select("node", F.coalesce("component", "node").alias("component"))
+    # lines that no other line is equal or linked to stay and go no further
+    copies = written(lines.join(named, "node").drop("node"), "copies")
     first = F.min(F.struct(F.col("key").isNull().alias("last"), "key", "line", "doc"))
-    nodes = written(lines.groupBy("node").agg(first.alias("first"), F.count("*").alias("times")), "nodes")
-    known = _groups(rows)
-    named = nodes.join(known, "node", "left").withColumn("component", F.coalesce("component", "node"))
-    lowest = named.groupBy("component").agg(F.min("first").alias("keep"), F.sum("times").alias("times")).where("times > 1")
-    verdict = named.select("node", "component").join(lowest, "component").select("node", "keep")
-    return (lines.join(verdict, "node").where(~((F.col("keep.doc") == F.col("doc")) & (F.col("keep.line") == F.col("line"))))
+    verdict = copies.groupBy("component").agg(first.alias("keep"))
+    return (copies.join(verdict, "component").where(~((F.col("keep.doc") == F.col("doc")) & (F.col("keep.line") == F.col("line"))))
             .groupBy("doc").agg(F.array_sort(F.collect_set("line")).alias("drop")))
 
 
