@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import random
 import re
 from collections import Counter, defaultdict
 
@@ -590,6 +591,48 @@ def recall_of_similar_lines(spark, rows, similar):
     return sum(found) / len(found), {hashes.index(n) for n in group}
 
 
+def test_line_dedup_compares_no_pairs_that_only_share_a_passage(spark, monkeypatch):
+    from pyspark.sql import functions as F
+
+    from voltcast.llm import line_dedup as L
+    rng = random.Random(7)
+    passage = " ".join(f"p{i}" for i in range(41))
+    # own words make too few runs of five to settle that no line is similar
+    rows = [(i, " ".join(f"w{rng.randrange(400)}" for _ in range(20)) + " " + passage) for i in range(80)]
+    rows += [(100 + i, rows[i][1].replace("p20 ", f"q{i} ")) for i in range(5)]
+    compared = []
+    similar = L._similar
+
+    def counted(pairs):
+        compared.append(pairs.select("a", "b").distinct().count())
+        return similar(pairs)
+
+    monkeypatch.setattr(L, "_similar", counted)
+    out = L.dedup(spark.createDataFrame(rows, "doc_id long, text string"))
+    assert {r.doc_id for r in out.where(F.col("n_removed") > 0).collect()} == {100, 101, 102, 103, 104}
+    assert sum(compared) < 300             # 3500 and more pairs share the passage
+
+
+def test_signs_turn_no_more_than_edits_can_and_tables_agree_with_single_comparisons():
+    from voltcast.llm import line_dedup as L
+    rng = random.Random(3)
+    pairs, limits = [], []
+    for _ in range(400):
+        a = [rng.randrange(50) for _ in range(rng.randrange(9, 80) if rng.random() < 0.95 else 600)]
+        b = list(a)
+        for _ in range(edits := rng.randrange(8)):
+            at = rng.randrange(len(b))
+            b[at:at + rng.randrange(2)] = [rng.randrange(50)] * rng.randrange(2)
+        signs = L.signs(np.array(a + b, np.uint32), np.array([0, len(a), len(a) + len(b)]))
+        turned = sum(int(x[0] ^ x[1]).bit_count() for x in signs)
+        assert turned <= 2 * edits - abs(len(a) - len(b))
+        pairs.append((np.array(a, np.uint32), np.array(b, np.uint32)))
+        limits.append(rng.randrange(8))
+    expected = [L.within(a, b, k) for a, b, k in zip([p[0] for p in pairs], [p[1] for p in pairs], limits)]
+    assert L.within_all(pairs, np.array(limits)).tolist() == expected
+    assert L.within_all([], np.zeros(0, np.int64)).tolist() == []
+
+
 def test_line_dedup_finds_nearly_all_similar_lines(spark):
     """Against the edit distance alone: one word, or a twentieth, of lines of usual length changed, put in or left out; nothing else is linked.
 

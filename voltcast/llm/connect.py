@@ -57,7 +57,8 @@ def components(links: DataFrame) -> DataFrame:
 
 
 def groups(buckets: DataFrame, fits: Callable[[str, str], Column], verify: Callable[[DataFrame], DataFrame], rounds: int = 1,
-           first: DataFrame | None = None, led: bool = True, split: str | None = None) -> DataFrame:
+           first: DataFrame | None = None, led: bool = True, split: str | None = None,
+           apart: Callable[[str, str], Column] | None = None) -> DataFrame:
     """Connected groups of the nodes in ``buckets``: (node, component) for every linked node.
 
     ``buckets`` has key, node (long), rank (any ordered type) and the columns
@@ -69,7 +70,9 @@ def groups(buckets: DataFrame, fits: Callable[[str, str], Column], verify: Calla
     only the buckets of three members or more. If ``first`` comes from other
     buckets, ``led`` is false and all buckets of two are wanted. ``split`` names
     a column that deals a bucket into parts with a centre each, for nodes that
-    differ so much that one centre would fit few of them.
+    differ so much that one centre would fit few of them. With ``apart``, a guess at
+    how far two nodes are from each other, the open pairs are written, and of each
+    two groups the nearest are checked before the others.
     """
     info = [c for c in buckets.columns if c not in ("key", "component", "rank", split)]
     part = ["key", split] if split else ["key"]
@@ -84,11 +87,16 @@ def groups(buckets: DataFrame, fits: Callable[[str, str], Column], verify: Calla
             pairs = pairs.where("component <> lead_component")
         return pairs.select(F.least("lead_node", "node").alias("a"), F.greatest("lead_node", "node").alias("b")).distinct()
 
+    def joined(known: DataFrame, found: DataFrame) -> DataFrame:
+        if found.isEmpty():
+            return known
+        return components(known.select(F.col("node").alias("a"), F.col("component").alias("b")).unionByName(found))
+
     links = written(verify(star(buckets, F.col("rank"), False) if first is None else first), "links")
     known = components(links)
     rows = None
     for turn in range(1, rounds + 1):
-        named = (buckets if rows is None else rows.drop("component")).join(known, "node", "left").withColumn("component", F.coalesce("component", "node"))
+        named = (buckets.drop("rank") if rows is None else rows.drop("component")).join(known, "node", "left").withColumn("component", F.coalesce("component", "node"))
         open_keys = (named.groupBy("key").agg(F.count("*").alias("members"), F.min("component").alias("x"), F.max("component").alias("y"))
                      .where((F.col("members") > (2 if led or turn > 1 else 1)) & (F.col("x") != F.col("y"))).select("key"))
         rows = written(named.join(open_keys, "key"), "open")
@@ -98,9 +106,16 @@ def groups(buckets: DataFrame, fits: Callable[[str, str], Column], verify: Calla
             more = star(rows, F.xxhash64("node", F.lit(turn)).alias("order"), True)
         else:
             a = rows.select("key", *[F.col(c).alias(f"l_{c}") for c in [*info, "component"]])
-            more = (a.join(rows, "key").where("l_component < component").where(fits("l_", ""))
-                    .select(F.least("l_node", "node").alias("a"), F.greatest("l_node", "node").alias("b")).distinct())
-        found = written(verify(more), "links")
-        if not found.isEmpty():
-            known = components(known.select(F.col("node").alias("a"), F.col("component").alias("b")).unionByName(found))
+            more = a.join(rows, "key").where("l_component < component").where(fits("l_", ""))
+            ends = [F.least("l_node", "node").alias("a"), F.greatest("l_node", "node").alias("b")]
+            if apart is None:
+                more = more.select(*ends).distinct()
+            else:
+                pairs = written(more.select(*ends, F.col("l_component").alias("x"), F.col("component").alias("y"), apart("l_", "").alias("far")).distinct(), "pairs")
+                nearest = pairs.groupBy("x", "y").agg(F.min(F.struct("far", "a", "b")).alias("p")).select("p.a", "p.b")
+                known = joined(known, written(verify(nearest), "links"))
+                now = known.select(F.col("node").alias("x"), F.col("component").alias("now_x"))
+                pairs = pairs.join(now, "x", "left").join(now.select(F.col("x").alias("y"), F.col("now_x").alias("now_y")), "y", "left")
+                more = pairs.where(F.coalesce("now_x", "x") != F.coalesce("now_y", "y")).select("a", "b")
+        known = joined(known, written(verify(more), "links"))
     return known

@@ -13,7 +13,8 @@ most 5 k that the other has not, and as long as the bound is a tenth of the word
 they have at least one in common. Put in one order, rarest first, the first common one is among
 the first 5 k + 1 of both: lines are joined on these, by ``jaccard_join``'s exact
 frequencies, where runs of frequency 1 only count as positions. Star rounds and
-then all open pairs of different groups (``connect``) are compared word by word.
+then the open pairs of different groups (``connect``) are compared word by word,
+if the parities of their words (``signs``) differ no more than the edits can.
 Lines of eight words and fewer are similar only if equal.
 
 Lines travel as hashes; words of a line travel only for candidates, let through
@@ -36,6 +37,10 @@ SIMILARITY = (9, 10)
 LEAST_WORDS = 9                            # shorter lines have no similar ones that are not equal
 RUN = 5                                    # words of a run
 RUN_BITS = 48                              # of a run's hash; equal hashes of different runs only add candidates
+SIGNS = ("s0", "s1", "s2", "s3")           # columns of a line's ``signs``
+SIDE_BY_SIDE = 512                         # words up to which lines are compared many at a time
+CELLS = 1 << 14                            # of a table row
+PIECE = 1 << 18                            # bytes of text split into words at a time
 ROUNDS = 1                                 # of stars before all open pairs
 _U = np.uint64
 _BLANK = np.zeros(256, bool)
@@ -99,6 +104,16 @@ def _sums(values: np.ndarray, begin: np.ndarray) -> np.ndarray:
     return np.add.reduceat(values, begin) if len(begin) else np.zeros(0, values.dtype)
 
 
+def signs(words: np.ndarray, offsets: np.ndarray) -> list[np.ndarray]:
+    """Parities of the words of each line that fall on each of 256 bits, 64 to an array; no line is empty.
+
+    A word put in or taken out turns one bit, one put in another's place at most two.
+    """
+    bit = T.mix(words.astype(_U)) >> _U(56)
+    mark = _U(1) << (bit & _U(63))
+    return [np.bitwise_xor.reduceat(np.where(bit >> _U(6) == _U(i), mark, _U(0)), offsets[:-1]) for i in range(len(SIGNS))]
+
+
 def bag_distance(a: np.ndarray, b: np.ndarray) -> int:
     """Words that one of two sequences has more often than the other, the larger side: never above the edit distance."""
     both = np.concatenate([a, b])
@@ -157,12 +172,49 @@ def within(a: np.ndarray, b: np.ndarray, limit: int) -> bool:
     return False
 
 
+def within_all(pairs: list[tuple[np.ndarray, np.ndarray]], limits: np.ndarray) -> np.ndarray:
+    """``within`` for many pairs: the rows of their edit distance tables, ``limit`` diagonals to either side, are filled side by side."""
+    out = np.zeros(len(pairs), bool)
+    n = np.array([len(a) for a, _ in pairs], np.int64)
+    more = np.array([len(b) for _, b in pairs], np.int64) - n
+    for i in np.flatnonzero(n > SIDE_BY_SIDE):
+        out[i] = within(*pairs[i], int(limits[i]))
+    left = np.flatnonzero((n <= SIDE_BY_SIDE) & (np.abs(more) <= limits))
+    left = left[np.argsort(n[left], kind="stable")]
+    while len(left):
+        # of the longest ones as many as fill a table
+        width = 2 * int(limits[left[-1]]) + 1
+        some, left = left[-max(1, CELLS // width):], left[:-max(1, CELLS // width)]
+        edge = int(limits[some].max())
+        rows = int(n[some[-1]])
+        a, b = np.zeros((rows, len(some)), np.uint32), np.zeros((rows + 2 * edge + 1, len(some)), np.uint32)
+        for c, i in enumerate(some):
+            x, y = pairs[i]
+            a[:len(x), c], b[edge:edge + len(y), c] = x, y
+        step = np.arange(2 * edge + 1, dtype=np.int32)[:, None]
+        # cell d of row r stands for r words of one line and r + d - edge of the other; those before the first word are out of reach
+        row = np.repeat(np.where(step < edge, 2 * SIDE_BY_SIDE + edge - step, step - edge).astype(np.int32), len(some), axis=1)
+        ends = np.searchsorted(n[some], np.arange(rows + 2))
+        for r in range(rows + 1):
+            done = np.arange(ends[r], ends[r + 1])
+            if len(done):
+                out[some[done]] = row[more[some[done]] + edge, done] <= limits[some[done]]
+            if r < rows:
+                after = row + (b[r:r + 2 * edge + 1] != a[r])
+                np.minimum(after[:-1], row[1:] + 1, out=after[:-1])
+                if r < edge:
+                    after[edge - r - 1] = r + 1
+                    after[:edge - r - 1] = 2 * SIDE_BY_SIDE
+                row = np.minimum.accumulate(after - step, axis=0) + step
+    return out
+
+
 def _line_table(docs: DataFrame) -> DataFrame:
     """(doc, key, line, node) of every line with words; doc names a row by its key and text."""
 
     def run(batches):
         for batch in batches:
-            for at, piece in T.slices(batch.column(2)):
+            for at, piece in T.slices(batch.column(2), PIECE):
                 x = Lines(piece)
                 where = pa.array(x.doc + at)
                 yield pa.RecordBatch.from_arrays(
@@ -178,7 +230,7 @@ def _line_words(docs: DataFrame, nodes: DataFrame) -> DataFrame:
 
     def run(batches):
         for batch in batches:
-            for _, piece in T.slices(batch.column(2)):
+            for _, piece in T.slices(batch.column(2), PIECE):
                 x = Lines(piece)
                 words = short(x.words)
                 hit = present(held.value, x.hash)
@@ -196,13 +248,10 @@ def _similar(pairs: DataFrame) -> DataFrame:
 
     def run(batches):
         for batch in batches:
-            keep = []
-            for i, (x, y) in enumerate(zip(batch.column(2), batch.column(3))):
-                x, y = np.frombuffer(x.as_buffer(), np.uint32), np.frombuffer(y.as_buffer(), np.uint32)
-                longer = max(len(x), len(y))
-                if within(x, y, longer * (SIMILARITY[1] - SIMILARITY[0]) // SIMILARITY[1]):
-                    keep.append(i)
-            yield pa.RecordBatch.from_arrays([c.take(pa.array(keep, pa.int64())) for c in batch.columns[:2]], ["a", "b"])
+            both = [(np.frombuffer(x.as_buffer(), np.uint32), np.frombuffer(y.as_buffer(), np.uint32)) for x, y in zip(batch.column(2), batch.column(3))]
+            longer = np.array([max(len(x), len(y)) for x, y in both], np.int64)
+            keep = np.flatnonzero(within_all(both, longer * (SIMILARITY[1] - SIMILARITY[0]) // SIMILARITY[1]))
+            yield pa.RecordBatch.from_arrays([c.take(pa.array(keep)) for c in batch.columns[:2]], ["a", "b"])
 
     return pairs.mapInArrow(run, "a long, b long")
 
@@ -219,7 +268,7 @@ def _run_sets(piece: pa.Array):
 
 
 def _joinable(sets: DataFrame, words: DataFrame) -> DataFrame:
-    """(key, rank, node, n, part, lo, hi): of each prefix, the runs up to the first that settles it, with their places in the line.
+    """(key, rank, node, n, part, lo, hi, s0 to s3): of each prefix, the runs up to the first that settles it, with their places in the line and its ``signs``.
 
     Of runs that start at places equal modulo five no two overlap, so one edit
     takes at most one of them away. Once one such class has more runs, those of
@@ -233,7 +282,9 @@ def _joinable(sets: DataFrame, words: DataFrame) -> DataFrame:
             node, weight, prefix, common, text = batch.columns
             text = [np.frombuffer(x.as_buffer(), np.uint32) for x in text]
             count = np.array([len(x) for x in text])
-            h, line, number, first, last = numbered_runs(np.concatenate(text), np.concatenate([[0], np.cumsum(count)]))
+            text, offsets = np.concatenate(text), np.concatenate([[0], np.cumsum(count)])
+            sign = signs(text, offsets)
+            h, line, number, first, last = numbered_runs(text, offsets)
             own = h ^ T.mix(line.astype(_U))
             often = np.concatenate([np.frombuffer(x.as_buffer(), _U) for x in common])
             often ^= T.mix(np.repeat(np.arange(len(common)), [x.as_buffer().size // 8 for x in common]).astype(_U))
@@ -255,9 +306,11 @@ def _joinable(sets: DataFrame, words: DataFrame) -> DataFrame:
             yield pa.RecordBatch.from_arrays(
                 [pa.array(key[keep].view(np.int64)), weight.take(pa.array(who)), node.take(pa.array(who)), pa.array(count[who].astype(np.int32)),
                  pa.array((np.log(count[who]) / np.log(SIMILARITY[1] / SIMILARITY[0])).astype(np.int32)),
-                 pa.array(first[place].astype(np.int32)), pa.array(last[place].astype(np.int32))], ["key", "rank", "node", "n", "part", "lo", "hi"])
+                 pa.array(first[place].astype(np.int32)), pa.array(last[place].astype(np.int32)), *[pa.array(x[who].view(np.int64)) for x in sign]],
+                ["key", "rank", "node", "n", "part", "lo", "hi", *SIGNS])
 
-    return sets.select("node", "weight", "prefix", "common").join(words, "node").mapInArrow(run, "key long, rank double, node long, n int, part int, lo int, hi int")
+    return sets.select("node", "weight", "prefix", "common").join(words, "node").mapInArrow(
+        run, "key long, rank double, node long, n int, part int, lo int, hi int, " + ", ".join(f"{s} long" for s in SIGNS))
 
 
 def _groups(rows: DataFrame) -> DataFrame:
@@ -265,20 +318,21 @@ def _groups(rows: DataFrame) -> DataFrame:
     sets = frequent_shingles(rows, "t", _run_sets, lambda n: RUN * most_edits(n + RUN - 1) + 1)
     words = written(_line_words(rows, sets.select("node")), "words")
     index = written(_joinable(sets, words), "index")
-    shared = index.groupBy("key").agg(F.count("*").alias("members")).where("members > 1").select("key")
-    index = written(index.join(shared, "key"), "index")
+
+    def turned(a: str, b: str) -> Column:
+        return sum((F.bit_count(F.col(a + s).bitwiseXOR(F.col(b + s))) for s in SIGNS), F.lit(0))
 
     def fits(a: str, b: str) -> Column:
         longer, more = F.greatest(a + "n", b + "n"), F.abs(F.col(a + "n") - F.col(b + "n"))
         apart = F.greatest(F.col(a + "lo") - F.col(b + "hi"), F.col(b + "lo") - F.col(a + "hi"))
         edits = F.floor(longer * (SIMILARITY[1] - SIMILARITY[0]) / SIMILARITY[1])
-        return (more * SIMILARITY[1] <= longer * (SIMILARITY[1] - SIMILARITY[0])) & (apart <= edits)
+        return (more * SIMILARITY[1] <= longer * (SIMILARITY[1] - SIMILARITY[0])) & (apart <= edits) & (turned(a, b) <= 2 * edits - more)
 
     def verify(pairs: DataFrame) -> DataFrame:
         return _similar(pairs.join(words.select(F.col("node").alias("a"), F.col("words").alias("x")), "a")
                         .join(words.select(F.col("node").alias("b"), F.col("words").alias("y")), "b").select("a", "b", "x", "y"))
 
-    return groups(index, fits, verify, ROUNDS, split="part")
+    return groups(index, fits, verify, ROUNDS, split="part", apart=turned)
 
 
 def repeated_lines(docs: DataFrame, key: str = "doc_id", text: str = "text") -> DataFrame:
